@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, packing, secret_scan, simhash
+from . import imatch, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity
 from .common import held_out, read_documents
 
 
@@ -28,11 +28,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = imatch.fingerprint_documents(read_documents(spark, sf_dir))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labelled = docs.where(~held_out(F.col("doc_id"))).join(labels.select("doc_id", "toxic"), "doc_id")
+    out = toxicity.score(docs, toxicity.train(labelled))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _joined(spans: str):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -62,7 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
+        "op4_imatch": op4_imatch,
         "op7_simhash": op7_simhash,
+        "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_pack": op10_pack,
     }
