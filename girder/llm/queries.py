@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity
+from . import embedding_dedup, imatch, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity
 from .common import held_out, read_documents
 
 
@@ -33,6 +33,10 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
         "op4_imatch": op4_imatch,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_simhash": op7_simhash,
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
