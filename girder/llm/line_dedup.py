@@ -23,7 +23,7 @@ def line_key(line: str, least_chars: int) -> bytes | None:
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """Adds (n_lines long, n_dropped long, kept string) to doc_id.
+    """``docs`` with a struct column ``lines`` (n_lines long, n_dropped long, kept string).
 
     Normalised lines are exploded and hashed, once a document; documents are
     counted per hash with map-side partial sums, so a line in a third of all
@@ -35,9 +35,10 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
 
     Null or empty text is one empty line. Every row is a document; rows that
     share a doc_id are counted apart and all keep their lines if it is the
-    largest. A null doc_id is smaller than any other. Extra columns are ignored.
+    largest. A null doc_id is smaller than any other. Other columns come back
+    as they are, but for one named ``lines``, which is replaced.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.drop("lines")
 
     def emit():
         def f(texts: list) -> tuple[list, list]:
@@ -51,7 +52,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
 
         return f
 
-    held = materialize(map_texts(docs.where(F.length("text") >= least_chars), emit, "key binary"), "lines")
+    held = materialize(map_texts(docs.where(F.char_length("text") >= least_chars), emit, "key binary"), "lines")
     often = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= least_docs)
     drops = (
         held.join(often, "key")
@@ -75,4 +76,4 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
 
     both = docs.alias("d").join(drops.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left")
-    return both.select("d.doc_id", rebuild("d.text", "x.drops").alias("r")).select("doc_id", "r.*")
+    return both.select("d.*", rebuild("d.text", "x.drops").alias("lines"))

@@ -153,3 +153,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = materialize(placed.join(least, "root").select("fp", "component_id"), "components")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that of the smallest doc_id (once if its row is repeated); same columns."""
+    kept = near_duplicates(docs, words, seed, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = kept.withColumnRenamed("doc_id", "_kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])

@@ -75,7 +75,7 @@ class Trie:
 @dataclass
 class ToxicityModel:
     lexicon: dict[str, float]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(9))
+    weights: np.ndarray = field(default_factory=lambda: np.array([-3.0, *[0.0] * 8]))  # until fitted: nothing is toxic
 
     def __post_init__(self):
         self.trie, self.seen = Trie(self.lexicon), {}
@@ -219,9 +219,20 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) of every whole text, one pass without a shuffle; the broadcast model is bounded by the lexicon's size.
 
     Null and empty texts have no hits and get the score of such texts (the
-    fitted intercept; 0.5 when there are no labels at all). Null ids and
+    fitted intercept). Null ids and
     repeated rows come back as they are; an empty table gives no rows. Extra
     columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, lambda: lambda texts: (None, [[shared.value.score(t) for t in texts]]), "score double")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose text scores ``least`` or more; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t if isinstance(t, str) else None) < least for t in text], dtype=bool)
+
+    return docs.where(clean("text"))
