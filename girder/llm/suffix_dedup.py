@@ -148,7 +148,7 @@ def candidates(texts: DataFrame, shared: DataFrame, n_shared: int) -> DataFrame:
     small = n_shared <= FILTER_HASHES
     keep = None
     if small:
-        keep = spark.sparkContext.broadcast(np.sort(shared.select("h").toPandas()["h"].to_numpy(np.int64)))
+        keep = spark.sparkContext.broadcast(np.sort(shared.select("h").toArrow()["h"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = keep.value if keep else None
@@ -325,7 +325,8 @@ def removed_spans(texts: DataFrame) -> DataFrame:
     n_texts = texts.count()
     some = texts.where(F.pmod(F.xxhash64(F.lit(9), "text_hash"), F.lit(max(1, n_texts))) < 2000)
     words = candidates(some, shared, n_shared).select(F.substring("key", 1, 8).alias("w")).sample(0.2, 5).limit(200_000)
-    sample = np.sort(np.array([int.from_bytes(bytes(r["w"]), "big") for r in words.collect()], np.uint64))
+    sample = np.frombuffer(b"".join(words.toArrow()["w"].to_pylist()), ">u8").astype(np.uint64)
+    sample.sort()
     bounds = sample[[len(sample) * i // n_ranges for i in range(1, n_ranges)]] if len(sample) else sample
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
