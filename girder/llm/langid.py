@@ -125,10 +125,10 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = (3, 4), slots: int = 1
     bits = owners.mapInPandas(place, "slot long, code int").select(
         "slot", (F.col("code") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, code % 64)").alias("bit")
     )
-    table = bits.groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toPandas()
+    table = bits.groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toArrow()
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     filled = np.zeros((-(-len(languages) // 64), slots), kind)
-    filled[table["word"].to_numpy(), table["slot"].to_numpy()] = table["mask"].to_numpy(np.int64).view(np.uint64).astype(kind)
+    filled[table["word"].to_numpy(), table["slot"].to_numpy()] = table["mask"].to_numpy().view(np.uint64).astype(kind)
     return SlicedBloom(languages, filled, hashes)
 
 

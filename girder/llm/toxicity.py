@@ -208,10 +208,10 @@ def train(labelled: DataFrame, train_docs: int = 20_000) -> ToxicityModel:
             feats = [shared.value.features(t if isinstance(t, str) else None) for t in pdf["text"]]
             yield pd.DataFrame({"x": feats, "y": pdf["toxic"].astype(float)})
 
-    rows = sample.select("text", "toxic").mapInPandas(run, "x array<double>, y double").toPandas()
+    rows = sample.select("text", "toxic").mapInPandas(run, "x array<double>, y double").toArrow()
     sample.unpersist()
-    if len(rows):
-        model.weights = fit_logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy())
+    if rows.num_rows:
+        model.weights = fit_logistic(np.array(rows["x"].to_pylist()), rows["y"].to_numpy())
     return model
 
 
