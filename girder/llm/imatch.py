@@ -84,24 +84,42 @@ def _subset(terms: Column, shift: int, bits: int, value: int) -> Column:
 
 
 def subset_hashes(eighths: list[str]) -> Column:
-    """Two hex digits a subset, the hash of its sorted terms; 00 if it has none. ``eighths``: columns of the terms by the first three bits."""
-    parts = []
+    """A byte a subset, from the hash of its sorted terms, 0 if it has none; seven in a number. ``eighths``: columns of the terms by the first three bits.
+
+    Spark hashes an empty array to its seed, 42, which the exclusive or turns
+    into 0.
+    """
+    cells = []
     for name in eighths:
         for bits, shift, used in LEVELS:
-            for k in range(used):
-                kept = _subset(F.col(name), shift, bits, k)
-                digest = F.pmod(F.xxhash64(kept), F.lit(255)) + 1
-                parts.append(F.when(F.size(kept) == 0, F.lit("00")).otherwise(F.lower(F.lpad(F.hex(digest), 2, "0"))))
-    return F.concat(*parts)
+            cells += [F.xxhash64(_subset(F.col(name), shift, bits, k)).bitwiseXOR(F.lit(42)).bitwiseAND(F.lit(255)) for k in range(used)]
+    words = []
+    for i in range(0, len(cells), 7):
+        word = cells[i]
+        for cell in cells[i + 1 : i + 7]:
+            word = F.shiftleft(word, 8).bitwiseOR(cell)
+        words.append(word)
+    return F.array(*words)
+
+
+def text_form(words: Column) -> Column:
+    """Fourteen hex digits a number."""
+    return F.lower(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), 14, "0")), ""))
+
+
+def _zero_bytes(v: Column) -> Column:
+    """How many of a number's seven lower bytes are zero; the top one is unused, which keeps the sum from overflowing."""
+    low = F.lit(0x007F7F7F7F7F7F7F)
+    return F.bit_count(F.bitwise_not((v.bitwiseAND(low) + low).bitwiseOR(v).bitwiseOR(low)).bitwiseAND(F.lit(0x0080808080808080)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the subsets, but those empty on both sides, whose hashes agree; 0 to 1."""
-    n = 8 * sum(used for _, _, used in LEVELS)
-    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.substring(a, i * 2 + 1, F.lit(2)).alias("x"), F.substring(b, i * 2 + 1, F.lit(2)).alias("y")))
-    used = F.filter(cells, lambda c: ~((c["x"] == "00") & (c["y"] == "00")))
-    same = F.filter(used, lambda c: c["x"] == c["y"])
-    return F.when(F.size(used) == 0, (a == b).cast("double")).otherwise(F.size(same) / F.size(used))
+    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
+    both = F.aggregate(pairs, F.lit(0), lambda n, p: n + _zero_bytes(p["x"].bitwiseOR(p["y"])))
+    same = F.aggregate(pairs, F.lit(0), lambda n, p: n + _zero_bytes(p["x"].bitwiseXOR(p["y"])))
+    used = 7 * F.size(a) - both
+    return F.when(used == 0, 1.0).otherwise((same - both) / used)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -122,7 +140,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     def band(text: Column) -> Column:
         found = term_list(text)
         kept = F.filter(found, lambda t: ~t.isin(often)) if often else found
-        return F.array_sort(kept)
+        return F.sort_array(kept)
 
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
@@ -145,10 +163,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         "fingerprints",
     )
     # the next document's fingerprint; rows that repeat another's id and text have the same one
-    others = full.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("other_h")).agg(F.min("fingerprint").alias("other"))
+    others = full.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("other_h")).agg(F.first("fingerprint").alias("other"))
     out = full.join(others, F.col("next_id").eqNullSafe(F.col("id")) & (F.col("next_h") == F.col("other_h")))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256", text_form(F.col("fingerprint")).alias("fingerprint"), text_form(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("other")).alias("near_next"),
     )
