@@ -36,6 +36,11 @@ class Trie:
 
     def __init__(self, entries: dict[str, float]):
         self.root: dict = {}
+        # an entry one edit away keeps its first or its last half: words with neither need no automaton
+        whole = [t for t in entries if not t.endswith("*") and len(t) >= 5]
+        self.heads = {t[: len(t) // 2] for t in whole}
+        self.ends = {t[len(t) // 2 :] for t in whole}
+        self.head_sizes, self.end_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.ends})
         for term, weight in entries.items():
             node = self.root
             for ch in term.rstrip("*"):
@@ -52,7 +57,10 @@ class Trie:
             stem = node.get("stem", stem)
         return node.get("word", stem)
 
-    def near(self, word: str, most: int) -> tuple[str, float] | None:
+    def may_be_near(self, word: str) -> bool:
+        return any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.ends for n in self.end_sizes)
+
+    def near(self, word: str, most: int = 1) -> tuple[str, float] | None:
         """The heaviest whole-word entry within ``most`` edits. States: (trie node, row of edit distances); a row with no cell in reach is dead."""
         best = None
         todo = [(self.root, list(range(len(word) + 1)))]
@@ -85,8 +93,8 @@ class ToxicityModel:
         hit = self.trie.exact(word)
         if hit:
             return (*hit, False)
-        if len(word) >= 5:
-            hit = self.trie.near(word, 1 if len(word) < 9 else 2)
+        if len(word) >= 4 and self.trie.may_be_near(word):
+            hit = self.trie.near(word)
             if hit and len(hit[0]) >= 5:
                 return (*hit, True)
         return None
