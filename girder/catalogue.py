@@ -5,14 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from girder.plans.policy import SAMPLE
-from girder.plans.rules import RULES, Facts
+from girder.operators import shared
+from girder.operators.concepts import distinct_conversions, elect
+from girder.operators.graph import reachability, strong_components
+from girder.plans import decide, report, survey
+from girder.plans.policy import SAMPLE, Policy
+from girder.plans.rules import RULES, Facts, fact_functions, feature_of, package_edges
 from girder.sources.projection import StarFacts
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Columns of a rule's query: a finding without its ordinals.
 SHOWN = ["rule_id", "severity", "path", "line_start", "line_end", "subject", "detail"]
+TODAY, SOON = "1998-06-01", "1998-12-31"
+#: Rules of the pipeline's queries: one of each kind, so that one plan stays readable.
+PIPELINE_RULES = ["CX001", "CX008", "DG003", "OT004", "FL002", "MO001", "BO001", "RW001", "DC002", "UT003"]
+
+#: A looser policy and its baseline, which differ in every way that the policy diff knows.
+BASELINE = Policy(
+    {"CX": {"fn_lines": 50, "fn_overrides": [["*::a::*", 80]], "exempt_paths": ["*::tests::*"]}, "MO": {"max_public_types": 5}, "OT": {"converter_paths": ["*::x::*"]}, "DC": {"exempt_paths": []}}
+)
+LOOSER = Policy(
+    {
+        "CX": {"fn_lines": 70, "fn_overrides": [["*::a::*", 90], ["*::b::*", 60], ["*::c::*", 60, {"reason": "r", "expires": "2030-01-01", "owner": "o"}]], "exempt_paths": ["*::tests::*", "*::gen::*", {"path": "*::d::*", "reason": "r", "expires": "e", "owner": "o"}]},
+        "MO": {"max_public_types": 9},
+        "OT": {"converter_paths": ["*::x::*", "*::y::*"]},
+        "DC": {"exempt_paths": ["p3::*"]},
+    },
+    acknowledged=["CF", {"prefix": "TA", "reason": "none", "expires": "2030-01-01", "owner": "team"}],
+)
 
 
 def sample_facts(spark: SparkSession, sf_dir: str) -> Facts:
@@ -23,5 +45,259 @@ def _rule_query(id_: str) -> Query:
     return lambda spark, sf_dir: RULES[id_].observe(sample_facts(spark, sf_dir)).select(*SHOWN)
 
 
+OPERATORS: dict[str, Callable[[Facts], DataFrame]] = {}
+
+
+def operator(body: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
+    OPERATORS[body.__name__] = body
+    return body
+
+
+@operator
+def concept_clusters(x: Facts) -> DataFrame:
+    return x.clusters().select("concept", "stem", "symbol", "role", "reference", F.round(F.col("overlap").cast("double"), 4).alias("overlap"), F.round("confidence", 4).alias("confidence"))
+
+
+@operator
+def canonical_election(x: Facts) -> DataFrame:
+    return elect(x.clusters(), x["air_conversion"])
+
+
+@operator
+def conversion_provenance(x: Facts) -> DataFrame:
+    return distinct_conversions(x["air_conversion"]).select("symbol", "mechanism", "layer", "path", "line_start")
+
+
+@operator
+def endpoint_lookup(x: Facts) -> DataFrame:
+    return shared.endpoint_concepts(x["air_conversion"], x["policy_concept"]).select("symbol", "layer", "from_concept", "to_concept")
+
+
+@operator
+def fact_function_lookup(x: Facts) -> DataFrame:
+    return fact_functions(x, "SpawnedWork", "Logging").select("symbol", "kind", "fact_ix", "path", "line_start")
+
+
+@operator
+def package_graph(x: Facts) -> DataFrame:
+    return package_edges(x).select("src", "dst", "path", "line_start")
+
+
+@operator
+def package_reachability(x: Facts) -> DataFrame:
+    return reachability(package_edges(x).select("src", "dst"))
+
+
+@operator
+def package_cycles(x: Facts) -> DataFrame:
+    return strong_components(package_edges(x).select("src", "dst"))
+
+
+@operator
+def feature_ownership(x: Facts) -> DataFrame:
+    return x["air_file"].select("path", feature_of(F.col("module_path"), x.section("DG")["features"]).alias("feature")).where("feature is not null")
+
+
+@operator
+def line_percentiles(x: Facts) -> DataFrame:
+    return shared.percentile(x["air_function"], "line_count", 0.95, "visibility").select("visibility", F.col("value").cast("long").alias("value"))
+
+
+@operator
+def interval_overlap(x: Facts) -> DataFrame:
+    at = [F.col("path").alias("file"), F.col("line_start").cast("int").alias("from_line"), F.col("line_end").cast("int").alias("to_line")]
+    return shared.overlapping(x["air_type"].select("symbol", *at), x["air_conversion"].select("layer", "symbol", *at)).select("symbol", F.col("r_symbol").alias("conversion"), F.col("r_layer").alias("layer"), "from_line")
+
+
+@operator
+def hint_target_lookup(x: Facts) -> DataFrame:
+    return shared.hint_targets(x["air_hint"], x["air_type"]).select("category", "path", "target_start", "target_symbol")
+
+
+@operator
+def top_level_modules(x: Facts) -> DataFrame:
+    return shared.top_modules(x["air_file"])
+
+
+@operator
+def layer_detection(x: Facts) -> DataFrame:
+    return shared.layers(x["air_file"])
+
+
+@operator
+def runtime_call_facts(x: Facts) -> DataFrame:
+    return shared.classify_calls(x["air_call_site"]).select("kind", "scope", "symbol", "evidence", "item_ix")
+
+
+@operator
+def marker_facts(x: Facts) -> DataFrame:
+    return shared.promote_markers(x["air_hint"], x["air_function"]).select("kind", "symbol", "item_ix")
+
+
+@operator
+def source_module_paths(x: Facts) -> DataFrame:
+    return x["air_file"].select("path", shared.module_path(F.col("path"), F.col("package")).alias("module"))
+
+
+def findings(x: Facts) -> DataFrame:
+    return decide.observe(x, PIPELINE_RULES)
+
+
+@operator
+def observed_findings(x: Facts) -> DataFrame:
+    """Ranges of the finding ids of rules of one severity."""
+    return findings(x).where("rule_id <> 'DC002'").groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.min("finding_id").alias("first_id"), F.max("finding_id").alias("last_id"))
+
+
+@operator
+def strict_severities(x: Facts) -> DataFrame:
+    return decide.elevate(findings(x)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@operator
+def decisions(x: Facts) -> DataFrame:
+    return decide.decide(findings(x)).groupBy("status", "severity").agg(F.count("*").alias("n"))
+
+
+@operator
+def undecided_findings(x: Facts) -> DataFrame:
+    f = findings(x)
+    return decide.undecided(f, decide.decide(f))
+
+
+@operator
+def suppressed_diagnostics(x: Facts) -> DataFrame:
+    return decide.suppress(findings(x), x["air_hint"], x["policy_exception"], TODAY)
+
+
+@operator
+def changed_diagnostics(x: Facts) -> DataFrame:
+    changed = x["air_file"].where("file_ix % 3 = 0").select(F.regexp_replace("path", "^p[0-9]+/", "").alias("path"))
+    return decide.changed_only(findings(x), changed).select(*SHOWN)
+
+
+@operator
+def exit_status(x: Facts) -> DataFrame:
+    return decide.exit_status(findings(x))
+
+
+@operator
+def vacancy_rows(x: Facts) -> DataFrame:
+    return decide.vacancies(Facts(x.tables, LOOSER)).select("rule_id", "severity", "subject")
+
+
+@operator
+def unregistered_codes(x: Facts) -> DataFrame:
+    return decide.registry_rows(findings(x), [r for r in RULES if r not in ("UT003", "MO001")])
+
+
+@operator
+def registry_drift(x: Facts) -> DataFrame:
+    return decide.registry_drift(x["air_file"].sparkSession, ["CX001", "DG001", "ZZ001"], ["CX001", "DG001", "FL002"])
+
+
+@operator
+def policy_drift(x: Facts) -> DataFrame:
+    return decide.policy_diff(x["air_file"].sparkSession, LOOSER, BASELINE)
+
+
+@operator
+def debt_inventory(x: Facts) -> DataFrame:
+    return survey.debt(x, TODAY, SOON)
+
+
+@operator
+def debt_by_rule(x: Facts) -> DataFrame:
+    return survey.debt_by_rule(survey.debt(x, TODAY, SOON))
+
+
+@operator
+def pruned_exceptions(x: Facts) -> DataFrame:
+    return survey.prune(x["policy_exception"], TODAY).select("rule", "target", "expires")
+
+
+@operator
+def largest_files(x: Facts) -> DataFrame:
+    return survey.largest_files(x)
+
+
+@operator
+def largest_clusters(x: Facts) -> DataFrame:
+    return survey.largest_clusters(x)
+
+
+@operator
+def internal_edges(x: Facts) -> DataFrame:
+    return survey.internal_edges(x)
+
+
+@operator
+def rule_pressure(x: Facts) -> DataFrame:
+    return survey.pressure(findings(x))
+
+
+@operator
+def suggested_concepts(x: Facts) -> DataFrame:
+    return survey.suggested_concepts(x)
+
+
+@operator
+def suggested_api(x: Facts) -> DataFrame:
+    return survey.suggested_api(x)
+
+
+@operator
+def suggested_thresholds(x: Facts) -> DataFrame:
+    return survey.suggested_thresholds(x)
+
+
+@operator
+def suggested_layers(x: Facts) -> DataFrame:
+    return survey.suggested_layers(Facts(x.tables, Policy()))
+
+
+@operator
+def merged_suggestions(x: Facts) -> DataFrame:
+    s = shared.layers(x["air_file"]).select(F.col("layer").alias("family"), F.col("glob").alias("headline"), F.concat(F.lit("add "), F.substring_index("glob", "::", 2)).alias("commands"), F.concat(F.lit("a "), F.col("layer"), F.lit(" layer")).alias("why"))
+    return survey.merge_suggestions(s).select("headline", F.array_join("families", ",").alias("families"), F.array_join("why", ",").alias("why"), "commands")
+
+
+@operator
+def report_text(x: Facts) -> DataFrame:
+    return report.text_lines(RULES["DG003"].observe(x))
+
+
+@operator
+def report_json(x: Facts) -> DataFrame:
+    return report.json_rows(RULES["DG003"].observe(x))
+
+
+@operator
+def report_totals(x: Facts) -> DataFrame:
+    return report.totals(findings(x))
+
+
+@operator
+def report_sarif_rules(x: Facts) -> DataFrame:
+    return report.sarif_rules(findings(x))
+
+
+@operator
+def report_sarif_results(x: Facts) -> DataFrame:
+    return report.sarif_results(RULES["CX008"].observe(x))
+
+
+def _kind_query(kind: str) -> Callable[[Facts], DataFrame]:
+    return lambda x: survey.by_kind(x, kind)
+
+
+for _kind in ("canonical", "boundary", "converter", "SpawnedWork", "BoundaryEntry", "HotPath", "PersistenceWrite", "ExternalIo"):
+    OPERATORS[f"query_{_kind.lower()}"] = _kind_query(_kind)
+
+
+def _operator_query(name: str) -> Query:
+    return lambda spark, sf_dir: OPERATORS[name](sample_facts(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f"rule_{id_.lower()}": _rule_query(id_) for id_ in RULES}
+    return {f"rule_{id_.lower()}": _rule_query(id_) for id_ in RULES} | {name: _operator_query(name) for name in OPERATORS}

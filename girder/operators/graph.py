@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from girder.scratch import materialize
+
 
 def reachability(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """All (src, dst) with a path, by doubling: each round joins the pairs known with themselves, so rounds are logarithmic in the longest path.
 
     Meant for graphs of packages: the closure is at most the square of the node
-    count. Each round is checkpointed where a checkpoint folder is set.
+    count. Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    pairs, known = edges.select("src", "dst").distinct().cache(), -1
+    pairs, known = materialize(edges.select("src", "dst").distinct(), "paths"), -1
     for _ in range(most_rounds):
         n = pairs.count()
         if n == known:
             break
         known = n
         step = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        wider = pairs.unionByName(step).distinct()
-        pairs = wider.checkpoint() if held else wider.cache()
+        pairs = materialize(pairs.unionByName(step).distinct(), "paths")
     return pairs
 
 

@@ -148,13 +148,14 @@ add("DG004", "import_path", f"{sh} || ' -> ' || {to}", "air_import", "air_import
 SUFFIX = "CASE " + " ".join(f"WHEN suffix(name, {q(s)}) AND length(name) > {len(s)} THEN {q(s)}" for s in BOUNDARY_SUFFIXES) + " END"
 CLUSTER_TABLES = ("air_type", "air_field", "air_variant", "air_hint", "policy_concept", "air_conversion")
 CLUSTERS = f""", shaped AS (
-  SELECT t.*, coalesce(fs, vs) AS shape, coalesce(len(fn), 0) AS n_fields, left(name, length(name) - length(coalesce({SUFFIX}, ''))) AS stem,
-    coalesce((SELECT CASE WHEN bool_or(p.role = 'canonical') THEN 'Canonical' WHEN count(*) > 0 THEN 'Boundary' END FROM policy_concept p WHERE p.symbol = t.symbol),
-             (SELECT CASE WHEN bool_or(h.category = 'canonical') THEN 'Canonical' WHEN count(*) > 0 THEN 'Boundary' END FROM air_hint h
-               WHERE h.path = t.path AND h.category IN ('canonical', 'boundary') AND h.target_start BETWEEN t.line_start AND t.line_end), 'Unknown') AS role
+  SELECT t.* , coalesce(fs, vs) AS shape, coalesce(len(fn), 0) AS n_fields, left(name, length(name) - length(coalesce({SUFFIX}, ''))) AS stem,
+    coalesce(pr.role, hr.role, 'Unknown') AS role
   FROM air_type t
   LEFT JOIN (SELECT item_ix, list_sort(list(DISTINCT name)) AS fs, list(name) AS fn FROM air_field GROUP BY item_ix) f ON f.item_ix = t.item_ix
   LEFT JOIN (SELECT item_ix, list_sort(list(DISTINCT name)) AS vs FROM air_variant GROUP BY item_ix) v ON v.item_ix = t.item_ix
+  LEFT JOIN (SELECT symbol AS ps, CASE WHEN bool_or(role = 'canonical') THEN 'Canonical' ELSE 'Boundary' END AS role FROM policy_concept GROUP BY symbol) pr ON pr.ps = t.symbol
+  LEFT JOIN (SELECT x.item_ix, CASE WHEN bool_or(h.category = 'canonical') THEN 'Canonical' ELSE 'Boundary' END AS role FROM air_type x JOIN air_hint h
+    ON h.path = x.path AND h.category IN ('canonical', 'boundary') AND h.target_start BETWEEN x.line_start AND x.line_end GROUP BY x.item_ix) hr ON hr.item_ix = t.item_ix
   WHERE (kind IN ('Struct', 'Enum') AND fs IS NOT NULL) OR (kind = 'Enum' AND vs IS NOT NULL)
 ), ref AS (
   SELECT stem, shape AS ref_shape, symbol AS reference FROM (
@@ -357,3 +358,130 @@ file_level("UT003", M, first(M, ut["generic_patterns"]), "air_file", "air_file",
 hit = some("target", ut["canonical_constructs"])
 add("UT004", "function", "action || ':' || target", "air_truth_action", "air_truth_action", where=f"{some(M, ut['utility_paths'])} AND action IN ('Construct', 'Validate', 'Normalize') AND {hit}")
 add("UT005", "function", "action || ':' || target", "air_truth_action", "air_truth_action", where=f"{some(M, ut['utility_paths'])} AND action IN ('Validate', 'Normalize') AND NOT {hit}")
+
+# --- operators ------------------------------------------------------------
+
+ROUND = "round(CAST({} AS DOUBLE), 4)"
+CONF = CLUSTERS + f""", linked AS (
+  SELECT DISTINCT a.stem FROM air_conversion c JOIN member a ON c.from_type IN (a.symbol, a.name) JOIN member b ON c.to_type IN (b.symbol, b.name) AND a.stem = b.stem
+), graded AS (
+  SELECT stem, least(1.0, 0.4 + CASE WHEN bool_or(role = 'Canonical') THEN 0.4 * coalesce(avg(CAST(overlap AS FLOAT)) FILTER (WHERE role <> 'Canonical'), 0) ELSE 0.3 * avg(CAST(overlap AS FLOAT)) END
+    + CASE WHEN stem IN (SELECT stem FROM linked) THEN 0.2 ELSE 0 END) AS confidence FROM member GROUP BY stem
+)"""
+KEBAB = "lower(regexp_replace(stem, '(.)([A-Z])', '\\1-\\2', 'g'))"
+ORACLES["concept_clusters"] = f"{ctes(*CLUSTER_TABLES)}{CONF}\nSELECT {KEBAB} AS concept, stem, symbol, role, reference, {ROUND.format('CAST(overlap AS FLOAT)')} AS overlap, round(confidence, 4) AS confidence FROM member JOIN graded USING (stem)"
+SEGS = "list_sum(list_transform(string_split(symbol, '::'), lambda s: CASE WHEN s IN ('domain', 'core', 'model', 'models') THEN 3 WHEN s IN ('api', 'dto', 'dtos', 'transport') THEN -2 ELSE 0 END))"
+SCORED = f""", scored AS (
+  SELECT m.*, CASE WHEN lower(name) = lower(stem) THEN 3 ELSE 0 END - CASE WHEN {SUFFIX} IS NOT NULL THEN 3 ELSE 0 END + {SEGS}
+    + (SELECT count(*) FROM air_conversion c WHERE {short('c.to_type')} = {short('m.symbol')}) AS score FROM {{members}} m
+), ranked AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM scored WINDOW w AS (PARTITION BY stem ORDER BY score DESC, pkg_ix, file_ix, item_ix)),
+elected AS (SELECT stem, symbol, CAST(score AS BIGINT) AS score FROM ranked WHERE rn = 1 AND (nxt IS NULL OR score - nxt >= 2))"""
+ORACLES["canonical_election"] = f"{ctes(*CLUSTER_TABLES)}{CLUSTERS}{SCORED.format(members='member')}\nSELECT * FROM elected"
+ORACLES["conversion_provenance"] = f"{ctes('air_conversion')}\nSELECT symbol, mechanism, layer, path, line_start FROM {CONV} c"
+PICK = "(SELECT e, arg_min(concept, concept || chr(1) || symbol) AS c FROM (SELECT symbol AS e, concept, symbol FROM policy_concept UNION ALL SELECT name, concept, symbol FROM policy_concept) GROUP BY e)"
+ORACLES["endpoint_lookup"] = f"{ctes('air_conversion', 'policy_concept')}\nSELECT v.symbol, layer, f.c AS from_concept, t.c AS to_concept FROM air_conversion v LEFT JOIN {PICK} f ON f.e = v.from_type LEFT JOIN {PICK} t ON t.e = v.to_type"
+ORACLES["fact_function_lookup"] = f"{ctes('air_fact', 'air_function')}\nSELECT a.symbol, kind, a.item_ix AS fact_ix, f.path, f.line_start FROM air_fact a JOIN {FN} f ON f.fs = a.symbol WHERE scope = 'Function' AND kind IN ('SpawnedWork', 'Logging') AND f.module_path IS NOT NULL"
+EDGES = """, e AS (SELECT src, dst, path, line_start FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY pkg_ix, file_ix, item_ix) AS rn FROM (
+  SELECT *, split_part(module_path, '::', 1) AS src, split_part(import_path, '::', 1) AS dst FROM air_import WHERE module_path IS NOT NULL) WHERE src <> dst) WHERE rn = 1)"""
+ORACLES["package_graph"] = f"{ctes('air_import')}{EDGES}\nSELECT * FROM e"
+CLOSURE = "WITH RECURSIVE " + ctes("air_import").removeprefix("WITH ") + EDGES + ", r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
+ORACLES["package_reachability"] = f"{CLOSURE}\nSELECT src, dst FROM r"
+ORACLES["package_cycles"] = f"{CLOSURE}\nSELECT a.src AS node, min(a.dst) AS component, count(*) AS size FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src"
+ORACLES["feature_ownership"] = f"{ctes('air_file')}\nSELECT path, {feature(M, dg['features'])} AS feature FROM air_file WHERE {feature(M, dg['features'])} IS NOT NULL"
+ORACLES["line_percentiles"] = f"{ctes('air_function')}\nSELECT visibility, CAST(quantile_disc(line_count, 0.95) AS BIGINT) AS value FROM air_function GROUP BY visibility"
+ORACLES["interval_overlap"] = f"{ctes('air_type', 'air_conversion')}\nSELECT t.symbol, c.symbol AS conversion, c.layer, t.line_start AS from_line FROM air_type t JOIN air_conversion c ON (suffix(t.path, c.path) OR suffix(c.path, t.path)) AND t.line_start <= c.line_end AND c.line_start <= t.line_end"
+TARGET = "(SELECT h.*, (SELECT arg_min(t.symbol, t.item_ix) FROM {} t WHERE t.path = h.path AND h.target_start BETWEEN t.line_start AND t.line_end) AS target_symbol FROM air_hint h)"
+ORACLES["hint_target_lookup"] = f"{ctes('air_hint', 'air_type')}\nSELECT category, path, target_start, target_symbol FROM {TARGET.format('air_type')} x"
+ORACLES["top_level_modules"] = f"{ctes('air_file')}\nSELECT DISTINCT replace(package, '-', '_') AS module FROM air_file"
+LAYER_WORDS = ", ".join(f"({q(w)}, {q(k)})" for k, ws in {
+    "domain": ["domain", "core", "model", "models"], "api": ["api", "dto", "dtos", "transport"], "application": ["application", "usecases", "handlers", "service", "services"],
+    "composition": ["composition", "wiring", "bin", "main"], "tests": ["tests", "test_support", "fixtures"], "utilities": ["util", "utils", "common", "helpers"], "config": ["config", "settings"],
+}.items() for w in ws)
+LAYER_ROWS = f"(SELECT DISTINCT layer, array_to_string(list_slice(string_split(module_path, '::'), 1, list_position(string_split(module_path, '::'), w)), '::') || '::*' AS glob FROM (SELECT module_path FROM air_file) f JOIN (VALUES {LAYER_WORDS}) AS v(w, layer) ON contains('::' || module_path || '::', '::' || w || '::'))"
+ORACLES["layer_detection"] = f"{ctes('air_file')}\nSELECT * FROM {LAYER_ROWS} x"
+CALLED = "UNION ALL ".join(
+    f"SELECT {q(kind)} AS kind, 'Function' AS scope, function AS symbol, callee AS evidence, item_ix FROM air_call_site WHERE {cond} "
+    for kind, cond in [
+        ("SpawnedWork", "call_kind = 'Function' AND callee = 'tokio::spawn'"), ("PersistenceWrite", "call_kind = 'Function' AND callee = 'std::fs::write'"), ("BlockingCall", "call_kind = 'Function' AND callee = 'std::thread::sleep'"),
+        ("ConfigRead", "call_kind = 'Function' AND callee = 'std::env::var'"), ("Logging", "call_kind = 'Meta' AND callee = 'println'"),
+    ]
+)
+ORACLES["runtime_call_facts"] = f"{ctes('air_call_site')}\n{CALLED}"
+ORACLES["marker_facts"] = f"{ctes('air_hint', 'air_function')}\nSELECT CASE fact_kind WHEN 'hot_path' THEN 'HotPath' WHEN 'boundary_entry' THEN 'BoundaryEntry' ELSE 'Logging' END AS kind, target_symbol AS symbol, item_ix FROM {TARGET.format('air_function')} x WHERE category = 'marker' AND target_symbol IS NOT NULL"
+ORACLES["source_module_paths"] = f"{ctes('air_file')}\nSELECT path, package || '::' || replace(regexp_replace(regexp_extract(path, 'src/(.*)\\.rs$', 1), '/mod$', ''), '/', '::') AS module FROM air_file"
+
+PIPELINE = ["CX001", "CX008", "DG003", "OT004", "FL002", "MO001", "BO001", "RW001", "DC002", "UT003"]
+
+
+def _union(cols: str = "*") -> str:
+    """The pipeline's rules as one row set: each rule's own statement as a subquery."""
+    return "(" + " UNION ALL ".join(f"SELECT {cols} FROM ({ORACLES['rule_' + r.lower()]}) AS r_{r.lower()}" for r in PIPELINE) + ") AS u"
+
+
+ALL = _union()
+ranks = " ".join(f"WHEN {q(r)} THEN {list(RULES).index(r)}" for r in PIPELINE)
+ORACLES["observed_findings"] = f"""SELECT rule_id, severity, n, CAST(before + lo AS BIGINT) AS first_id, CAST(before + hi AS BIGINT) AS last_id FROM (
+  SELECT rule_id, severity, count(*) AS n, 1 AS lo, count(*) AS hi FROM {ALL} WHERE rule_id <> 'DC002' GROUP BY rule_id, severity) g
+JOIN (SELECT rule_id AS rb, sum(n) OVER (ORDER BY ix) - n AS before FROM (SELECT rule_id, count(*) AS n, min(CASE rule_id {ranks} END) AS ix FROM {ALL} GROUP BY rule_id)) b ON rb = rule_id"""
+STRICT = "CASE WHEN severity = 'Warning' AND rule_id NOT IN ('CX001', 'CX002') THEN 'Fatal' ELSE severity END"
+ORACLES["strict_severities"] = f"SELECT rule_id, {STRICT} AS severity, count(*) AS n FROM {ALL} GROUP BY rule_id, {STRICT}"
+ORACLES["decisions"] = f"SELECT CASE WHEN severity = 'Advisory' THEN 'Advisory' ELSE 'Active' END AS status, severity, count(*) AS n FROM {ALL} GROUP BY severity"
+ORACLES["undecided_findings"] = "SELECT CAST(0 AS BIGINT) AS finding_id, CAST(0 AS BIGINT) AS n WHERE false"
+MATCH = "(pat = '*' OR lower(pat) = lower(rule_id) OR (length(pat) = 2 AND prefix(rule_id, pat)))"
+ORACLES["suppressed_diagnostics"] = f"""{ctes('air_hint', 'policy_exception')}, d AS (SELECT *, row_number() OVER () AS id FROM {ALL}),
+cand AS (
+  SELECT id, rule_id, path, line_start, expires, row(0, pkg_ix, file_ix, item_ix) AS seq FROM d JOIN (SELECT path AS hp, rule AS pat, expires, target_start, target_end, pkg_ix, file_ix, item_ix FROM air_hint WHERE category = 'allow') h
+    ON hp = path AND {MATCH} AND line_start <= target_end AND target_start <= line_end
+  UNION ALL SELECT id, rule_id, path, line_start, expires, row(1, ix, 0, 0) FROM d JOIN (SELECT rule AS pat, expires, ix, regexp_replace(target, ':[0-9]+$', '') AS tf, nullif(regexp_extract(target, ':([0-9]+)$', 1), '') AS tl FROM policy_exception) e
+    ON tf = path AND {MATCH} AND (tl IS NULL OR CAST(tl AS INT) BETWEEN line_start AND line_end)
+), live AS (SELECT id, min(seq) AS stop FROM cand WHERE expires IS NULL OR expires >= '1998-06-01' GROUP BY id)
+SELECT rule_id, severity, path, line_start, line_end, subject, detail FROM d WHERE id NOT IN (SELECT id FROM live)
+UNION ALL SELECT DISTINCT 'GOV001', 'Warning', path, line_start, line_start, rule_id, expires FROM cand LEFT JOIN live USING (id) WHERE expires < '1998-06-01' AND (stop IS NULL OR seq < stop)"""
+ORACLES["changed_diagnostics"] = f"{ctes('air_file')}\nSELECT rule_id, severity, path, line_start, line_end, subject, detail FROM {ALL} WHERE path IN (SELECT a.path FROM air_file a JOIN air_file b ON suffix(a.path, '/' || regexp_replace(b.path, '^p[0-9]+/', '')) WHERE b.file_ix % 3 = 0)"
+ORACLES["exit_status"] = f"SELECT count(*) AS fatal, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS status FROM {ALL} WHERE severity = 'Fatal'"
+ORACLES["vacancy_rows"] = "SELECT 'GOV002' AS rule_id, 'Advisory' AS severity, f AS subject FROM (VALUES ('BO'), ('CR'), ('DA'), ('DG'), ('ER'), ('FL'), ('FO'), ('PA'), ('RM'), ('RW'), ('UT')) AS v(f)"
+ORACLES["unregistered_codes"] = f"SELECT rule_id AS subject, count(*) AS n FROM {ALL} WHERE rule_id IN ('UT003', 'MO001') GROUP BY rule_id"
+ORACLES["registry_drift"] = "SELECT * FROM (VALUES ('ZZ001', 'not registered'), ('FL002', 'not declared')) AS v(name, what)"
+ORACLES["policy_drift"] = """SELECT * FROM (VALUES ('PG001', 'Fatal', 'CX', 'fn_lines', '50 -> 70'), ('PG001', 'Fatal', 'MO', 'max_public_types', '5 -> 9'), ('PG001', 'Fatal', 'CX', '*::a::*', '80 -> 90'),
+  ('PG002', 'Fatal', 'CX', '*::b::*', '60'), ('PG006', 'Fatal', 'CX', '*::b::*', 'reason,expires,owner'), ('PG002', 'Fatal', 'CX', '*::c::*', '60'), ('PG003', 'Fatal', 'CX', '*::gen::*', NULL),
+  ('PG007', 'Fatal', 'CX', '*::gen::*', 'reason,expires,owner'), ('PG003', 'Fatal', 'CX', '*::d::*', NULL), ('PG003', 'Fatal', 'DC', 'p3::*', NULL), ('PG004', 'Fatal', 'CF', 'CF', NULL),
+  ('PG009', 'Fatal', 'CF', 'CF', 'reason,expires,owner'), ('PG004', 'Fatal', 'TA', 'TA', NULL), ('PG008', 'Fatal', 'OT', '*::y::*', NULL)) AS v(code, severity, family, subject, detail)"""
+STATUS = "CASE WHEN expires IS NULL THEN 'permanent' WHEN expires < '1998-06-01' THEN 'expired' WHEN expires <= '1998-12-31' THEN 'expiring' ELSE 'live' END"
+DEBT = f"(SELECT *, {STATUS} AS status FROM (SELECT 'hint' AS origin, rule, path || ':' || target_start AS target, expires FROM air_hint WHERE category = 'allow' UNION ALL SELECT 'exception', rule, target, expires FROM policy_exception)) AS debt"
+ORACLES["debt_inventory"] = f"{ctes('air_hint', 'policy_exception')}\nSELECT * FROM {DEBT}"
+ORACLES["debt_by_rule"] = f"{ctes('air_hint', 'policy_exception')}\nSELECT rule, count(*) AS total, {', '.join(f'count(*) FILTER (WHERE status = {q(s)}) AS {s}' for s in ('expired', 'expiring', 'live', 'permanent'))} FROM {DEBT} GROUP BY rule"
+ORACLES["pruned_exceptions"] = f"{ctes('policy_exception')}\nSELECT rule, target, expires FROM policy_exception WHERE expires >= '1998-06-01'"
+ORACLES["largest_files"] = f"{ctes('air_file')}\nSELECT path, line_count FROM air_file ORDER BY line_count DESC, path LIMIT 5"
+ORACLES["largest_clusters"] = f"{ctes(*CLUSTER_TABLES)}{CONF}\nSELECT stem, count(*) AS members, count(DISTINCT name) AS names, round(max(confidence), 4) AS confidence FROM member JOIN graded USING (stem) GROUP BY stem ORDER BY members DESC, stem LIMIT 5"
+ORACLES["internal_edges"] = f"{ctes('air_import', 'air_file')}{EDGES}\nSELECT src, dst FROM e WHERE src IN (SELECT package FROM air_file) AND dst IN (SELECT package FROM air_file)"
+ORACLES["rule_pressure"] = f"SELECT left(rule_id, 2) AS family, rule_id, count(*) AS n FROM {ALL} GROUP BY rule_id"
+OPEN = f", open AS (SELECT *, {KEBAB} AS cid FROM member WHERE {KEBAB} NOT IN (SELECT lower(regexp_replace(concept, '(.)([A-Z])', '\\1-\\2', 'g')) FROM policy_concept))"
+ORACLES["suggested_concepts"] = f"""{ctes(*CLUSTER_TABLES)}{CONF}{OPEN}{SCORED.format(members='open')}
+SELECT cid AS concept, coalesce(h, el.symbol) AS canonical, n AS members, CASE WHEN s >= 0.95 THEN 'High' WHEN s >= 0.7 THEN 'Medium' ELSE 'Low' END AS tier FROM (
+  SELECT o.stem, cid, count(*) AS n, (SELECT symbol FROM open p WHERE p.stem = o.stem AND role = 'Canonical' ORDER BY pkg_ix, file_ix, item_ix LIMIT 1) AS h, max(confidence) - CASE WHEN bool_or(role = 'Canonical') THEN 0 ELSE 0.1 END AS s
+  FROM open o JOIN graded USING (stem) GROUP BY o.stem, cid) g LEFT JOIN elected el ON el.stem = g.stem WHERE h IS NOT NULL OR el.symbol IS NOT NULL"""
+ORACLES["suggested_api"] = f"{ctes('air_import')}\nSELECT {to} AS \"to\", count(*) AS reaches FROM air_import WHERE {to} = 'two' AND {of} <> {to} GROUP BY {to} HAVING count(*) >= 3"
+ORACLES["suggested_thresholds"] = f"""{ctes('air_function', 'air_type', 'air_truth_action')}
+SELECT * FROM (
+  SELECT 'CX' AS family, CAST(quantile_disc(line_count, 0.95) AS BIGINT) AS value, CAST(50 AS BIGINT) AS "default" FROM air_function
+  UNION ALL SELECT 'MO', quantile_disc(n, 0.95), 5 FROM (SELECT count(*) AS n FROM air_type WHERE visibility = 'Public' GROUP BY path)
+  UNION ALL SELECT 'CR', quantile_disc(n, 0.95), 12 FROM (SELECT count(*) AS n FROM air_truth_action WHERE action = 'Construct' GROUP BY function)
+  UNION ALL SELECT 'RM', quantile_disc(n, 0.95), 3 FROM (SELECT count(DISTINCT action) AS n FROM air_truth_action GROUP BY function)
+) WHERE value > "default" * CASE WHEN family = 'RM' THEN 1.0 ELSE 1.5 END"""
+ORACLES["suggested_layers"] = f"{ctes('air_file')}\nSELECT CASE layer WHEN 'composition' THEN 'CR' WHEN 'config' THEN 'CF' WHEN 'tests' THEN 'TA' WHEN 'utilities' THEN 'UT' ELSE 'BO' END AS family, "glob" FROM {LAYER_ROWS} x WHERE layer IN ('composition', 'config', 'tests', 'utilities', 'domain')"
+ORACLES["merged_suggestions"] = f"""{ctes('air_file')}
+SELECT arg_min("glob", layer || ' ' || "glob") AS headline, array_to_string(list_distinct_sorted, ',') AS families, array_to_string(list_transform(list_distinct_sorted, lambda l: 'a ' || l || ' layer'), ',') AS why, commands
+FROM (SELECT *, 'add ' || split_part("glob", '::', 1) || '::' || split_part("glob", '::', 2) AS commands FROM {LAYER_ROWS} x)
+JOIN (SELECT 'add ' || split_part("glob", '::', 1) || '::' || split_part("glob", '::', 2) AS c, list_sort(list(DISTINCT layer)) AS list_distinct_sorted FROM {LAYER_ROWS} y GROUP BY 1) ON c = commands GROUP BY commands, list_distinct_sorted"""
+R = ORACLES["rule_dg003"]
+ORACLES["report_text"] = f"SELECT 'FATAL    ' || rule_id || ' ' || path || ':' || line_start || ' ' || subject || ' (' || detail || ')' AS line FROM ({R}) AS r"
+ORACLES["report_json"] = f"""SELECT '{{"rule_id":"DG003","severity":"Fatal","span":{{"file":"' || path || '","line_start":' || line_start || ',"line_end":' || line_end || '}},"subject":"' || subject || '","detail":"' || detail || '"}}' AS json FROM ({R}) AS r"""
+ORACLES["report_totals"] = f"SELECT severity, count(*) AS n FROM {ALL} GROUP BY severity"
+ORACLES["report_sarif_rules"] = f"SELECT rule_id, arg_min(subject, row(path, line_start, subject)) AS sample FROM {ALL} GROUP BY rule_id"
+ORACLES["report_sarif_results"] = f"SELECT rule_id, 'warning' AS level, path AS uri, greatest(line_start, 1) AS start_line, greatest(line_end, line_start, 1) AS end_line, subject FROM ({ORACLES['rule_cx008']}) AS r"
+ITEMS = "(SELECT path, item_ix, symbol, line_start, line_end FROM air_type UNION ALL SELECT path, item_ix, symbol, line_start, line_end FROM air_function)"
+for kind in ("canonical", "boundary", "converter"):
+    more = " UNION SELECT symbol, path, CAST(line_start AS INT) FROM air_conversion" if kind == "converter" else ""
+    ORACLES[f"query_{kind}"] = f"{ctes('air_hint', 'air_type', 'air_function', 'air_conversion')}\nSELECT DISTINCT coalesce(target_symbol, module_path, path) AS symbol, path, CAST(target_start AS INT) AS line FROM {TARGET.format(ITEMS)} x WHERE category = {q(kind)}{more}"
+for kind in ("SpawnedWork", "BoundaryEntry", "HotPath", "PersistenceWrite", "ExternalIo"):
+    ORACLES[f"query_{kind.lower()}"] = f"{ctes('air_fact', 'air_function')}\nSELECT a.symbol, coalesce(f.path, '') AS path, CAST(coalesce(f.line_start, 1) AS INT) AS line FROM air_fact a LEFT JOIN {FN} f ON f.fs = a.symbol WHERE kind = {q(kind)}"

@@ -18,6 +18,8 @@ from girder.functions.text import containing_module, is_primitive, jaccard, ment
 from girder.operators.concepts import clusters, distinct_conversions
 from girder.operators.graph import strong_components
 
+from girder.scratch import materialize
+
 from .policy import Policy
 
 FINDING = ["rule_id", "severity", "path", "line_start", "line_end", "subject", "detail", "pkg_ix", "file_ix", "item_ix"]
@@ -38,7 +40,8 @@ class Facts:
 
     def clusters(self) -> DataFrame:
         if "clusters" not in self.kept:
-            self.kept["clusters"] = clusters(self["air_type"], self["air_field"], self["air_variant"], self["air_hint"], self["policy_concept"], self["air_conversion"])
+            found = clusters(self["air_type"], self["air_field"], self["air_variant"], self["air_hint"], self["policy_concept"], self["air_conversion"])
+            self.kept["clusters"] = materialize(found, "clusters")  # read several times by each question
         return self.kept["clusters"]
 
 
