@@ -1,9 +1,7 @@
-"""Shared pieces of the corpus operators: scratch tables, hashing, connected components."""
+"""Shared pieces of the corpus operators: samples, maps over texts, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,29 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-#: Bytes of a table that may be broadcast after its size was measured.
-BROADCAST_BYTES = 48 << 20
+from girder.scratch import materialize
 
+__all__ = ["BROADCAST_BYTES", "bounded_sample", "connected_components", "drop_spent_shuffles", "held_out", "map_texts", "materialize", "read_documents"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="girder-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/girder-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+#: Bytes of a table that may be broadcast after its size was measured.
+BROADCAST_BYTES = 48 << 20
 
 
 def drop_spent_shuffles(spark: SparkSession) -> None:
