@@ -362,14 +362,14 @@ add("UT005", "function", "action || ':' || target", "air_truth_action", "air_tru
 # --- operators ------------------------------------------------------------
 
 ROUND = "round(CAST({} AS DOUBLE), 4)"
-CONF = CLUSTERS + f""", linked AS (
-  SELECT DISTINCT a.stem FROM air_conversion c JOIN member a ON c.from_type IN (a.symbol, a.name) JOIN member b ON c.to_type IN (b.symbol, b.name) AND a.stem = b.stem
+CONF = CLUSTERS + f""", ends AS (SELECT stem, symbol AS e FROM member UNION SELECT stem, name FROM member), linked AS (
+  SELECT DISTINCT a.stem FROM air_conversion c JOIN ends a ON c.from_type = a.e JOIN ends b ON c.to_type = b.e AND a.stem = b.stem
 ), graded AS (
   SELECT stem, least(1.0, 0.4 + CASE WHEN bool_or(role = 'Canonical') THEN 0.4 * coalesce(avg(CAST(overlap AS FLOAT)) FILTER (WHERE role <> 'Canonical'), 0) ELSE 0.3 * avg(CAST(overlap AS FLOAT)) END
     + CASE WHEN stem IN (SELECT stem FROM linked) THEN 0.2 ELSE 0 END) AS confidence FROM member GROUP BY stem
 )"""
 KEBAB = "lower(regexp_replace(stem, '(.)([A-Z])', '\\1-\\2', 'g'))"
-ORACLES["concept_clusters"] = f"{ctes(*CLUSTER_TABLES)}{CONF}\nSELECT {KEBAB} AS concept, stem, symbol, role, reference, {ROUND.format('CAST(overlap AS FLOAT)')} AS overlap, round(confidence, 4) AS confidence FROM member JOIN graded USING (stem)"
+ORACLES["concept_clusters"] = f"{ctes(*CLUSTER_TABLES)}{CONF}\nSELECT {KEBAB} AS concept, stem, symbol, role, reference, {ROUND.format('CAST(overlap AS FLOAT)')} AS overlap, round(confidence, 4) AS confidence FROM member m JOIN (SELECT stem AS gs, max(confidence) AS confidence FROM graded GROUP BY stem) g ON g.gs = m.stem"
 SEGS = "list_sum(list_transform(string_split(symbol, '::'), lambda s: CASE WHEN s IN ('domain', 'core', 'model', 'models') THEN 3 WHEN s IN ('api', 'dto', 'dtos', 'transport') THEN -2 ELSE 0 END))"
 SCORED = f""", scored AS (
   SELECT m.*, CASE WHEN lower(name) = lower(stem) THEN 3 ELSE 0 END - CASE WHEN {SUFFIX} IS NOT NULL THEN 3 ELSE 0 END + {SEGS}
@@ -468,7 +468,7 @@ SELECT * FROM (
   UNION ALL SELECT 'CR', quantile_disc(n, 0.95), 12 FROM (SELECT count(*) AS n FROM air_truth_action WHERE action = 'Construct' GROUP BY function)
   UNION ALL SELECT 'RM', quantile_disc(n, 0.95), 3 FROM (SELECT count(DISTINCT action) AS n FROM air_truth_action GROUP BY function)
 ) WHERE value > "default" * CASE WHEN family = 'RM' THEN 1.0 ELSE 1.5 END"""
-ORACLES["suggested_layers"] = f"{ctes('air_file')}\nSELECT CASE layer WHEN 'composition' THEN 'CR' WHEN 'config' THEN 'CF' WHEN 'tests' THEN 'TA' WHEN 'utilities' THEN 'UT' ELSE 'BO' END AS family, "glob" FROM {LAYER_ROWS} x WHERE layer IN ('composition', 'config', 'tests', 'utilities', 'domain')"
+ORACLES["suggested_layers"] = f"{ctes('air_file')}\nSELECT CASE layer WHEN 'composition' THEN 'CR' WHEN 'config' THEN 'CF' WHEN 'tests' THEN 'TA' WHEN 'utilities' THEN 'UT' ELSE 'BO' END AS family, \"glob\" FROM {LAYER_ROWS} x WHERE layer IN ('composition', 'config', 'tests', 'utilities', 'domain')"
 ORACLES["merged_suggestions"] = f"""{ctes('air_file')}
 SELECT arg_min("glob", layer || ' ' || "glob") AS headline, array_to_string(list_distinct_sorted, ',') AS families, array_to_string(list_transform(list_distinct_sorted, lambda l: 'a ' || l || ' layer'), ',') AS why, commands
 FROM (SELECT *, 'add ' || split_part("glob", '::', 1) || '::' || split_part("glob", '::', 2) AS commands FROM {LAYER_ROWS} x)
