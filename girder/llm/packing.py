@@ -111,14 +111,26 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal windows of at most ``capacity``; one more window whenever the fullest exceeds it."""
-    k = max(1, -(-sum(sizes) // capacity))
-    while True:
+    """Near-equal windows of at most ``capacity``; more windows whenever the fullest exceeds it, by bisection once enough are found."""
+
+    def tried(k: int) -> tuple[list[list[int]], int]:
         parts = difference(sizes, k)
-        worst = max((sum(sizes[i] for i in p) for p in parts), default=0)
+        return parts, max((sum(sizes[i] for i in p) for p in parts), default=0)
+
+    low = max(1, -(-sum(sizes) // capacity)) - 1  # too few
+    k = low + 1
+    parts, worst = tried(k)
+    while worst > capacity:
+        low, k = k, k + max(1, (worst - capacity) * k // capacity // 4)
+        parts, worst = tried(k)
+    while k - low > 1:
+        mid = (low + k) // 2
+        fewer, worst = tried(mid)
         if worst <= capacity:
-            return [p for p in parts if p]
-        k += max(1, (worst - capacity) * k // capacity // 4)
+            parts, k = fewer, mid
+        else:
+            low = mid
+    return [p for p in parts if p]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_windows: int = 192, trim: int = 24) -> DataFrame:
