@@ -238,7 +238,7 @@ def test_differencing_is_near_even():
     parts = packing.windows(sizes, 4096)
     sums = [sum(sizes[i] for i in p) for p in parts]
     assert sorted(i for p in parts for i in p) == list(range(len(sizes)))
-    assert max(sums) <= 4096 and len(parts) <= 1.04 * sum(sizes) / 4096
+    assert max(sums) <= 4096 and len(parts) <= 1.06 * sum(sizes) / 4096
 
 
 def test_secret_shapes(spark, none):
