@@ -46,6 +46,12 @@ class Trie:
             for ch in term.rstrip("*"):
                 node = node.setdefault(ch, {})
             node["stem" if term.endswith("*") else "word"] = (term, weight)
+        self.whole: dict = {}
+        for term in whole:
+            node = self.whole
+            for ch in term:
+                node = node.setdefault(ch, {})
+            node[""] = (term, entries[term])
 
     def exact(self, word: str) -> tuple[str, float] | None:
         """The word itself, else its longest stem."""
@@ -61,22 +67,38 @@ class Trie:
         return any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.ends for n in self.end_sizes)
 
     def near(self, word: str, most: int = 1) -> tuple[str, float] | None:
-        """The heaviest whole-word entry within ``most`` edits. States: (trie node, row of edit distances); a row with no cell in reach is dead."""
-        best = None
-        todo = [(self.root, list(range(len(word) + 1)))]
+        """The heaviest whole-word entry of five letters or more within ``most`` edits.
+
+        States of the Levenshtein automaton are (letters read, edits spent); each runs with the trie node it has reached.
+        With its edits spent, a state has one way on: the letters themselves.
+        """
+        best, n = None, len(word)
+        todo = [(self.whole, 0, 0)]
         while todo:
-            node, row = todo.pop()
-            hit = node.get("word")
-            if hit and row[-1] <= most and (best is None or hit[1] > best[1]):
-                best = hit
+            node, i, spent = todo.pop()
+            if spent == most:
+                while i < n and node:
+                    node, i = node.get(word[i]), i + 1
+                hit = node.get("") if node else None
+                if hit and (best is None or hit[1] > best[1]):
+                    best = hit
+                continue
+            if n - i <= most - spent and "" in node and (best is None or node[""][1] > best[1]):
+                best = node[""]
+            ahead = word[i : i + 1]
+            if ahead:
+                todo.append((node, i + 1, spent + 1))
+                if ahead in node:
+                    todo.append((node[ahead], i + 1, spent))
+            last = spent + 1 == most
             for ch, child in node.items():
-                if len(ch) != 1:
+                if not ch:
                     continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != ch)))
-                if min(new) <= most:
-                    todo.append((child, new))
+                # with the last edit spent here, the next letter must be among the child's
+                if not last or (ahead or "") in child:
+                    todo.append((child, i, spent + 1))
+                if ahead and ch != ahead and (not last or word[i + 1 : i + 2] in child):
+                    todo.append((child, i + 1, spent + 1))
         return best
 
 
@@ -95,7 +117,7 @@ class ToxicityModel:
             return (*hit, False)
         if len(word) >= 4 and self.trie.may_be_near(word):
             hit = self.trie.near(word)
-            if hit and len(hit[0]) >= 5:
+            if hit:
                 return (*hit, True)
         return None
 

@@ -278,6 +278,29 @@ def test_levenshtein_trie():
         assert (near and near[0]) == hit and (hit is None or t.may_be_near(w))
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_levenshtein_automaton_against_edit_distance(most):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(most)
+    entries = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 8))): rng.random() for _ in range(40)} | {"ab*": 0.5, "abca*": 0.7}
+    t = toxicity.Trie(entries)
+    whole = {k: v for k, v in entries.items() if len(k) >= 5 and not k.endswith("*")}
+    for _ in range(500):
+        word = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 9)))
+        want = max((v for k, v in whole.items() if distance(k, word) <= most), default=None)
+        got = t.near(word, most)
+        assert (got and got[1]) == want
+        assert most > 1 or want is None or t.may_be_near(word)
+
+
 def test_toxicity(spark, none):
     r = random.Random(5)
     plain = ["river", "stone", "window", "garden", "letter", "morning", "paper", "music", "yellow", "market"]
