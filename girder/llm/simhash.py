@@ -156,7 +156,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int
 
 
 def one_of_each(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that of the smallest doc_id (once if its row is repeated); same columns."""
-    kept = near_duplicates(docs, words, seed, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each near-duplicate group; same columns.
+
+    The row stays that has the group's smallest non-null doc_id, and of several
+    with it the one of the smallest text hash. Rows are told apart by a number
+    written beside them, not by doc_id, which may be null or repeated.
+    """
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64))
+
+    marks = {"_fp": fp(F.col("text").cast("string")), "_row": F.monotonically_increasing_id(), "_hash": F.xxhash64("text")}
+    held = materialize(docs.withColumns(marks), "marked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row"))
+    classes = materialize(held.groupBy(F.col("_fp").alias("fp")).agg(first.alias("first")), "classes")
+    roots = connected_components(ball_links(classes, radius))
+    placed = classes.join(roots, F.col("fp") == F.col("v"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first._row")
+    return held.join(kept, "_row", "left_semi").select(*docs.columns)

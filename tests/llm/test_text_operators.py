@@ -103,6 +103,16 @@ def test_simhash_edges(spark, none):
     assert simhash.one_of_each(df).count() == 2
 
 
+def test_simhash_keeps_a_row_of_every_group(spark):
+    """Null and shared doc_ids lose no group, and what stays is of the group's smallest doc_id."""
+    df = spark.createDataFrame([(None, ""), (5, None), (9, " "), (9, " "), (None, "only")], "doc_id long, text string")
+    assert Counter((r[0], r[1]) for r in simhash.one_of_each(df).collect()) == Counter([(5, None), (None, "only")])
+    a, b, c, d = ("red barn by the lake", "seven maps of the coast", "a clock without any hands", "rain on an old tin roof")
+    df = spark.createDataFrame([(None, a), (None, b), (None, b), (7, c), (7, d), (7, c), (8, a), (6, d)], "doc_id long, text string")
+    for n in (1, 5):
+        assert Counter((r[0], r[1]) for r in simhash.one_of_each(df.repartition(n)).collect()) == Counter([(8, a), (None, b), (7, c), (6, d)])
+
+
 def test_suffix_dedup(docs, rows):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup_suffixes(docs).collect()}
     assert got == brute.suffix_removal([(r[0], r[1]) for r in rows])
