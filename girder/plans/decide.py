@@ -64,24 +64,32 @@ def expired(expires: Column, today: str) -> Column:
     return F.coalesce(expires < today, F.lit(False))
 
 
+def _in_file(diagnostics: DataFrame, marks: DataFrame, file: str) -> DataFrame:
+    """Diagnostics with the marks of their file. The distinct paths meet first, by base name, so that rows meet by whole paths alone."""
+    a = diagnostics.select("path").distinct().withColumn("base", base_name(F.col("path")))
+    b = marks.select(file).distinct().withColumn("base", base_name(F.col(file)))
+    same = a.join(b, "base").where(same_file(F.col("path"), F.col(file))).drop("base")
+    return diagnostics.join(same, "path").join(marks, file)
+
+
 def allowances(diagnostics: DataFrame, hints: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:
     """Every hint or exception that applies to a diagnostic, in scan order: (finding_id, seq, live, expires, rule_id, path, line_start)."""
-    d = diagnostics.select("finding_id", "rule_id", "path", "line_start", "line_end").withColumn("base", base_name(F.col("path")))
+    d = diagnostics.select("finding_id", "rule_id", "path", "line_start", "line_end")
     h = hints.where("category = 'allow' and target_start is not null").select(
         F.col("path").alias("hp"), F.col("rule").alias("pattern"), "expires", "target_start", "target_end", F.struct(F.lit(0).alias("k"), F.col("pkg_ix").alias("a"), F.col("file_ix").alias("b"), F.col("item_ix").alias("c")).alias("seq")
-    ).withColumn("base", base_name(F.col("hp")))
-    by_hint = d.join(h, "base").where(same_file(F.col("path"), F.col("hp")) & (F.col("line_start") <= F.col("target_end")) & (F.col("target_start") <= F.col("line_end")))
+    )
+    by_hint = _in_file(d, h, "hp").where((F.col("line_start") <= F.col("target_end")) & (F.col("target_start") <= F.col("line_end")))
     target = F.regexp_extract("target", r"^(.*):(\d+)$", 1)
     e = exceptions.select(
         F.col("rule").alias("pattern"), "expires", F.when(target != "", target).otherwise(F.col("target")).alias("file"),
         F.expr(r"try_cast(nullif(regexp_extract(target, '^(.*):(\\d+)$', 2), '') as int)").alias("at"),
         F.struct(F.lit(1).alias("k"), F.col("ix").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("c")).alias("seq"),
-    ).withColumn("base", base_name(F.col("file")))
-    fits = same_file(F.col("path"), F.col("file")) & (F.col("at").isNull() | F.col("at").between(F.col("line_start"), F.col("line_end")))
+    )
+    fits = F.col("at").isNull() | F.col("at").between(F.col("line_start"), F.col("line_end"))
     cols = ["finding_id", "seq", "pattern", "expires", "rule_id", "path", "line_start"]
-    # a target of "*" fits any file; the rest meet by base name
-    by_file = d.join(e.where("file <> '*'"), "base").where(fits)
-    by_any = d.drop("base").join(F.broadcast(e.where("file = '*'").drop("base")), F.lit(True))
+    # a target of "*" fits any file
+    by_file = _in_file(d, e.where("file <> '*'"), "file").where(fits)
+    by_any = d.join(F.broadcast(e.where("file = '*'")), F.lit(True))
     both = by_hint.select(*cols).unionByName(by_file.select(*cols)).unionByName(by_any.select(*cols))
     return both.where(rule_matches(F.col("pattern"), F.col("rule_id"))).withColumn("live", ~expired(F.col("expires"), today))
 

@@ -192,7 +192,7 @@ SELECT DISTINCT p.word AS concept, c.symbol, c.from_type, c.to_type FROM {air_co
 PROJECTION["policy_exception"] = f"""
 SELECT {_pick('o.o_orderkey', ['CX001', 'FL', 'DG003', '*', 'RW001'])} AS rule, f.path || CASE WHEN o.o_orderkey % 2 = 0 THEN ':' || CAST(f.line_start AS STRING) ELSE '' END AS target,
        'accepted' AS reason, {_pick('o.o_orderkey', ['1998-06-01', '1998-05-31', '1999-01-01'])} AS expires, o.o_orderkey AS ix
-FROM {{orders}} AS o JOIN {{air_function}} AS f ON f.item_ix = o.o_orderkey * 8 WHERE o.o_orderkey % 10 = 0 AND o.o_orderkey < 2000
+FROM {{orders}} AS o JOIN {{air_function}} AS f ON f.item_ix = o.o_orderkey * 8
 """
 
 
