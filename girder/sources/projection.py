@@ -117,8 +117,9 @@ JOIN (SELECT 0 AS n, 'Heuristic' AS layer UNION ALL SELECT 1 AS n, 'SemanticReso
 # each line of an order is a place in the body of its part's function
 PROJECTION["air_site"] = """
 SELECT f.pkg_ix, f.file_ix, 100000000 + l.l_orderkey * 8 + l.l_linenumber AS item_ix, f.path, f.module_path, f.symbol AS function,
-       f.line_start + l.l_linenumber AS line_start, f.line_start + l.l_linenumber AS line_end, l.l_orderkey + l.l_linenumber AS k, l.l_linenumber AS n
-FROM {lineitem} AS l JOIN {air_function} AS f ON f.item_ix = l.l_partkey * 8 WHERE l.l_partkey % 4 <> 1 OR l.l_orderkey % 16 = 3
+       f.line_start + l.l_linenumber AS line_start, f.line_start + l.l_linenumber AS line_end, l.l_orderkey + l.l_linenumber AS k, l.l_linenumber AS n,
+       l.l_partkey % 8 = 5 AND l.l_orderkey % 16 <> 3 AS plain
+FROM {lineitem} AS l JOIN {air_function} AS f ON f.item_ix = l.l_partkey * 8
 """
 
 _SITE = "pkg_ix, file_ix, item_ix, path, module_path, function, line_start, line_end"
@@ -126,8 +127,9 @@ _KIND = ["Method", "Method", "Function", "Function", "Meta", "Meta", "Function",
 _CALLEE = ["unwrap", "ok", "std::fs::write", "tokio::spawn", "println", "metrics::counter", "std::thread::sleep", "to_string", "tracing::event", "std::env::var", "todo"]
 
 PROJECTION["air_call_site"] = f"SELECT {_SITE}, {_pick('k', _CALLEE)} AS callee, {_pick('k', _KIND)} AS call_kind FROM {{air_site}} AS s"
+# some functions construct little: their plain sites construct nothing
 PROJECTION["air_truth_action"] = f"""
-SELECT {_SITE}, {_pick('n', ['Other', 'Construct', 'DiscriminatedMatch', 'StringCompare', 'Validate', 'Normalize', 'Construct', 'Construct'])} AS action,
+SELECT {_SITE}, CASE WHEN plain AND n % 8 IN (1, 6, 7) THEN 'Other' ELSE {_pick('n', ['Other', 'Construct', 'DiscriminatedMatch', 'StringCompare', 'Validate', 'Normalize', 'Construct', 'Construct'])} END AS action,
        {_pick('k', ['p1::domain::SmallRing', 'RedWidget', 'OrderService', 'sqlx::Pool', 'p2::infra::PgAdapter', 'BlueBolt', 'HttpClient'])} AS target FROM {{air_site}} AS s
 """
 PROJECTION["air_silent_discard"] = f"""
@@ -163,12 +165,13 @@ JOIN (SELECT DISTINCT file_ix % 9 AS j, layer FROM {air_file}) AS g ON g.j = l.l
 WHERE (a.n_regionkey = b.n_regionkey AND a.n_regionkey < 4) OR a.n_regionkey < b.n_regionkey
 """
 
+# some functions never log: what they do there is read settings
 PROJECTION["air_fact"] = f"""
 SELECT f.pkg_ix, f.file_ix, e.event_id AS item_ix, CASE WHEN e.event_id % 17 = 0 THEN 'Span' ELSE 'Function' END AS scope,
-       CASE e.event_type WHEN 'click' THEN 'SpawnedWork' WHEN 'view' THEN 'Logging' WHEN 'purchase' THEN 'PersistenceWrite' WHEN 'signup' THEN 'BoundaryEntry'
+       CASE e.event_type WHEN 'click' THEN 'SpawnedWork' WHEN 'view' THEN CASE WHEN e.user_id % 8 = 5 THEN 'ConfigRead' ELSE 'Logging' END WHEN 'purchase' THEN 'PersistenceWrite' WHEN 'signup' THEN 'BoundaryEntry'
          ELSE {_pick('e.event_id', ['BlockingCall', 'ExternalIo', 'ConfigRead', 'HotPath'])} END AS kind,
        f.symbol AS symbol, f.path AS fact_path, f.line_start, f.line_end, {_pick('e.event_id', ['println', 'tracing::info', 'dbg'])} AS evidence, 'std-runtime' AS source, CAST(0.9 AS DOUBLE) AS confidence
-FROM {{events}} AS e JOIN {{air_function}} AS f ON f.item_ix = e.user_id * 8 WHERE e.event_type <> 'view' OR e.user_id % 4 <> 1
+FROM {{events}} AS e JOIN {{air_function}} AS f ON f.item_ix = e.user_id * 8
 """
 
 PROJECTION["air_hint"] = f"""

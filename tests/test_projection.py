@@ -22,3 +22,10 @@ def test_every_order_that_meets_a_function_is_an_exception(facts):
     assert sorted(r[0] for r in got.select("ix").collect()) == sorted(r[0] for r in want.collect())
     assert {r[0] for r in got.select("rule").distinct().collect()} == {"CX001", "FL", "DG003", "*", "RW001"}
     assert got.where("target not like '%:%'").count() > 0
+
+
+def test_every_line_is_a_site_and_every_event_a_fact(facts):
+    for table, made, key, of in (("lineitem", "air_call_site", "function", "l_partkey"), ("lineitem", "air_truth_action", "function", "l_partkey"), ("events", "air_fact", "symbol", "user_id")):
+        fn = facts["air_function"].select((F.col("item_ix") / 8).alias("k"), "symbol")
+        want = facts[table].join(fn, F.col(of) == F.col("k")).groupBy("symbol").count()
+        assert dict(want.collect()) == dict(facts[made].groupBy(key).count().collect())
