@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is named, as in tests."""
@@ -21,9 +24,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors cost no recomputation."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors cost no recomputation.
+
+    The shuffle files that the write needed go with it. ``discard`` removes the
+    table once what reads it has been written; tables that a returned DataFrame
+    still reads stay until the folder's owner clears it.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/girder-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    schema, before = df.schema, spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, through the file system that holds them."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
