@@ -10,21 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from girder.scratch import materialize
-
-__all__ = ["BROADCAST_BYTES", "bounded_sample", "connected_components", "drop_spent_shuffles", "held_out", "map_texts", "materialize", "read_documents"]
-
-#: Bytes of a table that may be broadcast after its size was measured.
-BROADCAST_BYTES = 48 << 20
-
-
-def drop_spent_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished jobs now instead of at the driver's next collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+from girder.scratch import discard, materialize
 
+__all__ = ["bounded_sample", "connected_components", "discard", "held_out", "map_texts", "materialize", "read_documents"]
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -98,7 +86,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .where("u <> p")
             .distinct()
         )
-        cur = materialize(small, "cc")
+        last, cur = cur, materialize(small, "cc")
+        discard(last)
         mark = tuple(
             cur.agg(F.count("*"), F.sum(F.xxhash64("u", "p").cast("decimal(38,0)")), F.countDistinct("u")).first()
         )

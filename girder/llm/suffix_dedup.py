@@ -2,14 +2,20 @@
 
 Every string of LEAST bytes holds a sampled position (the smallest of its
 K-gram hashes), the same in all its occurrences. So the suffixes at sampled
-positions, each with the bytes just before it, decide the matter: they are
-sorted in runs, exchanged front-coded by key range and merged by loser trees
-that carry the length of the known common prefix.
+positions whose K-gram another text has too, each with the bytes just before
+it, decide the matter. They are sorted in runs, exchanged front-coded in two
+levels of key ranges and merged by loser trees that carry the length of the
+known common prefix. Suffixes of one K-gram stay together; the few K-grams too
+frequent for one group are first collapsed to their distinct contexts and then
+compared string by string.
+
+There is one plan at every size: what is found is answered by shuffles on
+hashes, no filter is broadcast, and the driver sees only the coarse bounds,
+about the square root of the number of ranges.
 """
 
 from __future__ import annotations
 
-import random
 import zlib
 from collections.abc import Iterator
 
@@ -19,21 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, drop_spent_shuffles, materialize
+from .common import discard, materialize
 
 LEAST = 50
 K = 25
 SPAN = LEAST - K + 1  # K-grams of a string
 KEY = LEAST + K + 2  # right context, reversed left context, their lengths
 #: Bytes of text hashed at a time; suffixes of a run; suffixes of a key range.
-CHUNK, RUN, RANGE = 1 << 18, 300_000, 150_000
-#: Most K-gram hashes that are broadcast as a filter; more are joined by a shuffle.
-FILTER_HASHES = BROADCAST_BYTES // 8
+CHUNK, RUN, RANGE = 1 << 18, 200_000, 150_000
+#: Occurrences of a K-gram above which its suffixes are collapsed to distinct contexts and compared string by string.
+HOT = 10_000
+#: Coarse key ranges at least, so that small inputs spread over tasks too; sampled keys a range.
+COARSE, SAMPLED = 32, 20
 NO_ID = np.iinfo(np.int64).min  # a null doc_id: smaller than any
 FAR = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(2024)
 _GRAM = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_APART = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _rolling(x: np.ndarray) -> np.ndarray:
@@ -97,89 +106,88 @@ def contexts(buf: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarra
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(buffer, document starts, ends, doc ids, text hashes, first byte's place in its text) of about CHUNK bytes.
+    """(buffer, document starts, ends, row numbers, first byte's place in its text, batch columns but the text) of about CHUNK bytes.
 
     A longer text comes in pieces that overlap by a key's reach, so that memory
-    stays bounded whatever a text's length.
+    stays bounded whatever a text's length. Row numbers are those of the batch.
     """
-    held: list[tuple] = []
-    size = 0
+    piece, lap = 8 * CHUNK, 2 * (LEAST + K)
 
-    def lay() -> tuple:
+    def lay(held: list[tuple]) -> tuple:
         sizes = np.array([len(x[0]) for x in held], np.int64)
         ends = np.cumsum(sizes)
         buf = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
-        return (buf, ends - sizes, ends, *(np.array([x[i] for x in held], np.int64) for i in (1, 2, 3)))
+        return buf, ends - sizes, ends, np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
 
-    piece, lap = 8 * CHUNK, 2 * (LEAST + K)
     for batch in batches:
-        for doc_id, text, h in zip(*(batch.column(i) for i in range(3))):
+        held: list[tuple] = []
+        size = 0
+        for row, text in enumerate(batch.column(0)):
             data = text.as_py().encode("utf-8", "surrogatepass")
-            doc_id = NO_ID if not doc_id.is_valid else doc_id.as_py()
             for lo in range(0, max(1, len(data) - lap), piece):
-                held.append((data[lo : lo + piece + lap], doc_id, h.as_py(), lo))
+                held.append((data[lo : lo + piece + lap], row, lo))
                 size += len(held[-1][0])
                 if size >= CHUNK:
-                    yield lay()
+                    yield (*lay(held), batch)
                     held, size = [], 0
-    if held:
-        yield lay()
+        if held:
+            yield (*lay(held), batch)
 
 
-def shared_grams(texts: DataFrame) -> DataFrame:
-    """Hashes of sampled K-grams in two or more documents: (h, n occurrences by document)."""
+def sampled_grams(texts: DataFrame) -> DataFrame:
+    """(t, h, c): hashes of the sampled K-grams of each text and how often each occurs, from ``texts`` (text, t: its hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buf, _, ends, *_ in chunks(batches):
+        for buf, _, ends, rows, _, batch in chunks(batches):
             at = anchors(buf, ends)
             h, doc = gram_hashes(buf, at), np.searchsorted(ends, at, side="right")
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
-            once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(h[once])], ["h"])
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
+            t = batch.column(1).to_numpy()[rows[doc[first]]]
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(h[first]), pa.array(np.diff(np.r_[first, len(h)]).astype(np.int32))], ["t", "h", "c"])
 
-    grams = texts.mapInArrow(run, "h long")
-    return grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return texts.select("text", "t").mapInArrow(run, "t long, h long, c int")
 
 
-def candidates(texts: DataFrame, shared: DataFrame, n_shared: int) -> DataFrame:
-    """Suffixes whose K-gram is shared: (doc_id, text_hash, place, key binary)."""
-    spark = texts.sparkSession
-    small = n_shared <= FILTER_HASHES
-    keep = None
-    if small:
-        keep = spark.sparkContext.broadcast(np.sort(shared.select("h").toArrow()["h"].to_numpy()))
+def shared_grams(texts: DataFrame) -> DataFrame:
+    """(t, grams, hots): each text's sampled K-grams that another text (or row) holds, the rarer and the hot ones apart.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = keep.value if keep else None
-        if known is not None:
-            seen = np.zeros(1 << 24, bool)
-            seen[(known.view(np.uint64) >> np.uint64(40)).astype(np.int64)] = True
-        for buf, firsts, ends, ids, hashes, places in chunks(batches):
-            at = anchors(buf, ends)
-            h = gram_hashes(buf, at)
-            if known is not None and len(h):
-                some = seen[(h.view(np.uint64) >> np.uint64(40)).astype(np.int64)]
-                at, h = at[some], h[some]
-                spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                some = known[spot] == h if len(known) else np.zeros(len(h), bool)
-                at, h = at[some], h[some]
-            doc = np.searchsorted(ends, at, side="right")
-            key = contexts(buf, at, firsts[doc], ends[doc])
-            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY), len(at), [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
-            columns = [pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(at - firsts[doc] + places[doc]), keys]
-            if known is None:
-                columns.append(pa.array(h))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "place", "key", "h"][: len(columns)])
-
-    spec = "doc_id long, text_hash long, place long, key binary"
-    if small:
-        return texts.mapInArrow(run, spec)
-    return texts.mapInArrow(run, spec + ", h long").join(shared.select("h"), "h", "left_semi").drop("h")
-
-
-def _matrix(keys: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, KEY)
+    Counting is a partial aggregation; the answer goes back by a join on the
+    hash, whose hot keys adaptive execution splits, and comes as one row a
+    distinct text, bounded by the text itself.
+    """
+    grams = sampled_grams(texts)
+    shared = grams.groupBy("h").agg(F.count("*").alias("n"), F.sum("c").alias("c")).where("n > 1")
+    shared = materialize(shared.select("h", "c", (F.col("c") > HOT).alias("hot")), "grams")
+    held = grams.select("t", "h").join(shared, "h")
+    pick = lambda which: F.collect_set(F.when(which, F.col("h")))
+    asked = held.groupBy("t").agg(pick(~F.col("hot")).alias("grams"), pick(F.col("hot")).alias("hots"), F.sum(F.when(~F.col("hot"), 1).otherwise(0)).alias("m"))
+    asked = materialize(asked, "asked")
+    discard(shared)
+    return asked
+
+
+def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(hot, doc ids, text hashes, places, keys) of the suffixes at shared K-grams, from rows (text, t, doc_id, grams, hots)."""
+
+    def wanted(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+        lists = column.take(pa.array(rows))
+        of = np.repeat(np.arange(len(rows), dtype=np.uint64), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + of * _APART
+
+    for buf, firsts, ends, rows, places, batch in chunks(batches):
+        at = anchors(buf, ends)
+        doc = np.searchsorted(ends, at, side="right")
+        # a hash meets its own text's list; a chance meeting with another's only adds a suffix to compare
+        mark = gram_hashes(buf, at).view(np.uint64) + doc.astype(np.uint64) * _APART
+        t = batch.column(1).to_numpy()[rows]
+        ids = batch.column(2).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)[rows]
+        for hot in (False, True):
+            use = np.isin(mark, wanted(batch.column(4 if hot else 3), rows))
+            if use.any():
+                p, d = at[use], doc[use]
+                yield hot, ids[d], t[d], p - firsts[d] + places[d], contexts(buf, p, firsts[d], ends[d])
 
 
 def _order(m: np.ndarray) -> np.ndarray:
@@ -197,9 +205,9 @@ def _prefixes(m: np.ndarray) -> np.ndarray:
     return np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), m.shape[1])]
 
 
-def front_code(m: np.ndarray) -> bytes:
-    """Sorted keys as shared prefix lengths and the bytes after them."""
-    lcp = _prefixes(m)
+def front_code(m: np.ndarray, lcp: np.ndarray | None = None) -> bytes:
+    """Sorted keys as shared prefix lengths and the bytes after them; ``lcp`` if the prefixes are known (the first counts as 0)."""
+    lcp = _prefixes(m) if lcp is None else np.r_[0, lcp[1:]]
     tails = m[np.arange(m.shape[1]) >= lcp[:, None]]
     return lcp.astype(np.uint8).tobytes() + tails.tobytes()
 
@@ -314,135 +322,200 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zlib.compress(b"".join(x.tobytes() for x in arrays), 1)
 
 
-def removed_spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans array<array<long>>): bytes of each text that a string of a smaller doc_id covers."""
-    spark = texts.sparkSession
-    shared = materialize(shared_grams(texts), "grams")
-    drop_spent_shuffles(spark)
-    n_shared, total = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_ranges = max(1, round(total / RANGE))
-    # range bounds: quantiles of the keys' first bytes, from the suffixes of about 2000 texts
-    n_texts = texts.count()
-    some = texts.where(F.pmod(F.xxhash64(F.lit(9), "text_hash"), F.lit(max(1, n_texts))) < 2000)
-    words = candidates(some, shared, n_shared).select(F.substring("key", 1, 8).alias("w")).sample(0.2, 5).limit(200_000)
-    sample = np.frombuffer(b"".join(words.toArrow()["w"].to_pylist()), ">u8").astype(np.uint64)
-    sample.sort()
-    bounds = sample[[len(sample) * i // n_ranges for i in range(1, n_ranges)]] if len(sample) else sample
-
-    def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams_of(m: np.ndarray) -> np.ndarray:
+    """The K-grams that keys begin with; ranges are cut between K-grams."""
+    return np.ascontiguousarray(m[:, :K]).view(f"S{K}").ravel()
+
+
+_FRAGMENT = {"n": pa.int64(), "data": pa.binary(), "docs": pa.binary()}
+
+
+def fragments(m: np.ndarray, lcp: np.ndarray, docs: np.ndarray, cuts: np.ndarray) -> list[tuple]:
+    """A sorted run cut at ``cuts``: (range, n, front-coded keys, packed occurrences); ``docs`` has a row each of ids, hashes, places."""
+    to = np.searchsorted(cuts, _grams_of(m), side="right")
+    at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    return [(int(to[lo]), int(hi - lo), zlib.compress(front_code(m[lo:hi], lcp[lo:hi]), 1), _pack(docs[:, lo:hi])) for lo, hi in zip(at, [*at[1:], len(m)])]
+
+
+def merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, prefix lengths, occurrences) in order, of front-coded fragments (n, data, docs), by a loser tree."""
+    keys, trees, docs = [], [], []
+    for n, data, packed in parts:
+        m, lcp = front_decode(zlib.decompress(data), int(n))
+        flat = m.tobytes()
+        keys.append(m)
+        trees.append(([flat[i : i + KEY] for i in range(0, len(flat), KEY)], lcp.tolist()))
+        docs.append(np.frombuffer(zlib.decompress(packed), np.int64).reshape(3, -1))
+    of, at, lcp = (np.array(x, np.int64) for x in loser_tree_merge(trees))
+    sizes = np.array([len(m) for m in keys], np.int64)
+    spot = (np.cumsum(sizes) - sizes)[of] + at
+    return np.concatenate(keys)[spot], lcp, np.concatenate(docs, axis=1)[:, spot]
+
+
+def sorted_runs(rows: DataFrame, coarse: np.ndarray) -> DataFrame:
+    """Suffixes of ``rows`` as sorted front-coded runs cut at the coarse bounds (hot false), and hot suffixes one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            m = np.concatenate([x[3] for x in held])
-            ids, hashes, places = (np.concatenate([x[i] for x in held]) for i in range(3))
-            order = _order(m)
-            m, ids, hashes, places = m[order], ids[order], hashes[order], places[order]
-            new = np.r_[True, (m[1:] != m[:-1]).any(axis=1)]
-            entry = np.cumsum(new) - 1
-            at = np.flatnonzero(new)
-            low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-            m = m[at]
-            to = np.searchsorted(bounds, m[:, :8].copy().view(">u8").ravel().astype(np.uint64), side="right")
-            run = random.getrandbits(62)
-            rows = []
-            for r in np.unique(to):
-                lo, hi = np.searchsorted(to, [r, r + 1])
-                e = entry - lo
-                own = (e >= 0) & (e < hi - lo)
-                suffixes = zlib.compress(front_code(m[lo:hi]), 1)
-                rows.append((0, int(r), run, int(hi - lo), suffixes, _pack(low[lo:hi], high[lo:hi])))
-                rows.append((1, int(r), run, int(own.sum()), _pack(e[own].astype(np.int32), places[own]), _pack(ids[own], hashes[own])))
-            columns = list(zip(*rows))
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "range", "run", "n", "data", "docs"])
+        def batch(hot: bool, rows: int, **columns) -> pa.RecordBatch:
+            kinds = {"c": pa.int32(), **_FRAGMENT, "key": pa.binary(), "doc_id": pa.int64(), "t": pa.int64(), "place": pa.int64()}
+            arrays = [pa.array([hot] * rows), *[pa.array(columns[k], v) if k in columns else pa.nulls(rows, v) for k, v in kinds.items()]]
+            return pa.RecordBatch.from_arrays(arrays, ["hot", *kinds])
 
-        for batch in batches:
-            ids, hashes, places = (batch.column(i).to_numpy() for i in range(3))
-            held.append((ids, hashes, places, _matrix(batch.column(3))))
-            size += batch.num_rows
+        def flush() -> pa.RecordBatch:
+            m, docs = np.concatenate([x[1] for x in held]), np.concatenate([x[0] for x in held], axis=1)
+            order = _order(m)
+            m = m[order]
+            c, n, data, packed = zip(*fragments(m, _prefixes(m), docs[:, order], coarse))
+            return batch(False, len(c), c=c, n=n, data=data, docs=packed)
+
+        for hot, ids, t, places, m in suffixes(batches):
+            if hot:
+                flat = m.tobytes()
+                yield batch(True, len(m), key=[flat[i : i + KEY] for i in range(0, len(flat), KEY)], doc_id=ids, t=t, place=places)
+                continue
+            held.append((np.stack([ids, t, places]), m))
+            size += len(m)
             if size >= RUN:
-                yield from flush()
+                yield flush()
                 held, size = [], 0
         if size:
-            yield from flush()
-
-    runs = candidates(texts, shared, n_shared).mapInArrow(sort_runs, "kind int, range int, run long, n long, data binary, docs binary")
-    runs = materialize(runs, "runs")
-
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, trees = [], []
-        for n, data in zip(pdf["n"], pdf["data"]):
-            m, lcp = front_decode(zlib.decompress(data), int(n))
-            flat = m.tobytes()
-            parts.append(m)
-            trees.append(([flat[i : i + KEY] for i in range(0, len(flat), KEY)], lcp.tolist()))
-        of, at, lcp = (np.array(x, np.int64) for x in loser_tree_merge(trees))
-        sizes = pdf["n"].to_numpy(np.int64)
-        base = np.cumsum(sizes) - sizes
-        spot = base[of] + at
-        m = np.concatenate(parts)[spot]
-        both = [np.frombuffer(zlib.decompress(x), np.int64).reshape(2, -1) for x in pdf["docs"]]
-        low, high = (np.concatenate([x[i] for x in both]) for i in (0, 1))
-        new = lcp < KEY
-        new[:1] = True
-        first = np.flatnonzero(new)
-        docs = np.minimum.reduceat(low[spot], first)
-        table = earliest(m[first], lcp[first], docs)
-        cls = np.empty(len(spot), np.int64)
-        cls[spot] = np.cumsum(new) - 1
-        replies = []
-        for b, n in zip(base, sizes):
-            own = table[cls[b : b + n]]
-            useful = own < high[b : b + n, None]  # only what is earlier than some occurrence here
-            own = np.where(useful, own, FAR)
-            change = np.c_[np.ones(len(own), bool), own[:, 1:] != own[:, :-1]]
-            e, d = np.nonzero(change)
-            to = np.r_[d[1:], 0] - 1
-            to[np.r_[e[1:] != e[:-1], True]] = K
-            doc = own[e, d]
-            keep = doc != FAR
-            replies.append(_pack(e[keep].astype(np.int32), d[keep].astype(np.int32), to[keep].astype(np.int32), doc[keep]))
-        return pd.DataFrame({"range": int(key[0]), "run": pdf["run"], "reply": replies})
-
-    sent = runs.where("kind = 0").drop("kind")
-    replies = sent.groupBy("range").applyInPandas(merge, "range int, run long, reply binary")
-    kept = runs.where("kind = 1").select("range", "run", "n", F.col("data").alias("places"), "docs")
-    answered = kept.join(replies, ["range", "run"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield flush()
+
+    return rows.mapInArrow(run, "hot boolean, c int, n long, data binary, docs binary, key binary, doc_id long, t long, place long")
+
+
+def range_bounds(rows: DataFrame, n_rows: int, n_ranges: int) -> tuple[np.ndarray, DataFrame]:
+    """Coarse bounds, and for each coarse range its fine ones (c, cuts): quantiles of whole K-grams from a sample of texts.
+
+    About SAMPLED keys a range are sampled, as a table; the driver gets what the
+    coarse bounds need, a share that falls with the square root of the ranges.
+    """
+    spark = rows.sparkSession
+    share = min(1.0, max(2000 / max(1, n_rows), SAMPLED / RANGE))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(9), "t", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hot, *_, m in suffixes(batches):
+            if not hot:
+                flat = np.ascontiguousarray(m[:, :K]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([flat[i : i + K] for i in range(0, len(flat), K)], pa.binary())], ["w"])
+
+    sample = materialize(some.mapInArrow(heads, "w binary"), "sample")
+    total = sample.count()
+    n_coarse = min(n_ranges, max(COARSE, int(np.ceil(n_ranges**0.5))))
+    few = sample.where(F.pmod(F.xxhash64(F.lit(3), "w", F.monotonically_increasing_id()), F.lit(max(1, total))) < SAMPLED * n_coarse)
+    keys = np.array(sorted(few.toArrow()["w"].to_pylist()), f"S{K}")
+    coarse = keys[[len(keys) * i // n_coarse for i in range(1, n_coarse)]] if len(keys) else keys
+    step = max(1, total // n_ranges)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, places, docs, reply in zip(*(batch.column(c).to_pylist() for c in ("n", "places", "docs", "reply"))):
-                raw = zlib.decompress(places)
-                e, place = np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.int64, n, 4 * n)
-                ids, hashes = np.frombuffer(zlib.decompress(docs), np.int64).reshape(2, -1)
-                raw = zlib.decompress(reply)
-                s = len(raw) // 20
-                re, lo, hi = np.frombuffer(raw, np.int32, 3 * s).reshape(3, -1)
-                doc = np.frombuffer(raw, np.int64, s, 12 * s)
-                # every occurrence meets its entry's segments: entries are sorted on both sides
-                first, count = np.searchsorted(re, e), np.searchsorted(re, e, side="right") - np.searchsorted(re, e)
-                o = np.repeat(np.arange(n), count)
-                g = np.arange(len(o)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-                hit = doc[g] < ids[o]
-                o, g = o[hit], g[hit]
-                start, end = place[o] - hi[g], place[o] - lo[g] + LEAST
-                order = np.lexsort((start, hashes[o], ids[o]))
-                o, start, end = o[order], start[order], end[order]
-                if not len(o):
+            w = np.array(batch.column(0).to_pylist(), f"S{K}")
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(coarse, w, side="right").astype(np.int32)), batch.column(0)], ["c", "w"])
+
+    fine = sample.mapInArrow(placed, "c int, w binary").groupBy("c").agg(F.sort_array(F.collect_list("w")).alias("ws"))
+    fine = fine.select("c", F.filter("ws", lambda _, i: (i + 1) % step == 0).alias("cuts"))
+    return coarse, materialize(fine, "bounds") if total else spark.createDataFrame([], "c int, cuts array<binary>")
+
+
+def refined(runs: DataFrame, fine: DataFrame) -> DataFrame:
+    """Level two: within a coarse range fragments are merged to runs of about RUN suffixes, which are cut at the fine bounds.
+
+    A partition is read as a stream, a coarse range's bounds first, so memory
+    holds one run; a run of many suffixes meets about the square root of all
+    ranges, so fragments grow in number with the suffixes alone.
+    """
+    none = F.lit(None)
+    stream = runs.select("c", "n", "data", "docs", none.cast("array<binary>").alias("cuts")).unionByName(
+        fine.select("c", F.lit(-1).cast("long").alias("n"), none.cast("binary").alias("data"), none.cast("binary").alias("docs"), "cuts")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cuts, held, size = None, np.zeros(0, f"S{K}"), [], 0
+
+        def flush() -> pa.RecordBatch:
+            f, n, data, packed = zip(*fragments(*merged(held), cuts))
+            arrays = [pa.array([now] * len(f), pa.int32()), pa.array(f, pa.int32()), *[pa.array(x, k) for x, k in zip((n, data, packed), _FRAGMENT.values())]]
+            return pa.RecordBatch.from_arrays(arrays, ["c", "f", *_FRAGMENT])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, n, data, packed, own = (batch.column(k)[i].as_py() for k in range(5))
+                if c != now:
+                    if size:
+                        yield flush()
+                    now, cuts, held, size = c, np.zeros(0, f"S{K}"), [], 0
+                if n < 0:
+                    cuts = np.array(own, f"S{K}")
                     continue
-                fresh = np.r_[True, (ids[o][1:] != ids[o][:-1]) | (hashes[o][1:] != hashes[o][:-1])]
-                # reach so far within the document, by an offset a document that keeps documents apart
-                shift = np.cumsum(fresh) * (int(end.max()) + 1)
-                reach = np.maximum.accumulate(end + shift)
-                cut = np.r_[True, start[1:] + shift[1:] > reach[:-1]]
-                at = np.flatnonzero(cut)
-                stop = np.maximum.reduceat(end, at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[o][at]), pa.array(hashes[o][at]), pa.array(start[at]), pa.array(stop)], ["doc_id", "text_hash", "a", "b"]
-                )
+                held.append((n, data, packed))
+                size += n
+                if size >= RUN:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return stream.repartition("c").sortWithinPartitions("c", "n").mapInArrow(run, "c int, f int, n long, data binary, docs binary")
+
+
+SPANS = "doc_id long, t long, a long, b long"
+
+
+def repeats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spans that a smaller document holds too, of all suffixes of a key range: strings at one anchor overlap, so a span an occurrence."""
+    m, lcp, (ids, t, places) = merged(list(zip(pdf["n"], pdf["data"], pdf["docs"])))
+    new = lcp < KEY
+    new[:1] = True
+    first = np.flatnonzero(new)
+    table = earliest(m[first], lcp[first], np.minimum.reduceat(ids, first))
+    of, out = np.cumsum(new) - 1, []
+    for lo in range(0, len(ids), 50_000):
+        part = slice(lo, lo + 50_000)
+        hit = table[of[part]] < ids[part, None]
+        some = np.flatnonzero(hit.any(axis=1))
+        hit, at = hit[some], places[part][some]
+        low, high = hit.argmax(axis=1), K - hit[:, ::-1].argmax(axis=1)
+        out.append(pd.DataFrame({"doc_id": ids[part][some], "t": t[part][some], "a": at - high, "b": at - low + LEAST}))
+    return pd.concat(out)
 
-    spans = answered.mapInArrow(spread, "doc_id long, text_hash long, a long, b long")
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.array("a", "b")).alias("spans"))
+
+def hot_repeats(hot: DataFrame) -> DataFrame:
+    """The same for suffixes of hot K-grams (key, doc_id, t, place), by aggregation.
+
+    Equal contexts, as inside a passage that a third of all documents hold, are
+    one row after a partial aggregation. What differs, at a passage's ends, is
+    taken apart into its up to K + 1 strings, whose smallest document is an
+    aggregation as well.
+    """
+    byte = lambda i: F.conv(F.hex(F.substring("key", i, 1)), 16, 10).cast("int")
+    entries = hot.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    entries = entries.withColumns({"from": F.greatest(F.lit(0), F.lit(LEAST) - byte(KEY - 1)), "to": byte(KEY)}).where("from <= to")
+    strings = entries.withColumn("d", F.explode(F.sequence("from", "to")))
+    text = F.concat(F.substring(F.col("key"), F.lit(LEAST + 1), F.col("d")), F.substring(F.col("key"), F.lit(1), F.lit(LEAST) - F.col("d")))
+    strings = strings.select("key", "high", "low", "d", text.alias("s"))
+    least = strings.groupBy("d", "s").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
+    answers = strings.join(least, ["d", "s"]).where("first < high").groupBy("key").agg(F.collect_list(F.struct("d", "first")).alias("ds"))
+    hit = hot.join(answers, "key").withColumn("ds", F.transform(F.filter("ds", lambda x: x["first"] < F.col("doc_id")), lambda x: x["d"])).where(F.size("ds") > 0)
+    return hit.select("doc_id", "t", (F.col("place") - F.array_max("ds")).alias("a"), (F.col("place") - F.array_min("ds") + LEAST).alias("b"))
+
+
+def removed_spans(texts: DataFrame) -> DataFrame:
+    """(id, h, spans array<long>): bytes of each text (text, t, doc_id) that a string of a smaller doc_id covers; a span is its start * 128 + length."""
+    asked = shared_grams(texts)
+    n_rows, total = texts.count(), asked.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    rows = texts.join(asked, "t").select("text", "t", "doc_id", "grams", "hots")
+    coarse, fine = range_bounds(rows, n_rows, max(1, round(total / RANGE)))
+    runs = materialize(sorted_runs(rows, coarse), "runs")
+    discard(asked)
+    spans = refined(runs.where("not hot"), fine).groupBy("c", "f").applyInPandas(repeats, SPANS)
+    spans = spans.unionByName(hot_repeats(runs.where("hot").select("key", "doc_id", "t", "place")))
+    pack = F.collect_list(F.col("a") * 128 + (F.col("b") - F.col("a")))
+    spans = materialize(spans.groupBy(F.col("doc_id").alias("id"), F.col("t").alias("h")).agg(pack.alias("spans")), "spans")
+    discard(runs, fine)
+    return spans
 
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
@@ -451,8 +524,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     A byte goes if a LEAST-byte string that covers it also starts in a
     document with a smaller doc_id; matches never cross documents and are
     judged on the input. Exact: sampling picks where to look, byte comparisons
-    decide. A passage in a third of all documents is one entry a run before
-    the exchange, and its occurrences are answered run by run.
+    decide. Text is shuffled twice, to its shared K-grams and to its spans.
 
     Null text is empty and comes back whole; a null doc_id is smaller than any
     other; rows of equal doc_id take nothing from each other. Texts of fewer
@@ -460,23 +532,18 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    texts = docs.where(F.octet_length("text") >= LEAST).select("doc_id", "text", "text_hash")
-    spans = materialize(removed_spans(texts), "spans")
-    drop_spent_shuffles(docs.sparkSession)
-    n, held = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    spans = spans.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), F.col("text_hash").alias("h"), "spans")
-    if 64 * n + 48 * held <= BROADCAST_BYTES:
-        spans = F.broadcast(spans)
-    both = docs.join(spans, (F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("id")) & (F.col("text_hash") == F.col("h")), "left")
+    docs = docs.withColumn("t", F.xxhash64("text"))
+    spans = removed_spans(docs.where(F.octet_length("text") >= LEAST))
+    both = docs.join(spans, (F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("id")) & (F.col("t") == F.col("h")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
+            for text, spans in zip(batch.column(1), batch.column(2)):
+                data, spans = text.as_py().encode("utf-8", "surrogatepass"), spans.as_py()
                 kept, at, runs = [], 0, 0
-                for a, b in sorted(map(tuple, spans or [])):
+                for x in sorted(spans or []):
+                    a, b = x >> 7, (x >> 7) + (x & 127)
                     if a > at or not runs:
                         kept.append(data[at:a])
                         runs += 1

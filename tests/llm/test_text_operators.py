@@ -119,11 +119,11 @@ def test_suffix_dedup(docs, rows):
     assert sum(v[1] for v in got.values()) > 1000
 
 
-def test_suffix_dedup_in_pieces_and_by_join(docs, rows, monkeypatch):
-    """The same by the shuffle join, with small runs, ranges and text pieces."""
-    for name, value in (("FILTER_HASHES", 0), ("RUN", 50), ("RANGE", 40), ("CHUNK", 64)):
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_suffix_dedup_in_pieces(docs, rows, monkeypatch, hot):
+    """The same with small runs, ranges and text pieces, with most K-grams hot or none."""
+    for name, value in (("RUN", 50), ("RANGE", 40), ("CHUNK", 64), ("COARSE", 3), ("HOT", hot)):
         monkeypatch.setattr(suffix_dedup, name, value)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup_suffixes(docs).collect()}
     assert got == {k: v[:3] for k, v in brute.suffix_removal([(r[0], r[1]) for r in rows]).items()}
 
