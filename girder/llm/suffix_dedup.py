@@ -33,8 +33,8 @@ SPAN = LEAST - K + 1  # K-grams of a string
 KEY = LEAST + K + 2  # right context, reversed left context, their lengths
 #: Bytes of text hashed at a time; suffixes of a run; suffixes of a key range.
 CHUNK, RUN, RANGE = 1 << 18, 200_000, 150_000
-#: Occurrences of a K-gram above which its suffixes are collapsed to distinct contexts and compared string by string.
-HOT = 10_000
+#: Occurrences of a K-gram, more than a whole range, above which its suffixes are collapsed to distinct contexts and compared string by string.
+HOT = RANGE
 #: Coarse key ranges at least, so that small inputs spread over tasks too; sampled keys a range.
 COARSE, SAMPLED = 32, 20
 NO_ID = np.iinfo(np.int64).min  # a null doc_id: smaller than any
@@ -498,6 +498,7 @@ def hot_repeats(hot: DataFrame) -> DataFrame:
     strings = strings.select("key", "high", "low", "d", text.alias("s"))
     least = strings.groupBy("d", "s").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
     answers = strings.join(least, ["d", "s"]).where("first < high").groupBy("key").agg(F.collect_list(F.struct("d", "first")).alias("ds"))
+    answers = materialize(answers, "answers")  # a table of its own, so that the join's hot keys can be split
     hit = hot.join(answers, "key").withColumn("ds", F.transform(F.filter("ds", lambda x: x["first"] < F.col("doc_id")), lambda x: x["d"])).where(F.size("ds") > 0)
     return hit.select("doc_id", "t", (F.col("place") - F.array_max("ds")).alias("a"), (F.col("place") - F.array_min("ds") + LEAST).alias("b"))
 
