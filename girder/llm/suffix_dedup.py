@@ -353,37 +353,40 @@ def merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sorted_runs(rows: DataFrame, coarse: np.ndarray) -> DataFrame:
-    """Suffixes of ``rows`` as sorted front-coded runs cut at the coarse bounds (hot false), and hot suffixes one by one."""
+    """Suffixes of ``rows`` as sorted front-coded runs cut at the coarse bounds (hot false), and of hot ones a row for each distinct
+    context of a run, with its smallest and greatest document and its packed occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = {False: [], True: []}, {False: 0, True: 0}
 
         def batch(hot: bool, rows: int, **columns) -> pa.RecordBatch:
-            kinds = {"c": pa.int32(), **_FRAGMENT, "key": pa.binary(), "doc_id": pa.int64(), "t": pa.int64(), "place": pa.int64()}
+            kinds = {"c": pa.int32(), **_FRAGMENT, "key": pa.binary(), "low": pa.int64(), "high": pa.int64()}
             arrays = [pa.array([hot] * rows), *[pa.array(columns[k], v) if k in columns else pa.nulls(rows, v) for k, v in kinds.items()]]
             return pa.RecordBatch.from_arrays(arrays, ["hot", *kinds])
 
-        def flush() -> pa.RecordBatch:
-            m, docs = np.concatenate([x[1] for x in held]), np.concatenate([x[0] for x in held], axis=1)
+        def flush(hot: bool) -> pa.RecordBatch:
+            m, docs = np.concatenate([x[1] for x in held[hot]]), np.concatenate([x[0] for x in held[hot]], axis=1)
+            held[hot], size[hot] = [], 0
             order = _order(m)
-            m = m[order]
-            c, n, data, packed = zip(*fragments(m, _prefixes(m), docs[:, order], coarse))
-            return batch(False, len(c), c=c, n=n, data=data, docs=packed)
+            m, docs = m[order], docs[:, order]
+            if not hot:
+                c, n, data, packed = zip(*fragments(m, _prefixes(m), docs, coarse))
+                return batch(False, len(c), c=c, n=n, data=data, docs=packed)
+            at = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]).any(axis=1)])
+            packed = [_pack(docs[:, lo:hi]) for lo, hi in zip(at, [*at[1:], len(m)])]
+            low, high = np.minimum.reduceat(docs[0], at), np.maximum.reduceat(docs[0], at)
+            return batch(True, len(at), key=[x.tobytes() for x in m[at]], docs=packed, low=low, high=high)
 
         for hot, ids, t, places, m in suffixes(batches):
-            if hot:
-                flat = m.tobytes()
-                yield batch(True, len(m), key=[flat[i : i + KEY] for i in range(0, len(flat), KEY)], doc_id=ids, t=t, place=places)
-                continue
-            held.append((np.stack([ids, t, places]), m))
-            size += len(m)
-            if size >= RUN:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
+            held[hot].append((np.stack([ids, t, places]), m))
+            size[hot] += len(m)
+            if size[hot] >= RUN:
+                yield flush(hot)
+        for hot in (False, True):
+            if size[hot]:
+                yield flush(hot)
 
-    return rows.mapInArrow(run, "hot boolean, c int, n long, data binary, docs binary, key binary, doc_id long, t long, place long")
+    return rows.mapInArrow(run, "hot boolean, c int, n long, data binary, docs binary, key binary, low long, high long")
 
 
 def range_bounds(rows: DataFrame, n_rows: int, n_ranges: int) -> tuple[np.ndarray, DataFrame]:
@@ -483,15 +486,15 @@ def repeats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def hot_repeats(hot: DataFrame) -> DataFrame:
-    """The same for suffixes of hot K-grams (key, doc_id, t, place), by aggregation.
+    """The same for suffixes of hot K-grams (key, low, high, docs), by aggregation.
 
     Equal contexts, as inside a passage that a third of all documents hold, are
-    one row after a partial aggregation. What differs, at a passage's ends, is
+    one row a run, and one in all after the aggregation. What differs, at a passage's ends, is
     taken apart into its up to K + 1 strings, whose smallest document is an
     aggregation as well.
     """
     byte = lambda i: F.conv(F.hex(F.substring("key", i, 1)), 16, 10).cast("int")
-    entries = hot.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    entries = hot.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     entries = entries.withColumns({"from": F.greatest(F.lit(0), F.lit(LEAST) - byte(KEY - 1)), "to": byte(KEY)}).where("from <= to")
     strings = entries.withColumn("d", F.explode(F.sequence("from", "to")))
     text = F.concat(F.substring(F.col("key"), F.lit(LEAST + 1), F.col("d")), F.substring(F.col("key"), F.lit(1), F.lit(LEAST) - F.col("d")))
@@ -499,8 +502,22 @@ def hot_repeats(hot: DataFrame) -> DataFrame:
     least = strings.groupBy("d", "s").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
     answers = strings.join(least, ["d", "s"]).where("first < high").groupBy("key").agg(F.collect_list(F.struct("d", "first")).alias("ds"))
     answers = materialize(answers, "answers")  # a table of its own, so that the join's hot keys can be split
-    hit = hot.join(answers, "key").withColumn("ds", F.transform(F.filter("ds", lambda x: x["first"] < F.col("doc_id")), lambda x: x["d"])).where(F.size("ds") > 0)
-    return hit.select("doc_id", "t", (F.col("place") - F.array_max("ds")).alias("a"), (F.col("place") - F.array_min("ds") + LEAST).alias("b"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, answer in zip(batch.column(0), batch.column(1)):
+                ids, t, places = np.frombuffer(zlib.decompress(packed.as_py()), np.int64).reshape(3, -1)
+                pairs = sorted((x["d"], x["first"]) for x in answer.as_py())
+                d, first = np.array([x[0] for x in pairs]), np.array([x[1] for x in pairs], np.int64)
+                for lo in range(0, len(ids), 50_000):
+                    part = slice(lo, lo + 50_000)
+                    hit = first < ids[part, None]
+                    some = np.flatnonzero(hit.any(axis=1))
+                    hit, at = hit[some], places[part][some]
+                    a, b = at - d[len(d) - 1 - hit[:, ::-1].argmax(axis=1)], at - d[hit.argmax(axis=1)] + LEAST
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[part][some], t[part][some], a, b)], ["doc_id", "t", "a", "b"])
+
+    return hot.join(answers, "key").select("docs", "ds").mapInArrow(spread, SPANS)
 
 
 def removed_spans(texts: DataFrame) -> DataFrame:
@@ -512,7 +529,7 @@ def removed_spans(texts: DataFrame) -> DataFrame:
     runs = materialize(sorted_runs(rows, coarse), "runs")
     discard(asked)
     spans = refined(runs.where("not hot"), fine).groupBy("c", "f").applyInPandas(repeats, SPANS)
-    spans = spans.unionByName(hot_repeats(runs.where("hot").select("key", "doc_id", "t", "place")))
+    spans = spans.unionByName(hot_repeats(runs.where("hot").select("key", "low", "high", "docs")))
     pack = F.collect_list(F.col("a") * 128 + (F.col("b") - F.col("a")))
     spans = materialize(spans.groupBy(F.col("doc_id").alias("id"), F.col("t").alias("h")).agg(pack.alias("spans")), "spans")
     discard(runs, fine)
