@@ -24,14 +24,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``df`` at most, chosen by the hash of ``key``: the same rows on every run.
+    """About ``rows`` rows of ``df`` at most, chosen by a hash of ``key`` and of the row's number: rows of one key, as
+    of a null one, are drawn apart, and a table read the same way gives the same rows.
 
     One pass counts the rows, so the bound holds in expectation at every size.
     """
     total = df.count()
     if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(7), key), F.lit(total)) < rows)
+    return df.where(F.pmod(F.xxhash64(F.lit(7), key, F.monotonically_increasing_id()), F.lit(total)) < rows)
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable], spec: str) -> DataFrame:

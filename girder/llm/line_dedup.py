@@ -54,6 +54,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
 
     held = materialize(map_texts(docs.where(F.char_length("text") >= least_chars), emit, "key binary"), "lines")
     often = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= least_docs)
+    often = materialize(often.select("key", "top"), "often")  # a table of its own, so that the join's hot keys can be split
     drops = (
         held.join(often, "key")
         .where(~F.col("doc_id").eqNullSafe(F.col("top")))

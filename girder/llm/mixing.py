@@ -76,12 +76,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return src.select("source", "source_size", "n_docs", "rank", target.alias("target"))
 
 
-def mix(docs: DataFrame, block: int = 16, shard_docs: int = 500, max_shards: int = 4096, most: int = 3, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, block: int = 8, shard_docs: int = 500, most: int = 3, seed: int = 42) -> DataFrame:
     """How many words of each document the mix takes: (doc_id, source, size, source_size, target, taken).
 
-    All words are cut into equal blocks of ``block`` words (fewer where the
-    corpus has under 1000 blocks); Sainte-Lague gives each source whole blocks,
-    then each shard of a source its quota of them. A shard lines its documents
+    All words are cut into equal blocks of ``block`` words; Sainte-Lague gives
+    each source whole blocks, then each part of a source its quota of them, then
+    each shard of a part: no apportionment ranks more than about the square root
+    of a source's shards. A shard lines its documents
     up in seeded order and takes its leading blocks, whole rounds first when
     the quota exceeds the shard. Taken words of a source are within a block a
     shard of the target; no document gives more than ``most`` times its size.
@@ -97,18 +98,19 @@ def mix(docs: DataFrame, block: int = 16, shard_docs: int = 500, max_shards: int
     )
     src = source_targets(sizes, most=most)
     one = Window.partitionBy(F.lit(0))
-    src = src.withColumn("_all", F.sum("source_size").over(one))
-    src = src.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("_all") / 1000))).cast("long"))
-    src = src.withColumn("seats", F.round(F.col("_all") / F.col("width")).cast("long")).drop("_all")
+    src = src.withColumn("seats", F.round(F.sum("source_size").over(one) / block).cast("long"))
     src = sainte_lague(src, [], "target", "seats", ["rank"])
-    src = src.withColumn("n_shards", F.greatest(F.lit(1), F.least(F.lit(max_shards), F.ceil(F.col("n_docs") / shard_docs))).cast("long"))
-    src = materialize(src.select("source", "source_size", "target", "rank", "width", "n_shards", F.col("quota").alias("blocks")), "sources")
+    src = src.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).cast("long"))
+    src = src.withColumn("n_parts", F.ceil(F.sqrt("n_shards")).cast("long"))
+    src = materialize(src.select("source", "source_size", "target", "rank", "n_shards", "n_parts", F.col("quota").alias("blocks")), "sources")
     rows = sizes.alias("d").join(src.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    rows = rows.select("d.*", "s.rank", "s.source_size", "s.target", F.pmod("d.h", "s.n_shards").alias("shard"))
-    shards = rows.groupBy("rank", "shard").agg(F.sum("size").alias("words"))
-    shards = shards.join(src.select("rank", "blocks", "width"), "rank")
-    shards = sainte_lague(shards, ["rank"], "words", "blocks", ["shard"])
-    shards = shards.select("rank", "shard", "words", F.least(F.col("quota") * F.col("width"), F.col("words") * most).alias("take"))
+    shard = F.pmod("d.h", "s.n_shards")
+    rows = rows.select("d.*", "s.rank", "s.source_size", "s.target", (shard % F.col("s.n_parts")).alias("part"), shard.alias("shard"))
+    shards = materialize(rows.groupBy("rank", "part", "shard").agg(F.sum("size").alias("words")), "shards")
+    parts = shards.groupBy("rank", "part").agg(F.sum("words").alias("words")).join(src.select("rank", "blocks"), "rank")
+    parts = sainte_lague(parts, ["rank"], "words", "blocks", ["part"]).select("rank", "part", F.col("quota").alias("blocks"))
+    shards = sainte_lague(shards.join(parts, ["rank", "part"]), ["rank", "part"], "words", "blocks", ["shard"])
+    shards = shards.select("rank", "shard", "words", F.least(F.col("quota") * block, F.col("words") * most).alias("take"))
     line = Window.partitionBy("rank", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0))).join(shards, ["rank", "shard"])
     rounds = F.when(F.col("words") > 0, F.floor(F.col("take") / F.col("words"))).otherwise(0).cast("long")
@@ -123,19 +125,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Documents of which nothing is taken are absent. A part is the document's
     first words joined by single spaces. ``n_chars`` is set anew.
     """
-    had = docs.columns
+    whole_row = F.struct(*docs.columns).alias("doc")  # apart, so that no column's name can clash
     taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
     size = word_count(F.col("text"))
-    out = docs.withColumn("_size", size).alias("d").join(
-        taken.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._size") == F.col("m.size"))
+    out = docs.select("doc_id", size.alias("size"), whole_row).alias("d").join(
+        taken.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.size") == F.col("m.size"))
     )
     each = F.floor(F.col("m.taken") / F.col("m.rows"))
-    out = out.select("d.*", each.alias("_taken")).where("_taken > 0")
-    whole = F.floor(F.col("_taken") / F.col("_size"))
-    rest = F.col("_taken") - whole * F.col("_size")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    out = out.select("d.doc", "d.size", each.alias("taken")).where("taken > 0")
+    whole = F.floor(F.col("taken") / F.col("size"))
+    rest = F.col("taken") - whole * F.col("size")
+    words = F.filter(F.split("doc.text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
     part = F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " ")
-    copies = F.when(whole > 0, F.array_repeat(F.col("text"), whole.cast("int"))).otherwise(F.array().cast("array<string>"))
+    copies = F.when(whole > 0, F.array_repeat(F.col("doc.text"), whole.cast("int"))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(copies, F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("text", F.explode(texts))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*had)
+    out = out.select("doc", F.explode(texts).alias("taken_text"))
+    new = {"text": F.col("taken_text"), "n_chars": F.char_length("taken_text").cast("long")}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

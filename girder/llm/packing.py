@@ -110,8 +110,28 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return subsets
 
 
+def bundles(sizes: list[int], most: int) -> list[list[int]]:
+    """Positions of ``sizes`` in bundles: pieces that fit are put together, in order, up to ``most`` ids; larger ones stay alone."""
+    out: list[list[int]] = []
+    room = 0
+    for i, n in enumerate(sizes):
+        if n > room:
+            out.append([])
+            room = max(most, n)
+        out[-1].append(i)
+        room -= n
+    return out
+
+
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Near-equal windows of at most ``capacity``; more windows whenever the fullest exceeds it, by bisection once enough are found."""
+    """Near-equal windows of at most ``capacity``; more windows whenever the fullest exceeds it, by bisection once enough are found.
+
+    Where there are more than 32 pieces a window, as with many empty texts, small ones ride in bundles, which bounds the memory of the partial partitions.
+    """
+    if len(sizes) > 32 * -(-sum(sizes) // capacity):
+        units = bundles(sizes, max(1, capacity // 16))
+        if len(units) < len(sizes):
+            return [[i for u in w for i in units[u]] for w in windows([sum(sizes[i] for i in u) for u in units], capacity)]
 
     def tried(k: int) -> tuple[list[list[int]], int]:
         parts = difference(sizes, k)
@@ -133,14 +153,14 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
     return [p for p in parts if p]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_windows: int = 192, trim: int = 24) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_windows: int = 192, trim: int = 24, group_pieces: int = 100_000) -> DataFrame:
     """Pack all documents: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row a piece.
 
     A document's ids are those of its text, then ``end_id``. Full windows are
     cut off its front and stand alone; of the rest up to ``trim`` ids (by a
     hash) are cut off as a small piece that lets windows come out even. Pieces,
     never ids, are shuffled: to even groups of about ``group_windows``
-    windows each, whose pieces Karmarkar-Karp differencing spreads over
+    windows, or of ``group_pieces`` pieces if that is less, whose pieces Karmarkar-Karp differencing spreads over
     near-equal windows. A group's size is set by its window count alone, so no
     task grows with the corpus, and padding stays under about one window in
     ``group_windows``.
@@ -174,8 +194,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         return cut
 
     pieces = materialize(map_texts(docs, make, "start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
-    total = pieces.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (group_windows * capacity)))
+    n, total = pieces.where(F.col("length") < capacity).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, round(total / (group_windows * capacity)), round(n / group_pieces))
     full = pieces.where(F.col("length") == capacity)
     # a full window is named by its own number below zero: partition and row number of the stored pieces
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -116,5 +116,19 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op6_embedding_dedup": r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+), usable AS MATERIALIZED (
+  SELECT * FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), linked AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.9
+), reach AS (
+  SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b
+), root AS (SELECT a, min(b) AS low FROM reach GROUP BY a), links AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+SELECT v.vec_id, coalesce(links.n, 0) AS n_links, least(v.vec_id, coalesce(root.low, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(root.low, v.vec_id)) AS kept
+FROM v LEFT JOIN links ON links.a = v.vec_id LEFT JOIN root ON root.a = v.vec_id
 """,
 }

@@ -18,14 +18,16 @@ _ASSIGN = re.compile(
     r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]+")
 #: Runs of 24 or more hex digits are whole maximal runs, so the short ones need not be visited.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Letters of a run that the token test takes.
+LEAST_RUN = 16
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
-_NAMED = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)(?:[_/=+-]+(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))*\Z|(?:[A-Z]?[a-z]+){1,6}[0-9]{0,4}\Z")
+#: Identifiers: short words and numbers between marks, as in names, paths and versions.
+_NAMED = re.compile(r"(?:[a-z]{1,12}|[A-Z]{1,12}|[A-Z][a-z]{1,11}|[0-9]{1,12})(?:[_/.=+-]+(?:[a-z]{1,12}|[A-Z]{1,12}|[A-Z][a-z]{1,11}|[0-9]{1,12}))+\Z")
 
 _encodings: dict[str, object] = {}
 
@@ -52,23 +54,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, enc, least_ratio: float, covered: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs whose characters per token fall below ``least_ratio``.
+def is_random(run: str, enc, least_ratio: float) -> bool:
+    """Whether a run has fewer characters per token than ``least_ratio``; known digests (hex of a digest's length), UUIDs, numbers and identifiers do not."""
+    if _DIGEST.match(run) or _UUID.match(run) or _NAMED.match(run) or not any(c.isalpha() for c in run):
+        return False
+    tokens = sum(len(enc.encode_ordinary(run[i : i + 4096])) for i in range(0, len(run), 4096))
+    return len(run) / tokens < least_ratio
 
-    Not taken: known digests (hex of a digest's length), UUIDs, names built of
-    plain words or numbers, and runs that a base span covers.
-    """
+
+def random_parts(text: str, lo: int, hi: int, enc, least_ratio: float) -> list[tuple[int, int]]:
+    """The run itself without marks at its ends, if it is random, else its parts between dots and slashes that are."""
+    while lo < hi and text[lo] in "._-/=+":
+        lo += 1
+    while hi > lo and text[hi - 1] in "._-/":
+        hi -= 1
+    if hi - lo < LEAST_RUN:
+        return []
+    if is_random(text[lo:hi], enc, least_ratio):
+        return [(lo, hi)]
+    parts = [(lo + m.start(), lo + m.end()) for m in re.finditer(r"[^./]+", text[lo:hi])]
+    return [(a, b) for a, b in parts if (a, b) != (lo, hi) and b - a >= LEAST_RUN and is_random(text[a:b], enc, least_ratio)]
+
+
+def random_spans(text: str, enc, least_ratio: float, covered: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of runs that the token test finds random, in what base spans leave uncovered."""
     out = []
     for m in _RUN.finditer(text):
-        run = m.group()
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if _DIGEST.match(run) or _UUID.match(run) or _NAMED.match(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in covered):
-            continue
-        if len(run) / len(enc.encode_ordinary(run)) < least_ratio:
-            out.append((m.start(), 3, m.end()))
+        at = m.start()
+        gaps = []
+        for s, _, e in covered:
+            if s < m.end() and e > at:
+                gaps.append((at, s))
+                at = max(at, e)
+        for lo, hi in [*gaps, (at, m.end())]:
+            if hi - lo >= LEAST_RUN:
+                out += [(a, 3, b) for a, b in random_parts(text, lo, hi, enc, least_ratio)]
     return out
 
 

@@ -69,15 +69,15 @@ def ball_links(fps: DataFrame, radius: int = 4, per_slice: int = 2_000_000) -> D
     pair's link is lost though a large group is never written out as pairs. Of
     a slice's links only a forest leaves the task.
     """
+    if radius % 2:
+        raise ValueError("the radius must be even: variants half of it away meet in the middle")
     half = radius // 2
     n = fps.count()
     variants = len(_ball(list(range(64)), half))
-    width = min(24, max(3, int(np.ceil(np.log2(max(1, n * variants / per_slice))))))
-    keyed = sorted(np.random.default_rng(5).choice(64, width, replace=False).tolist())
-    free = [b for b in range(64) if b not in keyed]
+    width = min(64, max(3, int(np.ceil(np.log2(max(1, n * variants / per_slice))))))
+    bits = np.random.default_rng(5).permutation(64).tolist()
+    keyed = bits[:width]
     near = _ball(keyed, half)
-    flips = np.array([bin(int(m)).count("1") for m in near])
-    inner = {r: _ball(free, half - r) for r in range(half + 1)}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -87,11 +87,20 @@ def ball_links(fps: DataFrame, radius: int = 4, per_slice: int = 2_000_000) -> D
                 to = _slice_of(part[:, None] ^ near[None, :], keyed)
                 yield pd.DataFrame({"slice": to.ravel(), "fp": np.repeat(part, len(near)).view(np.int64)})
 
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64))
-        want = int(key[0])
-        apart = np.zeros(len(fp), np.int64)
+    def pairs(fp: np.ndarray, keyed: list[int], want: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of a slice's fingerprints as positions, each variant bucket's to its smallest; a dense slice is cut by more bits, so that memory stays bounded."""
         own = _slice_of(fp, keyed) ^ want
+        reach = np.array([bin(int(x) & 0xFFFFFFFFFFFFFFFF).count("1") for x in own], np.int64) if len(fp) else own
+        fp_at = np.flatnonzero(reach <= half)
+        free = [b for b in bits if b not in keyed]
+        if len(fp_at) * len(free) ** half > 4 * per_slice * half and len(free) > 8:  # thousands of fingerprints, at the usual slice size
+            more = keyed + free[:4]
+            for v in range(16):
+                for a, b in pairs(fp[fp_at], more, want | v << len(keyed)):
+                    yield fp_at[a], fp_at[b]
+            return
+        inner = {r: _ball(free, half - r) for r in range(half + 1)}
+        apart = np.zeros(len(fp), np.int64)
         fixed = np.zeros(len(fp), np.uint64)
         for i, b in enumerate(keyed):
             bit = (own >> i) & 1
@@ -99,10 +108,12 @@ def ball_links(fps: DataFrame, radius: int = 4, per_slice: int = 2_000_000) -> D
             fixed |= bit.astype(np.uint64) << np.uint64(b)
         made, of = [], []
         for r, masks in inner.items():
-            at = np.flatnonzero(apart == r)
+            at = fp_at[apart[fp_at] == r]
             made.append(((fp[at] ^ fixed[at])[:, None] ^ masks[None, :]).ravel())
             of.append(np.repeat(at, len(masks)))
         v, o = np.concatenate(made), np.concatenate(of)
+        if not len(v):
+            return
         order = np.argsort(v, kind="stable")
         v, o = v[order], o[order]
         start = np.r_[True, v[1:] != v[:-1]]
@@ -116,6 +127,10 @@ def ball_links(fps: DataFrame, radius: int = 4, per_slice: int = 2_000_000) -> D
             a, b = pair // len(fp), pair % len(fp)
             sound = np.bitwise_count(fp[a] ^ fp[b]) <= radius
             a, b = a[sound], b[sound]
+        yield a, b
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64))
         root = np.arange(len(fp))
 
         def find(x: int) -> int:
@@ -124,10 +139,11 @@ def ball_links(fps: DataFrame, radius: int = 4, per_slice: int = 2_000_000) -> D
                 x = root[x]
             return x
 
-        for x, y in zip(a.tolist(), b.tolist()):
-            p, q = find(x), find(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
+        for a, b in pairs(fp, keyed, int(key[0])):
+            for x, y in zip(a.tolist(), b.tolist()):
+                p, q = find(x), find(y)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
         moved = [(i, find(i)) for i in range(len(fp)) if root[i] != i]
         ends = np.array(moved, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": fp[ends[:, 0]].view(np.int64), "b": fp[ends[:, 1]].view(np.int64)})
@@ -167,11 +183,12 @@ def one_of_each(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64))
 
-    marks = {"_fp": fp(F.col("text").cast("string")), "_row": F.monotonically_increasing_id(), "_hash": F.xxhash64("text")}
-    held = materialize(docs.withColumns(marks), "marked")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row"))
-    classes = materialize(held.groupBy(F.col("_fp").alias("fp")).agg(first.alias("first")), "classes")
+    whole = F.struct(*docs.columns).alias("doc")  # apart, so that no column's name can clash
+    held = docs.select(fp(F.col("text").cast("string")).alias("fp"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("hash"), whole)
+    held = materialize(held, "marked")
+    first = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "hash", "row"))
+    classes = materialize(held.groupBy("fp").agg(first.alias("first")), "classes")
     roots = connected_components(ball_links(classes, radius))
     placed = classes.join(roots, F.col("fp") == F.col("v"), "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first._row")
-    return held.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return held.join(kept, "row", "left_semi").select("doc.*")

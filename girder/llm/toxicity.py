@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_texts
+from .common import bounded_sample, discard, map_texts, materialize
 
 WORDS = re.compile(r"\w+")
 #: Words either side of a hit that its context score looks at.
@@ -22,7 +22,9 @@ WINDOW = 6
 WORD_CACHE = 500_000
 OPENING, CLOSING = "\"“«„‹", "\"”»“›"
 # fixed values: verbs that report another's words
-REPORTING = frozenset("said says wrote writes called quoted quotes reported claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
+REPORTING = frozenset([
+    "said", "says", "wrote", "writes", "called", "quoted", "quotes", "reported", "claimed", "sagte", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó",
+])
 
 
 def terms(text: str) -> set[str]:
@@ -31,27 +33,42 @@ def terms(text: str) -> set[str]:
     return {w for w in found if len(w) > 2} | {w[:k] + "*" for w in found for k in (4, 5, 6) if len(w) > k}
 
 
+#: Letters that a lexicon entry needs for its misspellings to be looked for.
+FUZZY_LETTERS = 4
+
+
 class Trie:
-    """Lexicon trie; a Levenshtein automaton of a word runs along its branches together with it."""
+    """Lexicon trie; a Levenshtein automaton of a word runs along its branches together with it.
+
+    Edits are insertions, deletions, substitutions and swaps of neighbours.
+    Stems accept whatever follows them.
+    """
 
     def __init__(self, entries: dict[str, float]):
         self.root: dict = {}
-        # an entry one edit away keeps its first or its last half: words with neither need no automaton
-        whole = [t for t in entries if not t.endswith("*") and len(t) >= 5]
-        self.heads = {t[: len(t) // 2] for t in whole}
-        self.ends = {t[len(t) // 2 :] for t in whole}
+        # an entry one edit away keeps its first or its last half, unless the middle letters are swapped: words with none of these need no automaton
+        fuzzy = [t for t in entries if len(t.rstrip("*")) >= FUZZY_LETTERS]
+        self.heads, self.ends, self.tails = set(), set(), set()
+        for t in fuzzy:
+            bare, h = t.rstrip("*"), len(t.rstrip("*")) // 2
+            self.heads |= {bare[:h], bare[: h - 1] + bare[h]}
+            if t.endswith("*"):
+                self.tails |= {(h + d, bare[h:]) for d in (-1, 0, 1)}  # where the second half may begin
+            else:
+                self.ends.add(bare[h:])
         self.head_sizes, self.end_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.ends})
+        self.tail_places = sorted({(at, len(x)) for at, x in self.tails})
         for term, weight in entries.items():
             node = self.root
             for ch in term.rstrip("*"):
                 node = node.setdefault(ch, {})
             node["stem" if term.endswith("*") else "word"] = (term, weight)
-        self.whole: dict = {}
-        for term in whole:
-            node = self.whole
-            for ch in term:
+        self.fuzzy: dict = {}  # the key "" ends a word, "*" a stem
+        for term in fuzzy:
+            node = self.fuzzy
+            for ch in term.rstrip("*"):
                 node = node.setdefault(ch, {})
-            node[""] = (term, entries[term])
+            node["*" * term.endswith("*")] = (term, entries[term])
 
     def exact(self, word: str) -> tuple[str, float] | None:
         """The word itself, else its longest stem."""
@@ -64,47 +81,61 @@ class Trie:
         return node.get("word", stem)
 
     def may_be_near(self, word: str) -> bool:
-        return any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.ends for n in self.end_sizes)
+        return (
+            any(word[:n] in self.heads for n in self.head_sizes)
+            or any(word[-n:] in self.ends for n in self.end_sizes)
+            or any((at, word[at : at + n]) in self.tails for at, n in self.tail_places)
+        )
 
     def near(self, word: str, most: int = 1) -> tuple[str, float] | None:
-        """The heaviest whole-word entry of five letters or more within ``most`` edits.
+        """The heaviest entry of FUZZY_LETTERS letters or more within ``most`` edits; of a stem, of some beginning of the word.
 
         States of the Levenshtein automaton are (letters read, edits spent); each runs with the trie node it has reached.
         With its edits spent, a state has one way on: the letters themselves.
         """
         best, n = None, len(word)
-        todo = [(self.whole, 0, 0)]
+
+        def better(hit: tuple[str, float] | None) -> tuple[str, float] | None:
+            return hit if hit and (best is None or hit[1] > best[1]) else best
+
+        todo = [(self.fuzzy, 0, 0)]
         while todo:
             node, i, spent = todo.pop()
+            best = better(node.get("*"))
             if spent == most:
-                while i < n and node:
-                    node, i = node.get(word[i]), i + 1
-                hit = node.get("") if node else None
-                if hit and (best is None or hit[1] > best[1]):
-                    best = hit
+                while i < n and (node := node.get(word[i])):
+                    i += 1
+                    best = better(node.get("*"))
+                if i == n and node:
+                    best = better(node.get(""))
                 continue
-            if n - i <= most - spent and "" in node and (best is None or node[""][1] > best[1]):
-                best = node[""]
-            ahead = word[i : i + 1]
+            if n - i <= most - spent:
+                best = better(node.get(""))
+            ahead, after = word[i : i + 1], word[i + 1 : i + 2]
             if ahead:
                 todo.append((node, i + 1, spent + 1))
                 if ahead in node:
                     todo.append((node[ahead], i + 1, spent))
+                if after and after != ahead and after in node and ahead in node[after]:
+                    todo.append((node[after][ahead], i + 2, spent + 1))
             last = spent + 1 == most
             for ch, child in node.items():
-                if not ch:
+                if not ch or ch == "*":
                     continue
-                # with the last edit spent here, the next letter must be among the child's
-                if not last or (ahead or "") in child:
+                # with the last edit spent here, the next letter must be among the child's, unless a stem ends there
+                if not last or (ahead or "") in child or "*" in child:
                     todo.append((child, i, spent + 1))
-                if ahead and ch != ahead and (not last or word[i + 1 : i + 2] in child):
+                if ahead and ch != ahead and (not last or after in child or "*" in child):
                     todo.append((child, i + 1, spent + 1))
         return best
 
 
 @dataclass
 class ToxicityModel:
+    """``known``: words of unmarked labelled texts, which are no misspellings of an entry."""
+
     lexicon: dict[str, float]
+    known: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.array([-3.0, *[0.0] * 8]))  # until fitted: nothing is toxic
 
     def __post_init__(self):
@@ -115,7 +146,7 @@ class ToxicityModel:
         hit = self.trie.exact(word)
         if hit:
             return (*hit, False)
-        if len(word) >= 4 and self.trie.may_be_near(word):
+        if len(word) >= 4 and word not in self.known and self.trie.may_be_near(word):
             hit = self.trie.near(word)
             if hit:
                 return (*hit, True)
@@ -160,20 +191,22 @@ class ToxicityModel:
         ]
 
     def _quoted(self, low: str, words: list[str], at: list[int]) -> list[bool]:
-        """Whether each hit stands inside quotation marks or just after a reporting verb."""
+        """Whether each hit stands inside quotation marks, whatever their distance within a paragraph, or just after a reporting verb."""
         marks = any(c in low for c in OPENING)
         inside: set[int] = set()
         if marks:
             spans, wanted = [m.span() for m in WORDS.finditer(low)], set(at)
             open_at, j = -1, 0
             for pos, ch in enumerate(low):
+                if ch == "\n":
+                    open_at = -1  # a quotation ends with its paragraph
                 if ch not in OPENING and ch not in CLOSING:
                     continue
                 if open_at < 0:
                     open_at = pos
                 else:
                     while j < len(spans) and spans[j][0] < pos:
-                        if spans[j][0] > open_at and pos - open_at < 400 and j in wanted:
+                        if spans[j][0] > open_at and j in wanted:
                             inside.add(j)
                         j += 1
                     open_at = -1
@@ -184,10 +217,13 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn_lexicon(labelled: DataFrame, size: int = 500, least: int = 4, purity: float = 0.8) -> dict[str, float]:
-    """Terms that mark label 1: in ``least`` positive documents and a hundredth of them, and with ``purity`` of their documents positive.
+def learn_lexicon(labelled: DataFrame, size: int = 500, least: int = 4, share: float = 0.01, purity: float = 0.8, words: int = 200_000) -> tuple[dict[str, float], frozenset[str]]:
+    """Terms that mark label 1, and the words known from texts of label 0.
 
-    Document counts are summed by Spark; the driver gets the ``size`` best terms.
+    A term is in ``least`` positive documents of the bounded sample and in
+    ``share`` of them, and ``purity`` of its documents are positive; the ``size``
+    best are kept. Known are up to ``words`` words of two or more negative
+    documents, the most frequent first. Document counts are summed by Spark.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,13 +238,14 @@ def learn_lexicon(labelled: DataFrame, size: int = 500, least: int = 4, purity:
     totals = {int(r["toxic"]): r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos:
-        return {}
+        return {}, frozenset()
     by = labelled.select("text", "toxic").mapInPandas(count, "term string, y int, n long").groupBy("term")
-    by = by.agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("p"), F.sum(F.expr("if(y = 0, n, 0)")).alias("q"))
+    by = materialize(by.agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("p"), F.sum(F.expr("if(y = 0, n, 0)")).alias("q")), "terms")
     rate = F.log(((F.col("p") + 0.5) / (pos + 1)) / ((F.col("q") + 0.5) / (neg + 1)))
-    best = by.where((F.col("p") >= max(least, pos // 100)) & (F.col("p") >= purity * (F.col("p") + F.col("q"))))
+    best = by.where((F.col("p") >= max(least, int(pos * share))) & (F.col("p") >= purity * (F.col("p") + F.col("q"))))
     best = best.select("term", "p", rate.alias("weight")).where("weight > 1.5").orderBy(F.desc("p"), "term").limit(size)
-    return {r["term"]: float(r["weight"]) for r in best.collect()}
+    clean = by.where("q >= 2 and q > p and term not like '%*'").orderBy(F.desc("q"), "term").limit(words).select("term")
+    return {r["term"]: float(r["weight"]) for r in best.collect()}, frozenset(clean.toArrow()["term"].to_pylist())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -229,8 +266,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
 def train(labelled: DataFrame, train_docs: int = 20_000) -> ToxicityModel:
     """Fit on about ``train_docs`` rows (doc_id, text, toxic) at most, chosen by hash; null labels do not count."""
     sample = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sample = bounded_sample(sample, F.col("doc_id"), train_docs).cache()
-    model = ToxicityModel(learn_lexicon(sample))
+    sample = materialize(bounded_sample(sample, F.col("doc_id"), train_docs), "labelled")
+    model = ToxicityModel(*learn_lexicon(sample))
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +276,7 @@ def train(labelled: DataFrame, train_docs: int = 20_000) -> ToxicityModel:
             yield pd.DataFrame({"x": feats, "y": pdf["toxic"].astype(float)})
 
     rows = sample.select("text", "toxic").mapInPandas(run, "x array<double>, y double").toArrow()
-    sample.unpersist()
+    discard(sample)
     if rows.num_rows:
         model.weights = fit_logistic(np.array(rows["x"].to_pylist()), rows["y"].to_numpy())
     return model

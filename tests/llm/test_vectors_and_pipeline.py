@@ -81,11 +81,30 @@ def test_contracted_columns_and_rows(spark, name):
         assert rows == 200
 
 
-def test_line_dedup_oracle(spark):
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_oracles(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    want = sorted(con.sql(queries.ORACLES["op2_line_dedup"]).fetchall())
-    assert sorted(map(tuple, queries.queries()["op2_line_dedup"](spark, DATA).collect())) == want
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = sorted(con.sql(queries.ORACLES[name]).fetchall())
+    assert sorted(map(tuple, queries.queries()[name](spark, DATA).collect())) == want
+
+
+def test_base_secrets_against_plain_patterns(spark):
+    """The base spans of a table's texts by the contract's own patterns, scanned one by one."""
+    import hashlib
+    import re
+
+    key = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token", "api")).replace("[aA][pP][iI]", "[aA][pP][iI]_?[kK][eE][yY]") + ")"
+    patterns = [("assign", rf"{key}[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
+    got = {r["doc_id"]: r for r in queries.op9_secrets(spark, DATA).collect()}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        spans = []
+        for k, (name, pattern, group, least) in enumerate(patterns):
+            mine = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in re.finditer(pattern, r["text"] or "") if len(m.group(group)) >= least]
+            assert got[r["doc_id"]][f"n_{name}"] == len(mine)
+            spans += mine
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(x[2] for x in sorted(spans)).encode()).hexdigest()
 
 
 def test_pipeline_stages_take_effect(spark):
