@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.llm import line_dedup, mixing, packing, simhash, toxicity
-from girder.llm.common import held_out, materialize, read_documents
+from girder.llm.common import discard, held_out, materialize, read_documents
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go, but in one; a document may be left with an empty text. n_chars is set anew."""
-    had = docs.columns
-    out = line_dedup.dedup_lines(docs)
-    out = out.withColumn("text", F.col("lines.kept")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*had)
+    whole = F.struct(*docs.columns).alias("doc")  # apart, so that no column's name can clash
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", whole))
+    new = {"text": F.col("lines.kept"), "n_chars": F.char_length("lines.kept").cast("long")}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
