@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +13,13 @@ from girder.operators.graph import reachability, strong_components
 from girder.plans import decide, report, survey
 from girder.plans.policy import SAMPLE, Policy
 from girder.plans.rules import RULES, Facts, fact_functions, feature_of, package_edges
+from girder.scratch import exists, materialize
 from girder.sources.projection import StarFacts
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Columns of a rule's query: a finding without its ordinals.
 SHOWN = ["rule_id", "severity", "path", "line_start", "line_end", "subject", "detail"]
-TODAY, SOON = "1998-06-01", "1998-12-31"
-#: Rules of the pipeline's queries: one of each kind, so that one plan stays readable.
-PIPELINE_RULES = ["CX001", "CX008", "DG003", "OT004", "FL002", "MO001", "BO001", "RW001", "DC002", "UT003"]
+TODAY = "1998-06-01"
 
 #: A looser policy and its baseline, which differ in every way that the policy diff knows.
 BASELINE = Policy(
@@ -41,6 +40,26 @@ def sample_facts(spark: SparkSession, sf_dir: str) -> Facts:
     return Facts(StarFacts(spark, sf_dir), SAMPLE)
 
 
+class Loaded(Mapping):
+    """Fact tables whose ``air_fact`` also holds what the runtime's calls and the markers imply; with ``store`` each table is written once when asked for."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], store: bool = False):
+        self.tables, self.store, self.made = tables, store, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            t = self.tables
+            df = shared.load_facts(t["air_fact"], t["air_call_site"], t["air_hint"], t["air_function"]) if name == "air_fact" else t[name]
+            self.made[name] = materialize(df, name) if self.store else df
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(self.made)
+
+    def __len__(self) -> int:
+        return len(self.made)
+
+
 def _rule_query(id_: str) -> Query:
     return lambda spark, sf_dir: RULES[id_].observe(sample_facts(spark, sf_dir)).select(*SHOWN)
 
@@ -75,7 +94,7 @@ def endpoint_lookup(x: Facts) -> DataFrame:
 
 @operator
 def fact_function_lookup(x: Facts) -> DataFrame:
-    return fact_functions(x, "SpawnedWork", "Logging").select("symbol", "kind", "fact_ix", "path", "line_start")
+    return fact_functions(x, *filter(None, survey.KINDS.values())).select("symbol", "kind", "fact_ix", "path", "line_start")
 
 
 @operator
@@ -139,14 +158,42 @@ def source_module_paths(x: Facts) -> DataFrame:
     return x["air_file"].select("path", shared.module_path(F.col("path"), F.col("package")).alias("module"))
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _once(x: Facts, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries share, written once a session and folder."""
+    spark = x["air_file"].sparkSession
+    key = (spark.sparkContext.applicationId, x.tables.dir, name)
+    if key not in _kept or not exists(_kept[key]):
+        _kept[key] = materialize(make(), name)
+    return _kept[key]
+
+
 def findings(x: Facts) -> DataFrame:
-    return decide.observe(x, PIPELINE_RULES)
+    """Findings of the whole catalogue, all 90 rules, over the loaded facts."""
+    return _once(x, "observed", lambda: decide.observe(Facts(Loaded(x.tables, store=True), x.policy)))
+
+
+def diagnostics(x: Facts) -> DataFrame:
+    """What is left after suppression, with the notes on expired allowances."""
+    return _once(x, "diagnostics", lambda: decide.suppress(findings(x), x["air_hint"], x["policy_exception"], TODAY))
+
+
+@operator
+def loaded_facts(x: Facts) -> DataFrame:
+    return Loaded(x.tables)["air_fact"].select("kind", "scope", "symbol", "evidence", "item_ix")
 
 
 @operator
 def observed_findings(x: Facts) -> DataFrame:
-    """Ranges of the finding ids of rules of one severity."""
-    return findings(x).where("rule_id <> 'DC002'").groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.min("finding_id").alias("first_id"), F.max("finding_id").alias("last_id"))
+    return findings(x).select(*SHOWN)
+
+
+@operator
+def finding_numbers(x: Facts) -> DataFrame:
+    """Ranges of the finding ids of each rule."""
+    return findings(x).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("finding_id").alias("first_id"), F.max("finding_id").alias("last_id"))
 
 
 @operator
@@ -161,18 +208,37 @@ def decisions(x: Facts) -> DataFrame:
 
 @operator
 def undecided_findings(x: Facts) -> DataFrame:
+    """Findings of UT rules decided twice and of TA rules not at all, which validation must report, by rule."""
     f = findings(x)
-    return decide.undecided(f, decide.decide(f))
+    d = decide.decide(f)
+    odd = decide.undecided(f, d.where("rule_id not like 'TA%'").unionByName(d.where("rule_id like 'UT%'")))
+    return odd.join(f.select("finding_id", "rule_id"), "finding_id").groupBy("rule_id", "n").agg(F.count("*").alias("findings"))
+
+
+@operator
+def materialised_diagnostics(x: Facts) -> DataFrame:
+    """Findings decided with suppressed utilities and a code of their own for crowded modules."""
+    status = F.when(F.col("rule_id").startswith("UT"), "Suppressed").otherwise(F.col("status"))
+    code = F.when(F.col("rule_id") == "MO001", "GOV009")
+    d = decide.decide(findings(x)).withColumns({"status": status, "code": code, "why": F.when(code.isNotNull(), "too many types")})
+    return decide.materialise(findings(x), d).select(*SHOWN, "status")
+
+
+@operator
+def legacy_rows(x: Facts) -> DataFrame:
+    """Rows of the older entry points, here everything found, that no registered rule but the CX and DG families covers."""
+    return decide.legacy_wrap(findings(x), [r for r in RULES if r[:2] not in ("CX", "DG")]).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 @operator
 def suppressed_diagnostics(x: Facts) -> DataFrame:
-    return decide.suppress(findings(x), x["air_hint"], x["policy_exception"], TODAY)
+    return diagnostics(x).select(*SHOWN)
 
 
 @operator
 def changed_diagnostics(x: Facts) -> DataFrame:
-    changed = x["air_file"].where("file_ix % 3 = 0").select(F.regexp_replace("path", "^p[0-9]+/", "").alias("path"))
+    """Findings in the larger files, whose paths the listing gives from the package's folder."""
+    changed = x["air_file"].where("line_count >= 200").select(F.regexp_replace("path", "^p[0-9]+/", "").alias("path"))
     return decide.changed_only(findings(x), changed).select(*SHOWN)
 
 
@@ -196,19 +262,49 @@ def registry_drift(x: Facts) -> DataFrame:
     return decide.registry_drift(x["air_file"].sparkSession, ["CX001", "DG001", "ZZ001"], ["CX001", "DG001", "FL002"])
 
 
+@operator
+def registry_coherence(x: Facts) -> DataFrame:
+    spark = x["air_file"].sparkSession
+    rules, families = {"CX001": "CX", "DG001": "DG", "ZZ001": "ZZ"}, {"CX": ["CX001", "CX999"], "DG": ["DG001"]}
+    found = [(k, decide.coherence(spark, d, ["default", "drift"], rules, families)) for k, d in (("given", {"policies": ["default", "gone"]}), ("absent", None), ("broken", "no object"))]
+    out = [df.select(F.lit(k).alias("declaration"), "subject", "what") for k, df in found]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@operator
+def concept_source_of_truth(x: Facts) -> DataFrame:
+    """Identifiers that the findings use against registries that lack two rules, a family and the codes; DC findings count as legacy."""
+    f = diagnostics(x)
+    origin = F.when(F.col("rule_id").startswith("DC"), "legacy").when(F.col("rule_id").startswith("GOV"), "policy").otherwise("rule")
+    policy = F.when(origin == "policy", "expiry")
+    o = f.select(origin.alias("origin"), F.when(origin != "policy", F.col("rule_id")).alias("rule_id"), F.when(origin != "policy", F.left("rule_id", F.lit(2))).alias("family"), policy.alias("policy"), F.when(origin == "policy", F.col("rule_id")).alias("code"))
+    known = {"rule": [r for r in RULES if r not in ("UT003", "MO001", "DC002")], "family": sorted({r[:2] for r in RULES} - {"TA"}), "policy": ["default"], "governance-code": ["GOV002"]}
+    return decide.concept_bypasses(o, {"rule": "enforced", "family": "advisory", "policy": "enforced", "governance-code": "enforced", "widget": "enforced"}, known)
+
+
 @operator
 def policy_drift(x: Facts) -> DataFrame:
     return decide.policy_diff(x["air_file"].sparkSession, LOOSER, BASELINE)
 
 
+def debt(x: Facts) -> DataFrame:
+    """The inventory under a policy that has exempt paths and acknowledged families with and without their reasons."""
+    return survey.debt(Facts(x.tables, LOOSER), TODAY)
+
+
 @operator
 def debt_inventory(x: Facts) -> DataFrame:
-    return survey.debt(x, TODAY, SOON)
+    return survey.in_order(debt(x))
 
 
 @operator
 def debt_by_rule(x: Facts) -> DataFrame:
-    return survey.debt_by_rule(survey.debt(x, TODAY, SOON))
+    return survey.debt_by_rule(debt(x))
+
+
+@operator
+def pruned_counts(x: Facts) -> DataFrame:
+    return survey.pruned(x["policy_exception"], TODAY)
 
 
 @operator
@@ -233,7 +329,9 @@ def internal_edges(x: Facts) -> DataFrame:
 
 @operator
 def rule_pressure(x: Facts) -> DataFrame:
-    return survey.pressure(findings(x))
+    """Diagnostics and what the policy was loosened by, as advice."""
+    drift = policy_drift(x).select(F.col("code").alias("rule_id"))
+    return survey.pressure(diagnostics(x).select("rule_id").unionByName(drift))
 
 
 @operator
@@ -256,6 +354,22 @@ def suggested_layers(x: Facts) -> DataFrame:
     return survey.suggested_layers(Facts(x.tables, Policy()))
 
 
+@operator
+def policy_bootstrap(x: Facts) -> DataFrame:
+    return survey.bootstrap(x)
+
+
+@operator
+def cross_family_suggestions(x: Facts) -> DataFrame:
+    return survey.cross_family(Facts(x.tables, Policy()))
+
+
+@operator
+def vacancy_seeds(x: Facts) -> DataFrame:
+    """Seeds under the looser policy, where the suggested layers cover some families."""
+    return survey.vacancy_seeds(Facts(x.tables, LOOSER), survey.suggested_layers(Facts(x.tables, LOOSER)))
+
+
 @operator
 def merged_suggestions(x: Facts) -> DataFrame:
     s = shared.layers(x["air_file"]).select(F.col("layer").alias("family"), F.col("glob").alias("headline"), F.concat(F.lit("add "), F.substring_index("glob", "::", 2)).alias("commands"), F.concat(F.lit("a "), F.col("layer"), F.lit(" layer")).alias("why"))
@@ -264,35 +378,40 @@ def merged_suggestions(x: Facts) -> DataFrame:
 
 @operator
 def report_text(x: Facts) -> DataFrame:
-    return report.text_lines(RULES["DG003"].observe(x))
+    return report.text_lines(diagnostics(x))
 
 
 @operator
 def report_json(x: Facts) -> DataFrame:
-    return report.json_rows(RULES["DG003"].observe(x))
+    return report.json_rows(diagnostics(x))
 
 
 @operator
 def report_totals(x: Facts) -> DataFrame:
-    return report.totals(findings(x))
+    return report.totals(diagnostics(x))
+
+
+@operator
+def report_summary(x: Facts) -> DataFrame:
+    return report.summary(diagnostics(x))
 
 
 @operator
 def report_sarif_rules(x: Facts) -> DataFrame:
-    return report.sarif_rules(findings(x))
+    return report.sarif_rules(diagnostics(x))
 
 
 @operator
 def report_sarif_results(x: Facts) -> DataFrame:
-    return report.sarif_results(RULES["CX008"].observe(x))
+    return report.sarif_results(diagnostics(x))
 
 
 def _kind_query(kind: str) -> Callable[[Facts], DataFrame]:
-    return lambda x: survey.by_kind(x, kind)
+    return lambda x: survey.by_kind(Facts(Loaded(x.tables), x.policy), kind)
 
 
-for _kind in ("canonical", "boundary", "converter", "SpawnedWork", "BoundaryEntry", "HotPath", "PersistenceWrite", "ExternalIo"):
-    OPERATORS[f"query_{_kind.lower()}"] = _kind_query(_kind)
+for _kind in survey.KINDS:
+    OPERATORS[f"query_{_kind.replace('-', '')}"] = _kind_query(_kind)
 
 
 def _operator_query(name: str) -> Query:

@@ -8,13 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: texts of primitive types
-PRIMITIVES = (
-    "String str i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char"
-).split()
+PRIMITIVES = ["String", "str", "i8", "i16", "i32", "i64", "i128", "isize", "u8", "u16", "u32", "u64", "u128", "usize", "f32", "f64", "bool", "char"]
 # fixed values: suffixes of boundary-shaped type names, tried in this order
-BOUNDARY_SUFFIXES = (
-    "Response Request Payload Schema Message Record Entity Model Reply View Body Resp Req Row Dto"
-).split()
+BOUNDARY_SUFFIXES = ["Response", "Request", "Payload", "Schema", "Message", "Record", "Entity", "Model", "Reply", "View", "Body", "Resp", "Req", "Row", "Dto"]
 
 
 def short_name(symbol: Column) -> Column:
@@ -24,7 +20,7 @@ def short_name(symbol: Column) -> Column:
 
 def containing_module(symbol: Column) -> Column:
     """The symbol without its last segment; a bare name stays."""
-    return F.when(symbol.contains("::"), F.regexp_replace(symbol, r"::(?!.*::).*$", "")).otherwise(symbol)
+    return F.when(symbol.contains("::"), F.left(symbol, F.length(symbol) - F.length(F.substring_index(symbol, "::", -1)) - 2)).otherwise(symbol)
 
 
 def matched_suffix(name: Column) -> Column:
@@ -87,11 +83,9 @@ def snake_to_pascal(name: Column) -> Column:
 
 
 def is_primitive(type_text: Column) -> Column:
-    """A primitive's text behind ``&`` and up to eight layers of ``Option<...>``."""
-    t = F.trim(type_text)
-    for _ in range(8):
-        t = F.regexp_replace(F.trim(F.regexp_replace(t, "^&+", "")), "^Option<(.*)>$", "$1")
-    return F.trim(F.regexp_replace(F.trim(t), "^&+", "")).isin(*PRIMITIVES)
+    """A primitive's text behind ``&`` and layers of ``Option<...>``, however many: what is left of such a text are its closing brackets."""
+    inside = type_text.rlike(rf"^(?:\s|&|Option<)*(?:{'|'.join(PRIMITIVES)})(?:\s|>)*$")
+    return inside & (F.regexp_count(type_text, F.lit("<")) == F.regexp_count(type_text, F.lit(">")))
 
 
 def starts_with_any(name: Column, prefixes: list[str]) -> Column:

@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.scratch import materialize
+from girder.scratch import discard, materialize
 
 
-def reachability(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def reachability(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a path, by doubling: each round joins the pairs known with themselves, so rounds are logarithmic in the longest path.
 
     Meant for graphs of packages: the closure is at most the square of the node
-    count. Each round is written to the shared folder.
+    count. Each round is written to the shared folder; the loop ends when a round adds nothing.
     """
     pairs, known = materialize(edges.select("src", "dst").distinct(), "paths"), -1
-    for _ in range(most_rounds):
-        n = pairs.count()
-        if n == known:
-            break
-        known = n
+    while (n := pairs.count()) != known:
+        known, before = n, pairs
         step = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
         pairs = materialize(pairs.unionByName(step).distinct(), "paths")
+        discard(before)
     return pairs
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose ends both have a way in and a way out, until none goes: what lies on no cycle falls away before any closure is made."""
+    now, n = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges"), -1
+    while (left := now.count()) != n:
+        n, before = left, now
+        ins, outs = now.select(F.col("dst").alias("v")).distinct(), now.select(F.col("src").alias("v")).distinct()
+        kept = now.join(ins, F.col("src") == F.col("v"), "left_semi").join(outs, F.col("dst") == F.col("v"), "left_semi")
+        now = materialize(kept, "edges")
+        discard(before)
+    return now
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component, size): nodes that reach each other; the component is named by its smallest node. Nodes on no cycle are left out."""
-    r = reachability(edges)
+    r = reachability(trimmed(edges))
     back = r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     mutual = r.join(back, ["src", "dst"], "left_semi")
     return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"), F.count("*").alias("size"))

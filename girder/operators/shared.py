@@ -42,23 +42,39 @@ def percentile(df: DataFrame, col: str, q: float, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.expr(f"percentile_disc({q}) within group (order by {col})").alias("value"))
 
 
-def same_file(a: Column, b: Column) -> Column:
-    """One path ends the other, without a check of the separator."""
-    return a.endswith(b) | b.endswith(a)
+def path_pairs(left: DataFrame, right: DataFrame, at_boundary: bool = False) -> DataFrame:
+    """(a, b): distinct paths ``a`` of ``left`` and ``b`` of ``right`` of which one ends the other, by equal keys.
 
+    Every path is taken apart into its endings, at path boundaries or at any
+    letter, so that the two sides meet by whole texts: common base names cost
+    nothing, and the work grows with the files, not with their pairs.
+    """
+
+    def endings(df: DataFrame, name: str) -> DataFrame:
+        path = F.col(name)
+        if at_boundary:
+            parts = F.split(path, "/")
+            tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+        else:
+            tails = F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.substring(path, i, F.length(path)))
+        return df.select(name, F.explode(tails).alias("key"))
 
-def base_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+    a = left.toDF("a").where("a <> ''").distinct()
+    b = right.toDF("b").where("b <> ''").distinct()
+    longer = endings(a, "a").join(b, F.col("key") == F.col("b")).select("a", "b")
+    shorter = endings(b, "b").join(a, F.col("key") == F.col("a")).select("a", "b")
+    return longer.unionByName(shorter).distinct()
 
 
 def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of closed line intervals of the same file. The base name is the join's key, so that the range test runs within a file's rows.
+    """Pairs of closed line intervals of the same file: files are matched first, so that rows meet by whole paths.
 
     Both sides need (file, from_line, to_line); the right one's come back with ``r_`` before them.
     """
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    on = (base_name(F.col("file")) == base_name(F.col("r_file"))) & same_file(F.col("file"), F.col("r_file"))
-    return left.join(r, on & (F.col("from_line") <= F.col("r_to_line")) & (F.col("r_from_line") <= F.col("to_line")))
+    same = path_pairs(left.select("file"), right.select("file"))
+    both = left.join(same, F.col("file") == F.col("a")).join(r, F.col("b") == F.col("r_file")).drop("a", "b")
+    return both.where((F.col("from_line") <= F.col("r_to_line")) & (F.col("r_from_line") <= F.col("to_line")))
 
 
 def hint_targets(hints: DataFrame, items: DataFrame) -> DataFrame:
@@ -70,13 +86,13 @@ def hint_targets(hints: DataFrame, items: DataFrame) -> DataFrame:
 
 
 # fixed values: verbs and types of the standard library's runtime
-FS_WRITES = "write create create_dir create_dir_all remove_file remove_dir remove_dir_all rename copy hard_link set_permissions".split()
-FS_READS = "read read_to_string read_dir read_link metadata canonicalize".split()
+FS_WRITES = ["write", "create_dir", "create_dir_all", "remove_file", "remove_dir", "remove_dir_all", "copy", "rename", "hard_link", "soft_link", "symlink"]
+FS_READS = ["read", "read_to_string", "read_dir", "metadata", "canonicalize", "open"]
 PAUSES = ["sleep", "park", "park_timeout"]
-RUNS = ["output", "status", "spawn", "wait"]
+RUNS = ["output", "status", "wait", "wait_with_output"]
 NET = ["TcpStream", "TcpListener", "UdpSocket"]
-PRINTS = "println print eprintln eprint dbg".split()
-LEVELS = "trace debug info warn error".split()
+PRINTS = ["println", "eprintln", "print", "eprint", "dbg"]
+LEVELS = ["info", "warn", "error", "debug", "trace"]
 
 
 def classify_calls(calls: DataFrame) -> DataFrame:
@@ -85,7 +101,7 @@ def classify_calls(calls: DataFrame) -> DataFrame:
     last, prev, third = F.element_at(s, -1), F.try_element_at(s, F.lit(-2)), F.try_element_at(s, F.lit(-3))
     fn, meta = F.col("call_kind") == "Function", F.col("call_kind") == "Meta"
     out = [
-        (fn & (last == "spawn") & ~F.coalesce(prev == "Command", F.lit(False)), "SpawnedWork"),
+        (fn & (last == "spawn"), "SpawnedWork"),
         (fn & (prev == "env") & last.isin("var", "var_os"), "ConfigRead"),
         (fn & (prev == "fs") & last.isin(*FS_WRITES), "PersistenceWrite"),
         (fn & (prev == "fs") & last.isin(*FS_READS), "BlockingCall"),
@@ -94,7 +110,7 @@ def classify_calls(calls: DataFrame) -> DataFrame:
         (fn & (third == "process") & (prev == "Command") & last.isin(*RUNS), "BlockingCall"),
         (fn & (third == "net") & prev.isin(*NET), "ExternalIo"),
         (fn & (third == "net") & prev.isin(*NET), "BlockingCall"),
-        (meta & F.when(F.size(s) == 1, last.isin(*PRINTS, *LEVELS)).otherwise(last.isin(*LEVELS)), "Logging"),
+        (meta & (last.isin(*LEVELS) | ((F.size(s) == 1) & last.isin(*PRINTS))), "Logging"),
     ]
     kinds = F.filter(F.array(*[F.when(cond, F.lit(kind)) for cond, kind in out]), lambda k: k.isNotNull())
     df = calls.withColumn("kind", F.explode(kinds))
@@ -102,7 +118,10 @@ def classify_calls(calls: DataFrame) -> DataFrame:
 
 
 # fixed values: kinds that a marker may promote to a fact
-MARKERS = "spawned_work blocking_call external_io persistence_write config_read logging boundary_entry hot_path runtime_state_owner metric_emission event_emission".split()
+MARKERS = [
+    "spawned_work", "config_read", "logging", "external_io", "persistence_write", "blocking_call", "hot_path", "request_context", "boundary_entry",
+    "runtime_state_owner", "background_worker",
+]
 
 
 def promote_markers(hints: DataFrame, functions: DataFrame) -> DataFrame:
@@ -112,6 +131,17 @@ def promote_markers(hints: DataFrame, functions: DataFrame) -> DataFrame:
     return m.where("target_symbol is not null").select(*ORD, named.alias("kind"), F.col("target_symbol").alias("symbol"), F.lit(1.0).alias("confidence"))
 
 
+def load_facts(facts: DataFrame, calls: DataFrame, hints: DataFrame, functions: DataFrame) -> DataFrame:
+    """All facts as rules read them: those given, then what calls of the runtime imply, then what markers promote."""
+    at = functions.groupBy("symbol").agg(F.min(F.struct(*ORD, "path", "line_start", "line_end")).alias("f"))
+    cols = [*ORD, "scope", "kind", "symbol", "path", "line_start", "line_end", "evidence", "source", "confidence"]
+    given = facts.withColumnRenamed("fact_path", "path")
+    called = classify_calls(calls).withColumns({"source": F.lit("runtime-calls")})
+    marked = promote_markers(hints, functions).withColumns({"scope": F.lit("Function"), "evidence": F.lit(None).cast("string"), "source": F.lit("markers")})
+    marked = marked.join(at, "symbol").withColumns({c: F.col(f"f.{c}") for c in ("path", "line_start", "line_end")})
+    return given.select(*cols).unionByName(called.select(*cols)).unionByName(marked.select(*cols)).withColumnRenamed("path", "fact_path")
+
+
 def endpoint_concepts(conversions: DataFrame, concepts: DataFrame) -> DataFrame:
     """Conversions with the accepted concept of either end: the first by (concept, symbol) whose symbol, or its last segment, is the end's text."""
     names = concepts.select(F.explode(F.array("symbol", "name")).alias("as"), F.struct("concept", "symbol").alias("s")).groupBy("as").agg(F.min("s").alias("s"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from girder.functions.text import BOUNDARY_SUFFIXES, PRIMITIVES
 from girder.plans.policy import SAMPLE
-from girder.plans.rules import BOUNDARY_METHOD_PREFIXES, BOUNDARY_METHODS, RULES, VALIDATING
-from girder.sources.projection import ctes
+from girder.plans.rules import RULES
+from girder.sources.projection import PROJECTION, ctes
 
 P = SAMPLE.section
+# fixed values, written out once more so that a slip in the plans shows
+PRIMITIVES = ["String", "str", "i8", "i16", "i32", "i64", "i128", "isize", "u8", "u16", "u32", "u64", "u128", "usize", "f32", "f64", "bool", "char"]
+BOUNDARY_SUFFIXES = ["Response", "Request", "Payload", "Schema", "Message", "Record", "Entity", "Model", "Reply", "View", "Body", "Resp", "Req", "Row", "Dto"]
+BOUNDARY_METHODS = [
+    "from", "try_from", "into", "try_into", "serialize", "deserialize", "fmt", "display", "new", "default", "builder", "build", "clone",
+    "as_ref", "as_mut", "as_str", "as_bytes", "into_inner", "inner", "len", "is_empty",
+]
+BOUNDARY_METHOD_PREFIXES = ["as_", "to_", "into_", "from_", "try_", "with_"]
+VALIDATING = ["validate_", "is_valid_", "check_", "verify_", "ensure_", "normalize_", "sanitize_", "canonicalize_", "parse_", "clean_"]
 
 
 def q(text: str) -> str:
@@ -91,14 +99,19 @@ def word(text: str, name: str) -> str:
 M = "module_path"
 SILENT = "body_shape IN ('Empty', 'Literal', 'Call')"
 ORACLES: dict[str, str] = {}
+#: The rules without the projected tables, for one statement over all of them.
+BODIES: dict[str, str] = {}
+PLACED = "module_path IS NOT NULL"
 
 
 def add(id_: str, subject: str, detail: str, source: str, *tables: str, where: str = "true", severity: str | None = None, line_start: str = "line_start", line_end: str = "line_end", path: str = "path", extra: str = "") -> None:
     sev = severity or q(RULES[id_].severity)
-    ORACLES[f"rule_{id_.lower()}"] = (
-        f"{ctes(*tables)}{extra}\nSELECT {q(id_)} AS rule_id, {sev} AS severity, {path} AS path, CAST({line_start} AS INT) AS line_start, CAST({line_end} AS INT) AS line_end, "
+    body = (
+        f"SELECT {q(id_)} AS rule_id, {sev} AS severity, {path} AS path, CAST({line_start} AS INT) AS line_start, CAST({line_end} AS INT) AS line_end, "
         f"{subject} AS subject, CAST({detail} AS VARCHAR) AS detail FROM {source} WHERE {where}"
     )
+    ORACLES[f"rule_{id_.lower()}"] = f"{ctes(*tables)}{extra}\n{body}"
+    BODIES[id_] = f"{'WITH ' + extra[2:] if extra else ''} {body}"
 
 
 def file_level(id_: str, subject: str, detail: str, source: str, *tables: str, where: str = "true") -> None:
@@ -117,7 +130,7 @@ def fact(id_: str, detail: str, kinds: list[str], where: str) -> None:
 
 cx = P("CX")
 b = f"coalesce({value(M, cx['fn_overrides'], tail)}, {cx['fn_lines']})"
-add("CX001", "symbol", f"line_count || '/' || {b}", "air_function", "air_function", where=f"line_count > {b}")
+add("CX001", "symbol", f"line_count || '/' || {b}", "air_function", "air_function", where=f"{PLACED} AND line_count > {b}")
 b = f"coalesce({value(M, cx['module_overrides'])}, {cx['module_lines']})"
 file_level("CX002", M, f"line_count || '/' || {b}", "air_file", "air_file", where=f"{M} IS NOT NULL AND line_count > {b}")
 pub = "(SELECT pkg_ix, file_ix, item_ix, path, module_path, line_start, line_end FROM air_type WHERE visibility = 'Public' UNION ALL SELECT pkg_ix, file_ix, item_ix, path, module_path, line_start, line_end FROM air_function WHERE visibility = 'Public')"
@@ -129,7 +142,7 @@ add("CX008", "fs", "n", f"{FN} f JOIN (SELECT function, count(*) AS n FROM air_c
 dg = P("DG")
 edge = "CASE " + " ".join(f"WHEN {seg(M, a)} AND {seg('import_path', z)} THEN {q(a + ' -> ' + z)}" for a, z in dg["edges"]) + " END"
 add("DG001", "import_path", edge, "air_import", "air_import", where=f"{edge} IS NOT NULL")
-ORACLES["rule_dg002"] = "WITH RECURSIVE " + ctes("air_import").removeprefix("WITH ") + """, e AS (
+DG002 = """e AS (
   SELECT src, dst, path, line_start, line_end FROM (
     SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY pkg_ix, file_ix, item_ix) AS rn FROM (
       SELECT *, split_part(module_path, '::', 1) AS src, split_part(import_path, '::', 1) AS dst FROM air_import WHERE module_path IS NOT NULL)
@@ -139,6 +152,8 @@ comp AS (SELECT a.src AS node, min(a.dst) AS c, count(*) AS n FROM r a JOIN r b
 SELECT 'DG002' AS rule_id, 'Fatal' AS severity, path, CAST(line_start AS INT) AS line_start, CAST(line_end AS INT) AS line_end, src || ' -> ' || dst AS subject, a.c AS detail
 FROM e JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.c = b.c AND a.n > 1 AND b.n > 1
 """
+ORACLES["rule_dg002"] = "WITH RECURSIVE " + ctes("air_import").removeprefix("WITH ") + ", " + DG002
+BODIES["DG002"] = "WITH RECURSIVE " + DG002
 of, to = feature(M, dg["features"]), feature("import_path", dg["features"])
 api = " OR ".join(f"({to} = {q(f[0])} AND {some('import_path', f[2])})" for f in dg["features"])
 add("DG003", "import_path", f"{of} || ' -> ' || {to}", "air_import", "air_import", where=f"{of} <> {to} AND NOT ({api})")
@@ -210,7 +225,7 @@ add("OT012", "symbol || '.' || name", pascal, "air_field", "air_field", "policy_
     where=f"kind = 'Struct' AND symbol NOT IN (SELECT symbol FROM policy_concept) AND {plain} IN ({', '.join(map(q, PRIMITIVES))}) AND {pascal} IN (SELECT name FROM policy_concept WHERE role = 'canonical')")
 
 fl = P("FL")
-own = f"NOT {some(M, fl['invariant_owner_paths'])} AND NOT {some(parent('function'), fl['invariant_owner_paths'])}"
+own = f"{PLACED} AND NOT {some(M, fl['invariant_owner_paths'])} AND NOT {some(parent('function'), fl['invariant_owner_paths'])}"
 e = error_of("return_type")
 add("FL001", "symbol", first(e, fl["boundary_error_patterns"]), "air_function", "air_function", where=f"{some(M, fl['domain_paths'])} AND {some(e, fl['boundary_error_patterns'])}")
 add("FL002", "function", short("callee"), "air_call_site", "air_call_site", where=f"call_kind IN ('Method', 'Meta') AND {short('callee')} IN ({', '.join(map(q, fl['forbidden_callees']))}) AND {own}")
@@ -222,20 +237,21 @@ add("FL007", "function", "pattern", "air_match_arm", "air_match_arm", where=f"pa
 add("FL010", "function", "callee", "air_fallback", "air_fallback", where=f"callee IN ('unwrap_or', 'or') AND default_shape IN ('Literal', 'Call') AND {own}")
 add("FL011", "function", "pattern", "air_match_arm", "air_match_arm", where=f"regexp_matches(trim(pattern), '^_($| if | @ )') AND {SILENT} AND {own}")
 ro = fl["retry_policy_owner_paths"]
-add("FL012", "function", "loop_kind", "air_retry_loop", "air_retry_loop", where=f"propagates AND has_break AND NOT {some(M, ro)} AND NOT {some(parent('function'), ro)}")
+add("FL012", "function", "loop_kind", "air_retry_loop", "air_retry_loop", where=f"{PLACED} AND propagates AND has_break AND NOT {some(M, ro)} AND NOT {some(parent('function'), ro)}")
 add("FL013", "symbol", "callee || '@' || cl", f"""air_function f JOIN (SELECT path AS cp, function, arg_min(callee, item_ix) AS callee, arg_min(line_start, item_ix) AS cl FROM air_call_site
    WHERE {short('callee')} IN ('to_string', 'format!', 'format', 'display') GROUP BY path, function) c ON c.cp = f.path AND c.function = f.symbol""", "air_function", "air_call_site",
-    where=f"ltrim({e}, '&') IN ('String', 'str') AND NOT {some(M, fl['invariant_owner_paths'])}")
+    where=f"{PLACED} AND ltrim({e}, '&') IN ('String', 'str') AND NOT {some(M, fl['invariant_owner_paths'])}")
 
 mo = P("MO")
+HERE = "path IN (SELECT path FROM air_file WHERE module_path IS NOT NULL)"
 b = f"coalesce({value(M, mo['overrides'])}, {mo['max_public_types']})"
 add("MO001", M, f"n || '/' || {b}", "(SELECT *, count(*) OVER (PARTITION BY path) AS n, row_number() OVER (PARTITION BY path ORDER BY item_ix) AS rn FROM air_type WHERE visibility = 'Public')", "air_type", where=f"rn = 1 AND {M} IS NOT NULL AND n > {b}")
 file_level("MO002", "path", "roles", f"""(SELECT path, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, count(DISTINCT role) AS n FROM (
    SELECT path, category AS role FROM air_hint WHERE category IN ('canonical', 'boundary', 'converter') UNION ALL SELECT path, 'handler' FROM air_function WHERE {some('name', mo['handler_names'], glob)}
    UNION ALL SELECT path, 'persistence' FROM air_import WHERE {some('import_path', mo['persistence_imports'])} UNION ALL SELECT path, 'io' FROM air_call_site WHERE {some('callee', mo['io_callees'])}) GROUP BY path)""",
-    "air_hint", "air_import", "air_call_site", where=f"n >= {mo['entropy_threshold']}")
-file_level("MO003", "path", "NULL", "(SELECT path FROM air_hint WHERE category = 'canonical' INTERSECT SELECT path FROM air_hint WHERE category = 'boundary')", "air_hint")
-add("MO004", "symbol", "NULL", f"(SELECT *, row_number() OVER (PARTITION BY path ORDER BY item_ix) AS rn FROM air_function WHERE {some('name', mo['handler_names'], glob)} AND path IN (SELECT path FROM air_hint WHERE category = 'canonical'))", "air_function", "air_hint", where="rn = 1")
+    "air_hint", "air_import", "air_call_site", "air_function", where=f"n >= {mo['entropy_threshold']} AND {HERE}")
+file_level("MO003", "path", "NULL", "(SELECT path FROM air_hint WHERE category = 'canonical' INTERSECT SELECT path FROM air_hint WHERE category = 'boundary')", "air_hint", where=HERE)
+add("MO004", "symbol", "NULL", f"(SELECT *, row_number() OVER (PARTITION BY path ORDER BY item_ix) AS rn FROM air_function WHERE {some('name', mo['handler_names'], glob)} AND path IN (SELECT path FROM air_hint WHERE category = 'canonical'))", "air_function", "air_hint", where=f"rn = 1 AND {PLACED}")
 add("MO005", "symbol", "entry || ':' || what", f"""(SELECT d.*, f.entry, (SELECT count(*) FROM air_import i WHERE i.path = d.path AND i.visibility = 'Public') AS wires, count(*) FILTER (WHERE d.visibility = 'Public') OVER (PARTITION BY d.path) AS public FROM (
    SELECT path, line_start, line_end, symbol, '' AS name, visibility, 'type' AS what, 0 AS lines FROM air_type
    UNION ALL SELECT path, line_start, line_end, target_type, '', 'Public', 'impl', 0 FROM air_impl UNION ALL SELECT path, line_start, line_end, symbol, '', 'Public', 'conversion', 0 FROM {CONV} c
@@ -251,7 +267,7 @@ add("AB002", "symbol", first("name", ab["suspect_names"], glob), "air_type", "ai
 DOC = "(SELECT item_ix, path, module_path, line_start, line_end, symbol, visibility, doc FROM air_type UNION ALL SELECT item_ix, path, module_path, line_start, line_end, symbol, visibility, doc FROM air_function)"
 ref = "https?://[^[:space:]<>\"'']+|(?:^|[^A-Za-z0-9_])#[0-9]+"
 left = f"list_filter(regexp_split_to_array(regexp_replace(doc, '{ref}', ' ', 'g'), '[[:space:]]+'), lambda w: regexp_matches(w, '[A-Za-z0-9]'))"
-add("CL001", "symbol", f"regexp_replace(trim(regexp_extract(doc, '{ref}')), '[.,)`]+$', '')", DOC, "air_type", "air_function", where=f"regexp_matches(doc, '{ref}') AND len({left}) < {P('CL')['least_words']}")
+add("CL001", "symbol", f"regexp_replace(trim(regexp_extract(doc, '{ref}')), '[.,)`]+$', '')", DOC, "air_type", "air_function", where=f"regexp_matches(doc, '{ref}') AND len({left}) < {P('CL')['least_words']} AND NOT {some(M, P('CL')['exempt_paths'])}")
 
 
 def imports(id_: str, where: list[str], what: list[str]) -> None:
@@ -286,7 +302,7 @@ add("ER001", "symbol", "fst", "(SELECT *, row_number() OVER w AS rn, first_value
 le = f"ltrim({e}, '&')"
 add("ER002", "symbol", le, "air_function", "air_function", where=some(le, [p.lstrip("&") for p in er["string_error_patterns"]], star))
 add("ER003", "symbol || '::' || name", first("field_type", er["boundary_error_patterns"]), "air_variant", "air_variant", where=f"{some(M, er['domain_paths'])} AND {some('field_type', er['boundary_error_patterns'])}")
-add("ER005", "function", "pattern", "air_match_arm", "air_match_arm", where=f"pattern_has_wildcard AND regexp_matches(trim(pattern), '^Err|Err\\(') AND {SILENT} AND NOT {some(M, er['collapse_owner_paths'])} AND NOT {some('function', er['collapse_owner_paths'])}")
+add("ER005", "function", "pattern", "air_match_arm", "air_match_arm", where=f"{PLACED} AND pattern_has_wildcard AND regexp_matches(trim(pattern), '^Err|Err\\(') AND {SILENT} AND NOT {some(M, er['collapse_owner_paths'])} AND NOT {some('function', er['collapse_owner_paths'])}")
 add("ER007", "symbol || '::' || name", "ft", "(SELECT *, first_value(type_name) OVER w AS ft, first_value(path) OVER w AS fp FROM air_variant WHERE regexp_matches(type_name, '(Error|Err)$') WINDOW w AS (PARTITION BY name ORDER BY pkg_ix, file_ix, item_ix, pos))", "air_variant", where="type_name <> ft OR path <> fp")
 
 pa = P("PA")
@@ -298,10 +314,10 @@ add("PA004", "function", "target", "air_truth_action", "air_truth_action", where
 rw = P("RW")
 fact("RW001", "a.item_ix", ["SpawnedWork"], f"NOT ({both(rw['owner_paths'])})")
 fact("RW002", "a.item_ix", ["BlockingCall"], f"NOT ({both(rw['owner_paths'])})")
-add("RW003", "symbol", "name", f"(SELECT *, row_number() OVER (PARTITION BY item_ix ORDER BY pos) AS rn FROM air_field WHERE {some('type_text', rw['state_types'], glob)})", "air_field", where=f"rn = 1 AND NOT {some(M, rw['owner_paths'])}")
+add("RW003", "symbol", "name", f"(SELECT *, row_number() OVER (PARTITION BY item_ix ORDER BY pos) AS rn FROM air_field WHERE {some('type_text', rw['state_types'], glob)})", "air_field", where=f"rn = 1 AND {PLACED} AND NOT {some(M, rw['owner_paths'])}")
 sg = some("name", rw["singleton_names"], glob)
 add("RW004", "symbol", f"CASE WHEN {sg} THEN 'name' ELSE 'field' END", "air_type t LEFT JOIN (SELECT item_ix AS fi, count(*) AS n, any_value(type_text) AS text FROM air_field GROUP BY item_ix) f ON fi = item_ix", "air_type", "air_field",
-    where=f"NOT {some(M, rw['owner_paths'])} AND ({sg} OR (kind = 'Struct' AND n = 1 AND {some('text', rw['state_types'], glob)}))")
+    where=f"{PLACED} AND NOT {some(M, rw['owner_paths'])} AND ({sg} OR (kind = 'Struct' AND n = 1 AND {some('text', rw['state_types'], glob)}))")
 HOT = "a.symbol IN (SELECT symbol FROM air_fact WHERE kind = 'HotPath' AND scope = 'Function')"
 fact("RW005", "a.item_ix", ["BlockingCall"], HOT)
 fact("RW006", "a.item_ix", ["SpawnedWork"], HOT)
@@ -330,15 +346,15 @@ add("FO004", "symbol || '.' || name", tok, "air_field", "air_field", where=f"{so
 ob = P("OB")
 fact("OB001", "a.evidence || ':' || a.item_ix", ["Logging"], f"a.evidence IN ({', '.join(map(q, ob['log_targets']))}) AND NOT {some('f.module_path', ob['observer_paths'])}")
 for id_, mac, own_ in (("OB002", "metric_macros", "metric_owner_paths"), ("OB003", "event_macros", "event_owner_paths")):
-    add(id_, "function", "callee", "air_call_site", "air_call_site", where=f"call_kind = 'Meta' AND callee IN ({', '.join(map(q, ob[mac]))}) AND NOT {some(M, ob[own_])}")
+    add(id_, "function", "callee", "air_call_site", "air_call_site", where=f"{PLACED} AND call_kind = 'Meta' AND callee IN ({', '.join(map(q, ob[mac]))}) AND NOT {some(M, ob[own_])}")
 add("OB004", "b.symbol", "NULL", f"(SELECT DISTINCT symbol FROM air_fact WHERE scope = 'Function' AND kind = 'BoundaryEntry' AND symbol NOT IN (SELECT symbol FROM air_fact WHERE scope = 'Function' AND kind = 'Logging')) b LEFT JOIN {FN} f ON f.fs = b.symbol", "air_fact", "air_function")
 
 cf = P("CF")
 cfg = some(M, cf["config_paths"], either)
 fact("CF001", "a.item_ix", ["ConfigRead"], f"NOT {some('f.module_path', cf['config_paths'], either)}")
-add("CF002", "function", "value", "air_literal", "air_literal", where=f"lower(kind) IN ({', '.join(map(q, cf['literal_kinds']))}) AND NOT {cfg}")
+add("CF002", "function", "value", "air_literal", "air_literal", where=f"{PLACED} AND lower(kind) IN ({', '.join(map(q, cf['literal_kinds']))}) AND NOT {cfg}")
 lit = "trim(value, '\"')"
-add("CF003", "function", first(lit, cf["id_patterns"], either), "air_literal", "air_literal", where=f"kind = 'Str' AND {some(lit, cf['id_patterns'], either)} AND NOT {cfg}")
+add("CF003", "function", first(lit, cf["id_patterns"], either), "air_literal", "air_literal", where=f"{PLACED} AND kind = 'Str' AND {some(lit, cf['id_patterns'], either)} AND NOT {cfg}")
 
 ta = P("TA")
 add("TA001", "symbol", first(M, ta["test_paths"]), "air_type", "air_type", where=f"visibility = 'Public' AND {some(M, ta['test_paths'])}")
@@ -380,7 +396,7 @@ ORACLES["canonical_election"] = f"{ctes(*CLUSTER_TABLES)}{CLUSTERS}{SCORED.forma
 ORACLES["conversion_provenance"] = f"{ctes('air_conversion')}\nSELECT symbol, mechanism, layer, path, line_start FROM {CONV} c"
 PICK = "(SELECT e, arg_min(concept, concept || chr(1) || symbol) AS c FROM (SELECT symbol AS e, concept, symbol FROM policy_concept UNION ALL SELECT name, concept, symbol FROM policy_concept) GROUP BY e)"
 ORACLES["endpoint_lookup"] = f"{ctes('air_conversion', 'policy_concept')}\nSELECT v.symbol, layer, f.c AS from_concept, t.c AS to_concept FROM air_conversion v LEFT JOIN {PICK} f ON f.e = v.from_type LEFT JOIN {PICK} t ON t.e = v.to_type"
-ORACLES["fact_function_lookup"] = f"{ctes('air_fact', 'air_function')}\nSELECT a.symbol, kind, a.item_ix AS fact_ix, f.path, f.line_start FROM air_fact a JOIN {FN} f ON f.fs = a.symbol WHERE scope = 'Function' AND kind IN ('SpawnedWork', 'Logging') AND f.module_path IS NOT NULL"
+ORACLES["fact_function_lookup"] = f"{ctes('air_fact', 'air_function')}\nSELECT a.symbol, kind, a.item_ix AS fact_ix, f.path, f.line_start FROM air_fact a JOIN {FN} f ON f.fs = a.symbol WHERE scope = 'Function' AND f.module_path IS NOT NULL"
 EDGES = """, e AS (SELECT src, dst, path, line_start FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY pkg_ix, file_ix, item_ix) AS rn FROM (
   SELECT *, split_part(module_path, '::', 1) AS src, split_part(import_path, '::', 1) AS dst FROM air_import WHERE module_path IS NOT NULL) WHERE src <> dst) WHERE rn = 1)"""
 ORACLES["package_graph"] = f"{ctes('air_import')}{EDGES}\nSELECT * FROM e"
@@ -399,67 +415,123 @@ LAYER_WORDS = ", ".join(f"({q(w)}, {q(k)})" for k, ws in {
 }.items() for w in ws)
 LAYER_ROWS = f"(SELECT DISTINCT layer, array_to_string(list_slice(string_split(module_path, '::'), 1, list_position(string_split(module_path, '::'), w)), '::') || '::*' AS glob FROM (SELECT module_path FROM air_file) f JOIN (VALUES {LAYER_WORDS}) AS v(w, layer) ON contains('::' || module_path || '::', '::' || w || '::'))"
 ORACLES["layer_detection"] = f"{ctes('air_file')}\nSELECT * FROM {LAYER_ROWS} x"
+SEG = "list_extract(string_split(callee, '::'), {})".format
+L1, L2, L3 = SEG(-1), SEG(-2), SEG(-3)
 CALLED = "UNION ALL ".join(
     f"SELECT {q(kind)} AS kind, 'Function' AS scope, function AS symbol, callee AS evidence, item_ix FROM air_call_site WHERE {cond} "
     for kind, cond in [
-        ("SpawnedWork", "call_kind = 'Function' AND callee = 'tokio::spawn'"), ("PersistenceWrite", "call_kind = 'Function' AND callee = 'std::fs::write'"), ("BlockingCall", "call_kind = 'Function' AND callee = 'std::thread::sleep'"),
-        ("ConfigRead", "call_kind = 'Function' AND callee = 'std::env::var'"), ("Logging", "call_kind = 'Meta' AND callee = 'println'"),
+        ("SpawnedWork", f"call_kind = 'Function' AND {L1} = 'spawn'"), ("ConfigRead", f"call_kind = 'Function' AND {L2} = 'env' AND {L1} IN ('var', 'var_os')"),
+        ("PersistenceWrite", f"call_kind = 'Function' AND {L2} = 'fs' AND {L1} IN ('write', 'create_dir', 'create_dir_all', 'remove_file', 'remove_dir', 'remove_dir_all', 'copy', 'rename', 'hard_link', 'soft_link', 'symlink')"),
+        ("BlockingCall", f"call_kind = 'Function' AND {L2} = 'fs' AND {L1} IN ('read', 'read_to_string', 'read_dir', 'metadata', 'canonicalize', 'open')"),
+        ("BlockingCall", f"call_kind = 'Function' AND {L2} = 'thread' AND {L1} IN ('sleep', 'park', 'park_timeout')"),
+        ("ExternalIo", f"call_kind = 'Function' AND {L3} = 'process' AND {L2} = 'Command'"),
+        ("BlockingCall", f"call_kind = 'Function' AND {L3} = 'process' AND {L2} = 'Command' AND {L1} IN ('output', 'status', 'wait', 'wait_with_output')"),
+        ("ExternalIo", f"call_kind = 'Function' AND {L3} = 'net' AND {L2} IN ('TcpStream', 'TcpListener', 'UdpSocket')"),
+        ("BlockingCall", f"call_kind = 'Function' AND {L3} = 'net' AND {L2} IN ('TcpStream', 'TcpListener', 'UdpSocket')"),
+        ("Logging", f"call_kind = 'Meta' AND (callee IN ('println', 'eprintln', 'print', 'eprint', 'dbg') OR {L1} IN ('info', 'warn', 'error', 'debug', 'trace'))"),
     ]
 )
 ORACLES["runtime_call_facts"] = f"{ctes('air_call_site')}\n{CALLED}"
-ORACLES["marker_facts"] = f"{ctes('air_hint', 'air_function')}\nSELECT CASE fact_kind WHEN 'hot_path' THEN 'HotPath' WHEN 'boundary_entry' THEN 'BoundaryEntry' ELSE 'Logging' END AS kind, target_symbol AS symbol, item_ix FROM {TARGET.format('air_function')} x WHERE category = 'marker' AND target_symbol IS NOT NULL"
-ORACLES["source_module_paths"] = f"{ctes('air_file')}\nSELECT path, package || '::' || replace(regexp_replace(regexp_extract(path, 'src/(.*)\\.rs$', 1), '/mod$', ''), '/', '::') AS module FROM air_file"
+MARKED_KINDS = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in [
+    ("spawned_work", "SpawnedWork"), ("config_read", "ConfigRead"), ("logging", "Logging"), ("external_io", "ExternalIo"), ("persistence_write", "PersistenceWrite"), ("blocking_call", "BlockingCall"),
+    ("hot_path", "HotPath"), ("request_context", "RequestContext"), ("boundary_entry", "BoundaryEntry"), ("runtime_state_owner", "RuntimeStateOwner"), ("background_worker", "BackgroundWorker"),
+])
+MARKED = f"SELECT CASE fact_kind {MARKED_KINDS} END AS kind, target_symbol AS symbol, item_ix FROM {TARGET.format('air_function')} x WHERE category = 'marker' AND target_symbol IS NOT NULL AND fact_kind <> 'metric_emission'"
+ORACLES["marker_facts"] = f"{ctes('air_hint', 'air_function')}\n{MARKED}"
 
-PIPELINE = ["CX001", "CX008", "DG003", "OT004", "FL002", "MO001", "BO001", "RW001", "DC002", "UT003"]
 
+def loaded(*tables: str) -> str:
+    """The WITH list with ``air_fact`` as rules read it: given, called and marked."""
+    base = ctes("air_fact", "air_call_site", "air_hint", "air_function", *tables).replace("air_fact AS MATERIALIZED (", "given_fact AS MATERIALIZED (")
+    return f"""{base}, air_fact AS MATERIALIZED (SELECT kind, scope, symbol, evidence, item_ix FROM given_fact UNION ALL {CALLED} UNION ALL SELECT kind, 'Function', symbol, NULL, item_ix FROM ({MARKED}) AS mk)"""
 
-def _union(cols: str = "*") -> str:
-    """The pipeline's rules as one row set: each rule's own statement as a subquery."""
-    return "(" + " UNION ALL ".join(f"SELECT {cols} FROM ({ORACLES['rule_' + r.lower()]}) AS r_{r.lower()}" for r in PIPELINE) + ") AS u"
 
+ORACLES["loaded_facts"] = f"{loaded()}\nSELECT * FROM air_fact"
+ORACLES["source_module_paths"] = f"{ctes('air_file')}\nSELECT path, package || '::' || replace(regexp_replace(regexp_extract(path, 'src/(.*)\\.rs$', 1), '/mod$', ''), '/', '::') AS module FROM air_file"
 
-ALL = _union()
-ranks = " ".join(f"WHEN {q(r)} THEN {list(RULES).index(r)}" for r in PIPELINE)
-ORACLES["observed_findings"] = f"""SELECT rule_id, severity, n, CAST(before + lo AS BIGINT) AS first_id, CAST(before + hi AS BIGINT) AS last_id FROM (
-  SELECT rule_id, severity, count(*) AS n, 1 AS lo, count(*) AS hi FROM {ALL} WHERE rule_id <> 'DC002' GROUP BY rule_id, severity) g
-JOIN (SELECT rule_id AS rb, sum(n) OVER (ORDER BY ix) - n AS before FROM (SELECT rule_id, count(*) AS n, min(CASE rule_id {ranks} END) AS ix FROM {ALL} GROUP BY rule_id)) b ON rb = rule_id"""
-STRICT = "CASE WHEN severity = 'Warning' AND rule_id NOT IN ('CX001', 'CX002') THEN 'Fatal' ELSE severity END"
-ORACLES["strict_severities"] = f"SELECT rule_id, {STRICT} AS severity, count(*) AS n FROM {ALL} GROUP BY rule_id, {STRICT}"
-ORACLES["decisions"] = f"SELECT CASE WHEN severity = 'Advisory' THEN 'Advisory' ELSE 'Active' END AS status, severity, count(*) AS n FROM {ALL} GROUP BY severity"
-ORACLES["undecided_findings"] = "SELECT CAST(0 AS BIGINT) AS finding_id, CAST(0 AS BIGINT) AS n WHERE false"
+FOUND = f"{loaded(*PROJECTION)}, u AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM ({BODIES[r]}) AS r_{r.lower()}" for r in RULES) + ")"
+COLS = "rule_id, severity, path, line_start, line_end, subject, detail"
+ranks = " ".join(f"WHEN {q(r)} THEN {i}" for i, r in enumerate(RULES))
+ORACLES["observed_findings"] = f"{FOUND}\nSELECT {COLS} FROM u"
+ORACLES["finding_numbers"] = f"""{FOUND}
+SELECT rule_id, n, CAST(upto - n + 1 AS BIGINT) AS first_id, CAST(upto AS BIGINT) AS last_id FROM (
+  SELECT rule_id, n, sum(n) OVER (ORDER BY CASE rule_id {ranks} END) AS upto FROM (SELECT rule_id, count(*) AS n FROM u GROUP BY rule_id))"""
+STRICT = """CASE WHEN severity = 'Warning' AND NOT (rule_id = 'CX001' AND split_part(detail, '/', 2) = '50') AND NOT (rule_id = 'CX002' AND split_part(detail, '/', 2) = '400') THEN 'Fatal' ELSE severity END"""
+ORACLES["strict_severities"] = f"{FOUND}\nSELECT rule_id, {STRICT} AS severity, count(*) AS n FROM u GROUP BY rule_id, {STRICT}"
+ORACLES["decisions"] = f"{FOUND}\nSELECT CASE WHEN severity = 'Advisory' THEN 'Advisory' ELSE 'Active' END AS status, severity, count(*) AS n FROM u GROUP BY severity"
+ORACLES["undecided_findings"] = f"{FOUND}\nSELECT rule_id, CAST(CASE WHEN rule_id LIKE 'UT%' THEN 2 ELSE 0 END AS BIGINT) AS n, count(*) AS findings FROM u WHERE rule_id LIKE 'UT%' OR rule_id LIKE 'TA%' GROUP BY rule_id"
+ORACLES["materialised_diagnostics"] = f"""{FOUND}
+SELECT CASE WHEN rule_id = 'MO001' THEN 'GOV009' ELSE rule_id END AS rule_id, severity, coalesce(path, 'policy.json') AS path, coalesce(line_start, 1) AS line_start, coalesce(line_end, 1) AS line_end, subject,
+  concat_ws('; ', detail, CASE WHEN rule_id = 'MO001' THEN 'too many types' END) AS detail, CASE WHEN severity = 'Advisory' THEN 'Advisory' ELSE 'Active' END AS status FROM u WHERE rule_id NOT LIKE 'UT%'"""
+ORACLES["legacy_rows"] = f"{FOUND}\nSELECT rule_id, count(*) AS n FROM u WHERE left(rule_id, 2) IN ('CX', 'DG') GROUP BY rule_id"
 MATCH = "(pat = '*' OR lower(pat) = lower(rule_id) OR (length(pat) = 2 AND prefix(rule_id, pat)))"
-ORACLES["suppressed_diagnostics"] = f"""{ctes('air_hint', 'policy_exception')}, d AS (SELECT *, row_number() OVER () AS id FROM {ALL}),
-cand AS (
-  SELECT id, rule_id, path, line_start, expires, row(0, pkg_ix, file_ix, item_ix) AS seq FROM d JOIN (SELECT path AS hp, rule AS pat, expires, target_start, target_end, pkg_ix, file_ix, item_ix FROM air_hint WHERE category = 'allow') h
-    ON hp = path AND {MATCH} AND line_start <= target_end AND target_start <= line_end
-  UNION ALL SELECT id, rule_id, path, line_start, expires, row(1, ix, 0, 0) FROM d JOIN (SELECT rule AS pat, expires, ix, regexp_replace(target, ':[0-9]+$', '') AS tf, nullif(regexp_extract(target, ':([0-9]+)$', 1), '') AS tl FROM policy_exception) e
-    ON tf = path AND {MATCH} AND (tl IS NULL OR CAST(tl AS INT) BETWEEN line_start AND line_end)
-), live AS (SELECT id, min(seq) AS stop FROM cand WHERE expires IS NULL OR expires >= '1998-06-01' GROUP BY id)
-SELECT rule_id, severity, path, line_start, line_end, subject, detail FROM d WHERE id NOT IN (SELECT id FROM live)
-UNION ALL SELECT DISTINCT 'GOV001', 'Warning', path, line_start, line_start, rule_id, expires FROM cand LEFT JOIN live USING (id) WHERE expires < '1998-06-01' AND (stop IS NULL OR seq < stop)"""
-ORACLES["changed_diagnostics"] = f"{ctes('air_file')}\nSELECT rule_id, severity, path, line_start, line_end, subject, detail FROM {ALL} WHERE path IN (SELECT a.path FROM air_file a JOIN air_file b ON suffix(a.path, '/' || regexp_replace(b.path, '^p[0-9]+/', '')) WHERE b.file_ix % 3 = 0)"
-ORACLES["exit_status"] = f"SELECT count(*) AS fatal, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS status FROM {ALL} WHERE severity = 'Fatal'"
+KEPT = f"""{FOUND}, d AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM u),
+ends AS MATERIALIZED (SELECT a.path AS dp, b.f AS mf FROM (SELECT DISTINCT path FROM u) a JOIN (SELECT path AS f FROM air_hint UNION SELECT regexp_replace(target, ':[0-9]+$', '') FROM policy_exception) b ON suffix(a.path, b.f) OR suffix(b.f, a.path)),
+cand AS MATERIALIZED (
+  SELECT id, rule_id, path, line_start, expires, row(0, pkg_ix, file_ix, item_ix) AS seq FROM d JOIN ends ON dp = path JOIN (SELECT path AS hp, rule AS pat, expires, target_start, target_end, pkg_ix, file_ix, item_ix FROM air_hint WHERE category = 'allow') h
+    ON hp = mf AND {MATCH} AND line_start <= target_end AND target_start <= line_end
+  UNION ALL SELECT id, rule_id, path, line_start, expires, row(1, ix, 0, 0) FROM d JOIN ends ON dp = path JOIN (SELECT rule AS pat, expires, ix, regexp_replace(target, ':[0-9]+$', '') AS tf, nullif(regexp_extract(target, ':([0-9]+)$', 1), '') AS tl FROM policy_exception) e
+    ON tf = mf AND {MATCH} AND (tl IS NULL OR CAST(tl AS INT) BETWEEN line_start AND line_end)
+), live AS (SELECT id, min(seq) AS stop FROM cand WHERE expires IS NULL OR expires >= '1998-06-01' GROUP BY id),
+kept AS MATERIALIZED (
+  SELECT {COLS} FROM d WHERE id NOT IN (SELECT id FROM live)
+  UNION ALL SELECT DISTINCT 'GOV001', 'Warning', path, line_start, line_start, rule_id, expires FROM cand LEFT JOIN live USING (id) WHERE expires < '1998-06-01' AND (stop IS NULL OR seq < stop)
+)"""
+ORACLES["suppressed_diagnostics"] = f"{KEPT}\nSELECT * FROM kept"
+ORACLES["changed_diagnostics"] = f"{FOUND}\nSELECT {COLS} FROM u WHERE path IN (SELECT a.path FROM air_file a JOIN air_file b ON suffix(a.path, '/' || regexp_replace(b.path, '^p[0-9]+/', '')) WHERE b.line_count >= 200)"
+ORACLES["exit_status"] = f"{FOUND}\nSELECT count(*) AS fatal, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS status FROM u WHERE severity = 'Fatal'"
 ORACLES["vacancy_rows"] = "SELECT 'GOV002' AS rule_id, 'Advisory' AS severity, f AS subject FROM (VALUES ('BO'), ('CR'), ('DA'), ('DG'), ('ER'), ('FL'), ('FO'), ('PA'), ('RM'), ('RW'), ('UT')) AS v(f)"
-ORACLES["unregistered_codes"] = f"SELECT rule_id AS subject, count(*) AS n FROM {ALL} WHERE rule_id IN ('UT003', 'MO001') GROUP BY rule_id"
+ORACLES["unregistered_codes"] = f"{FOUND}\nSELECT rule_id AS subject, count(*) AS n FROM u WHERE rule_id IN ('UT003', 'MO001') GROUP BY rule_id"
 ORACLES["registry_drift"] = "SELECT * FROM (VALUES ('ZZ001', 'not registered'), ('FL002', 'not declared')) AS v(name, what)"
-ORACLES["policy_drift"] = """SELECT * FROM (VALUES ('PG001', 'Fatal', 'CX', 'fn_lines', '50 -> 70'), ('PG001', 'Fatal', 'MO', 'max_public_types', '5 -> 9'), ('PG001', 'Fatal', 'CX', '*::a::*', '80 -> 90'),
+ORACLES["registry_coherence"] = """SELECT * FROM (VALUES ('given', 'gone', 'not registered'), ('given', 'drift', 'not declared'), ('absent', 'declaration', 'missing'), ('broken', 'declaration', 'unreadable: no object')) AS v(declaration, subject, what)
+UNION ALL SELECT d, s, w FROM (VALUES ('given'), ('absent'), ('broken')) AS a(d), (VALUES ('ZZ001', 'unknown family ZZ'), ('CX', 'unknown rule CX999')) AS b(s, w)"""
+ORACLES["concept_source_of_truth"] = f"""{KEPT}
+SELECT DISTINCT 'rule' AS concept, rule_id AS identifier, 'Warning' AS severity FROM kept WHERE rule_id IN ('UT003', 'MO001')
+UNION ALL SELECT DISTINCT 'family', left(rule_id, 2), 'Advisory' FROM kept WHERE rule_id LIKE 'TA%'
+UNION ALL SELECT DISTINCT 'policy', 'expiry', 'Warning' FROM kept WHERE rule_id = 'GOV001'
+UNION ALL SELECT DISTINCT 'governance-code', rule_id, 'Warning' FROM kept WHERE rule_id = 'GOV001'
+UNION ALL SELECT 'widget', 'widget', 'Advisory'"""
+DRIFT = """SELECT * FROM (VALUES ('PG001', 'Fatal', 'CX', 'fn_lines', '50 -> 70'), ('PG001', 'Fatal', 'MO', 'max_public_types', '5 -> 9'), ('PG001', 'Fatal', 'CX', '*::a::*', '80 -> 90'),
   ('PG002', 'Fatal', 'CX', '*::b::*', '60'), ('PG006', 'Fatal', 'CX', '*::b::*', 'reason,expires,owner'), ('PG002', 'Fatal', 'CX', '*::c::*', '60'), ('PG003', 'Fatal', 'CX', '*::gen::*', NULL),
   ('PG007', 'Fatal', 'CX', '*::gen::*', 'reason,expires,owner'), ('PG003', 'Fatal', 'CX', '*::d::*', NULL), ('PG003', 'Fatal', 'DC', 'p3::*', NULL), ('PG004', 'Fatal', 'CF', 'CF', NULL),
   ('PG009', 'Fatal', 'CF', 'CF', 'reason,expires,owner'), ('PG004', 'Fatal', 'TA', 'TA', NULL), ('PG008', 'Fatal', 'OT', '*::y::*', NULL)) AS v(code, severity, family, subject, detail)"""
-STATUS = "CASE WHEN expires IS NULL THEN 'permanent' WHEN expires < '1998-06-01' THEN 'expired' WHEN expires <= '1998-12-31' THEN 'expiring' ELSE 'live' END"
-DEBT = f"(SELECT *, {STATUS} AS status FROM (SELECT 'hint' AS origin, rule, path || ':' || target_start AS target, expires FROM air_hint WHERE category = 'allow' UNION ALL SELECT 'exception', rule, target, expires FROM policy_exception)) AS debt"
+ORACLES["policy_drift"] = DRIFT
+FIXED = "(VALUES ('exempt', 'CX007', 'paradigms.CX.exempt_paths:*::tests::*', NULL, NULL), ('exempt', 'CX007', 'paradigms.CX.exempt_paths:*::gen::*', NULL, NULL), ('acknowledged', 'GOV002', 'acknowledged_empty:CF', NULL, NULL)) AS v(origin, rule, target, reason, expires)"
+DEBT = f"""(SELECT *, CASE WHEN expires IS NULL THEN 'Unbounded' WHEN expires < '1998-06-01' THEN 'Expired' ELSE 'Active' END AS status FROM (
+  SELECT 'hint' AS origin, rule, path || ':' || target_start AS target, reason, expires FROM air_hint WHERE category = 'allow' UNION ALL SELECT 'exception', rule, target, reason, expires FROM policy_exception)
+  UNION ALL SELECT *, 'LegacyNoMetadata' FROM {FIXED}
+  UNION ALL SELECT 'exempt', 'CX007', 'paradigms.CX.exempt_paths:*::d::*', 'r', 'e', 'Active' UNION ALL SELECT 'acknowledged', 'GOV002', 'acknowledged_empty:TA', 'none', '2030-01-01', 'Active') AS debt"""
 ORACLES["debt_inventory"] = f"{ctes('air_hint', 'policy_exception')}\nSELECT * FROM {DEBT}"
-ORACLES["debt_by_rule"] = f"{ctes('air_hint', 'policy_exception')}\nSELECT rule, count(*) AS total, {', '.join(f'count(*) FILTER (WHERE status = {q(s)}) AS {s}' for s in ('expired', 'expiring', 'live', 'permanent'))} FROM {DEBT} GROUP BY rule"
+ORACLES["debt_by_rule"] = f"{ctes('air_hint', 'policy_exception')}\nSELECT rule, count(*) AS total, {', '.join(f'count(*) FILTER (WHERE status = {q(t)}) AS {q(t)[1:-1]}' for t in ('Expired', 'LegacyNoMetadata', 'Unbounded', 'Active'))} FROM {DEBT} GROUP BY rule"
+ORACLES["pruned_counts"] = f"{ctes('policy_exception')}\nSELECT count(*) FILTER (WHERE expires >= '1998-06-01') AS kept, count(*) FILTER (WHERE expires < '1998-06-01') AS removed FROM policy_exception"
 ORACLES["pruned_exceptions"] = f"{ctes('policy_exception')}\nSELECT rule, target, expires FROM policy_exception WHERE expires >= '1998-06-01'"
 ORACLES["largest_files"] = f"{ctes('air_file')}\nSELECT path, line_count FROM air_file ORDER BY line_count DESC, path LIMIT 5"
 ORACLES["largest_clusters"] = f"{ctes(*CLUSTER_TABLES)}{CONF}\nSELECT stem, count(*) AS members, count(DISTINCT name) AS names, round(max(confidence), 4) AS confidence FROM member JOIN graded USING (stem) GROUP BY stem ORDER BY members DESC, stem LIMIT 5"
 ORACLES["internal_edges"] = f"{ctes('air_import', 'air_file')}{EDGES}\nSELECT src, dst FROM e WHERE src IN (SELECT package FROM air_file) AND dst IN (SELECT package FROM air_file)"
-ORACLES["rule_pressure"] = f"SELECT left(rule_id, 2) AS family, rule_id, count(*) AS n FROM {ALL} GROUP BY rule_id"
+ORACLES["rule_pressure"] = f"{KEPT}\nSELECT left(rule_id, 2) AS family, rule_id, count(*) AS n FROM (SELECT rule_id FROM kept UNION ALL SELECT code FROM ({DRIFT}) AS pd) GROUP BY rule_id"
 OPEN = f", open AS (SELECT *, {KEBAB} AS cid FROM member WHERE {KEBAB} NOT IN (SELECT lower(regexp_replace(concept, '(.)([A-Z])', '\\1-\\2', 'g')) FROM policy_concept))"
-ORACLES["suggested_concepts"] = f"""{ctes(*CLUSTER_TABLES)}{CONF}{OPEN}{SCORED.format(members='open')}
-SELECT cid AS concept, coalesce(h, el.symbol) AS canonical, n AS members, CASE WHEN s >= 0.95 THEN 'High' WHEN s >= 0.7 THEN 'Medium' ELSE 'Low' END AS tier FROM (
-  SELECT o.stem, cid, count(*) AS n, (SELECT symbol FROM open p WHERE p.stem = o.stem AND role = 'Canonical' ORDER BY pkg_ix, file_ix, item_ix LIMIT 1) AS h, max(confidence) - CASE WHEN bool_or(role = 'Canonical') THEN 0 ELSE 0.1 END AS s
-  FROM open o JOIN graded USING (stem) GROUP BY o.stem, cid) g LEFT JOIN elected el ON el.stem = g.stem WHERE h IS NOT NULL OR el.symbol IS NOT NULL"""
+NEAR = f"({SUFFIX} IS NOT NULL OR regexp_matches(symbol, '(^|::)(api|dto|dtos|transport)(::|$)') OR overlap >= 0.5)"
+ORACLES["suggested_concepts"] = f"""{ctes(*CLUSTER_TABLES)}{CONF}{OPEN}{SCORED.format(members='open')}, chosen AS (
+  SELECT stem, any_value(cid) AS cid, count(*) AS n, (SELECT arg_min(symbol, row(pkg_ix, file_ix, item_ix)) FROM open p WHERE p.stem = o.stem AND role = 'Canonical') AS h FROM open o GROUP BY stem
+), named AS (SELECT c.*, coalesce(h, el.symbol) AS canonical FROM chosen c LEFT JOIN elected el ON el.stem = c.stem)
+SELECT cid AS concept, canonical, n AS members, bs AS boundaries, CASE WHEN s >= 0.95 THEN 'High' ELSE 'Medium' END AS tier FROM (
+  SELECT k.*, (SELECT count(*) FROM open p WHERE p.stem = k.stem AND CASE WHEN k.h IS NOT NULL THEN role = 'Boundary' ELSE symbol <> k.canonical AND {NEAR} END) AS bs,
+    round(confidence - CASE WHEN h IS NULL THEN 0.1 ELSE 0 END, 6) AS s FROM named k JOIN graded USING (stem)) WHERE canonical IS NOT NULL AND bs > 0 AND s >= 0.7"""
+ORACLES["policy_bootstrap"] = f"""{ctes(*CLUSTER_TABLES)}{CLUSTERS}, m AS (SELECT *, {KEBAB} AS concept FROM member),
+canon AS (SELECT concept, stem, arg_min(symbol, row(pkg_ix, file_ix, item_ix)) AS symbol FROM m WHERE role = 'Canonical' GROUP BY concept, stem),
+bound AS (SELECT concept, symbol FROM m WHERE role = 'Boundary' AND stem IN (SELECT stem FROM canon)),
+ends AS (SELECT concept, symbol AS e FROM canon UNION SELECT concept, list_extract(string_split(symbol, '::'), -1) FROM canon UNION SELECT concept, symbol FROM bound UNION SELECT concept, list_extract(string_split(symbol, '::'), -1) FROM bound)
+SELECT concept, 'canonical' AS role, symbol, NULL AS from_type, NULL AS to_type FROM canon UNION ALL SELECT concept, 'boundary', symbol, NULL, NULL FROM bound
+UNION ALL SELECT a.concept, 'converter', c.symbol, c.from_type, c.to_type FROM air_conversion c JOIN ends a ON a.e = c.from_type JOIN ends b ON b.e = c.to_type AND a.concept = b.concept
+UNION ALL SELECT concept, 'canonical', arg_min(symbol, row(pkg_ix, file_ix, item_ix)), NULL, NULL FROM (
+  SELECT *, {KEBAB} AS concept FROM (SELECT t.*, left(name, length(name) - length(coalesce({SUFFIX}, ''))) AS stem FROM air_type t)) z
+  WHERE EXISTS (SELECT 1 FROM air_hint h WHERE h.path = z.path AND h.category = 'canonical' AND h.target_start BETWEEN z.line_start AND z.line_end) AND symbol NOT IN (SELECT symbol FROM canon) AND concept NOT IN (SELECT concept FROM canon) GROUP BY concept"""
+ORACLES["cross_family_suggestions"] = f"""{ctes('air_file')}
+SELECT f AS family, "glob" AS value FROM {LAYER_ROWS} x, (VALUES ('BO'), ('ER'), ('FL'), ('RM')) AS v(f) WHERE layer = 'domain'
+UNION ALL SELECT f, package FROM (SELECT DISTINCT package FROM air_file), (VALUES ('DG'), ('FO')) AS v(f)"""
+ORACLES["vacancy_seeds"] = f"""{ctes('air_file')}
+SELECT f AS family FROM (VALUES ('AB', ''), ('BO', 'domain'), ('CR', 'composition'), ('DA', ''), ('DG', ''), ('ER', ''), ('FL', ''), ('FO', ''), ('OB', ''), ('PA', ''), ('RM', ''), ('RW', ''), ('UT', 'utilities')) AS v(f, l)
+WHERE l NOT IN (SELECT layer FROM {LAYER_ROWS} x)"""
 ORACLES["suggested_api"] = f"{ctes('air_import')}\nSELECT {to} AS \"to\", count(*) AS reaches FROM air_import WHERE {to} = 'two' AND {of} <> {to} GROUP BY {to} HAVING count(*) >= 3"
 ORACLES["suggested_thresholds"] = f"""{ctes('air_function', 'air_type', 'air_truth_action')}
 SELECT * FROM (
@@ -473,15 +545,18 @@ ORACLES["merged_suggestions"] = f"""{ctes('air_file')}
 SELECT arg_min("glob", layer || ' ' || "glob") AS headline, array_to_string(list_distinct_sorted, ',') AS families, array_to_string(list_transform(list_distinct_sorted, lambda l: 'a ' || l || ' layer'), ',') AS why, commands
 FROM (SELECT *, 'add ' || split_part("glob", '::', 1) || '::' || split_part("glob", '::', 2) AS commands FROM {LAYER_ROWS} x)
 JOIN (SELECT 'add ' || split_part("glob", '::', 1) || '::' || split_part("glob", '::', 2) AS c, list_sort(list(DISTINCT layer)) AS list_distinct_sorted FROM {LAYER_ROWS} y GROUP BY 1) ON c = commands GROUP BY commands, list_distinct_sorted"""
-R = ORACLES["rule_dg003"]
-ORACLES["report_text"] = f"SELECT 'FATAL    ' || rule_id || ' ' || path || ':' || line_start || ' ' || subject || ' (' || detail || ')' AS line FROM ({R}) AS r"
-ORACLES["report_json"] = f"""SELECT '{{"rule_id":"DG003","severity":"Fatal","span":{{"file":"' || path || '","line_start":' || line_start || ',"line_end":' || line_end || '}},"subject":"' || subject || '","detail":"' || detail || '"}}' AS json FROM ({R}) AS r"""
-ORACLES["report_totals"] = f"SELECT severity, count(*) AS n FROM {ALL} GROUP BY severity"
-ORACLES["report_sarif_rules"] = f"SELECT rule_id, arg_min(subject, row(path, line_start, subject)) AS sample FROM {ALL} GROUP BY rule_id"
-ORACLES["report_sarif_results"] = f"SELECT rule_id, 'warning' AS level, path AS uri, greatest(line_start, 1) AS start_line, greatest(line_end, line_start, 1) AS end_line, subject FROM ({ORACLES['rule_cx008']}) AS r"
+ORACLES["report_text"] = f"{KEPT}\nSELECT concat_ws(' ', rpad(upper(severity), 8, ' '), rule_id, concat_ws(':', path, line_start), subject, '(' || detail || ')') AS line FROM kept"
+MEMBER = lambda name: f"CASE WHEN {name} IS NULL THEN '' ELSE ',\"{name}\":' || to_json({name}) END"
+ORACLES["report_json"] = f"""{KEPT}
+SELECT '{{"rule_id":' || to_json(rule_id) || ',"severity":' || to_json(severity) || ',"span":{{"file":' || to_json(path) || ',"line_start":' || line_start || ',"line_end":' || line_end || '}}' || {MEMBER('subject')} || {MEMBER('detail')} || '}}' AS json FROM kept"""
+ORACLES["report_totals"] = f"{KEPT}\nSELECT severity, count(*) AS n FROM kept GROUP BY severity"
+ORACLES["report_summary"] = f"""{KEPT}, c AS (SELECT count(*) FILTER (WHERE severity = 'Fatal') AS fatal, count(*) FILTER (WHERE severity = 'Warning') AS warning, count(*) FILTER (WHERE severity = 'Advisory') AS advisory FROM kept)
+SELECT *, fatal || ' fatal, ' || warning || ' warning, ' || advisory || ' advisory' AS line FROM c"""
+ORACLES["report_sarif_rules"] = f"{KEPT}\nSELECT rule_id, arg_min(subject, row(path, line_start, subject)) AS sample FROM kept GROUP BY rule_id"
+ORACLES["report_sarif_results"] = f"{KEPT}\nSELECT rule_id, CASE severity WHEN 'Fatal' THEN 'error' WHEN 'Warning' THEN 'warning' ELSE 'note' END AS level, path AS uri, greatest(line_start, 1) AS start_line, greatest(line_end, line_start, 1) AS end_line, subject FROM kept"
 ITEMS = "(SELECT path, item_ix, symbol, line_start, line_end FROM air_type UNION ALL SELECT path, item_ix, symbol, line_start, line_end FROM air_function)"
 for kind in ("canonical", "boundary", "converter"):
     more = " UNION SELECT symbol, path, CAST(line_start AS INT) FROM air_conversion" if kind == "converter" else ""
     ORACLES[f"query_{kind}"] = f"{ctes('air_hint', 'air_type', 'air_function', 'air_conversion')}\nSELECT DISTINCT coalesce(target_symbol, module_path, path) AS symbol, path, CAST(target_start AS INT) AS line FROM {TARGET.format(ITEMS)} x WHERE category = {q(kind)}{more}"
-for kind in ("SpawnedWork", "BoundaryEntry", "HotPath", "PersistenceWrite", "ExternalIo"):
-    ORACLES[f"query_{kind.lower()}"] = f"{ctes('air_fact', 'air_function')}\nSELECT a.symbol, coalesce(f.path, '') AS path, CAST(coalesce(f.line_start, 1) AS INT) AS line FROM air_fact a LEFT JOIN {FN} f ON f.fs = a.symbol WHERE kind = {q(kind)}"
+for kind in ("SpawnedWork", "ConfigRead", "Logging", "ExternalIo", "PersistenceWrite", "BlockingCall", "HotPath", "RequestContext", "BoundaryEntry", "RuntimeStateOwner", "BackgroundWorker"):
+    ORACLES[f"query_{kind.lower()}"] = f"{loaded()}\nSELECT a.symbol, coalesce(f.path, '') AS path, CAST(coalesce(f.line_start, 1) AS INT) AS line FROM air_fact a LEFT JOIN {FN} f ON f.fs = a.symbol WHERE kind = {q(kind)}"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.operators.shared import base_name, same_file
+from girder.operators.shared import path_pairs
 
 from girder.scratch import materialize
 
@@ -16,17 +16,19 @@ from .rules import FINDING, RULES, Facts
 
 #: Order of evaluation, which numbers findings.
 ORDER = {r: i for i, r in enumerate(RULES)}
-NARROWING = ("CX001", "CX002")
+#: Rules planned as one job: enough to keep executors busy, few enough for a readable plan.
+BATCH = 12
 
 
 def observe(facts: Facts, rules: list[str] | None = None) -> DataFrame:
-    """All findings of the rules; finding_id numbers them by rule and ordinal.
+    """All findings of the rules (all of the catalogue, if none are named); finding_id numbers them by rule and ordinal.
 
-    The union is written once to the shared folder, as every later step reads
-    it several times.
+    Rules run in batches whose unions are written to the shared folder, as
+    every later step reads them several times.
     """
     ids = rules or list(RULES)
-    df = materialize(reduce(DataFrame.unionByName, [RULES[i].observe(facts) for i in ids]), "findings")
+    parts = [reduce(DataFrame.unionByName, [RULES[i].observe(facts) for i in ids[lo : lo + BATCH]]) for lo in range(0, len(ids), BATCH)]
+    df = reduce(DataFrame.unionByName, [materialize(p, "findings") for p in parts])
     rank = F.create_map(*[F.lit(x) for i in ids for x in (i, ORDER[i])])
     # numbered within a rule by a window of that rule's findings, then offset by the rules before it: no window over all
     w = Window.partitionBy("rule_id").orderBy("pkg_ix", "file_ix", "item_ix", "subject", "detail")
@@ -36,11 +38,9 @@ def observe(facts: Facts, rules: list[str] | None = None) -> DataFrame:
     return df.join(F.broadcast(before), "rule_ix").withColumn("finding_id", F.col("before") + F.col("rn")).drop("before", "rn", "rule_ix")
 
 
-def elevate(findings: DataFrame, narrowed: Column | None = None) -> DataFrame:
-    """Strict mode: warnings become fatal; of the line budgets only those that an override narrows."""
-    budget = F.col("rule_id").isin(*NARROWING)
-    up = (F.col("severity") == "Warning") & (~budget | (narrowed if narrowed is not None else F.lit(False)))
-    return findings.withColumn("severity", F.when(up, "Fatal").otherwise(F.col("severity")))
+def elevate(findings: DataFrame) -> DataFrame:
+    """Strict mode: warnings become fatal; of the line budgets only those that an override or the policy itself narrows."""
+    return findings.withColumn("severity", F.when((F.col("severity") == "Warning") & F.col("narrowed"), "Fatal").otherwise(F.col("severity")))
 
 
 def decide(findings: DataFrame) -> DataFrame:
@@ -65,10 +65,8 @@ def expired(expires: Column, today: str) -> Column:
 
 
 def _in_file(diagnostics: DataFrame, marks: DataFrame, file: str) -> DataFrame:
-    """Diagnostics with the marks of their file. The distinct paths meet first, by base name, so that rows meet by whole paths alone."""
-    a = diagnostics.select("path").distinct().withColumn("base", base_name(F.col("path")))
-    b = marks.select(file).distinct().withColumn("base", base_name(F.col(file)))
-    same = a.join(b, "base").where(same_file(F.col("path"), F.col(file))).drop("base")
+    """Diagnostics with the marks of their file, of which one path ends the other. The distinct paths meet first, so that rows meet by whole paths alone."""
+    same = path_pairs(diagnostics.select("path"), marks.select(file)).toDF("path", file)
     return diagnostics.join(same, "path").join(marks, file)
 
 
@@ -89,7 +87,7 @@ def allowances(diagnostics: DataFrame, hints: DataFrame, exceptions: DataFrame,
     cols = ["finding_id", "seq", "pattern", "expires", "rule_id", "path", "line_start"]
     # a target of "*" fits any file
     by_file = _in_file(d, e.where("file <> '*'"), "file").where(fits)
-    by_any = d.join(F.broadcast(e.where("file = '*'")), F.lit(True))
+    by_any = d.withColumn("file", F.lit("*")).join(e.where("file = '*'"), "file")
     both = by_hint.select(*cols).unionByName(by_file.select(*cols)).unionByName(by_any.select(*cols))
     return both.where(rule_matches(F.col("pattern"), F.col("rule_id"))).withColumn("live", ~expired(F.col("expires"), today))
 
@@ -107,11 +105,9 @@ def suppress(diagnostics: DataFrame, hints: DataFrame, exceptions: DataFrame, to
 
 
 def changed_only(diagnostics: DataFrame, changed: DataFrame) -> DataFrame:
-    """Rows whose file equals a changed path or ends with it at a path boundary; the base name is the join's key."""
-    c = changed.select(F.col("path").alias("cp")).withColumn("base", base_name(F.col("cp")))
-    d = diagnostics.withColumn("base", base_name(F.col("path")))
-    same = (F.col("path") == F.col("cp")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("cp"))) | F.col("cp").endswith(F.concat(F.lit("/"), F.col("path")))
-    return d.join(c, (d["base"] == c["base"]) & same, "left_semi").drop("base")
+    """Rows whose file equals a changed path or ends with it, or it with the file, at a path boundary."""
+    same = path_pairs(diagnostics.select("path"), changed.select("path"), at_boundary=True).select(F.col("a").alias("path")).distinct()
+    return diagnostics.join(same, "path", "left_semi")
 
 
 def vacancies(facts: Facts, policy_file: str = "policy.json") -> DataFrame:
@@ -121,6 +117,76 @@ def vacancies(facts: Facts, policy_file: str = "policy.json") -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, severity string, path string, line_start int, line_end int, subject string, detail string")
 
 
+POLICY_ROWS = "rule_id string, severity string, path string, line_start int, line_end int, subject string, detail string"
+
+
+def materialise(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Diagnostics of decided findings but the suppressed ones; a decision's code comes before the rule's id, a missing place becomes the policy file's first line.
+
+    ``findings`` need finding_id, rule_id, path, lines, subject and detail, ``decisions`` finding_id, status, severity, code and why.
+    """
+    d = decisions.select("finding_id", "status", F.col("severity").alias("decided"), "code", "why")
+    df = findings.join(d, "finding_id").where(~F.col("status").isin("Suppressed", "SuppressedByPolicy"))
+    return df.select(
+        "finding_id", F.coalesce("code", "rule_id").alias("rule_id"), F.col("decided").alias("severity"), F.coalesce("path", F.lit("policy.json")).alias("path"),
+        F.coalesce("line_start", F.lit(1)).alias("line_start"), F.coalesce("line_end", F.lit(1)).alias("line_end"), "subject",
+        F.concat_ws("; ", "detail", "why").alias("detail"), "status",
+    )
+
+
+def legacy_wrap(rows: DataFrame, registered: list[str]) -> DataFrame:
+    """Rows of older entry points whose code no registered rule has: the rest are the registry's own."""
+    return rows.where(~F.col("rule_id").isin(*registered))
+
+
+def coherence(spark, declaration: dict | str | None, policies: list[str], rules: dict[str, str], families: dict[str, list[str]]) -> DataFrame:
+    """GOV004 rows (subject, what): a declaration missing or unreadable, names on one side only, rules of no family, families' rules that are none.
+
+    ``rules`` maps a rule to its family, ``families`` a family to the rules it lists.
+    """
+    table = lambda rows, spec: spark.createDataFrame(rows, spec)
+    out = table([], "subject string, what string")
+    if declaration is None:
+        out = table([("declaration", "missing")], "subject string, what string")
+    elif isinstance(declaration, str):
+        out = table([("declaration", f"unreadable: {declaration}")], "subject string, what string")
+    else:
+        out = registry_drift(spark, declaration.get("policies", []), policies).select(F.col("name").alias("subject"), "what")
+    r = table(list(rules.items()), "rule string, family string")
+    f = table([(k,) for k in families], "family string")
+    listed = table([(k, x) for k, xs in families.items() for x in xs], "family string, rule string")
+    out = out.unionByName(r.join(f, "family", "left_anti").select(F.col("rule").alias("subject"), F.concat(F.lit("unknown family "), "family").alias("what")))
+    return out.unionByName(listed.join(r.select("rule"), "rule", "left_anti").select(F.col("family").alias("subject"), F.concat(F.lit("unknown rule "), "rule").alias("what")))
+
+
+#: Concepts that a declaration may govern, with the observed column that must be registered.
+CONCEPTS = {"rule": "rule_id", "family": "family", "policy": "policy", "governance-code": "code"}
+
+
+def concept_bypasses(observed: DataFrame, declared: dict[str, str], known: dict[str, list[str]], strict: bool = False) -> DataFrame:
+    """GOV005 rows (concept, identifier, severity): identifiers that findings use but no registry holds, once each.
+
+    ``observed`` has origin (rule, policy or legacy), rule_id, family, policy
+    and code; ``declared`` maps a concept to ``advisory`` or ``enforced``. Legacy rows do
+    not count. Governance codes are those that begin with GOV. A concept that is none of the four is named itself, always as advice.
+    """
+    spark = observed.sparkSession
+    own = observed.where("origin <> 'legacy'")
+    parts = []
+    for concept, force in declared.items():
+        severity = "Advisory" if force == "advisory" or concept not in CONCEPTS else "Fatal" if strict else "Warning"
+        if concept not in CONCEPTS:
+            parts.append(spark.createDataFrame([(concept, concept, severity)], "concept string, identifier string, severity string"))
+            continue
+        rows = own.where("origin = 'rule'") if concept == "rule" else own.where("origin = 'policy'") if concept == "policy" else own
+        rows = rows.select(F.col(CONCEPTS[concept]).alias("identifier")).where("identifier is not null").distinct()
+        if concept == "governance-code":
+            rows = rows.where("identifier like 'GOV%'")
+        have = spark.createDataFrame([(x,) for x in known.get(concept, [])], "identifier string")
+        parts.append(rows.join(have, "identifier", "left_anti").select(F.lit(concept).alias("concept"), "identifier", F.lit(severity).alias("severity")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "concept string, identifier string, severity string")
+
+
 def registry_rows(diagnostics: DataFrame, known: list[str]) -> DataFrame:
     """GOV003: a count of the rows of each code that no registered rule has."""
     return diagnostics.where(~F.col("rule_id").isin(*known)).groupBy(F.col("rule_id").alias("subject")).agg(F.count("*").alias("n"))

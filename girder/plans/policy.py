@@ -24,7 +24,7 @@ DEFAULTS: dict[str, dict] = {
         "thin_fn_lines": 25, "entrypoint_fns": ["main", "run", "init", "bootstrap", "start"], "host_impl_lines": 120, "lib_decl_budget": 5, "host_trait": "Paradigm", "lib_kinds": [],
     },
     "AB": {"accepted_traits": [], "accepted_names": [], "suspect_names": ["*Manager", "*Service", "*Processor", "*Coordinator", "*Orchestrator", "*Engine", "*Handler", "*Helper", "*Util"]},
-    "CL": {"enabled": False, "least_words": 5},
+    "CL": {"enabled": False, "exempt_paths": [], "least_words": 5},
     "BO": {"domain_paths": [], "forbidden_in_domain": [], "persistence_types": [], "canonical_paths": [], "forbidden_derives": ["Serialize", "Deserialize", "Schema", "ToSchema"]},
     "CR": {"root_paths": [], "service_suffixes": ["Service", "Client", "Repository", "Adapter", "Connection", "Pool", "Manager"], "wiring_density": 12},
     "DC": {
@@ -127,7 +127,7 @@ SAMPLE = Policy(
         "FL": {"domain_paths": ["*::domain::*", "*::feature_one::*"], "boundary_error_patterns": ["sqlx::*", "reqwest::*"], "invariant_owner_paths": ["*::infra::*"], "retry_policy_owner_paths": ["*::infra::*", "p2::*"]},
         "MO": {"max_public_types": 5, "overrides": [["*::api::*", 8]]},
         "AB": {"accepted_names": ["SmallRingService"]},
-        "CL": {"enabled": True},
+        "CL": {"enabled": True, "exempt_paths": ["*::infra::*"]},
         "BO": {"domain_paths": ["*::domain::*"], "forbidden_in_domain": ["*::sqlx::*", "*::api::*"], "persistence_types": ["sqlx::*"], "canonical_paths": ["*::domain::*", "*::model"]},
         "CR": {"root_paths": ["p1::*", "p4::*", "p15::*", "p20::*"], "wiring_density": 6},
         "DC": {"require_public_docs": True, "exempt_paths": ["p3::*"]},

@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.functions.patterns import any_pattern, first_pattern, first_value, fragments, name_glob, name_suffix, path_or_name, segments, segments_or_name, single_star, trailing_segments, type_text_glob
-from girder.functions.text import containing_module, is_primitive, jaccard, mentions, result_error, short_name, snake_to_pascal, starts_with_any
+from girder.functions.text import containing_module, is_primitive, jaccard, result_error, short_name, snake_to_pascal, starts_with_any
 from girder.operators.concepts import clusters, distinct_conversions
 from girder.operators.graph import strong_components
 
 from girder.scratch import materialize
 
-from .policy import Policy
+from .policy import DEFAULTS, Policy
 
-FINDING = ["rule_id", "severity", "path", "line_start", "line_end", "subject", "detail", "pkg_ix", "file_ix", "item_ix"]
+FINDING = ["rule_id", "severity", "path", "line_start", "line_end", "subject", "detail", "pkg_ix", "file_ix", "item_ix", "narrowed"]
 ORD = ["pkg_ix", "file_ix", "item_ix"]
 
 
@@ -49,23 +49,22 @@ class Facts:
 class Rule:
     id: str
     severity: str
-    title: str
     body: Callable[[Facts], DataFrame]
 
     def observe(self, facts: Facts) -> DataFrame:
-        """Findings with the rule's severity, unless the body sets one."""
+        """Findings with the rule's severity, unless the body sets one; ``narrowed`` is whether strict mode may raise them."""
         df = self.body(facts)
-        severity = F.col("severity") if "severity" in df.columns else F.lit(self.severity)
-        return df.withColumns({"rule_id": F.lit(self.id), "severity": severity}).select(*FINDING)
+        given = lambda name, else_: F.col(name) if name in df.columns else F.lit(else_)
+        return df.withColumns({"rule_id": F.lit(self.id), "severity": given("severity", self.severity), "narrowed": given("narrowed", True)}).select(*FINDING)
 
 
 RULES: dict[str, Rule] = {}
 
 
-def rule(id_: str, severity: str, title: str):
+def rule(id_: str, severity: str):
     def add(body: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
-        assert id_ not in RULES
-        RULES[id_] = Rule(id_, severity, title, body)
+        assert id_ not in RULES and id_[:2] in DEFAULTS  # ids are unique and begin with their family
+        RULES[id_] = Rule(id_, severity, body)
         return body
 
     return add
@@ -81,6 +80,11 @@ def module(alias: str = "module_path") -> Column:
     return F.col(alias)
 
 
+def placed(x: Facts, table: str) -> DataFrame:
+    """Rows of files that have a module path; most rules pass over the others."""
+    return x[table].where("module_path is not null")
+
+
 def first_by(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
     """For each key the row of smallest ordinal; keeps ``values`` and the ordinals. A partial aggregation, no window."""
     out = df.groupBy(*keys).agg(F.min(F.struct(*ORD, *values)).alias("_f"))
@@ -98,26 +102,29 @@ def fact_functions(facts: Facts, *kinds: str) -> DataFrame:
 # --- complexity budgets ---------------------------------------------------
 
 
-@rule("CX001", "Warning", "function exceeds its line budget")
+def over_budget(df: DataFrame, subject: str, override: Column, default: int, written: int | None) -> DataFrame:
+    """Rows above their line budget; strict mode raises those whose budget an override or the policy itself sets."""
+    df = df.withColumn("override", override.cast("int")).withColumn("budget", F.coalesce("override", F.lit(default))).where("line_count > budget")
+    return found(df, subject, F.concat_ws("/", "line_count", "budget"), (F.col("override").isNotNull() | F.lit(written is not None)).alias("narrowed"))
+
+
+@rule("CX001", "Warning")
 def cx001(x: Facts) -> DataFrame:
     p = x.section("CX")
-    budget = F.coalesce(first_value(module(), p["fn_overrides"], trailing_segments), F.lit(p["fn_lines"]))
-    return found(x["air_function"].withColumn("budget", budget).where("line_count > budget"), "symbol", F.concat_ws("/", "line_count", "budget"))
+    return over_budget(placed(x, "air_function"), "symbol", first_value(module(), p["fn_overrides"], trailing_segments), p["fn_lines"], (x.policy.explicit("CX") or {}).get("fn_lines"))
 
 
-@rule("CX002", "Warning", "module line budget")
+@rule("CX002", "Warning")
 def cx002(x: Facts) -> DataFrame:
     p = x.section("CX")
-    budget = F.coalesce(first_value(module(), p["module_overrides"]), F.lit(p["module_lines"]))
-    df = x["air_file"].withColumn("budget", budget).where("module_path is not null and line_count > budget")
-    return found(file_rows(df), "module_path", F.concat_ws("/", "line_count", "budget"))
+    return over_budget(file_rows(placed(x, "air_file")), "module_path", first_value(module(), p["module_overrides"]), p["module_lines"], (x.policy.explicit("CX") or {}).get("module_lines"))
 
 
 def file_rows(df: DataFrame) -> DataFrame:
     return df.withColumns({"line_start": F.lit(1), "line_end": F.lit(1), "item_ix": F.lit(-1).cast("long")})
 
 
-@rule("CX007", "Warning", "excessive public surface")
+@rule("CX007", "Warning")
 def cx007(x: Facts) -> DataFrame:
     p = x.section("CX")
     cols = ["pkg_ix", "file_ix", "item_ix", "path", "module_path", "line_start", "line_end", "visibility"]
@@ -127,7 +134,7 @@ def cx007(x: Facts) -> DataFrame:
     return found(g.where(F.col("n") > p["max_public_items"]).select("*", "f.*"), "module_path", "n")
 
 
-@rule("CX008", "Warning", "high fan-out outside orchestration owners")
+@rule("CX008", "Warning")
 def cx008(x: Facts) -> DataFrame:
     p = x.section("CX")
     if not p["orchestration_paths"]:
@@ -145,7 +152,7 @@ def empty(x: Facts) -> DataFrame:
 # --- dependencies ---------------------------------------------------------
 
 
-@rule("DG001", "Fatal", "forbidden import")
+@rule("DG001", "Fatal")
 def dg001(x: Facts) -> DataFrame:
     edge = F.lit(None).cast("string")
     for a, b in reversed(x.section("DG")["edges"]):
@@ -159,7 +166,7 @@ def package_edges(x: Facts) -> DataFrame:
     return first_by(df.where("src <> dst and src <> '' and dst <> ''"), ["src", "dst"], "path", "line_start", "line_end")
 
 
-@rule("DG002", "Fatal", "dependency cycle")
+@rule("DG002", "Fatal")
 def dg002(x: Facts) -> DataFrame:
     edges = package_edges(x)
     comp = strong_components(edges.select("src", "dst")).where("size > 1")
@@ -175,7 +182,7 @@ def feature_of(col: Column, features: list) -> Column:
     return out
 
 
-@rule("DG003", "Fatal", "cross-feature internals reach")
+@rule("DG003", "Fatal")
 def dg003(x: Facts) -> DataFrame:
     fs = x.section("DG")["features"]
     if len(fs) < 2:
@@ -187,7 +194,7 @@ def dg003(x: Facts) -> DataFrame:
     return found(df.where(F.col("of").isNotNull() & F.col("to").isNotNull() & (F.col("of") != F.col("to")) & ~open_), "import_path", F.concat_ws(" -> ", "of", "to"))
 
 
-@rule("DG004", "Fatal", "shared module reaching feature-specific code")
+@rule("DG004", "Fatal")
 def dg004(x: Facts) -> DataFrame:
     p = x.section("DG")
     df = x["air_import"].withColumns({"shared": first_pattern(module(), p["shared_paths"]), "to": feature_of(F.col("import_path"), p["features"])})
@@ -197,14 +204,14 @@ def dg004(x: Facts) -> DataFrame:
 # --- one owner of a concept -----------------------------------------------
 
 
-@rule("OT001", "Fatal", "duplicate canonical concept")
+@rule("OT001", "Fatal")
 def ot001(x: Facts) -> DataFrame:
     w = Window.partitionBy("stem").orderBy(*ORD)
     c = x.clusters().where("role = 'Canonical'").withColumns({"rn": F.row_number().over(w), "incumbent": F.first("symbol").over(w)})
     return found(c.where("rn > 1"), "symbol", "incumbent")
 
 
-@rule("OT002", "Warning", "undeclared concept-shaped type")
+@rule("OT002", "Warning")
 def ot002(x: Facts) -> DataFrame:
     c = x.clusters()
     canon = first_by(c.where("role = 'Canonical'").withColumn("canonical", F.col("symbol")), ["stem"], "canonical").select("stem", "canonical")
@@ -217,26 +224,30 @@ def accepted(x: Facts, role: str) -> DataFrame:
     return x["policy_concept"].where(F.col("role") == role).select("concept", F.col("symbol").alias("accepted"), F.col("name").alias("short"), F.col("path").alias("owner"))
 
 
-@rule("OT003", "Fatal", "boundary adapter leak")
+def named_in(texts: DataFrame) -> DataFrame:
+    """Each text's whole identifiers (ASCII boundary) as ``short``, to meet names by equality."""
+    return texts.withColumn("short", F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9_]+")))).where("short <> ''")
+
+
+@rule("OT003", "Fatal")
 def ot003(x: Facts) -> DataFrame:
     fn = x["air_function"].join(x["policy_concept"].where("role = 'boundary'").select("path").distinct(), "path", "left_anti")
     fn = fn.join(x["policy_converter"].select("symbol").distinct(), "symbol", "left_anti")
     texts = fn.select(*ORD, F.col("return_type").alias("text")).unionByName(x["air_param"].select(*ORD, F.col("type_text").alias("text"))).where("text is not null")
-    names = F.broadcast(accepted(x, "boundary").select("short").distinct())
-    hits = texts.join(names, mentions(F.col("text"), F.col("short"))).select(*ORD, "short").distinct()
+    hits = named_in(texts).join(accepted(x, "boundary").select("short").distinct(), "short").select(*ORD, "short").distinct()
     return found(fn.join(hits, ORD), "symbol", "short")
 
 
-@rule("OT004", "Fatal", "direct canonical construction outside owner or accepted converter")
+@rule("OT004", "Fatal")
 def ot004(x: Facts) -> DataFrame:
     patterns = x.section("OT")["converter_paths"]
     canon = accepted(x, "canonical").groupBy("short").agg(F.min(F.struct("concept", "owner")).alias("c")).select("short", "c.owner")
-    df = x["air_truth_action"].where("action = 'Construct'").withColumn("short", short_name(F.col("target"))).join(F.broadcast(canon), "short").where("path <> owner")
+    df = x["air_truth_action"].where("action = 'Construct'").withColumn("short", short_name(F.col("target"))).join(canon, "short").where("path <> owner")
     df = df.join(x["policy_converter"].select("symbol").distinct(), F.col("function") == F.col("symbol"), "left_anti")
     return found(df.where(~any_pattern(F.col("function"), patterns) & ~any_pattern(module(), patterns)), "function", "short")
 
 
-@rule("OT005", "Fatal", "missing converter for accepted boundary")
+@rule("OT005", "Fatal")
 def ot005(x: Facts) -> DataFrame:
     conv = x["policy_converter"].select(F.explode(F.array(short_name(F.col("from_type")), short_name(F.col("to_type")))).alias("short")).distinct()
     lone = accepted(x, "boundary").join(conv, "short", "left_anti")
@@ -252,14 +263,14 @@ def endpoint(x: Facts, col: str, name: str) -> DataFrame:
     return c.groupBy(col).agg(F.min("s").alias("s")).select(col, F.col("s.concept").alias(name))
 
 
-@rule("OT006", "Warning", "unregistered conversion between accepted endpoints")
+@rule("OT006", "Warning")
 def ot006(x: Facts) -> DataFrame:
     c = distinct_conversions(x["air_conversion"]).withColumns({"f": F.trim("from_type"), "t": F.trim("to_type")})
     df = c.join(endpoint(x, "f", "fc"), "f").join(endpoint(x, "t", "tc"), "t").where("fc = tc")
     return found(df.join(x["policy_converter"].select(F.col("concept").alias("fc"), "symbol").distinct(), ["fc", "symbol"], "left_anti"), "symbol", "fc")
 
 
-@rule("OT007", "Fatal", "adapter-to-adapter conversion")
+@rule("OT007", "Fatal")
 def ot007(x: Facts) -> DataFrame:
     names = accepted(x, "boundary").select("short").distinct()
     c = distinct_conversions(x["air_conversion"]).withColumns({"a": short_name(F.col("from_type")), "b": short_name(F.col("to_type"))})
@@ -270,13 +281,14 @@ def ot007(x: Facts) -> DataFrame:
 
 
 # fixed values: methods that belong on a boundary type
-BOUNDARY_METHODS = (
-    "from try_from into try_into serialize deserialize fmt display new default builder build clone as_ref as_mut as_str as_bytes into_inner inner len is_empty"
-).split()
+BOUNDARY_METHODS = [
+    "from", "try_from", "into", "try_into", "serialize", "deserialize", "fmt", "display", "new", "default", "builder", "build", "clone",
+    "as_ref", "as_mut", "as_str", "as_bytes", "into_inner", "inner", "len", "is_empty",
+]
 BOUNDARY_METHOD_PREFIXES = ["as_", "to_", "into_", "from_", "try_", "with_"]
 
 
-@rule("OT008", "Warning", "domain logic on boundary adapter")
+@rule("OT008", "Warning")
 def ot008(x: Facts) -> DataFrame:
     m = x["air_impl_method"].where("interface is null").withColumn("short", short_name(F.col("target_type"))).join(accepted(x, "boundary").select("short").distinct(), "short")
     ok = F.col("method").isin(*BOUNDARY_METHODS) | starts_with_any(F.col("method"), BOUNDARY_METHOD_PREFIXES).isNotNull()
@@ -287,28 +299,29 @@ def ot008(x: Facts) -> DataFrame:
 VALIDATING = ["validate_", "is_valid_", "check_", "verify_", "ensure_", "normalize_", "sanitize_", "canonicalize_", "parse_", "clean_"]
 
 
-@rule("OT009", "Warning", "scattered validation/normalization")
+@rule("OT009", "Warning")
 def ot009(x: Facts) -> DataFrame:
     fn = x["air_function"].withColumn("prefix", starts_with_any(F.col("name"), VALIDATING)).where("prefix is not null")
     fn = fn.join(x["policy_converter"].select("symbol").distinct(), "symbol", "left_anti")
     texts = fn.select(*ORD, F.col("return_type").alias("text")).unionByName(x["air_param"].select(*ORD, F.col("type_text").alias("text"))).where("text is not null")
-    canon = F.broadcast(accepted(x, "canonical").select("short", "owner"))
-    first = texts.join(canon, mentions(F.col("text"), F.col("short"))).groupBy(*ORD).agg(F.min(F.struct("short", "owner")).alias("c")).select(*ORD, "c.*")
+    first = named_in(texts).join(accepted(x, "canonical").select("short", "owner"), "short").groupBy(*ORD).agg(F.min(F.struct("short", "owner")).alias("c")).select(*ORD, "c.*")
     return found(fn.join(first, ORD).where("path <> owner"), "symbol", "short")
 
 
-@rule("OT010", "Warning", "shadow enum")
+@rule("OT010", "Warning")
 def ot010(x: Facts) -> DataFrame:
     names = x["air_variant"].groupBy(*ORD, "symbol").agg(F.array_sort(F.collect_set("name")).alias("names"))
     enums = x["air_type"].where("kind = 'Enum'").join(names.drop("symbol"), ORD)
     canon = accepted(x, "canonical").join(first_by(enums, ["symbol"], "names"), F.col("accepted") == F.col("symbol")).select("concept", "accepted", F.col("names").alias("own"))
     other = enums.join(x["policy_concept"].select("symbol").distinct(), "symbol", "left_anti")
-    near = other.join(F.broadcast(canon), jaccard(F.col("names"), F.col("own")) >= F.lit(0.5).cast("float"))
+    # half of the union shared is at least one name shared: pairs meet by a name, once each
+    pairs = other.select(*ORD, F.explode("names").alias("v")).join(canon.select("accepted", F.explode("own").alias("v")), "v").select(*ORD, "accepted").distinct()
+    near = other.join(pairs, ORD).join(canon, "accepted").where(jaccard(F.col("names"), F.col("own")) >= F.lit(0.5).cast("float"))
     best = near.groupBy(*ORD, "path", "line_start", "line_end", "symbol").agg(F.min(F.struct("concept", "accepted")).alias("c"))
     return found(best, "symbol", "c.accepted")
 
 
-@rule("OT011", "Warning", "shadow newtype / value object")
+@rule("OT011", "Warning")
 def ot011(x: Facts) -> DataFrame:
     one = x["air_field"].groupBy(*ORD).agg(F.count("*").alias("n")).where("n = 1")
     t = x["air_type"].where("kind = 'Struct'").join(one, ORD).join(x["policy_concept"].select("symbol").distinct(), "symbol", "left_anti")
@@ -316,7 +329,7 @@ def ot011(x: Facts) -> DataFrame:
     return found(t.join(canon, F.col("name") == F.col("short")).where("symbol <> c.accepted"), "symbol", "c.concept")
 
 
-@rule("OT012", "Warning", "primitive obsession around known canonical")
+@rule("OT012", "Warning")
 def ot012(x: Facts) -> DataFrame:
     f = x["air_field"].where("kind = 'Struct'").join(x["policy_concept"].select("symbol").distinct(), "symbol", "left_anti")
     f = f.withColumn("short", snake_to_pascal(F.col("name"))).where(is_primitive(F.col("type_text")))
@@ -327,12 +340,12 @@ def ot012(x: Facts) -> DataFrame:
 
 
 def outside_owners(x: Facts, table: str, key: str = "invariant_owner_paths") -> DataFrame:
-    """Places whose file and whose function's module are no owner's."""
+    """Places whose file and whose function's module are no owner's; none while no owner is named."""
     owners = x.section("FL")[key]
-    return x[table].where(~any_pattern(module(), owners) & ~any_pattern(containing_module(F.col("function")), owners))
+    return placed(x, table).where(F.lit(bool(owners)) & ~any_pattern(module(), owners) & ~any_pattern(containing_module(F.col("function")), owners))
 
 
-@rule("FL001", "Fatal", "boundary error in domain function signature")
+@rule("FL001", "Fatal")
 def fl001(x: Facts) -> DataFrame:
     p = x.section("FL")
     df = x["air_function"].where(any_pattern(module(), p["domain_paths"]) & F.col("return_type").contains("Result<"))
@@ -340,32 +353,32 @@ def fl001(x: Facts) -> DataFrame:
     return found(df.where("hit is not null"), "symbol", "hit")
 
 
-@rule("FL002", "Warning", "panic-shaped callee outside invariant owner")
+@rule("FL002", "Warning")
 def fl002(x: Facts) -> DataFrame:
     df = outside_owners(x, "air_call_site").where("call_kind in ('Method', 'Meta')")
     df = df.withColumn("hit", first_pattern(short_name(F.col("callee")), x.section("FL")["forbidden_callees"]))
     return found(df.where("hit is not null"), "function", "hit")
 
 
-@rule("FL003", "Warning", "silent error discard")
+@rule("FL003", "Warning")
 def fl003(x: Facts) -> DataFrame:
     df = outside_owners(x, "air_call_site").where("call_kind = 'Method'")
     df = df.withColumn("hit", first_pattern(F.col("callee"), x.section("FL")["silent_discard_callees"]))
     return found(df.where("hit is not null"), "function", "hit")
 
 
-@rule("FL004", "Warning", "`let _ = expr` silent-discard binding")
+@rule("FL004", "Warning")
 def fl004(x: Facts) -> DataFrame:
     df = outside_owners(x, "air_silent_discard").where("discard_kind <> 'Other' and callee is not null")
     return found(df.where(~any_pattern(F.col("callee"), x.section("FL")["silent_discard_allowed"])), "function", "callee")
 
 
-@rule("FL005", "Warning", "partial `if let Ok/Err` without else")
+@rule("FL005", "Warning")
 def fl005(x: Facts) -> DataFrame:
     return found(outside_owners(x, "air_partial_match"), "function", "variant")
 
 
-@rule("FL006", "Warning", "`map_err(|_|)` discarding error argument")
+@rule("FL006", "Warning")
 def fl006(x: Facts) -> DataFrame:
     return found(outside_owners(x, "air_closure_call").where("callee = 'map_err' and closure_discards_arg"), "function", "callee")
 
@@ -373,7 +386,7 @@ def fl006(x: Facts) -> DataFrame:
 SILENT = ["Empty", "Literal", "Call"]
 
 
-@rule("FL007", "Warning", "catch-all `Err(_)` arm with silent body")
+@rule("FL007", "Warning")
 def fl007(x: Facts) -> DataFrame:
     t = F.trim("pattern")
     err = (t == "Err(_)") | t.startswith("Err(_)") | t.contains(" Err(_)") | t.contains("|Err(_)") | t.contains("::Err(_)")
@@ -381,27 +394,27 @@ def fl007(x: Facts) -> DataFrame:
     return found(df, "function", "pattern")
 
 
-@rule("FL010", "Warning", "fallback call with non-default argument")
+@rule("FL010", "Warning")
 def fl010(x: Facts) -> DataFrame:
     return found(outside_owners(x, "air_fallback").where("callee in ('unwrap_or', 'or') and default_shape in ('Literal', 'Call')"), "function", "callee")
 
 
-@rule("FL011", "Warning", "bare `_` arm as failure sink")
+@rule("FL011", "Warning")
 def fl011(x: Facts) -> DataFrame:
     t = F.trim("pattern")
     bare = (t == "_") | t.startswith("_ if ") | t.startswith("_ @ ")
     return found(outside_owners(x, "air_match_arm").where(bare & F.col("body_shape").isin(*SILENT)), "function", "pattern")
 
 
-@rule("FL012", "Warning", "retry-shaped loop without declared policy")
+@rule("FL012", "Warning")
 def fl012(x: Facts) -> DataFrame:
     return found(outside_owners(x, "air_retry_loop", "retry_policy_owner_paths").where("propagates and has_break"), "function", "loop_kind")
 
 
-@rule("FL013", "Warning", "lossy error stringification in `Result<_, String>`")
+@rule("FL013", "Warning")
 def fl013(x: Facts) -> DataFrame:
     owners = x.section("FL")["invariant_owner_paths"]
-    fn = x["air_function"].where(~any_pattern(module(), owners)).where(F.regexp_replace(result_error(F.col("return_type")), "^&", "").isin("String", "str"))
+    fn = placed(x, "air_function").where(F.lit(bool(owners)) & ~any_pattern(module(), owners)).where(F.regexp_replace(result_error(F.col("return_type")), "^&", "").isin("String", "str"))
     calls = x["air_call_site"].where(short_name(F.col("callee")).isin("to_string", "format!", "format", "display"))
     first = first_by(calls, ["path", "function"], "callee", "line_start").select("path", F.col("function").alias("symbol"), F.col("callee"), F.col("line_start").alias("call_line"))
     return found(fn.join(first, ["path", "symbol"]), "symbol", F.concat_ws("@", "callee", "call_line"))
@@ -410,7 +423,7 @@ def fl013(x: Facts) -> DataFrame:
 # --- ownership of modules -------------------------------------------------
 
 
-@rule("MO001", "Warning", "module has too many public types")
+@rule("MO001", "Warning")
 def mo001(x: Facts) -> DataFrame:
     p = x.section("MO")
     budget = F.coalesce(first_value(module(), p["overrides"]), F.lit(p["max_public_types"]))
@@ -419,7 +432,7 @@ def mo001(x: Facts) -> DataFrame:
     return found(g.where("n > budget").select("*", "f.*"), "module_path", F.concat_ws("/", "n", "budget"))
 
 
-@rule("MO002", "Warning", "module carries too many architectural roles")
+@rule("MO002", "Warning")
 def mo002(x: Facts) -> DataFrame:
     p = x.section("MO")
     hints = x["air_hint"].where("category in ('canonical', 'boundary', 'converter')").select("pkg_ix", "file_ix", F.col("category").alias("role"))
@@ -427,25 +440,25 @@ def mo002(x: Facts) -> DataFrame:
     imports = x["air_import"].where(any_pattern(F.col("import_path"), p["persistence_imports"])).select("pkg_ix", "file_ix", F.lit("persistence").alias("role"))
     calls = x["air_call_site"].where(any_pattern(F.col("callee"), p["io_callees"])).select("pkg_ix", "file_ix", F.lit("io").alias("role"))
     roles = hints.unionByName(fns).unionByName(imports).unionByName(calls).groupBy("pkg_ix", "file_ix").agg(F.array_sort(F.collect_set("role")).alias("roles"))
-    df = roles.where(F.size("roles") >= p["entropy_threshold"]).join(x["air_file"], ["pkg_ix", "file_ix"])
+    df = roles.where(F.size("roles") >= p["entropy_threshold"]).join(placed(x, "air_file"), ["pkg_ix", "file_ix"])
     return found(file_rows(df), "path", F.array_join("roles", ","))
 
 
-@rule("MO003", "Warning", "canonical and boundary hints co-located in same module")
+@rule("MO003", "Warning")
 def mo003(x: Facts) -> DataFrame:
     g = x["air_hint"].groupBy("pkg_ix", "file_ix").agg(F.bool_or(F.col("category") == "canonical").alias("c"), F.bool_or(F.col("category") == "boundary").alias("b"))
-    return found(file_rows(g.where("c and b").join(x["air_file"], ["pkg_ix", "file_ix"])), "path")
+    return found(file_rows(g.where("c and b").join(placed(x, "air_file"), ["pkg_ix", "file_ix"])), "path")
 
 
-@rule("MO004", "Warning", "handler co-located with canonical concept")
+@rule("MO004", "Warning")
 def mo004(x: Facts) -> DataFrame:
     canon = x["air_hint"].where("category = 'canonical'").select("pkg_ix", "file_ix").distinct()
-    fns = x["air_function"].where(any_pattern(F.col("name"), x.section("MO")["handler_names"], name_glob)).join(canon, ["pkg_ix", "file_ix"], "left_semi")
+    fns = placed(x, "air_function").where(any_pattern(F.col("name"), x.section("MO")["handler_names"], name_glob)).join(canon, ["pkg_ix", "file_ix"], "left_semi")
     g = fns.groupBy("pkg_ix", "file_ix", "path").agg(F.min(F.struct("item_ix", "line_start", "line_end", "symbol")).alias("f"))
     return found(g.select("*", "f.*"), "symbol")
 
 
-@rule("MO005", "Warning", "substantial declaration in entrypoint module")
+@rule("MO005", "Warning")
 def mo005(x: Facts) -> DataFrame:
     p = x.section("MO")
     tail, stem_ = F.substring_index("module_path", "::", -1), F.regexp_extract("path", r"([^/]+)\.rs$", 1)
@@ -477,7 +490,7 @@ def mo005(x: Facts) -> DataFrame:
 # --- abstractions ---------------------------------------------------------
 
 
-@rule("AB001", "Warning", "single-impl trait (speculative abstraction)")
+@rule("AB001", "Warning")
 def ab001(x: Facts) -> DataFrame:
     traits = x["air_type"].where("kind = 'Trait'")
     counts = x["air_impl"].where("interface is not null").groupBy("interface").agg(F.count("*").alias("n"))
@@ -489,7 +502,7 @@ def ab001(x: Facts) -> DataFrame:
     return found(df.where((n == 1) & ~any_pattern(F.col("symbol"), x.section("AB")["accepted_traits"], trailing_segments)), "symbol")
 
 
-@rule("AB002", "Warning", "type named after generic role")
+@rule("AB002", "Warning")
 def ab002(x: Facts) -> DataFrame:
     p = x.section("AB")
     df = x["air_type"].where("kind in ('Trait', 'Struct')").withColumn("hit", first_pattern(F.col("name"), p["suspect_names"], name_suffix))
@@ -506,14 +519,14 @@ def documented(x: Facts) -> DataFrame:
 REFERENCE = r"https?://[^\s<>\"']+|(?<![A-Za-z0-9_])#[0-9]+"
 
 
-@rule("CL001", "Warning", "orphan external reference in doc comment")
+@rule("CL001", "Warning")
 def cl001(x: Facts) -> DataFrame:
     p = x.section("CL")
     if not p["enabled"]:
         return empty(x)
     refs = F.regexp_extract_all("doc", F.lit(REFERENCE), 0)
     rest = F.filter(F.split(F.regexp_replace("doc", REFERENCE, " "), r"\s+"), lambda w: w.rlike("[A-Za-z0-9]"))
-    df = documented(x).where("doc is not null").withColumns({"refs": refs, "words": F.size(rest)}).where((F.size("refs") > 0) & (F.col("words") < p["least_words"]))
+    df = documented(x).where(F.col("doc").isNotNull() & ~any_pattern(module(), p["exempt_paths"])).withColumns({"refs": refs, "words": F.size(rest)}).where((F.size("refs") > 0) & (F.col("words") < p["least_words"]))
     return found(df, "symbol", F.regexp_replace(F.element_at("refs", 1), r"[.,)`]+$", ""))
 
 
@@ -525,13 +538,13 @@ def two_sided_import(x: Facts, where: list[str], what: list[str]) -> DataFrame:
     return found(df.where("a is not null and b is not null"), "import_path", F.concat_ws(" -> ", "a", "b"))
 
 
-@rule("BO001", "Fatal", "domain type leaks through boundary signature")
+@rule("BO001", "Fatal")
 def bo001(x: Facts) -> DataFrame:
     p = x.section("BO")
     return two_sided_import(x, p["domain_paths"], p["forbidden_in_domain"])
 
 
-@rule("BO002", "Fatal", "boundary type used as canonical")
+@rule("BO002", "Fatal")
 def bo002(x: Facts) -> DataFrame:
     p = x.section("BO")
     fn = x["air_function"].where(any_pattern(module(), p["domain_paths"]))
@@ -540,7 +553,7 @@ def bo002(x: Facts) -> DataFrame:
     return found(fn.join(first, ORD), "symbol", "f.text")
 
 
-@rule("BO004", "Warning", "boundary type co-defined with canonical concept")
+@rule("BO004", "Warning")
 def bo004(x: Facts) -> DataFrame:
     p = x.section("BO")
     d = x["air_decorator"].where((F.col("source") == "Derive") & any_pattern(module(), p["canonical_paths"]))
@@ -555,12 +568,12 @@ def by_function(x: Facts, kinds: list[str], patterns: list[str], module_only: bo
     return df.where(hit if module_only else hit | any_pattern(F.col("symbol"), patterns))
 
 
-@rule("BO005", "Fatal", "persistence call in domain layer")
+@rule("BO005", "Fatal")
 def bo005(x: Facts) -> DataFrame:
     return found(by_function(x, ["PersistenceWrite"], x.section("BO")["domain_paths"]), "symbol", "fact_ix")
 
 
-@rule("CR001", "Fatal", "service construction outside composition root")
+@rule("CR001", "Fatal")
 def cr001(x: Facts) -> DataFrame:
     p = x.section("CR")
     if not p["root_paths"]:
@@ -570,7 +583,7 @@ def cr001(x: Facts) -> DataFrame:
     return found(df.where("hit is not null"), "function", "target")
 
 
-@rule("CR002", "Warning", "high-density wiring in composition root")
+@rule("CR002", "Warning")
 def cr002(x: Facts) -> DataFrame:
     p = x.section("CR")
     if not p["root_paths"] or not p["wiring_density"]:
@@ -583,7 +596,7 @@ def cr002(x: Facts) -> DataFrame:
 # --- documentation --------------------------------------------------------
 
 
-@rule("DC001", "Warning", "missing public-API doc comment")
+@rule("DC001", "Warning")
 def dc001(x: Facts) -> DataFrame:
     p = x.section("DC")
     if not p["require_public_docs"]:
@@ -591,7 +604,7 @@ def dc001(x: Facts) -> DataFrame:
     return found(documented(x).where(F.expr("visibility = 'Public' and doc is null") & ~any_pattern(module(), p["exempt_paths"], trailing_segments)), "symbol")
 
 
-@rule("DC002", "Warning", "doc residue / stale phrasing")
+@rule("DC002", "Warning")
 def dc002(x: Facts) -> DataFrame:
     arms = []
     low = F.lower("doc")
@@ -607,7 +620,7 @@ def dc002(x: Facts) -> DataFrame:
     return found(df, "symbol", "h.hit", F.col("h.severity").alias("severity"))
 
 
-@rule("DC004", "Warning", "forbidden doc phrase")
+@rule("DC004", "Warning")
 def dc004(x: Facts) -> DataFrame:
     marks = "|".join(x.section("DC")["markers"])
     df = documented(x).where("visibility = 'Public'").withColumn("m", F.explode(F.regexp_extract_all("doc", F.lit(rf"(?i)({marks})(?!\()"), 0)))
@@ -617,14 +630,14 @@ def dc004(x: Facts) -> DataFrame:
 # --- errors ---------------------------------------------------------------
 
 
-@rule("ER001", "Warning", "multiple public error types in one file")
+@rule("ER001", "Warning")
 def er001(x: Facts) -> DataFrame:
     w = Window.partitionBy("pkg_ix", "file_ix").orderBy("item_ix")
     t = x["air_type"].where("visibility = 'Public' and (name like '%Error' or name like '%Err')")
     return found(t.withColumns({"rn": F.row_number().over(w), "first": F.first("name").over(w)}).where("rn > 1"), "symbol", "first")
 
 
-@rule("ER002", "Fatal", "string-shaped error in Result return type")
+@rule("ER002", "Fatal")
 def er002(x: Facts) -> DataFrame:
     bare = lambda s: s[1:] if s.startswith("&") else s
     patterns = x.section("ER")["string_error_patterns"]
@@ -632,22 +645,22 @@ def er002(x: Facts) -> DataFrame:
     return found(df.withColumn("hit", first_pattern(F.col("e"), [bare(p) for p in patterns], single_star)).where("hit is not null"), "symbol", "e")
 
 
-@rule("ER003", "Fatal", "boundary error type embedded in domain error enum")
+@rule("ER003", "Fatal")
 def er003(x: Facts) -> DataFrame:
     p = x.section("ER")
     df = x["air_variant"].where(any_pattern(module(), p["domain_paths"])).withColumn("hit", first_pattern(F.col("field_type"), p["boundary_error_patterns"]))
     return found(df.where("hit is not null"), F.concat_ws("::", "symbol", "name"), "hit")
 
 
-@rule("ER005", "Warning", "catch-all Err arm collapses error taxonomy")
+@rule("ER005", "Warning")
 def er005(x: Facts) -> DataFrame:
     owners = x.section("ER")["collapse_owner_paths"]
     t = F.trim("pattern")
-    df = x["air_match_arm"].where(F.col("pattern_has_wildcard") & (t.startswith("Err") | t.contains("Err(")) & F.col("body_shape").isin(*SILENT))
+    df = placed(x, "air_match_arm").where(F.lit(bool(owners)) & F.col("pattern_has_wildcard") & (t.startswith("Err") | t.contains("Err(")) & F.col("body_shape").isin(*SILENT))
     return found(df.where(~any_pattern(module(), owners) & ~any_pattern(F.col("function"), owners)), "function", "pattern")
 
 
-@rule("ER007", "Warning", "duplicate error variant across error enums")
+@rule("ER007", "Warning")
 def er007(x: Facts) -> DataFrame:
     v = x["air_variant"].where("type_name like '%Error' or type_name like '%Err'")
     first = v.groupBy("name").agg(F.min(F.struct(*ORD, "pos", "type_name", "path")).alias("f"))
@@ -657,25 +670,25 @@ def er007(x: Facts) -> DataFrame:
 # --- ports and adapters ---------------------------------------------------
 
 
-@rule("PA001", "Warning", "port and its sole impl co-located in same file")
+@rule("PA001", "Warning")
 def pa001(x: Facts) -> DataFrame:
     impls = x["air_impl"].where("interface is not null").groupBy(short_name(F.col("interface")).alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("impl_path"))
     df = x["air_type"].where("kind = 'Trait'").join(impls.where("n = 1"), "name").where("path = impl_path")
     return found(df.where(~any_pattern(F.col("symbol"), x.section("PA")["accepted_colocated"])), "symbol")
 
 
-@rule("PA002", "Fatal", "concrete adapter import in application/domain layer")
+@rule("PA002", "Fatal")
 def pa002(x: Facts) -> DataFrame:
     p = x.section("PA")
     return two_sided_import(x, p["application_paths"], p["adapter_paths"])
 
 
-@rule("PA003", "Fatal", "external IO in application without port")
+@rule("PA003", "Fatal")
 def pa003(x: Facts) -> DataFrame:
     return found(by_function(x, ["ExternalIo"], x.section("PA")["application_paths"]), "symbol", "fact_ix")
 
 
-@rule("PA004", "Fatal", "adapter construction outside composition root")
+@rule("PA004", "Fatal")
 def pa004(x: Facts) -> DataFrame:
     p = x.section("PA")
     df = x["air_truth_action"].where("action = 'Construct'").where(~any_pattern(F.coalesce("module_path", F.lit("")), p["construction_paths"]))
@@ -687,32 +700,32 @@ def pa004(x: Facts) -> DataFrame:
 
 def outside_runtime(x: Facts, *kinds: str) -> DataFrame:
     owners = x.section("RW")["owner_paths"]
-    return fact_functions(x, *kinds).where(~any_pattern(module(), owners) & ~any_pattern(F.col("symbol"), owners))
+    return fact_functions(x, *kinds).where(F.lit(bool(owners)) & ~any_pattern(module(), owners) & ~any_pattern(F.col("symbol"), owners))
 
 
-@rule("RW001", "Fatal", "spawn outside the runtime-ownership boundary")
+@rule("RW001", "Fatal")
 def rw001(x: Facts) -> DataFrame:
     return found(outside_runtime(x, "SpawnedWork"), "symbol", "fact_ix")
 
 
-@rule("RW002", "Warning", "blocking call outside the runtime-ownership boundary")
+@rule("RW002", "Warning")
 def rw002(x: Facts) -> DataFrame:
     return found(outside_runtime(x, "BlockingCall"), "symbol", "fact_ix")
 
 
-@rule("RW003", "Warning", "runtime-state field outside the runtime-ownership boundary")
+@rule("RW003", "Warning")
 def rw003(x: Facts) -> DataFrame:
     p = x.section("RW")
-    f = x["air_field"].where(~any_pattern(module(), p["owner_paths"]) & any_pattern(F.col("type_text"), p["state_types"], type_text_glob))
+    f = placed(x, "air_field").where(F.lit(bool(p["owner_paths"])) & ~any_pattern(module(), p["owner_paths"]) & any_pattern(F.col("type_text"), p["state_types"], type_text_glob))
     g = f.groupBy(*ORD, "path", "line_start", "line_end", "symbol").agg(F.min(F.struct("pos", "name")).alias("f"))
     return found(g, "symbol", "f.name")
 
 
-@rule("RW004", "Warning", "global-singleton type outside the runtime-ownership boundary")
+@rule("RW004", "Warning")
 def rw004(x: Facts) -> DataFrame:
     p = x.section("RW")
     one = x["air_field"].groupBy(*ORD).agg(F.count("*").alias("n"), F.min("type_text").alias("text")).where("n = 1")
-    df = x["air_type"].where(~any_pattern(module(), p["owner_paths"])).join(one, ORD, "left")
+    df = placed(x, "air_type").where(F.lit(bool(p["owner_paths"])) & ~any_pattern(module(), p["owner_paths"])).join(one, ORD, "left")
     named, held = any_pattern(F.col("name"), p["singleton_names"], type_text_glob), (F.col("kind") == "Struct") & any_pattern(F.col("text"), p["state_types"], type_text_glob)
     return found(df.where(named | held), "symbol", F.when(named, "name").otherwise("field"))
 
@@ -722,12 +735,12 @@ def on_hot_path(x: Facts, kind: str) -> DataFrame:
     return found(fact_functions(x, kind).join(hot, "symbol", "left_semi"), "symbol", "fact_ix")
 
 
-@rule("RW005", "Fatal", "blocking call inside a hot-path function")
+@rule("RW005", "Fatal")
 def rw005(x: Facts) -> DataFrame:
     return on_hot_path(x, "BlockingCall")
 
 
-@rule("RW006", "Fatal", "spawn inside a hot-path function")
+@rule("RW006", "Fatal")
 def rw006(x: Facts) -> DataFrame:
     return on_hot_path(x, "SpawnedWork")
 
@@ -735,7 +748,7 @@ def rw006(x: Facts) -> DataFrame:
 # --- demand ---------------------------------------------------------------
 
 
-@rule("DA001", "Warning", "trait with exactly one implementation")
+@rule("DA001", "Warning")
 def da001(x: Facts) -> DataFrame:
     p = x.section("DA")
     if not p["enabled"]:
@@ -750,7 +763,7 @@ def da001(x: Facts) -> DataFrame:
     return found(traits.join(credit, "symbol").where(~any_pattern(F.col("symbol"), p["accepted"], trailing_segments)), "symbol")
 
 
-@rule("DA002", "Warning", "factory function that constructs exactly one type")
+@rule("DA002", "Warning")
 def da002(x: Facts) -> DataFrame:
     p = x.section("DA")
     if not p["enabled"]:
@@ -760,7 +773,7 @@ def da002(x: Facts) -> DataFrame:
     return found(fn.join(acts, F.col("symbol") == F.col("function")), "symbol", "target")
 
 
-@rule("DA007", "Warning", "strategy enum with exactly one variant")
+@rule("DA007", "Warning")
 def da007(x: Facts) -> DataFrame:
     p = x.section("DA")
     if not p["enabled"]:
@@ -772,7 +785,7 @@ def da007(x: Facts) -> DataFrame:
 # --- responsibilities -----------------------------------------------------
 
 
-@rule("RM001", "Warning", "function performs too many distinct kinds of work")
+@rule("RM001", "Warning")
 def rm001(x: Facts) -> DataFrame:
     p = x.section("RM")
     if not p["max_action_kinds"]:
@@ -782,7 +795,7 @@ def rm001(x: Facts) -> DataFrame:
     return found(acts.join(fn, F.col("function") == F.col("symbol"), "left").where(~any_pattern(module(), p["exempt_paths"])), "function", "n")
 
 
-@rule("RM002", "Warning", "converter performs a side-effect fact")
+@rule("RM002", "Warning")
 def rm002(x: Facts) -> DataFrame:
     return found(by_function(x, ["SpawnedWork", "Logging", "ConfigRead"], x.section("RM")["converter_paths"], True), "symbol", F.concat_ws(":", "kind", "fact_ix"))
 
@@ -793,24 +806,24 @@ def branch_rich(x: Facts, patterns: list[str], cap: int) -> DataFrame:
     return found(acts.join(fn, F.col("function") == F.col("symbol")).where(any_pattern(module(), patterns)), "symbol", "n")
 
 
-@rule("RM003", "Warning", "handler module containing branch-rich domain policy")
+@rule("RM003", "Warning")
 def rm003(x: Facts) -> DataFrame:
     p = x.section("RM")
     return branch_rich(x, p["handler_paths"], p["handler_cap"])
 
 
-@rule("RM004", "Warning", "repository module containing branch-rich domain logic")
+@rule("RM004", "Warning")
 def rm004(x: Facts) -> DataFrame:
     p = x.section("RM")
     return branch_rich(x, p["repository_paths"], p["repository_cap"])
 
 
-@rule("RM005", "Warning", "validator function performing IO")
+@rule("RM005", "Warning")
 def rm005(x: Facts) -> DataFrame:
     return found(by_function(x, ["ExternalIo", "PersistenceWrite"], x.section("RM")["validator_paths"]), "symbol", F.concat_ws(":", "kind", "fact_ix"))
 
 
-@rule("RM006", "Warning", "domain type method performs persistence write")
+@rule("RM006", "Warning")
 def rm006(x: Facts) -> DataFrame:
     parts = F.split("symbol", "::")
     method = F.exists(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: s.rlike(r"^\p{Lu}"))
@@ -820,14 +833,14 @@ def rm006(x: Facts) -> DataFrame:
 # --- features -------------------------------------------------------------
 
 
-@rule("FO001", "Fatal", "same public type name defined in two different features")
+@rule("FO001", "Fatal")
 def fo001(x: Facts) -> DataFrame:
     t = x["air_type"].where("visibility = 'Public'").withColumn("feature", feature_of(module(), x.section("FO")["features"])).where("feature is not null")
     first = t.groupBy("name").agg(F.min(F.struct(*ORD, F.col("feature").alias("ff"))).alias("f"))
     return found(t.join(first, "name").where("feature <> f.ff"), "symbol", F.concat_ws(" -> ", "f.ff", "feature"))
 
 
-@rule("FO004", "Warning", "shared type field references a feature-internal symbol")
+@rule("FO004", "Warning")
 def fo004(x: Facts) -> DataFrame:
     p = x.section("FO")
     tokens = F.filter(F.split("type_text", r"[^\p{L}\p{N}_:]+"), lambda w: w != "")
@@ -839,31 +852,31 @@ def fo004(x: Facts) -> DataFrame:
 # --- observability and configuration --------------------------------------
 
 
-@rule("OB001", "Warning", "forbidden logging primitive in a non-observer file")
+@rule("OB001", "Warning")
 def ob001(x: Facts) -> DataFrame:
     p = x.section("OB")
     df = fact_functions(x, "Logging").withColumn("hit", first_pattern(F.col("evidence"), p["log_targets"]))
-    return found(df.where(F.col("hit").isNotNull() & ~any_pattern(module(), p["observer_paths"])), "symbol", F.concat_ws(":", "hit", "fact_ix"))
+    return found(df.where(F.lit(bool(p["observer_paths"])) & F.col("hit").isNotNull() & ~any_pattern(module(), p["observer_paths"])), "symbol", F.concat_ws(":", "hit", "fact_ix"))
 
 
 def emission(x: Facts, macros: list[str], owners: list[str]) -> DataFrame:
-    df = x["air_call_site"].where("call_kind = 'Meta'").withColumn("hit", first_pattern(F.col("callee"), macros))
-    return found(df.where(F.col("hit").isNotNull() & ~any_pattern(module(), owners)), "function", "hit")
+    df = placed(x, "air_call_site").where("call_kind = 'Meta'").withColumn("hit", first_pattern(F.col("callee"), macros))
+    return found(df.where(F.lit(bool(owners)) & F.col("hit").isNotNull() & ~any_pattern(module(), owners)), "function", "hit")
 
 
-@rule("OB002", "Warning", "metric emission outside the accepted owner module")
+@rule("OB002", "Warning")
 def ob002(x: Facts) -> DataFrame:
     p = x.section("OB")
     return emission(x, p["metric_macros"], p["metric_owner_paths"])
 
 
-@rule("OB003", "Warning", "event emission outside the accepted owner module")
+@rule("OB003", "Warning")
 def ob003(x: Facts) -> DataFrame:
     p = x.section("OB")
     return emission(x, p["event_macros"], p["event_owner_paths"])
 
 
-@rule("OB004", "Warning", "boundary entry without observability")
+@rule("OB004", "Warning")
 def ob004(x: Facts) -> DataFrame:
     f = x["air_fact"].where("scope = 'Function'")
     entries = f.where("kind = 'BoundaryEntry'").select("symbol").distinct().join(f.where("kind = 'Logging'").select("symbol"), "symbol", "left_anti")
@@ -871,41 +884,42 @@ def ob004(x: Facts) -> DataFrame:
     return found(entries.join(fn, "symbol", "left"), "symbol")
 
 
-@rule("CF001", "Fatal", "environment-variable read outside the config layer")
+@rule("CF001", "Fatal")
 def cf001(x: Facts) -> DataFrame:
-    return found(fact_functions(x, "ConfigRead").where(~any_pattern(module(), x.section("CF")["config_paths"], segments_or_name)), "symbol", "fact_ix")
+    paths = x.section("CF")["config_paths"]
+    return found(fact_functions(x, "ConfigRead").where(F.lit(bool(paths)) & ~any_pattern(module(), paths, segments_or_name)), "symbol", "fact_ix")
 
 
-@rule("CF002", "Warning", "magic decision constant in scrutinee outside the config layer")
+@rule("CF002", "Warning")
 def cf002(x: Facts) -> DataFrame:
     p = x.section("CF")
-    return found(x["air_literal"].where(F.lower("kind").isin(*p["literal_kinds"]) & ~any_pattern(module(), p["config_paths"], segments_or_name)), "function", "value")
+    return found(placed(x, "air_literal").where(F.lit(bool(p["config_paths"])) & F.lower("kind").isin(*p["literal_kinds"]) & ~any_pattern(module(), p["config_paths"], segments_or_name)), "function", "value")
 
 
-@rule("CF003", "Warning", "hardcoded provider/model/topic ID outside the config layer")
+@rule("CF003", "Warning")
 def cf003(x: Facts) -> DataFrame:
     p = x.section("CF")
-    df = x["air_literal"].where("kind = 'Str'").withColumn("hit", first_pattern(F.regexp_replace("value", '^"(.*)"$', "$1"), p["id_patterns"], segments_or_name))
+    df = placed(x, "air_literal").where(F.lit(bool(p["config_paths"]))).where("kind = 'Str'").withColumn("hit", first_pattern(F.regexp_replace("value", '^"(.*)"$', "$1"), p["id_patterns"], segments_or_name))
     return found(df.where(F.col("hit").isNotNull() & ~any_pattern(module(), p["config_paths"], segments_or_name)), "function", "hit")
 
 
 # --- tests and utilities --------------------------------------------------
 
 
-@rule("TA001", "Warning", "test module defines a public domain-shaped type")
+@rule("TA001", "Warning")
 def ta001(x: Facts) -> DataFrame:
     df = x["air_type"].where("visibility = 'Public'").withColumn("hit", first_pattern(module(), x.section("TA")["test_paths"]))
     return found(df.where("hit is not null"), "symbol", "hit")
 
 
-@rule("TA002", "Warning", "test type whose name overlaps an accepted canonical concept")
+@rule("TA002", "Warning")
 def ta002(x: Facts) -> DataFrame:
     p = x.section("TA")
     df = x["air_type"].where(any_pattern(module(), p["test_paths"])).withColumn("hit", first_pattern(F.col("name"), p["canonical_names"], path_or_name))
     return found(df.where("hit is not null"), "symbol", "hit")
 
 
-@rule("TA003", "Warning", "test struct whose name and field shape both echo a canonical concept")
+@rule("TA003", "Warning")
 def ta003(x: Facts) -> DataFrame:
     p = x.section("TA")
     names = x["air_field"].groupBy(*ORD).agg(F.collect_set("name").alias("own"))
@@ -920,7 +934,7 @@ def ta003(x: Facts) -> DataFrame:
     return found(df.where(F.col("best.j") >= F.lit(0.5).cast("float")), "symbol", "best.of")
 
 
-@rule("TA004", "Warning", "port impl in a test file outside accepted test-adapter modules")
+@rule("TA004", "Warning")
 def ta004(x: Facts) -> DataFrame:
     p = x.section("TA")
     df = x["air_impl"].where(F.col("interface").isNotNull() & any_pattern(module(), p["test_paths"]) & ~any_pattern(module(), p["adapter_paths"]))
@@ -929,19 +943,19 @@ def ta004(x: Facts) -> DataFrame:
     return found(df.where(hit), "target_type", "interface")
 
 
-@rule("UT001", "Warning", "utility module defines a public type")
+@rule("UT001", "Warning")
 def ut001(x: Facts) -> DataFrame:
     df = x["air_type"].where("visibility = 'Public'").withColumn("hit", first_pattern(module(), x.section("UT")["utility_paths"]))
     return found(df.where("hit is not null"), "symbol", "hit")
 
 
-@rule("UT002", "Fatal", "utility module imports a forbidden feature/domain path")
+@rule("UT002", "Fatal")
 def ut002(x: Facts) -> DataFrame:
     p = x.section("UT")
     return two_sided_import(x, p["utility_paths"], p["forbidden_imports"])
 
 
-@rule("UT003", "Warning", "new generic-utility-named module without acceptance")
+@rule("UT003", "Warning")
 def ut003(x: Facts) -> DataFrame:
     p = x.section("UT")
     df = x["air_file"].withColumn("hit", first_pattern(module(), p["generic_patterns"]))
@@ -955,11 +969,11 @@ def utility_actions(x: Facts, actions: list[str], canonical: bool) -> DataFrame:
     return found(df.where(hit if canonical else ~hit), "function", F.concat_ws(":", "action", "target"))
 
 
-@rule("UT004", "Warning", "domain-concept logic inside a utility module")
+@rule("UT004", "Warning")
 def ut004(x: Facts) -> DataFrame:
     return utility_actions(x, ["Construct", "Validate", "Normalize"], True)
 
 
-@rule("UT005", "Warning", "validation/normalization inside a utility module")
+@rule("UT005", "Warning")
 def ut005(x: Facts) -> DataFrame:
     return utility_actions(x, ["Validate", "Normalize"], False)

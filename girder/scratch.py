@@ -43,10 +43,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _at(df: DataFrame) -> tuple:
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    return path, path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+
+def exists(df: DataFrame) -> bool:
+    """Whether a table that ``materialize`` wrote is still there."""
+    path, files = _at(df)
+    return files.exists(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``materialize`` wrote, through the file system that holds them."""
     for df in tables:
-        path = getattr(df, "scratch_path", None)
-        if path:
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        if hasattr(df, "scratch_path"):
+            path, files = _at(df)
+            files.delete(path, True)

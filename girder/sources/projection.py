@@ -1,7 +1,8 @@
 """A deterministic projection of the star-schema tables onto the fact tables.
 
 Integer arithmetic, CASE and ``||`` only, so that the same text runs in Spark
-and in DuckDB; ``{name}`` stands for a table. Every fact table carries the
+and in DuckDB; ``{name}`` stands for a table, ``{each_n}`` for a row each of the
+numbers pos = 0..n-1, in the dialect's own way. Every fact table carries the
 ordinals (pkg_ix, file_ix, item_ix), since order is part of many questions.
 """
 
@@ -18,6 +19,9 @@ def _pick(key: str, values: list[str | None]) -> str:
 LAYERS = ["domain", "api", "handlers", "tests", "utils", "config", "infra", "feature_one", "feature_two"]
 STEMS = ["mod", "main", "lib", "model", "store", "client", "types", "service"]
 
+#: Kinds that markers of the projection name.
+MARKERS = ["spawned_work", "config_read", "logging", "external_io", "persistence_write", "blocking_call", "hot_path", "request_context", "boundary_entry", "runtime_state_owner", "background_worker"]
+
 #: Star tables that the projection reads.
 TABLES = ("nation", "supplier", "part", "orders", "customer", "lineitem", "events", "labels")
 
@@ -36,10 +40,10 @@ FROM (SELECT s_nationkey, s_suppkey, 'p' || CAST(s_nationkey AS STRING) AS pkg,
 PROJECTION["part_file"] = """
 SELECT p.p_partkey AS k, p.p_size AS size, upper(substr(w1, 1, 1)) || substr(w1, 2) || upper(substr(w2, 1, 1)) || substr(w2, 2) AS word,
        p.p_name AS phrase, f.pkg_ix, f.file_ix, f.path, f.module_path, coalesce(f.module_path, f.package) AS home, CAST(1 + (CAST((p.p_partkey - p.p_partkey % 50) / 50 AS INT) % 40) * 20 AS INT) AS line
-FROM (SELECT p_partkey, p_size, p_name, substr(p_name, 1, position(' ' IN p_name) - 1) AS w1, substr(p_name, position(' ' IN p_name) + 1) AS w2
+FROM (SELECT p_partkey, p_size, p_name, substr(p_name, 1, position(' ' IN p_name) - 1) AS w1, substr(p_name, position(' ' IN p_name) + 1) AS w2,
+             CAST((p_partkey * 7) % (SELECT count(*) FROM {supplier}) AS INT) AS file_of
       FROM {part}) AS p
-JOIN (SELECT count(*) AS n FROM {supplier}) AS m ON m.n > 0
-JOIN {air_file} AS f ON f.file_ix = (p.p_partkey * 7) % m.n
+JOIN {air_file} AS f ON f.file_ix = p.file_of
 """
 
 _DOC = """CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN 'See https://example.com/' || CAST(k AS STRING) || ').'
@@ -59,7 +63,7 @@ FROM (SELECT *, CASE WHEN k % 16 = 1 THEN 'main' ELSE {_pick('size', ['validate_
 PROJECTION["air_param"] = f"""
 SELECT f.pkg_ix, f.file_ix, f.item_ix, f.path, f.module_path, f.symbol, i.pos, 'a' || CAST(i.pos AS STRING) AS name, f.line_start, f.line_end,
        {_pick('(f.item_ix / 8 + i.pos)', ['u64', 'ColdRodDto', 'Vec<sqlx::Row>', '&ColdRod', 'String']).replace('f.item_ix / 8', 'CAST(f.item_ix / 8 AS BIGINT)')} AS type_text
-FROM {{air_function}} AS f JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos) AS i ON i.pos <= CAST(f.item_ix / 8 AS BIGINT) % 2
+FROM {{air_function}} AS f {{each_2}} WHERE i.pos <= CAST(f.item_ix / 8 AS BIGINT) % 2
 """
 
 PROJECTION["air_type"] = f"""
@@ -73,22 +77,21 @@ PROJECTION["air_field"] = f"""
 SELECT t.pkg_ix, t.file_ix, t.item_ix, t.path, t.module_path, t.symbol, t.name AS type_name, t.kind, t.line_start, t.line_end, i.pos,
        {_pick('i.pos', ['id', 'name', 'cold_rod', 'state', 'pool', 'cold_anvil'])} AS name,
        {_pick('(i.pos + t.k)', ['u64', 'String', 'Mutex<State>', 'Option<&str>', 'sqlx::Pool', 'p1::feature_one::f7::model::Thing'])} AS type_text
-FROM {{air_type}} AS t JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos UNION ALL SELECT 2 AS pos UNION ALL SELECT 3 AS pos UNION ALL SELECT 4 AS pos UNION ALL SELECT 5 AS pos) AS i
-  ON t.k % (i.pos + 2) = 0 WHERE t.kind = 'Struct'
+FROM {{air_type}} AS t {{each_6}} WHERE t.k % (i.pos + 2) = 0 AND t.kind = 'Struct'
 """
 
 PROJECTION["air_variant"] = f"""
 SELECT t.pkg_ix, t.file_ix, t.item_ix, t.path, t.module_path, t.symbol, t.name AS type_name, t.line_start, t.line_end, i.pos,
        {_pick('(i.pos * 3 + t.k % 4)', ['NotFound', 'Io', 'Parse', 'Db', 'Timeout', 'Denied', 'Other'])} AS name,
        {_pick('(i.pos + t.k)', [None, 'sqlx::Error', 'String', 'std::io::Error'])} AS field_type
-FROM {{air_type}} AS t JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos UNION ALL SELECT 2 AS pos) AS i ON t.k % 3 >= i.pos WHERE t.kind = 'Enum'
+FROM {{air_type}} AS t {{each_3}} WHERE t.k % 3 >= i.pos AND t.kind = 'Enum'
 """
 
 PROJECTION["air_decorator"] = f"""
 SELECT t.pkg_ix, t.file_ix, t.item_ix, t.path, t.module_path, t.symbol, t.name AS type_name, t.line_start, t.line_end, i.pos,
        CASE WHEN (t.k + i.pos) % 9 = 0 THEN 'Attribute' ELSE 'Derive' END AS source,
        {_pick('(i.pos * 2 + t.k)', ['Debug', 'Serialize', 'Clone', 'serde::Deserialize', 'PartialEq'])} AS name
-FROM {{air_type}} AS t JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos) AS i ON t.k % 2 >= i.pos
+FROM {{air_type}} AS t {{each_2}} WHERE t.k % 2 >= i.pos
 """
 
 PROJECTION["air_impl"] = """
@@ -101,17 +104,16 @@ FROM {air_type} WHERE kind = 'Trait' AND k % 33 = 0
 """
 
 PROJECTION["air_impl_method"] = f"""
-SELECT i.pkg_ix, i.file_ix, i.item_ix, i.path, i.module_path, i.line_start, i.line_end, i.target_type, i.interface, m.pos,
-       {_pick('(i.k + m.pos)', ['new', 'to_row', 'charge', 'as_ref', 'apply_discount'])} AS method
-FROM {{air_impl}} AS i JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos) AS m ON m.pos <= i.k % 2
+SELECT m.pkg_ix, m.file_ix, m.item_ix, m.path, m.module_path, m.line_start, m.line_end, m.target_type, m.interface, i.pos,
+       {_pick('(m.k + i.pos)', ['new', 'to_row', 'charge', 'as_ref', 'apply_discount'])} AS method
+FROM {{air_impl}} AS m {{each_2}} WHERE i.pos <= m.k % 2
 """
 
 PROJECTION["air_conversion"] = f"""
 SELECT t.pkg_ix, t.file_ix, t.k * 8 + 3 AS item_ix, t.path, t.module_path, t.line_start + 5 AS line_start, t.line_start + 8 AS line_end,
-       t.symbol AS from_type, word || {_pick('t.k', ['', 'Model', '', 'Dto', 'Row'])} AS to_type, {_pick('t.k', ['From', 'TryFrom', 'FreeFunction'])} AS mechanism,
-       t.symbol || '::from' AS symbol, l.layer
-FROM {{air_type}} AS t JOIN {{part_file}} AS p ON p.k = t.k
-JOIN (SELECT 0 AS n, 'Heuristic' AS layer UNION ALL SELECT 1 AS n, 'SemanticResolved' AS layer) AS l ON l.n <= t.k % 2 WHERE t.k % 4 > 0
+       t.symbol AS from_type, t.word || {_pick('t.k', ['', 'Model', '', 'Dto', 'Row'])} AS to_type, {_pick('t.k', ['From', 'TryFrom', 'FreeFunction'])} AS mechanism,
+       t.symbol || '::from' AS symbol, CASE i.pos WHEN 0 THEN 'Heuristic' ELSE 'SemanticResolved' END AS layer
+FROM (SELECT t.*, p.word FROM {{air_type}} AS t JOIN {{part_file}} AS p ON p.k = t.k) AS t {{each_2}} WHERE i.pos <= t.k % 2 AND t.k % 4 > 0
 """
 
 # each line of an order is a place in the body of its part's function
@@ -123,8 +125,20 @@ FROM {lineitem} AS l JOIN {air_function} AS f ON f.item_ix = l.l_partkey * 8
 """
 
 _SITE = "pkg_ix, file_ix, item_ix, path, module_path, function, line_start, line_end"
-_KIND = ["Method", "Method", "Function", "Function", "Meta", "Meta", "Function", "Method", "Meta", "Function", "Meta"]
-_CALLEE = ["unwrap", "ok", "std::fs::write", "tokio::spawn", "println", "metrics::counter", "std::thread::sleep", "to_string", "tracing::event", "std::env::var", "todo"]
+#: Callees with their call's kind: every name that a rule or the runtime classifier knows, and near misses.
+_CALLS = [
+    ("unwrap", "Method"), ("ok", "Method"), ("std::fs::write", "Function"), ("tokio::spawn", "Function"), ("println", "Meta"), ("metrics::counter", "Meta"),
+    ("std::thread::sleep", "Function"), ("to_string", "Method"), ("tracing::event", "Meta"), ("std::env::var", "Function"), ("todo", "Meta"), ("fs::create_dir", "Function"),
+    ("std::fs::create_dir_all", "Function"), ("std::fs::remove_file", "Function"), ("fs::remove_dir", "Function"), ("std::fs::remove_dir_all", "Function"), ("std::fs::copy", "Function"),
+    ("fs::rename", "Function"), ("std::fs::hard_link", "Function"), ("std::fs::soft_link", "Function"), ("std::os::unix::fs::symlink", "Function"), ("std::fs::read", "Function"),
+    ("fs::read_to_string", "Function"), ("std::fs::read_dir", "Function"), ("std::fs::metadata", "Function"), ("std::fs::canonicalize", "Function"), ("tokio::fs::open", "Function"),
+    ("std::thread::park", "Function"), ("std::thread::park_timeout", "Function"), ("std::process::Command::new", "Function"), ("std::process::Command::output", "Function"),
+    ("std::process::Command::status", "Function"), ("std::process::Command::wait", "Function"), ("std::process::Command::wait_with_output", "Function"), ("std::process::Command::spawn", "Function"),
+    ("std::net::TcpStream::connect", "Function"), ("std::net::TcpListener::bind", "Function"), ("std::net::UdpSocket::bind", "Function"), ("std::env::var_os", "Function"), ("spawn", "Function"),
+    ("eprintln", "Meta"), ("print", "Meta"), ("eprint", "Meta"), ("dbg", "Meta"), ("tracing::info", "Meta"), ("log::warn", "Meta"), ("error", "Meta"), ("debug", "Meta"), ("tracing::trace", "Meta"),
+    ("unwrap", "Method"), ("ok", "Method"), ("expect", "Method"), ("unwrap_or_else", "Method"), ("fs::write", "Method"), ("my::println", "Meta"), ("conf::var", "Function"), ("std::fs::set_permissions", "Function"),
+]
+_CALLEE, _KIND = [c for c, _ in _CALLS], [k for _, k in _CALLS]
 
 PROJECTION["air_call_site"] = f"SELECT {_SITE}, {_pick('k', _CALLEE)} AS callee, {_pick('k', _KIND)} AS call_kind FROM {{air_site}} AS s"
 # some functions construct little: their plain sites construct nothing
@@ -177,7 +191,7 @@ FROM {{events}} AS e JOIN {{air_function}} AS f ON f.item_ix = e.user_id * 8
 PROJECTION["air_hint"] = f"""
 SELECT t.pkg_ix, t.file_ix, t.item_ix, t.path, t.module_path, {_pick('(t.k % 6 + t.k % 35)', ['canonical', 'boundary', 'allow', 'converter', 'protocol_translation', 'marker'])} AS category,
        'concept-' || CAST(t.k % 5 AS STRING) AS concept, {_pick('t.k', ['CX001', 'FL', 'OT004', '*', 'dg003', 'RW001'])} AS rule, 'kept' AS reason,
-       {_pick('t.k', ['1998-06-01', '1998-05-31', None, '1999-01-01', '1997-01-01'])} AS expires, {_pick('t.k', ['hot_path', 'boundary_entry', 'logging'])} AS fact_kind,
+       {_pick('t.k', ['1998-06-01', '1998-05-31', None, '1999-01-01', '1997-01-01'])} AS expires, {_pick('t.k', [*MARKERS, 'metric_emission'])} AS fact_kind,
        t.line_start - 1 AS line_start, t.line_start - 1 AS line_end, t.line_start + CAST(t.k % 3 AS INT) * 4 AS target_start, t.line_start + CAST(t.k % 3 AS INT) * 4 AS target_end
 FROM {{air_type}} AS t WHERE t.k % 7 < 4
 """
@@ -210,6 +224,15 @@ def dependencies(name: str) -> list[str]:
     return [*out, name]
 
 
+EACH = {f"each_{n}": n for n in (2, 3, 6)}
+
+
+def fields(text: str) -> set[str]:
+    import string
+
+    return {r for _, r, _, _ in string.Formatter().parse(text) if r}
+
+
 class StarFacts:
     """Fact tables over a folder of star-schema Parquet, each made once when asked for."""
 
@@ -221,10 +244,10 @@ class StarFacts:
             if name in TABLES:
                 self.made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
             else:
-                import string
-
-                refs = {r for _, r, _, _ in string.Formatter().parse(PROJECTION[name]) if r}
-                self.made[name] = self.spark.sql(PROJECTION[name], **{r: self[r] for r in refs})
+                text = PROJECTION[name]
+                for k, n in EACH.items():
+                    text = text.replace("{" + k + "}", f"LATERAL VIEW explode(sequence(0, {n - 1})) i AS pos")
+                self.made[name] = self.spark.sql(text, **{r: self[r] for r in fields(text)})
         return self.made[name]
 
 
@@ -233,5 +256,5 @@ def ctes(*names: str) -> str:
     order: list[str] = []
     for n in names:
         order += [x for x in dependencies(n) if x not in order]
-    star = {t: t for t in TABLES}
-    return "WITH " + ",\n".join(f"{n} AS ({PROJECTION[n].strip().format(**star, **{x: x for x in PROJECTION})})" for n in order)
+    known = {t: t for t in TABLES} | {x: x for x in PROJECTION} | {k: f", (SELECT unnest(range(0, {n})) AS pos) AS i" for k, n in EACH.items()}
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({PROJECTION[n].strip().format(**known)})" for n in order)

@@ -67,7 +67,8 @@ def test_before_and_after_concepts_are_declared(spark, path):
 def test_budgets_literals_and_facts(spark, path):
     assert subjects(spark, path, "CX001", {}) == ["sample::handler::create_user"]
     assert subjects(spark, path, "CX001", {"CX": {"fn_lines": 80}}) == []
-    assert subjects(spark, path, "CF003", {"CF": {"id_patterns": ["gpt-*"]}}) == ["sample::handler::create_user"]
+    assert subjects(spark, path, "CF003", {"CF": {"id_patterns": ["gpt-*"]}}) == []  # silent until a config layer is named
+    assert subjects(spark, path, "CF003", {"CF": {"id_patterns": ["gpt-*"], "config_paths": ["sample::config"]}}) == ["sample::handler::create_user"]
     assert subjects(spark, path, "RW001", {"RW": {"owner_paths": ["sample::dto"]}}) == ["sample::handler::create_user"]
 
 
