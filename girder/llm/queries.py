@@ -50,7 +50,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = docs.where(~held_out(F.col("doc_id"))).join(labels.select("doc_id", "toxic"), "doc_id")
+    labelled = toxicity.labelled_texts(docs, labels.where(~held_out(F.col("doc_id"))))
     out = toxicity.score(docs, toxicity.train(labelled))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -263,10 +263,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
     return w
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000) -> DataFrame:
+    """(doc_id, text, toxic) of about ``train_docs`` labels (doc_id, toxic): the labels are drawn before they meet the texts, so that no text is shuffled for the others."""
+    marks = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
+    marks = materialize(bounded_sample(marks, F.col("doc_id"), train_docs), "marks")
+    return docs.select("doc_id", "text").join(marks, "doc_id")
+
+
 def train(labelled: DataFrame, train_docs: int = 20_000) -> ToxicityModel:
     """Fit on about ``train_docs`` rows (doc_id, text, toxic) at most, chosen by hash; null labels do not count."""
     sample = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sample = materialize(bounded_sample(sample, F.col("doc_id"), train_docs), "labelled")
+    held = materialize(sample, "labelled")
+    sample = bounded_sample(held, F.col("doc_id"), train_docs)
     model = ToxicityModel(*learn_lexicon(sample))
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
@@ -276,7 +284,7 @@ def train(labelled: DataFrame, train_docs: int = 20_000) -> ToxicityModel:
             yield pd.DataFrame({"x": feats, "y": pdf["toxic"].astype(float)})
 
     rows = sample.select("text", "toxic").mapInPandas(run, "x array<double>, y double").toArrow()
-    discard(sample)
+    discard(held)
     if rows.num_rows:
         model.weights = fit_logistic(np.array(rows["x"].to_pylist()), rows["y"].to_numpy())
     return model
