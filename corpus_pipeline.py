@@ -17,9 +17,8 @@ from girder.llm.common import discard, held_out, materialize, read_documents
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; labels of the held-out fold are never learnt from."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    labelled = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(labels, "doc_id")
-    return toxicity.without_toxic(docs, toxicity.train(labelled))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
+    return toxicity.without_toxic(docs, toxicity.train(toxicity.labelled_texts(docs, labels)))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
