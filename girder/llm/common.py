@@ -35,12 +35,13 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(7), key, F.monotonically_increasing_id()), F.lit(total)) < rows)
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable], spec: str) -> DataFrame:
+def map_texts(docs: DataFrame, make: Callable[[], Callable], spec: str, with_ids: bool = False) -> DataFrame:
     """Run a function of lists of texts over ``docs``; doc_id passes through Arrow untouched, nulls and all.
 
     ``make`` is called once a task and returns ``f(texts) -> (rows, columns)``:
     ``columns`` hold the values of ``spec``, ``rows`` the positions of the texts
-    they belong to, or None when there is one value a text.
+    they belong to, or None when there is one value a text. ``with_ids``: ``f``
+    also gets the ids.
     """
     fields = StructType.fromDDL(spec).fields
     kinds = [to_arrow_type(x.dataType) for x in fields]
@@ -51,7 +52,8 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable], spec: str) -> DataF
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows, columns = f(part.column(1).to_pylist())
+                texts = part.column(1).to_pylist()
+                rows, columns = f(texts, part.column(0).to_pylist()) if with_ids else f(texts)
                 ids = part.column(0) if rows is None else part.column(0).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
 

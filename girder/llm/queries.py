@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, imatch, langid, line_dedup, mixing, packing, secret_scan, simhash, suffix_dedup, toxicity
+from . import embedding_dedup, fill_in_middle, hard_negatives, imatch, langid, line_dedup, mixing, packing, secret_scan, simhash, suffix_dedup, toxicity
 from .common import held_out, read_documents
 
 
@@ -83,6 +83,20 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(read_documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -95,6 +109,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_pack": op10_pack,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
 
@@ -130,5 +146,42 @@ WITH RECURSIVE v AS MATERIALIZED (
 ), root AS (SELECT a, min(b) AS low FROM reach GROUP BY a), links AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
 SELECT v.vec_id, coalesce(links.n, 0) AS n_links, least(v.vec_id, coalesce(root.low, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(root.low, v.vec_id)) AS kept
 FROM v LEFT JOIN links ON links.a = v.vec_id LEFT JOIN root ON root.a = v.vec_id
+""",
+    "op11_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents
+), u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+         [CAST('0x' || substr(hex, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h FROM t
+), c AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b FROM u
+), f AS (
+  SELECT doc_id, n, text, array_to_string(units[:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+              WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
+""",
+    "op13_hard_negatives": r"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x, row_number() OVER () AS uid
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.uid AS a, a.vec_id AS anchor_id, a.label AS own, b.uid AS b, b.vec_id AS id, b.label AS other,
+         CAST(CASE WHEN len(a.x) = 0 THEN 0 ELSE list_dot_product(a.x, b.x) END AS BIGINT) AS score
+  FROM v a JOIN v b ON len(a.x) = len(b.x) AND a.uid <> b.uid WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE own = other QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST, b) <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id NULLS LAST, s.b) AS rank
+  FROM p JOIN s ON p.a = s.a AND s.own <> s.other AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """,
 }
