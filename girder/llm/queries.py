@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fill_in_middle, hard_negatives, imatch, langid, line_dedup, mixing, packing, secret_scan, simhash, suffix_dedup, toxicity
+from . import embedding_dedup, fill_in_middle, hard_negatives, imatch, langid, line_dedup, mixing, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
 from .common import held_out, read_documents
 
 
@@ -91,6 +91,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(read_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -110,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_pack": op10_pack,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_pii": op12_pii,
         "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
