@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from girder.scratch import discard, materialize
 
-__all__ = ["bounded_sample", "connected_components", "discard", "held_out", "map_texts", "materialize", "read_documents"]
+__all__ = ["bounded_sample", "connected_components", "discard", "held_out", "map_texts", "materialize", "numbered", "read_documents"]
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -35,6 +35,23 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(7), key, F.monotonically_increasing_id()), F.lit(total)) < rows)
 
 
+def numbered(df: DataFrame, keys: list[str], name: str, buckets: int = 1024) -> DataFrame:
+    """``df`` with a number from 1 among the rows of equal ``keys`` (nulls equal), as column ``name``.
+
+    Rows are written once and dealt to ``buckets`` parts of their key, which
+    are numbered apart and then offset, so that no task holds all rows of a key.
+    """
+    rows = materialize(df.withColumn("_m", F.monotonically_increasing_id()), "numbered").withColumn("_b", F.pmod(F.xxhash64("_m"), F.lit(buckets)))
+    sizes = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    own = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_m")))
+    same = F.col("l._b") == F.col("r._b")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return own.alias("l").join(sizes.alias("r"), same).select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("_before") + F.col("_rn")).alias(name))
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable], spec: str, with_ids: bool = False) -> DataFrame:
     """Run a function of lists of texts over ``docs``; doc_id passes through Arrow untouched, nulls and all.
 

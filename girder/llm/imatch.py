@@ -38,33 +38,57 @@ def id_range(cuts: list[int]) -> Column:
 def with_next(docs: DataFrame, per_range: int = 2000, most_ranges: int = 20_000) -> DataFrame:
     """Pair each document with the next by descending doc_id (after the last: the first): adds rn, next_id, next_text.
 
-    Documents are dealt to id ranges (``bucket``) of about ``per_range`` rows;
-    each range also gets a copy of the following range's first document, which
-    ends its line and is dropped after ``lead`` has seen it. No window spans the
-    table and text is shuffled once. Ties of doc_id are ordered by the text's
-    hash. A null doc_id is smaller than any.
+    Documents are dealt to ranges (``bucket``) of about ``per_range`` rows, or
+    of a ``most_ranges``-th of the table if that is more: this bounds the cut
+    points that a plan holds, and sets how many tasks may share the work, not
+    what they do. An id that fills more than a range, null among them, is split
+    by its texts' hashes, and a text repeated more often than that under one id
+    by row number. Each range also gets a copy of the following range's first
+    document, which ends its line and is dropped after ``lead`` has seen it. No
+    window spans the table and text is shuffled once. A null doc_id is smaller
+    than any. Rows of one id come in an order of their own: the often repeated
+    texts first, then by the text's hash.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    ranges = max(1, min(most_ranges, ids.count() // per_range))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    rows = docs.withColumn("bucket", id_range(sorted(set(map(int, cuts)), reverse=True))).withColumn("h", F.xxhash64("text"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("neg"), "h")).alias("top")
+    keys = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    keys = materialize(keys.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "ids")  # no texts
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = max(1, min(most_ranges, total // per_range))
+    room = max(per_range, -(-total // ranges))
+    cuts = keys.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0] or []
+    # ids, and texts of an id, that fill more than a range: at most ``most_ranges`` rows each, hence broadcast
+    parts = lambda n: F.ceil(n / room).cast("long")
+    hot_ids = keys.groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") > room).select("doc_id", parts(F.col("n")).alias("id_parts"), F.lit(1).alias("hot"))
+    hot_texts = keys.where(F.col("n") > room).select("doc_id", "h", parts(F.col("n")).alias("text_parts"))
+    rows = docs.withColumns({"h": F.xxhash64("text"), "t": F.xxhash64(F.monotonically_increasing_id())})
+    by_id = F.col("d.doc_id").eqNullSafe(F.col("i.doc_id"))
+    rows = rows.alias("d").join(F.broadcast(hot_ids).alias("i"), by_id, "left").select("d.*", "id_parts", "hot")
+    by_text = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.h") == F.col("x.h"))
+    rows = rows.alias("d").join(F.broadcast(hot_texts).alias("x"), by_text, "left").select("d.*", "text_parts")
+    slot = lambda h, n: F.floor((F.shiftright(h, 32) + F.lit(1 << 31)) * n / F.lit(1 << 32)).cast("long")  # noqa: E731  order-preserving
+    # (range, class, part, part): buckets in the order of their rows; a hot id is a cut, so the last of its range
+    kind = F.when(F.col("hot").isNull(), 0).when(F.col("text_parts").isNotNull(), 1).otherwise(2)
+    part = F.when(kind == 1, F.col("h")).when(kind == 2, slot(F.col("h"), F.col("id_parts"))).otherwise(F.lit(0).cast("long"))
+    last = F.when(kind == 1, slot(F.col("t"), F.col("text_parts"))).otherwise(F.lit(0).cast("long"))
+    hot = [x["doc_id"] for x in hot_ids.where("doc_id is not null").select("doc_id").collect()]
+    bucket = F.struct(id_range(sorted({*map(int, cuts), *hot}, reverse=True)).alias("range"), kind.alias("kind"), part.alias("part"), last.alias("last"))
+    rows = rows.select("doc_id", "text", "h", "t", bucket.alias("bucket"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("neg"), "h", "t")).alias("top")
     tops = materialize(rows.groupBy("bucket").agg(first), "tops")  # a row a range
     ring, every = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket")), Window.partitionBy(F.lit(0))
     tops = tops.select(
-        "bucket", (-F.col("top.neg")).alias("doc_id"), F.col("top.h").alias("h"),
+        "bucket", (-F.col("top.neg")).alias("doc_id"), F.col("top.h").alias("h"), F.col("top.t").alias("t"),
         F.coalesce(F.lead("bucket").over(ring), F.max("bucket").over(every)).alias("ends"),
     )
-    same = (F.col("d.bucket") == F.col("t.bucket")) & F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.h") == F.col("t.h"))
+    same = (F.col("d.bucket") == F.col("t.bucket")) & F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.h") == F.col("t.h")) & (F.col("d.t") == F.col("t.t"))
     rows = rows.alias("d").join(F.broadcast(tops).alias("t"), same, "left")
     place = lambda b, helper: F.struct(b.alias("bucket"), F.lit(helper).alias("helper"))
     own = F.array(place(F.col("d.bucket"), False))
     to = F.when(F.col("t.ends").isNull(), own).otherwise(F.array(place(F.col("d.bucket"), False), place(F.col("t.ends"), True)))
-    rows = rows.select("d.doc_id", "d.text", "d.h", F.explode(to).alias("at")).select("doc_id", "text", "h", "at.*")
-    line = Window.partitionBy("bucket").orderBy("helper", F.desc_nulls_last("doc_id"), "h", "text")
+    rows = rows.select("d.doc_id", "d.text", "d.h", "d.t", F.explode(to).alias("at")).select("doc_id", "text", "h", "t", "at.*")
+    line = Window.partitionBy("bucket").orderBy("helper", F.desc_nulls_last("doc_id"), "h", "t")
     rows = rows.withColumns({"rn": F.row_number().over(line), "next_id": F.lead("doc_id").over(line), "next_text": F.lead("text").over(line)})
-    return rows.where(~F.col("helper")).drop("helper")
+    return rows.where(~F.col("helper")).drop("helper", "t")
 
 
 def outside_band(docs: DataFrame, most_share: float = MOST_SHARE) -> list[int]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +17,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def row_hash(seed: int = 42) -> Column:
+    """Seeded hash of a document's id and text."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+
+
 def sainte_lague(df: DataFrame, group: list[str], weight: str, seats: str, order: list[str]) -> DataFrame:
     """Give each group's ``seats`` to its rows by the highest quotients weight / (2 j + 1); adds ``quota``.
 
@@ -77,7 +84,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def mix(docs: DataFrame, block: int = 8, shard_docs: int = 500, most: int = 3, seed: int = 42) -> DataFrame:
-    """How many words of each document the mix takes: (doc_id, source, size, source_size, target, taken).
+    """How many words of each document the mix takes: (doc_id, source, size, source_size, target, taken, h), h a hash of id and text.
 
     All words are cut into equal blocks of ``block`` words; Sainte-Lague gives
     each source whole blocks, then each part of a source its quota of them, then
@@ -89,13 +96,16 @@ def mix(docs: DataFrame, block: int = 8, shard_docs: int = 500, most: int = 3, s
 
     A source's shards grow in number with its documents, so a source with a
     third of all rows is spread; each shard is one spillable window group of
-    three numbers a row. Null text has size 0 and gives nothing; null doc_id is
+    a few numbers a row. Documents are dealt to shards by their id and text,
+    many equal ones by their row's number too, so a repeated or null id is
+    spread as well. Null text has size 0 and gives nothing; null doc_id is
     a document like any other; repeated rows are separate documents; an empty
     table gives an empty result. Extra columns are ignored. Reruns agree.
     """
-    sizes = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "sizes"
-    )
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(seed).alias("h"))
+    sizes = materialize(sizes.withColumn("mid", F.monotonically_increasing_id()), "sizes")
+    many = sizes.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > shard_docs // 10)
+    sizes = sizes.join(many, "h", "left").withColumn("deal", F.when(F.col("rows").isNull(), F.col("h")).otherwise(F.xxhash64("h", "mid"))).drop("rows")
     src = source_targets(sizes, most=most)
     one = Window.partitionBy(F.lit(0))
     src = src.withColumn("seats", F.round(F.sum("source_size").over(one) / block).cast("long"))
@@ -104,35 +114,40 @@ def mix(docs: DataFrame, block: int = 8, shard_docs: int = 500, most: int = 3, s
     src = src.withColumn("n_parts", F.ceil(F.sqrt("n_shards")).cast("long"))
     src = materialize(src.select("source", "source_size", "target", "rank", "n_shards", "n_parts", F.col("quota").alias("blocks")), "sources")
     rows = sizes.alias("d").join(src.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    shard = F.pmod("d.h", "s.n_shards")
+    shard = F.pmod("d.deal", "s.n_shards")
     rows = rows.select("d.*", "s.rank", "s.source_size", "s.target", (shard % F.col("s.n_parts")).alias("part"), shard.alias("shard"))
     shards = materialize(rows.groupBy("rank", "part", "shard").agg(F.sum("size").alias("words")), "shards")
     parts = shards.groupBy("rank", "part").agg(F.sum("words").alias("words")).join(src.select("rank", "blocks"), "rank")
     parts = sainte_lague(parts, ["rank"], "words", "blocks", ["part"]).select("rank", "part", F.col("quota").alias("blocks"))
     shards = sainte_lague(shards.join(parts, ["rank", "part"]), ["rank", "part"], "words", "blocks", ["shard"])
     shards = shards.select("rank", "shard", "words", F.least(F.col("quota") * block, F.col("words") * most).alias("take"))
-    line = Window.partitionBy("rank", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("rank", "shard").orderBy("h", "mid").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0))).join(shards, ["rank", "shard"])
     rounds = F.when(F.col("words") > 0, F.floor(F.col("take") / F.col("words"))).otherwise(0).cast("long")
     rest = F.col("take") - rounds * F.col("words")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "h")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix has them: whole copies first, then one leading part of the words left; same columns as ``docs``.
 
     Documents of which nothing is taken are absent. A part is the document's
-    first words joined by single spaces. ``n_chars`` is set anew.
+    first words joined by single spaces. ``n_chars`` is set anew. Rows meet
+    their shares by id, source, size and text; rows equal in all of these share
+    theirs evenly, the remainder a word each to the first of them, so that no
+    word is lost.
     """
     whole_row = F.struct(*docs.columns).alias("doc")  # apart, so that no column's name can clash
-    taken = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    size = word_count(F.col("text"))
-    out = docs.select("doc_id", size.alias("size"), whole_row).alias("d").join(
-        taken.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.size") == F.col("m.size"))
-    )
-    each = F.floor(F.col("m.taken") / F.col("m.rows"))
-    out = out.select("d.doc", "d.size", each.alias("taken")).where("taken > 0")
+    keys = ["doc_id", "source", "size", "h"]
+    taken = materialize(mix(docs).groupBy(*keys).agg(F.sum("taken").alias("all"), F.count("*").alias("rows")).where(F.col("all") > 0), "taken")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash().alias("h"), whole_row)
+    same = lambda a, b: reduce(Column.__and__, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    met = lambda part: rows.alias("d").join(part.alias("m"), same("d", "m")).select("d.*", "m.all", "m.rows")
+    alone = met(taken.where("rows = 1")).select("doc", "size", F.col("all").alias("taken"))
+    equal = numbered(met(taken.where("rows > 1")), keys, "place")
+    share = F.floor(F.col("all") / F.col("rows")) + (F.col("place") <= F.col("all") % F.col("rows")).cast("long")
+    out = alone.unionByName(equal.select("doc", "size", share.alias("taken"))).where("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size"))
     rest = F.col("taken") - whole * F.col("size")
     words = F.filter(F.split("doc.text", r"[\x20\x09-\x0D]+"), lambda x: x != "")

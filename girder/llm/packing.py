@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 
@@ -23,9 +24,9 @@ _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts under a word-level BPE file of ``tokenizers``, a word at a time.
+    """Ids of whole texts under a BPE file of ``tokenizers``; a word at a time where the file is of the kind below, else whole.
 
-    The file's pre-tokenizer never crosses white space and its normaliser never
+    Such a file's pre-tokenizer never crosses white space and its normaliser never
     composes over it, so a text's ids are those of its words in turn. Plain
     words are split by the file's own pattern and handed to its BPE model;
     anything else goes through ``encode``. Ids are kept as little-endian
@@ -38,8 +39,13 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        # fixed values: the file's pre-tokenizer pattern
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        # the short cut for plain words holds for files that lower-case, drop white space and split by one pattern into bytes
+        steps = json.loads(self.whole.to_str())
+        norm, pre = steps.get("normalizer") or {}, steps.get("pre_tokenizer") or {}
+        named = lambda x, key: [y["type"] for y in x.get(key, [])]
+        split = next((x["pattern"]["Regex"] for x in pre.get("pretokenizers", []) if x["type"] == "Split" and "Regex" in x["pattern"]), None)
+        self.known = split is not None and named(pre, "pretokenizers") == ["Split", "ByteLevel"] and named(norm, "normalizers") == ["NFC", "Replace", "Lowercase"]
+        self.split = regex.compile(split) if self.known else None
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -59,6 +65,8 @@ class WordTokenizer:
         return np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if not self.known:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.seen) > WORD_CACHE:
             self.seen.clear()
         seen, words = self.seen, [w for w in SPACE.split(text) if w]

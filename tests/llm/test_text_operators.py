@@ -539,3 +539,60 @@ def test_very_long_texts(spark):
     assert secret_scan.scan(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 3
     packed = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), capacity=4096).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
     assert all(r["n"] == r["d"] for r in packed) and len(packed) == 3
+
+
+@pytest.mark.parametrize("per_range", [2, 7, 50])
+def test_next_document_with_hot_ids(spark, per_range):
+    """Null and repeated ids are split over ranges: every row has the next in one line over all, every text is some row's next."""
+    r = random.Random(per_range)
+    ids = [None] * 60 + [5] * 40 + [r.randint(0, 30) for _ in range(60)]
+    texts = [f"t{r.randint(0, 25)}" if i in (None, 5) else f"u{k}" for k, i in enumerate(ids)]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    rows = imatch.with_next(df, per_range=per_range).collect()
+    line = sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    assert Counter((x.doc_id, x.next_id) for x in rows) == Counter(zip(line, [*line[1:], line[0]]))
+    assert Counter((x.next_id, x.next_text) for x in rows) == Counter(zip(ids, texts)) == Counter((x.doc_id, x.text) for x in rows)
+    sizes = Counter(x.bucket for x in rows)
+    assert max(sizes.values()) <= 6 * per_range + 10
+
+
+def test_mixing_splits_a_hot_id(spark):
+    rows = [(None, f"w{k % 3} of a text", "a") for k in range(900)] + [(k, "some words here", "b") for k in range(300)] + [(None, "the same", "c")] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, shard_docs=50).collect()
+    assert len(got) == len(rows) and all(0 <= x.taken <= 3 * x.size for x in got)
+    by = defaultdict(int)
+    for x in got:
+        by[x.source] += x.taken
+    target = {x.source: x.target for x in got}
+    assert all(abs(by[s] - target[s]) <= 8 * 40 for s in by)
+
+
+def test_mixed_documents_keep_every_word_and_source(spark):
+    words = " ".join(f"w{k}" for k in range(101))
+    rows = [(1, words, "x", 0), (1, words, "y", 0), *[(2, "one two three four five", "x", k) for k in range(7)], (None, "z z z", None, 9), (3, None, "y", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(3)
+    want = defaultdict(int)
+    for x in mixing.mix(df).collect():
+        want[x.doc_id, x.source] += x.taken
+    got = defaultdict(int)
+    for x in mixing.mixed_documents(df).collect():
+        got[x.doc_id, x.source] += len(brute.WORD.findall(x.text))
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_numbering_within_equal_keys(spark):
+    df = spark.createDataFrame([("a" if k % 3 else None, k) for k in range(500)], "k string, v int").repartition(3)
+    out = common.numbered(df, ["k"], "place", buckets=8).collect()
+    for key in ("a", None):
+        own = [x.place for x in out if x.k == key]
+        assert sorted(own) == list(range(1, len(own) + 1))
+
+
+def test_other_tokenizers_pack_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Some words,\n two lines  and 12 numbers"
+    got = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).collect()
+    assert sum(x.length for x in got) == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids) + 1
