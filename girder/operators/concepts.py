@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import stab
 from girder.functions.text import concept_id, jaccard, matched_suffix, short_name, stem
 
 ORD = ["pkg_ix", "file_ix", "item_ix"]
@@ -13,9 +14,8 @@ ORD = ["pkg_ix", "file_ix", "item_ix"]
 def roles(types: DataFrame, hints: DataFrame, concepts: DataFrame) -> DataFrame:
     """(ordinals, role): the policy's role, else that of a hint whose target line lies in the type; canonical beats boundary."""
     policy = concepts.groupBy("symbol").agg(F.max((F.col("role") == "canonical").cast("int")).alias("pc"))
-    own = hints.where("category in ('canonical', 'boundary')").select(F.col("pkg_ix").alias("hp"), F.col("file_ix").alias("hf"), "category", "target_start")
-    inside = (F.col("pkg_ix") == F.col("hp")) & (F.col("file_ix") == F.col("hf")) & F.col("target_start").between(F.col("line_start"), F.col("line_end"))
-    hinted = types.join(own, inside).groupBy(*ORD).agg(F.max((F.col("category") == "canonical").cast("int")).alias("hc"))
+    own = hints.where("category in ('canonical', 'boundary')").select("pkg_ix", "file_ix", "category", "target_start")
+    hinted = stab(own, types.select(*ORD, "line_start", "line_end"), ["pkg_ix", "file_ix"], "target_start", "line_start", "line_end").groupBy(*ORD).agg(F.max((F.col("category") == "canonical").cast("int")).alias("hc"))
     code = F.coalesce("pc", "hc")
     return types.join(policy, "symbol", "left").join(hinted, ORD, "left").select(*ORD, F.when(code == 1, "Canonical").when(code == 0, "Boundary").otherwise("Unknown").alias("role"))
 

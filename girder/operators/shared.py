@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap, stab
+
 ORD = ["pkg_ix", "file_ix", "item_ix"]
 
 # fixed values: layers by the words of module segments
@@ -67,20 +69,20 @@ def path_pairs(left: DataFrame, right: DataFrame, at_boundary: bool = False) ->
 
 
 def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of closed line intervals of the same file: files are matched first, so that rows meet by whole paths.
+    """Pairs of closed line intervals of the same file: files are matched first, then lines by the tiles of a tree.
 
     Both sides need (file, from_line, to_line); the right one's come back with ``r_`` before them.
     """
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     same = path_pairs(left.select("file"), right.select("file"))
-    both = left.join(same, F.col("file") == F.col("a")).join(r, F.col("b") == F.col("r_file")).drop("a", "b")
-    return both.where((F.col("from_line") <= F.col("r_to_line")) & (F.col("r_from_line") <= F.col("to_line")))
+    one = left.join(same, F.col("file") == F.col("a")).drop("a").withColumnRenamed("b", "r_file")
+    return overlap(one, r, ["r_file"], ("from_line", "to_line"), ("r_from_line", "r_to_line"))
 
 
 def hint_targets(hints: DataFrame, items: DataFrame) -> DataFrame:
     """Each hint with the first item of its file whose lines hold the hint's target: adds target_symbol, null if there is none."""
     i = items.select("pkg_ix", "file_ix", F.col("item_ix").alias("t_ix"), F.col("symbol").alias("t_symbol"), F.col("line_start").alias("t_from"), F.col("line_end").alias("t_to"))
-    j = hints.join(i, ["pkg_ix", "file_ix"]).where("target_start between t_from and t_to")
+    j = stab(hints.select(*ORD, "target_start"), i, ["pkg_ix", "file_ix"], "target_start", "t_from", "t_to")
     best = j.groupBy(*ORD).agg(F.min(F.struct("t_ix", "t_symbol")).alias("b")).select(*ORD, F.col("b.t_symbol").alias("target_symbol"))
     return hints.join(best, ORD, "left")
 

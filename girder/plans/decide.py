@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from girder.operators.intervals import overlap, stab
 from girder.operators.shared import path_pairs
 
 from girder.scratch import materialize
@@ -54,42 +55,56 @@ def undecided(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     return findings.select("finding_id").join(n, "finding_id", "left").where("n is null or n <> 1").select("finding_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rule_matches(pattern: Column, rule: Column) -> Column:
-    """``*``, the rule without regard to case, or its two letters exactly."""
-    return (pattern == "*") | (F.lower(pattern) == F.lower(rule)) | ((F.length(pattern) == 2) & rule.startswith(pattern))
-
-
 def expired(expires: Column, today: str) -> Column:
     """Dates are texts and compared as such; none never expires, today is still live."""
     return F.coalesce(expires < today, F.lit(False))
 
 
 def _in_file(diagnostics: DataFrame, marks: DataFrame, file: str) -> DataFrame:
-    """Diagnostics with the marks of their file, of which one path ends the other. The distinct paths meet first, so that rows meet by whole paths alone."""
+    """Diagnostics with the name that marks give to their file: of two paths one ends the other. The distinct paths meet first, so that rows meet by whole paths alone."""
     same = path_pairs(diagnostics.select("path"), marks.select(file)).toDF("path", file)
-    return diagnostics.join(same, "path").join(marks, file)
+    return diagnostics.join(same, "path")
+
+
+def rule_keys(rule: Column) -> Column:
+    """What a pattern may say to match a rule, as equal keys: ``*``, the rule without regard to case, or its two letters exactly."""
+    family = F.when(F.length(rule) >= 2, F.concat(F.lit("2"), F.left(rule, F.lit(2))))
+    return F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), F.lower(rule)), family))
+
+
+def pattern_keys(pattern: Column) -> Column:
+    exact = F.concat(F.lit("="), F.lower(pattern))
+    return F.when(pattern == "*", F.array(F.lit("*"))).when(F.length(pattern) == 2, F.array(exact, F.concat(F.lit("2"), pattern))).otherwise(F.array(exact))
 
 
 def allowances(diagnostics: DataFrame, hints: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:
-    """Every hint or exception that applies to a diagnostic, in scan order: (finding_id, seq, live, expires, rule_id, path, line_start)."""
+    """Hints and exceptions that apply to a diagnostic, in scan order: (finding_id, seq, live, expires, rule_id, path, line_start).
+
+    Rules meet patterns by equal keys, lines meet by the tiles of a tree.
+    Exceptions for any file come as one row a pattern and date, the first of
+    them, as no later one of the same date tells more.
+    """
     d = diagnostics.select("finding_id", "rule_id", "path", "line_start", "line_end")
     h = hints.where("category = 'allow' and target_start is not null").select(
         F.col("path").alias("hp"), F.col("rule").alias("pattern"), "expires", "target_start", "target_end", F.struct(F.lit(0).alias("k"), F.col("pkg_ix").alias("a"), F.col("file_ix").alias("b"), F.col("item_ix").alias("c")).alias("seq")
     )
-    by_hint = _in_file(d, h, "hp").where((F.col("line_start") <= F.col("target_end")) & (F.col("target_start") <= F.col("line_end")))
+    h = h.withColumn("key", F.explode(pattern_keys(F.col("pattern")))).drop("pattern")
+    keyed = d.withColumn("key", F.explode(rule_keys(F.col("rule_id"))))
+    by_hint = overlap(_in_file(keyed, h, "hp"), h, ["hp", "key"], ("line_start", "line_end"), ("target_start", "target_end"))
     target = F.regexp_extract("target", r"^(.*):(\d+)$", 1)
     e = exceptions.select(
-        F.col("rule").alias("pattern"), "expires", F.when(target != "", target).otherwise(F.col("target")).alias("file"),
+        F.explode(pattern_keys(F.col("rule"))).alias("key"), "expires", F.when(target != "", target).otherwise(F.col("target")).alias("file"),
         F.expr(r"try_cast(nullif(regexp_extract(target, '^(.*):(\\d+)$', 2), '') as int)").alias("at"),
         F.struct(F.lit(1).alias("k"), F.col("ix").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("c")).alias("seq"),
     )
-    fits = F.col("at").isNull() | F.col("at").between(F.col("line_start"), F.col("line_end"))
-    cols = ["finding_id", "seq", "pattern", "expires", "rule_id", "path", "line_start"]
+    cols = ["finding_id", "seq", "expires", "rule_id", "path", "line_start"]
+    filed = _in_file(keyed, e.where("file <> '*'"), "file")
+    by_file = filed.join(e.where("at is null").drop("at"), ["file", "key"])
+    by_line = stab(e.where("at is not null and file <> '*'"), filed, ["file", "key"], "at", "line_start", "line_end")
     # a target of "*" fits any file
-    by_file = _in_file(d, e.where("file <> '*'"), "file").where(fits)
-    by_any = d.withColumn("file", F.lit("*")).join(e.where("file = '*'"), "file")
-    both = by_hint.select(*cols).unionByName(by_file.select(*cols)).unionByName(by_any.select(*cols))
-    return both.where(rule_matches(F.col("pattern"), F.col("rule_id"))).withColumn("live", ~expired(F.col("expires"), today))
+    by_any = keyed.join(e.where("file = '*'").groupBy("key", "expires").agg(F.min("seq").alias("seq")), "key")
+    both = reduce(DataFrame.unionByName, [x.select(*cols) for x in (by_hint, by_file, by_line, by_any)])
+    return both.withColumn("live", ~expired(F.col("expires"), today))
 
 
 def suppress(diagnostics: DataFrame, hints: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:

@@ -17,6 +17,7 @@ from girder.functions.patterns import any_pattern, first_pattern, first_value, f
 from girder.functions.text import containing_module, is_primitive, jaccard, result_error, short_name, snake_to_pascal, starts_with_any
 from girder.operators.concepts import clusters, distinct_conversions
 from girder.operators.graph import strong_components
+from girder.operators.intervals import stab
 
 from girder.scratch import materialize
 
@@ -275,8 +276,9 @@ def ot007(x: Facts) -> DataFrame:
     names = accepted(x, "boundary").select("short").distinct()
     c = distinct_conversions(x["air_conversion"]).withColumns({"a": short_name(F.col("from_type")), "b": short_name(F.col("to_type"))})
     c = c.join(names.withColumnRenamed("short", "a"), "a").join(names.withColumnRenamed("short", "b"), "b")
-    hints = x["air_hint"].where("category = 'protocol_translation'").select(F.col("path").alias("hp"), F.col("target_start").alias("at"))
-    c = c.join(hints, (F.col("path") == F.col("hp")) & F.col("at").between(F.col("line_start"), F.col("line_end")), "left_anti")
+    hints = x["air_hint"].where("category = 'protocol_translation'").select("path", F.col("target_start").alias("at"))
+    held = stab(hints, c.select(*ORD, "path", "line_start", "line_end"), ["path"], "at", "line_start", "line_end").select(*ORD).distinct()
+    c = c.join(held, ORD, "left_anti")
     return found(c, "symbol", F.concat_ws(" -> ", "a", "b"))
 
 
