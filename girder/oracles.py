@@ -194,7 +194,7 @@ add("OT003", "symbol", "short", """(SELECT DISTINCT f.item_ix, f.path, f.line_st
 CANON = "(SELECT name AS short, concept, symbol AS csym, path AS owner FROM policy_concept WHERE role = 'canonical')"
 cp = P("OT")["converter_paths"]
 add("OT004", "function", "short", f"air_truth_action a JOIN {CANON} c ON c.short = {short('target')}", "air_truth_action", "policy_concept", "policy_converter",
-    where=f"action = 'Construct' AND path <> owner AND function NOT IN (SELECT symbol FROM policy_converter) AND NOT {some('function', cp)} AND NOT {some(M, cp)}")
+    where=f"action = 'Construct' AND path <> owner AND coalesce(function, '') NOT IN (SELECT symbol FROM policy_converter) AND NOT {some('function', cp)} AND NOT {some('path', cp)}")
 add("OT005", "b.symbol", "concept", "policy_concept b LEFT JOIN (SELECT symbol, path AS tp, line_start AS ls, line_end AS le, row_number() OVER (PARTITION BY symbol ORDER BY pkg_ix, file_ix, item_ix) AS rn FROM air_type) t ON t.symbol = b.symbol AND rn = 1",
     "policy_concept", "policy_converter", "air_type", path="coalesce(tp, path)", line_start="coalesce(ls, 1)", line_end="coalesce(le, 1)",
     where=f"role = 'boundary' AND name NOT IN (SELECT {short('from_type')} FROM policy_converter UNION ALL SELECT {short('to_type')} FROM policy_converter)")
@@ -238,9 +238,10 @@ add("FL010", "function", "callee", "air_fallback", "air_fallback", where=f"calle
 add("FL011", "function", "pattern", "air_match_arm", "air_match_arm", where=f"regexp_matches(trim(pattern), '^_($| if | @ )') AND {SILENT} AND {own}")
 ro = fl["retry_policy_owner_paths"]
 add("FL012", "function", "loop_kind", "air_retry_loop", "air_retry_loop", where=f"{PLACED} AND propagates AND has_break AND NOT {some(M, ro)} AND NOT {some(parent('function'), ro)}")
-add("FL013", "symbol", "callee || '@' || cl", f"""air_function f JOIN (SELECT path AS cp, function, arg_min(callee, item_ix) AS callee, arg_min(line_start, item_ix) AS cl FROM air_call_site
+add("FL013", "symbol", "callee || '@' || cl", f"""air_function f JOIN (SELECT path AS cp, function, arg_min(callee, item_ix) AS callee, arg_min(line_start, item_ix) AS cl, arg_min(line_end, item_ix) AS ce FROM air_call_site
    WHERE {short('callee')} IN ('to_string', 'format!', 'format', 'display') GROUP BY path, function) c ON c.cp = f.path AND c.function = f.symbol""", "air_function", "air_call_site",
-    where=f"{PLACED} AND ltrim({e}, '&') IN ('String', 'str') AND NOT {some(M, fl['invariant_owner_paths'])}")
+    where=f"{PLACED} AND ltrim({e}, '&') IN ('String', 'str') AND NOT {some(M, fl['invariant_owner_paths'])} AND NOT {some(f"({parent('symbol')})", fl['invariant_owner_paths'])}",
+    line_start="cl", line_end="ce")
 
 mo = P("MO")
 HERE = "path IN (SELECT path FROM air_file WHERE module_path IS NOT NULL)"
@@ -306,7 +307,8 @@ add("ER005", "function", "pattern", "air_match_arm", "air_match_arm", where=f"{P
 add("ER007", "symbol || '::' || name", "ft", "(SELECT *, first_value(type_name) OVER w AS ft, first_value(path) OVER w AS fp FROM air_variant WHERE regexp_matches(type_name, '(Error|Err)$') WINDOW w AS (PARTITION BY name ORDER BY pkg_ix, file_ix, item_ix, pos))", "air_variant", where="type_name <> ft OR path <> fp")
 
 pa = P("PA")
-add("PA001", "symbol", "NULL", f"air_type t JOIN (SELECT {short('interface')} AS s, min(path) AS ip FROM air_impl WHERE interface IS NOT NULL GROUP BY 1 HAVING count(*) = 1) i ON i.s = t.name", "air_type", "air_impl", where="kind = 'Trait' AND ip = path")
+add("PA001", "symbol", "NULL", f"air_type t JOIN (SELECT {short('interface')} AS s, min(path) AS ip FROM air_impl WHERE interface IS NOT NULL GROUP BY 1 HAVING count(*) = 1) i ON i.s = t.name", "air_type", "air_impl",
+    where=f"kind = 'Trait' AND ip = path AND NOT {some('symbol', pa['accepted_colocated'])} AND NOT {some('name', pa['accepted_colocated'])}")
 imports("PA002", pa["application_paths"], pa["adapter_paths"])
 fact("PA003", "a.item_ix", ["ExternalIo"], both(pa["application_paths"]))
 add("PA004", "function", "target", "air_truth_action", "air_truth_action", where=f"action = 'Construct' AND {some('target', pa['adapter_types'])} AND NOT {some(M, pa['construction_paths'])}")
@@ -330,7 +332,11 @@ add("DA002", "symbol", "target", "air_function f JOIN (SELECT function, min(targ
 add("DA007", "symbol", "variant", "air_type t JOIN (SELECT item_ix AS vi, min(name) AS variant FROM air_variant GROUP BY item_ix HAVING count(*) = 1) v ON vi = item_ix", "air_type", "air_variant", where=f"kind = 'Enum' AND {some('name', da['strategy_names'], glob)}")
 
 rm = P("RM")
-add("RM001", "function", "n", f"(SELECT function, count(DISTINCT action) AS n FROM air_truth_action GROUP BY function) c LEFT JOIN {FN} f ON f.fs = c.function", "air_truth_action", "air_function", where=f"n > {rm['max_action_kinds']} AND NOT {some(M, rm['exempt_paths'])}")
+add("RM001", "a.function", "n", f"""(SELECT *, row_number() OVER (PARTITION BY function ORDER BY pkg_ix, file_ix, item_ix) AS rn FROM air_truth_action) a
+   JOIN (SELECT function AS cf, count(DISTINCT action) AS n FROM air_truth_action GROUP BY 1) c ON c.cf = a.function AND a.rn = 1
+   LEFT JOIN (SELECT symbol, path AS fp, module_path AS fm, line_start AS fl, line_end AS fe FROM air_function QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY pkg_ix, file_ix, item_ix) = 1) f ON f.symbol = a.function""",
+    "air_truth_action", "air_function", path="coalesce(fp, path)", line_start="CASE WHEN fp IS NULL THEN line_start ELSE fl END", line_end="CASE WHEN fp IS NULL THEN line_end ELSE fe END",
+    where=f"n > {rm['max_action_kinds']} AND NOT {some('CASE WHEN fp IS NULL THEN module_path ELSE fm END', rm['exempt_paths'])}")
 fact("RM002", "a.kind || ':' || a.item_ix", ["SpawnedWork", "Logging", "ConfigRead"], some("f.module_path", rm["converter_paths"]))
 for id_, key, cap in (("RM003", "handler_paths", "handler_cap"), ("RM004", "repository_paths", "repository_cap")):
     add(id_, "function", "n", f"(SELECT function, count(*) AS n FROM air_truth_action WHERE action IN ('StringCompare', 'DiscriminatedMatch') GROUP BY function) c JOIN {FN} f ON f.fs = c.function", "air_truth_action", "air_function", where=f"n > {rm[cap]} AND {some(M, rm[key])}")
@@ -347,7 +353,9 @@ ob = P("OB")
 fact("OB001", "a.evidence || ':' || a.item_ix", ["Logging"], f"a.evidence IN ({', '.join(map(q, ob['log_targets']))}) AND NOT {some('f.module_path', ob['observer_paths'])}")
 for id_, mac, own_ in (("OB002", "metric_macros", "metric_owner_paths"), ("OB003", "event_macros", "event_owner_paths")):
     add(id_, "function", "callee", "air_call_site", "air_call_site", where=f"{PLACED} AND call_kind = 'Meta' AND callee IN ({', '.join(map(q, ob[mac]))}) AND NOT {some(M, ob[own_])}")
-add("OB004", "b.symbol", "NULL", f"(SELECT DISTINCT symbol FROM air_fact WHERE scope = 'Function' AND kind = 'BoundaryEntry' AND symbol NOT IN (SELECT symbol FROM air_fact WHERE scope = 'Function' AND kind = 'Logging')) b LEFT JOIN {FN} f ON f.fs = b.symbol", "air_fact", "air_function")
+add("OB004", "b.symbol", "NULL", f"""(SELECT DISTINCT symbol FROM air_fact WHERE scope = 'Function' AND kind = 'BoundaryEntry' AND symbol NOT IN (SELECT symbol FROM air_fact WHERE scope = 'Function' AND kind = 'Logging')) b
+   LEFT JOIN (SELECT symbol AS fs, path, module_path, line_start, line_end, pkg_ix, file_ix, item_ix FROM air_function QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY pkg_ix, file_ix, item_ix) = 1) f
+     ON f.fs = b.symbol AND f.module_path IS NOT NULL""", "air_fact", "air_function", path="coalesce(path, '<unknown>')", line_start="coalesce(line_start, 0)", line_end="coalesce(line_end, 0)")
 
 cf = P("CF")
 cfg = some(M, cf["config_paths"], either)

@@ -132,7 +132,7 @@ SAMPLE = Policy(
         "CR": {"root_paths": ["p1::*", "p4::*", "p15::*", "p20::*"], "wiring_density": 6},
         "DC": {"require_public_docs": True, "exempt_paths": ["p3::*"]},
         "ER": {"domain_paths": ["*::domain::*"], "string_error_patterns": ["String", "str", "&*str"], "boundary_error_patterns": ["sqlx::*", "std::io::*"], "collapse_owner_paths": ["*::infra::*"]},
-        "PA": {"application_paths": ["*::handlers::*"], "adapter_paths": ["*::infra::*", "*::sqlx::*"], "adapter_types": ["*::PgAdapter", "sqlx::*"]},
+        "PA": {"application_paths": ["*::handlers::*"], "adapter_paths": ["*::infra::*", "*::sqlx::*"], "adapter_types": ["*::PgAdapter", "sqlx::*"], "accepted_colocated": ["Port308", "*::Port539"]},
         "RW": {"owner_paths": ["*::infra::*"]},
         "DA": {"enabled": True},
         "RM": {

@@ -245,7 +245,7 @@ def ot004(x: Facts) -> DataFrame:
     canon = accepted(x, "canonical").groupBy("short").agg(F.min(F.struct("concept", "owner")).alias("c")).select("short", "c.owner")
     df = x["air_truth_action"].where("action = 'Construct'").withColumn("short", short_name(F.col("target"))).join(canon, "short").where("path <> owner")
     df = df.join(x["policy_converter"].select("symbol").distinct(), F.col("function") == F.col("symbol"), "left_anti")
-    return found(df.where(~any_pattern(F.col("function"), patterns) & ~any_pattern(module(), patterns)), "function", "short")
+    return found(df.where(~any_pattern(F.col("function"), patterns) & ~any_pattern(F.col("path"), patterns)), "function", "short")
 
 
 @rule("OT005", "Fatal")
@@ -416,10 +416,11 @@ def fl012(x: Facts) -> DataFrame:
 @rule("FL013", "Warning")
 def fl013(x: Facts) -> DataFrame:
     owners = x.section("FL")["invariant_owner_paths"]
-    fn = placed(x, "air_function").where(F.lit(bool(owners)) & ~any_pattern(module(), owners)).where(F.regexp_replace(result_error(F.col("return_type")), "^&", "").isin("String", "str"))
+    outside = ~any_pattern(module(), owners) & ~any_pattern(containing_module(F.col("symbol")), owners)  # inline modules too
+    fn = placed(x, "air_function").where(F.lit(bool(owners)) & outside).where(F.regexp_replace(result_error(F.col("return_type")), "^&", "").isin("String", "str"))
     calls = x["air_call_site"].where(short_name(F.col("callee")).isin("to_string", "format!", "format", "display"))
-    first = first_by(calls, ["path", "function"], "callee", "line_start").select("path", F.col("function").alias("symbol"), F.col("callee"), F.col("line_start").alias("call_line"))
-    return found(fn.join(first, ["path", "symbol"]), "symbol", F.concat_ws("@", "callee", "call_line"))
+    first = first_by(calls, ["path", "function"], "callee", "line_start", "line_end").select("path", F.col("function").alias("symbol"), "callee", "line_start", "line_end")
+    return found(fn.drop("line_start", "line_end").join(first, ["path", "symbol"]), "symbol", F.concat_ws("@", "callee", "line_start"))
 
 
 # --- ownership of modules -------------------------------------------------
@@ -676,7 +677,8 @@ def er007(x: Facts) -> DataFrame:
 def pa001(x: Facts) -> DataFrame:
     impls = x["air_impl"].where("interface is not null").groupBy(short_name(F.col("interface")).alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("impl_path"))
     df = x["air_type"].where("kind = 'Trait'").join(impls.where("n = 1"), "name").where("path = impl_path")
-    return found(df.where(~any_pattern(F.col("symbol"), x.section("PA")["accepted_colocated"])), "symbol")
+    accepted = x.section("PA")["accepted_colocated"]
+    return found(df.where(~any_pattern(F.col("symbol"), accepted) & ~any_pattern(F.col("name"), accepted)), "symbol")
 
 
 @rule("PA002", "Fatal")
@@ -792,9 +794,13 @@ def rm001(x: Facts) -> DataFrame:
     p = x.section("RM")
     if not p["max_action_kinds"]:
         return empty(x)
-    acts = x["air_truth_action"].where("function is not null").groupBy("function").agg(F.count_distinct("action").alias("n")).where(F.col("n") > p["max_action_kinds"])
-    fn = first_by(x["air_function"], ["symbol"], "path", "module_path", "line_start", "line_end")
-    return found(acts.join(fn, F.col("function") == F.col("symbol"), "left").where(~any_pattern(module(), p["exempt_paths"])), "function", "n")
+    place = ["path", "module_path", "line_start", "line_end"]
+    first = F.min(F.struct(*ORD, *place)).alias("a")
+    acts = x["air_truth_action"].where("function is not null").groupBy("function").agg(F.count_distinct("action").alias("n"), first).where(F.col("n") > p["max_action_kinds"])
+    fn = x["air_function"].groupBy(F.col("symbol").alias("function")).agg(F.min(F.struct(*ORD, *place)).alias("f"))
+    # without a function of that symbol the first action gives the place
+    at = acts.join(fn, "function", "left").withColumn("at", F.coalesce("f", "a")).select("function", "n", "at.*")
+    return found(at.where(~any_pattern(module(), p["exempt_paths"])), "function", "n")
 
 
 @rule("RM002", "Warning")
@@ -882,8 +888,9 @@ def ob003(x: Facts) -> DataFrame:
 def ob004(x: Facts) -> DataFrame:
     f = x["air_fact"].where("scope = 'Function'")
     entries = f.where("kind = 'BoundaryEntry'").select("symbol").distinct().join(f.where("kind = 'Logging'").select("symbol"), "symbol", "left_anti")
-    fn = first_by(x["air_function"], ["symbol"], "path", "line_start", "line_end")
-    return found(entries.join(fn, "symbol", "left"), "symbol")
+    fn = first_by(x["air_function"], ["symbol"], "path", "module_path", "line_start", "line_end").where("module_path is not null")
+    df = entries.join(fn, "symbol", "left").withColumns({"path": F.coalesce("path", F.lit("<unknown>")), **{c: F.coalesce(c, F.lit(0)) for c in ("line_start", "line_end")}})
+    return found(df, "symbol")
 
 
 @rule("CF001", "Fatal")

@@ -52,7 +52,7 @@ _DOC = """CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN 'See https://example.com/' ||
   WHEN 5 THEN 'Closes #' || CAST(k AS STRING) ELSE 'As discussed, the old approach to ' || phrase || ' is temporary.' END"""
 
 PROJECTION["air_function"] = f"""
-SELECT pkg_ix, file_ix, k * 8 AS item_ix, path, module_path, name, home || '::' || name AS symbol,
+SELECT pkg_ix, file_ix, k * 8 AS item_ix, path, module_path, name, home || CASE WHEN k % 29 = 3 THEN '::infra::inline::' ELSE '::' END || name AS symbol,
        CASE WHEN k % 2 = 0 THEN 'Public' ELSE 'Private' END AS visibility,
        {_pick('k', [None, 'Result<A,String>', 'Result<A,sqlx::Error>', 'Result<Map<K,V>,E>', 'Option<A>', 'Vec<ColdAnvilRow>', 'Result<A,&str>', 'Result<(A,B),reqwest::Error>'])} AS return_type,
        size * 3 AS line_count, line AS line_start, line + size * 3 - 1 AS line_end, doc
@@ -69,7 +69,7 @@ FROM {{air_function}} AS f {{each_2}} WHERE i.pos <= CAST(f.item_ix / 8 AS BIGIN
 PROJECTION["air_type"] = f"""
 SELECT pkg_ix, file_ix, k * 8 + 1 AS item_ix, path, module_path, name, home || '::' || name AS symbol, kind,
        CASE WHEN k % 3 = 0 THEN 'Private' ELSE 'Public' END AS visibility, line AS line_start, line + 9 AS line_end, doc, k
-FROM (SELECT *, word || {_pick('k', ['', 'Dto', 'Model', 'Row', '', 'Error', 'Service', 'Mode', 'Singleton', 'Manager'])} AS name,
+FROM (SELECT *, CASE WHEN k % 77 = 0 THEN 'Port' || CAST(k AS STRING) ELSE word || {_pick('k', ['', 'Dto', 'Model', 'Row', '', 'Error', 'Service', 'Mode', 'Singleton', 'Manager'])} END AS name,
              CASE WHEN k % 11 = 0 THEN 'Trait' WHEN size % 3 = 0 OR k % 10 IN (5, 7) THEN 'Enum' ELSE 'Struct' END AS kind, {_DOC} AS doc FROM {{part_file}}) AS p
 """
 
@@ -100,7 +100,7 @@ SELECT t.pkg_ix, t.file_ix, t.k * 8 + 2 AS item_ix, t.path, t.module_path, t.lin
 FROM {air_type} AS t LEFT JOIN (SELECT k, symbol, name FROM {air_type} WHERE kind = 'Trait') AS r ON r.k = t.k - t.k % 11 WHERE t.kind <> 'Trait'
 UNION ALL
 SELECT pkg_ix, file_ix, k * 8 + 4 AS item_ix, path, module_path, line_start + 10 AS line_start, line_start + 19 AS line_end, name || 'Impl' AS target_type, symbol AS interface, k
-FROM {air_type} WHERE kind = 'Trait' AND k % 33 = 0
+FROM {air_type} WHERE kind = 'Trait' AND (k % 33 = 0 OR k % 77 = 0)
 """
 
 PROJECTION["air_impl_method"] = f"""
@@ -141,9 +141,9 @@ _CALLS = [
 _CALLEE, _KIND = [c for c, _ in _CALLS], [k for _, k in _CALLS]
 
 PROJECTION["air_call_site"] = f"SELECT {_SITE}, {_pick('k', _CALLEE)} AS callee, {_pick('k', _KIND)} AS call_kind FROM {{air_site}} AS s"
-# some functions construct little: their plain sites construct nothing
+# some functions construct little: their plain sites construct nothing; some actions stand in functions that no file declares, some in none
 PROJECTION["air_truth_action"] = f"""
-SELECT {_SITE}, CASE WHEN plain AND n % 8 IN (1, 6, 7) THEN 'Other' ELSE {_pick('n', ['Other', 'Construct', 'DiscriminatedMatch', 'StringCompare', 'Validate', 'Normalize', 'Construct', 'Construct'])} END AS action,
+SELECT {_SITE.replace('function', "CASE WHEN k % 101 = 7 THEN NULL WHEN file_ix % 9 = 4 THEN function || '::inner' ELSE function END AS function")}, CASE WHEN plain AND n % 8 IN (1, 6, 7) THEN 'Other' ELSE {_pick('n', ['Other', 'Construct', 'DiscriminatedMatch', 'StringCompare', 'Validate', 'Normalize', 'Construct', 'Construct'])} END AS action,
        {_pick('k', ['p1::domain::SmallRing', 'RedWidget', 'OrderService', 'sqlx::Pool', 'p2::infra::PgAdapter', 'BlueBolt', 'HttpClient'])} AS target FROM {{air_site}} AS s
 """
 PROJECTION["air_silent_discard"] = f"""
