@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Mapping
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +46,15 @@ class Loaded(Mapping):
     """Fact tables whose ``air_fact`` also holds what the runtime's calls and the markers imply; with ``store`` each table is written once when asked for."""
 
     def __init__(self, tables: Mapping[str, DataFrame], store: bool = False):
-        self.tables, self.store, self.made = tables, store, {}
+        self.tables, self.store, self.made, self.locks = tables, store, {}, defaultdict(Lock)
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self.made:
-            t = self.tables
-            df = shared.load_facts(t["air_fact"], t["air_call_site"], t["air_hint"], t["air_function"]) if name == "air_fact" else t[name]
-            self.made[name] = materialize(df, name) if self.store else df
-        return self.made[name]
+        with self.locks[name]:  # asked for side by side, written once
+            if name not in self.made:
+                t = self.tables
+                df = shared.load_facts(t["air_fact"], t["air_call_site"], t["air_hint"], t["air_function"]) if name == "air_fact" else t[name]
+                self.made[name] = materialize(df, name) if self.store else df
+            return self.made[name]
 
     def __iter__(self):
         return iter(self.made)
@@ -161,10 +164,20 @@ def source_module_paths(x: Facts) -> DataFrame:
 _kept: dict[tuple, DataFrame] = {}
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Files of a folder with their sizes and times, through the file system that holds them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def _once(x: Facts, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that many queries share, written once a session and folder."""
+    """A table that many queries share, written once a session and state of the folder's files."""
     spark = x["air_file"].sparkSession
-    key = (spark.sparkContext.applicationId, x.tables.dir, name)
+    key = (spark.sparkContext.applicationId, _state(spark, x.tables.dir), name)
     if key not in _kept or not exists(_kept[key]):
         _kept[key] = materialize(make(), name)
     return _kept[key]

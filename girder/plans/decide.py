@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from girder.operators.intervals import overlap, stab
 from girder.operators.shared import path_pairs
 
-from girder.scratch import materialize
+from girder.scratch import at_once, materialize
 
 from .policy import DEFAULTS, Policy
-from .rules import FINDING, RULES, Facts
+from .rules import FINDING, RULES, Facts, all_hits
 
 #: Order of evaluation, which numbers findings.
 ORDER = {r: i for i, r in enumerate(RULES)}
@@ -24,12 +24,20 @@ BATCH = 12
 def observe(facts: Facts, rules: list[str] | None = None) -> DataFrame:
     """All findings of the rules (all of the catalogue, if none are named); finding_id numbers them by rule and ordinal.
 
-    Rules run in batches whose unions are written to the shared folder, as
-    every later step reads them several times.
+    Rules over single rows share one pass over their source, whose rows explode
+    to what the rules say of them. The others, which join or aggregate, run in
+    batches. All these jobs are handed to Spark at once and written to the
+    shared folder, as every later step reads them several times.
     """
     ids = rules or list(RULES)
-    parts = [reduce(DataFrame.unionByName, [RULES[i].observe(facts) for i in ids[lo : lo + BATCH]]) for lo in range(0, len(ids), BATCH)]
-    df = reduce(DataFrame.unionByName, [materialize(p, "findings") for p in parts])
+    shared: dict[str, list[str]] = {}
+    for i in ids:
+        if RULES[i].source:
+            shared.setdefault(RULES[i].source, []).append(i)
+    apart = [i for i in ids if not RULES[i].source]
+    jobs = [lambda n=n, own=own: all_hits(facts, n, own) for n, own in shared.items()]
+    jobs += [lambda some=apart[lo : lo + BATCH]: reduce(DataFrame.unionByName, [RULES[i].observe(facts) for i in some]) for lo in range(0, len(apart), BATCH)]
+    df = reduce(DataFrame.unionByName, at_once([lambda make=make: materialize(make(), "findings") for make in jobs]))
     rank = F.create_map(*[F.lit(x) for i in ids for x in (i, ORDER[i])])
     # numbered within a rule by a window of that rule's findings, then offset by the rules before it: no window over all
     w = Window.partitionBy("rule_id").orderBy("pkg_ix", "file_ix", "item_ix", "subject", "detail")
@@ -80,9 +88,9 @@ def pattern_keys(pattern: Column) -> Column:
 def allowances(diagnostics: DataFrame, hints: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:
     """Hints and exceptions that apply to a diagnostic, in scan order: (finding_id, seq, live, expires, rule_id, path, line_start).
 
-    Rules meet patterns by equal keys, lines meet by the tiles of a tree.
-    Exceptions for any file come as one row a pattern and date, the first of
-    them, as no later one of the same date tells more.
+    Rules meet patterns by equal keys, lines meet by the tiles of a tree. Of
+    exceptions with the same target, pattern and date only the first counts, as
+    a later one tells nothing more.
     """
     d = diagnostics.select("finding_id", "rule_id", "path", "line_start", "line_end")
     h = hints.where("category = 'allow' and target_start is not null").select(
@@ -98,18 +106,19 @@ def allowances(diagnostics: DataFrame, hints: DataFrame, exceptions: DataFrame,
         F.struct(F.lit(1).alias("k"), F.col("ix").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("c")).alias("seq"),
     )
     cols = ["finding_id", "seq", "expires", "rule_id", "path", "line_start"]
+    e = e.groupBy("file", "key", "at", "expires").agg(F.min("seq").alias("seq"))
     filed = _in_file(keyed, e.where("file <> '*'"), "file")
     by_file = filed.join(e.where("at is null").drop("at"), ["file", "key"])
     by_line = stab(e.where("at is not null and file <> '*'"), filed, ["file", "key"], "at", "line_start", "line_end")
     # a target of "*" fits any file
-    by_any = keyed.join(e.where("file = '*'").groupBy("key", "expires").agg(F.min("seq").alias("seq")), "key")
+    by_any = keyed.join(e.where("file = '*'").select("key", "expires", "seq"), "key")
     both = reduce(DataFrame.unionByName, [x.select(*cols) for x in (by_hint, by_file, by_line, by_any)])
     return both.withColumn("live", ~expired(F.col("expires"), today))
 
 
 def suppress(diagnostics: DataFrame, hints: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:
     """Diagnostics without those that a live allowance covers, and a GOV001 row for every expired one met before it."""
-    a = allowances(diagnostics, hints, exceptions, today)
+    a = materialize(allowances(diagnostics, hints, exceptions, today), "allowances")  # read twice
     first = a.groupBy("finding_id").agg(F.min(F.when(F.col("live"), F.col("seq"))).alias("stop"))
     kept = diagnostics.join(first.where("stop is not null"), "finding_id", "left_anti")
     stale = a.where(~F.col("live")).join(first, "finding_id").where("stop is null or seq < stop")

@@ -1,4 +1,8 @@
-"""The rule catalogue: each rule is a lazy DataFrame of findings over the fact tables.
+"""The rule catalogue: each rule is a DataFrame of findings over the fact tables.
+
+Rules are lazy, but for OT001, OT002 and DG002, whose clusters and cycles are
+computed when the frame is built. Rules over single rows say so (``row_rule``),
+so that those of one table can share its scan.
 
 A rule takes a ``Facts`` (tables by name, policy) and returns the columns of
 ``FINDING`` but rule_id and severity, which its registration adds. "First" is
@@ -9,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +36,7 @@ class Facts:
     """Fact tables by name (any mapping) with the policy that questions are asked under."""
 
     def __init__(self, tables: Mapping[str, DataFrame], policy: Policy):
-        self.tables, self.policy, self.kept = tables, policy, {}
+        self.tables, self.policy, self.kept, self.lock = tables, policy, {}, Lock()
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -40,17 +45,36 @@ class Facts:
         return self.policy.section(family)
 
     def clusters(self) -> DataFrame:
-        if "clusters" not in self.kept:
-            found = clusters(self["air_type"], self["air_field"], self["air_variant"], self["air_hint"], self["policy_concept"], self["air_conversion"])
-            self.kept["clusters"] = materialize(found, "clusters")  # read several times by each question
-        return self.kept["clusters"]
+        with self.lock:  # rules may be planned side by side
+            if "clusters" not in self.kept:
+                found = clusters(self["air_type"], self["air_field"], self["air_variant"], self["air_hint"], self["policy_concept"], self["air_conversion"])
+                self.kept["clusters"] = materialize(found, "clusters")  # read several times by each question
+            return self.kept["clusters"]
+
+
+@dataclass(frozen=True)
+class Hit:
+    """What a rule that looks at single rows says of one: whether it is found, and as what."""
+
+    when: Column
+    subject: Column | str
+    detail: Column | str | None = None
+    narrowed: Column | None = None
+
+
+#: A rule that is off.
+OFF = Hit(F.lit(False), F.lit(None).cast("string"))
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``source`` and ``hit`` are set of rules over single rows: those of one source share its scan when all are asked."""
+
     id: str
     severity: str
     body: Callable[[Facts], DataFrame]
+    source: str | None = None
+    hit: Callable[[Facts], Hit] | None = None
 
     def observe(self, facts: Facts) -> DataFrame:
         """Findings with the rule's severity, unless the body sets one; ``narrowed`` is whether strict mode may raise them."""
@@ -71,6 +95,47 @@ def rule(id_: str, severity: str):
     return add
 
 
+def row_rule(id_: str, severity: str, source: str):
+    """A rule over the single rows of a source, a fact table or one of ``SOURCES``."""
+
+    def add(hit: Callable[[Facts], Hit]) -> Callable[[Facts], Hit]:
+        def body(x: Facts) -> DataFrame:
+            h = hit(x)
+            return found(rows_of(x, source).where(h.when), h.subject, h.detail, *([] if h.narrowed is None else [h.narrowed.alias("narrowed")]))
+
+        assert id_ not in RULES and id_[:2] in DEFAULTS
+        RULES[id_] = Rule(id_, severity, body, source, hit)
+        return hit
+
+    return add
+
+
+#: Sources of row rules that are no fact tables themselves.
+SOURCES: dict[str, Callable[[Facts], DataFrame]] = {}
+
+
+def source(body: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
+    SOURCES[body.__name__] = body
+    return body
+
+
+def rows_of(x: Facts, name: str) -> DataFrame:
+    return SOURCES[name](x) if name in SOURCES else x[name]
+
+
+def all_hits(x: Facts, name: str, ids: list[str]) -> DataFrame:
+    """Findings of several row rules over one source in one pass: each row explodes to what the rules say of it."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    said = []
+    for id_ in ids:
+        r, h = RULES[id_], RULES[id_].hit(x)
+        detail = F.lit(None).cast("string") if h.detail is None else col(h.detail).cast("string")
+        narrowed = F.lit(True) if h.narrowed is None else h.narrowed
+        said.append(F.when(h.when, F.struct(F.lit(id_).alias("rule_id"), F.lit(r.severity).alias("severity"), col(h.subject).cast("string").alias("subject"), detail.alias("detail"), narrowed.alias("narrowed"))))
+    each = rows_of(x, name).select("path", F.col("line_start").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"), *ORD, F.explode(F.array_compact(F.array(*said))).alias("h"))
+    return each.select("h.*", "path", "line_start", "line_end", *ORD).select(*FINDING)
+
+
 def found(df: DataFrame, subject: Column | str, detail: Column | str | None = None, *more: Column) -> DataFrame:
     c = lambda x: F.col(x) if isinstance(x, str) else x
     det = F.lit(None).cast("string") if detail is None else c(detail).cast("string")
@@ -100,25 +165,41 @@ def fact_functions(facts: Facts, *kinds: str) -> DataFrame:
     return f.join(fn, "symbol")
 
 
+@source
+def function_facts(x: Facts) -> DataFrame:
+    """All facts about functions; ``hot`` where one of them marks the function as a hot path."""
+    fn = first_by(x["air_function"], ["symbol"], "path", "module_path", "line_start", "line_end").where("module_path is not null")
+    f = x["air_fact"].where("scope = 'Function'").select("symbol", "kind", "evidence", F.col("item_ix").alias("fact_ix"))
+    hot = f.where("kind = 'HotPath'").select("symbol").distinct().withColumn("hot", F.lit(True))
+    return f.join(fn, "symbol").join(hot, "symbol", "left")
+
+
 # --- complexity budgets ---------------------------------------------------
 
 
-def over_budget(df: DataFrame, subject: str, override: Column, default: int, written: int | None) -> DataFrame:
+def over_budget(subject: str, override: Column, default: int, written: int | None) -> Hit:
     """Rows above their line budget; strict mode raises those whose budget an override or the policy itself sets."""
-    df = df.withColumn("override", override.cast("int")).withColumn("budget", F.coalesce("override", F.lit(default))).where("line_count > budget")
-    return found(df, subject, F.concat_ws("/", "line_count", "budget"), (F.col("override").isNotNull() | F.lit(written is not None)).alias("narrowed"))
+    override = override.cast("int")
+    budget = F.coalesce(override, F.lit(default))
+    over = F.col("module_path").isNotNull() & (F.col("line_count") > budget)
+    return Hit(over, subject, F.concat_ws("/", "line_count", budget), override.isNotNull() | F.lit(written is not None))
 
 
-@rule("CX001", "Warning")
-def cx001(x: Facts) -> DataFrame:
+@row_rule("CX001", "Warning", "air_function")
+def cx001(x: Facts) -> Hit:
     p = x.section("CX")
-    return over_budget(placed(x, "air_function"), "symbol", first_value(module(), p["fn_overrides"], trailing_segments), p["fn_lines"], (x.policy.explicit("CX") or {}).get("fn_lines"))
+    return over_budget("symbol", first_value(module(), p["fn_overrides"], trailing_segments), p["fn_lines"], (x.policy.explicit("CX") or {}).get("fn_lines"))
 
 
-@rule("CX002", "Warning")
-def cx002(x: Facts) -> DataFrame:
+@row_rule("CX002", "Warning", "files")
+def cx002(x: Facts) -> Hit:
     p = x.section("CX")
-    return over_budget(file_rows(placed(x, "air_file")), "module_path", first_value(module(), p["module_overrides"]), p["module_lines"], (x.policy.explicit("CX") or {}).get("module_lines"))
+    return over_budget("module_path", first_value(module(), p["module_overrides"]), p["module_lines"], (x.policy.explicit("CX") or {}).get("module_lines"))
+
+
+@source
+def files(x: Facts) -> DataFrame:
+    return file_rows(x["air_file"])
 
 
 def file_rows(df: DataFrame) -> DataFrame:
@@ -153,12 +234,12 @@ def empty(x: Facts) -> DataFrame:
 # --- dependencies ---------------------------------------------------------
 
 
-@rule("DG001", "Fatal")
-def dg001(x: Facts) -> DataFrame:
+@row_rule("DG001", "Fatal", "air_import")
+def dg001(x: Facts) -> Hit:
     edge = F.lit(None).cast("string")
     for a, b in reversed(x.section("DG")["edges"]):
         edge = F.when(segments(module(), a) & segments(F.col("import_path"), b), F.lit(f"{a} -> {b}")).otherwise(edge)
-    return found(x["air_import"].withColumn("edge", edge).where("edge is not null"), "import_path", "edge")
+    return Hit(edge.isNotNull(), "import_path", edge)
 
 
 def package_edges(x: Facts) -> DataFrame:
@@ -183,23 +264,22 @@ def feature_of(col: Column, features: list) -> Column:
     return out
 
 
-@rule("DG003", "Fatal")
-def dg003(x: Facts) -> DataFrame:
+@row_rule("DG003", "Fatal", "air_import")
+def dg003(x: Facts) -> Hit:
     fs = x.section("DG")["features"]
     if len(fs) < 2:
-        return empty(x)
-    open_ = F.lit(False)
+        return OFF
+    of, to, open_ = feature_of(module(), fs), feature_of(F.col("import_path"), fs), F.lit(False)
     for f in fs:
-        open_ = open_ | ((F.col("to") == f[0]) & any_pattern(F.col("import_path"), f[2]))
-    df = x["air_import"].withColumns({"of": feature_of(module(), fs), "to": feature_of(F.col("import_path"), fs)})
-    return found(df.where(F.col("of").isNotNull() & F.col("to").isNotNull() & (F.col("of") != F.col("to")) & ~open_), "import_path", F.concat_ws(" -> ", "of", "to"))
+        open_ = open_ | ((to == f[0]) & any_pattern(F.col("import_path"), f[2]))
+    return Hit(of.isNotNull() & to.isNotNull() & (of != to) & ~open_, "import_path", F.concat_ws(" -> ", of, to))
 
 
-@rule("DG004", "Fatal")
-def dg004(x: Facts) -> DataFrame:
+@row_rule("DG004", "Fatal", "air_import")
+def dg004(x: Facts) -> Hit:
     p = x.section("DG")
-    df = x["air_import"].withColumns({"shared": first_pattern(module(), p["shared_paths"]), "to": feature_of(F.col("import_path"), p["features"])})
-    return found(df.where("shared is not null and to is not null"), "import_path", F.concat_ws(" -> ", "shared", "to"))
+    shared, to = first_pattern(module(), p["shared_paths"]), feature_of(F.col("import_path"), p["features"])
+    return Hit(shared.isNotNull() & to.isNotNull(), "import_path", F.concat_ws(" -> ", shared, to))
 
 
 # --- one owner of a concept -----------------------------------------------
@@ -341,76 +421,72 @@ def ot012(x: Facts) -> DataFrame:
 # --- failures -------------------------------------------------------------
 
 
-def outside_owners(x: Facts, table: str, key: str = "invariant_owner_paths") -> DataFrame:
-    """Places whose file and whose function's module are no owner's; none while no owner is named."""
+def outside_owners(x: Facts, key: str = "invariant_owner_paths") -> Column:
+    """Whether a place's file and its function's module are no owner's; never while no owner is named."""
     owners = x.section("FL")[key]
-    return placed(x, table).where(F.lit(bool(owners)) & ~any_pattern(module(), owners) & ~any_pattern(containing_module(F.col("function")), owners))
+    return F.col("module_path").isNotNull() & F.lit(bool(owners)) & ~any_pattern(module(), owners) & ~any_pattern(containing_module(F.col("function")), owners)
 
 
-@rule("FL001", "Fatal")
-def fl001(x: Facts) -> DataFrame:
+@row_rule("FL001", "Fatal", "air_function")
+def fl001(x: Facts) -> Hit:
     p = x.section("FL")
-    df = x["air_function"].where(any_pattern(module(), p["domain_paths"]) & F.col("return_type").contains("Result<"))
-    df = df.withColumn("hit", first_pattern(result_error(F.col("return_type")), p["boundary_error_patterns"]))
-    return found(df.where("hit is not null"), "symbol", "hit")
+    hit = first_pattern(result_error(F.col("return_type")), p["boundary_error_patterns"])
+    return Hit(any_pattern(module(), p["domain_paths"]) & F.col("return_type").contains("Result<") & hit.isNotNull(), "symbol", hit)
 
 
-@rule("FL002", "Warning")
-def fl002(x: Facts) -> DataFrame:
-    df = outside_owners(x, "air_call_site").where("call_kind in ('Method', 'Meta')")
-    df = df.withColumn("hit", first_pattern(short_name(F.col("callee")), x.section("FL")["forbidden_callees"]))
-    return found(df.where("hit is not null"), "function", "hit")
+@row_rule("FL002", "Warning", "air_call_site")
+def fl002(x: Facts) -> Hit:
+    hit = first_pattern(short_name(F.col("callee")), x.section("FL")["forbidden_callees"])
+    return Hit(F.col("call_kind").isin("Method", "Meta") & hit.isNotNull() & outside_owners(x), "function", hit)
 
 
-@rule("FL003", "Warning")
-def fl003(x: Facts) -> DataFrame:
-    df = outside_owners(x, "air_call_site").where("call_kind = 'Method'")
-    df = df.withColumn("hit", first_pattern(F.col("callee"), x.section("FL")["silent_discard_callees"]))
-    return found(df.where("hit is not null"), "function", "hit")
+@row_rule("FL003", "Warning", "air_call_site")
+def fl003(x: Facts) -> Hit:
+    hit = first_pattern(F.col("callee"), x.section("FL")["silent_discard_callees"])
+    return Hit((F.col("call_kind") == "Method") & hit.isNotNull() & outside_owners(x), "function", hit)
 
 
-@rule("FL004", "Warning")
-def fl004(x: Facts) -> DataFrame:
-    df = outside_owners(x, "air_silent_discard").where("discard_kind <> 'Other' and callee is not null")
-    return found(df.where(~any_pattern(F.col("callee"), x.section("FL")["silent_discard_allowed"])), "function", "callee")
+@row_rule("FL004", "Warning", "air_silent_discard")
+def fl004(x: Facts) -> Hit:
+    told = F.expr("discard_kind <> 'Other' and callee is not null")
+    return Hit(outside_owners(x) & told & ~any_pattern(F.col("callee"), x.section("FL")["silent_discard_allowed"]), "function", "callee")
 
 
-@rule("FL005", "Warning")
-def fl005(x: Facts) -> DataFrame:
-    return found(outside_owners(x, "air_partial_match"), "function", "variant")
+@row_rule("FL005", "Warning", "air_partial_match")
+def fl005(x: Facts) -> Hit:
+    return Hit(outside_owners(x), "function", "variant")
 
 
-@rule("FL006", "Warning")
-def fl006(x: Facts) -> DataFrame:
-    return found(outside_owners(x, "air_closure_call").where("callee = 'map_err' and closure_discards_arg"), "function", "callee")
+@row_rule("FL006", "Warning", "air_closure_call")
+def fl006(x: Facts) -> Hit:
+    return Hit(outside_owners(x) & F.expr("callee = 'map_err' and closure_discards_arg"), "function", "callee")
 
 
 SILENT = ["Empty", "Literal", "Call"]
 
 
-@rule("FL007", "Warning")
-def fl007(x: Facts) -> DataFrame:
+@row_rule("FL007", "Warning", "air_match_arm")
+def fl007(x: Facts) -> Hit:
     t = F.trim("pattern")
     err = (t == "Err(_)") | t.startswith("Err(_)") | t.contains(" Err(_)") | t.contains("|Err(_)") | t.contains("::Err(_)")
-    df = outside_owners(x, "air_match_arm").where(F.col("pattern_has_wildcard") & err & F.col("body_shape").isin(*SILENT))
-    return found(df, "function", "pattern")
+    return Hit(outside_owners(x) & F.col("pattern_has_wildcard") & err & F.col("body_shape").isin(*SILENT), "function", "pattern")
 
 
-@rule("FL010", "Warning")
-def fl010(x: Facts) -> DataFrame:
-    return found(outside_owners(x, "air_fallback").where("callee in ('unwrap_or', 'or') and default_shape in ('Literal', 'Call')"), "function", "callee")
+@row_rule("FL010", "Warning", "air_fallback")
+def fl010(x: Facts) -> Hit:
+    return Hit(outside_owners(x) & F.expr("callee in ('unwrap_or', 'or') and default_shape in ('Literal', 'Call')"), "function", "callee")
 
 
-@rule("FL011", "Warning")
-def fl011(x: Facts) -> DataFrame:
+@row_rule("FL011", "Warning", "air_match_arm")
+def fl011(x: Facts) -> Hit:
     t = F.trim("pattern")
     bare = (t == "_") | t.startswith("_ if ") | t.startswith("_ @ ")
-    return found(outside_owners(x, "air_match_arm").where(bare & F.col("body_shape").isin(*SILENT)), "function", "pattern")
+    return Hit(outside_owners(x) & bare & F.col("body_shape").isin(*SILENT), "function", "pattern")
 
 
-@rule("FL012", "Warning")
-def fl012(x: Facts) -> DataFrame:
-    return found(outside_owners(x, "air_retry_loop", "retry_policy_owner_paths").where("propagates and has_break"), "function", "loop_kind")
+@row_rule("FL012", "Warning", "air_retry_loop")
+def fl012(x: Facts) -> Hit:
+    return Hit(outside_owners(x, "retry_policy_owner_paths") & F.expr("propagates and has_break"), "function", "loop_kind")
 
 
 @rule("FL013", "Warning")
@@ -505,14 +581,15 @@ def ab001(x: Facts) -> DataFrame:
     return found(df.where((n == 1) & ~any_pattern(F.col("symbol"), x.section("AB")["accepted_traits"], trailing_segments)), "symbol")
 
 
-@rule("AB002", "Warning")
-def ab002(x: Facts) -> DataFrame:
+@row_rule("AB002", "Warning", "air_type")
+def ab002(x: Facts) -> Hit:
     p = x.section("AB")
-    df = x["air_type"].where("kind in ('Trait', 'Struct')").withColumn("hit", first_pattern(F.col("name"), p["suspect_names"], name_suffix))
+    hit = first_pattern(F.col("name"), p["suspect_names"], name_suffix)
     ok = any_pattern(F.col("symbol"), p["accepted_traits"], trailing_segments) | any_pattern(F.col("name"), p["accepted_names"], name_suffix)
-    return found(df.where(F.col("hit").isNotNull() & ~ok), "symbol", "hit")
+    return Hit(F.col("kind").isin("Trait", "Struct") & hit.isNotNull() & ~ok, "symbol", hit)
 
 
+@source
 def documented(x: Facts) -> DataFrame:
     cols = [*ORD, "path", "module_path", "line_start", "line_end", "symbol", "visibility", "doc"]
     return x["air_type"].select(*cols).unionByName(x["air_function"].select(*cols))
@@ -522,29 +599,29 @@ def documented(x: Facts) -> DataFrame:
 REFERENCE = r"https?://[^\s<>\"']+|(?<![A-Za-z0-9_])#[0-9]+"
 
 
-@rule("CL001", "Warning")
-def cl001(x: Facts) -> DataFrame:
+@row_rule("CL001", "Warning", "documented")
+def cl001(x: Facts) -> Hit:
     p = x.section("CL")
     if not p["enabled"]:
-        return empty(x)
+        return OFF
     refs = F.regexp_extract_all("doc", F.lit(REFERENCE), 0)
     rest = F.filter(F.split(F.regexp_replace("doc", REFERENCE, " "), r"\s+"), lambda w: w.rlike("[A-Za-z0-9]"))
-    df = documented(x).where(F.col("doc").isNotNull() & ~any_pattern(module(), p["exempt_paths"])).withColumns({"refs": refs, "words": F.size(rest)}).where((F.size("refs") > 0) & (F.col("words") < p["least_words"]))
-    return found(df, "symbol", F.regexp_replace(F.element_at("refs", 1), r"[.,)`]+$", ""))
+    said = F.col("doc").isNotNull() & ~any_pattern(module(), p["exempt_paths"]) & (F.size(refs) > 0) & (F.size(rest) < p["least_words"])
+    return Hit(said, "symbol", F.regexp_replace(F.try_element_at(refs, F.lit(1)), r"[.,)`]+$", ""))
 
 
 # --- boundaries -----------------------------------------------------------
 
 
-def two_sided_import(x: Facts, where: list[str], what: list[str]) -> DataFrame:
-    df = x["air_import"].withColumns({"a": first_pattern(module(), where), "b": first_pattern(F.col("import_path"), what)})
-    return found(df.where("a is not null and b is not null"), "import_path", F.concat_ws(" -> ", "a", "b"))
+def two_sided_import(where: list[str], what: list[str]) -> Hit:
+    a, b = first_pattern(module(), where), first_pattern(F.col("import_path"), what)
+    return Hit(a.isNotNull() & b.isNotNull(), "import_path", F.concat_ws(" -> ", a, b))
 
 
-@rule("BO001", "Fatal")
-def bo001(x: Facts) -> DataFrame:
+@row_rule("BO001", "Fatal", "air_import")
+def bo001(x: Facts) -> Hit:
     p = x.section("BO")
-    return two_sided_import(x, p["domain_paths"], p["forbidden_in_domain"])
+    return two_sided_import(p["domain_paths"], p["forbidden_in_domain"])
 
 
 @rule("BO002", "Fatal")
@@ -565,25 +642,25 @@ def bo004(x: Facts) -> DataFrame:
     return found(g, "symbol", "f.name")
 
 
-def by_function(x: Facts, kinds: list[str], patterns: list[str], module_only: bool = False) -> DataFrame:
-    df = fact_functions(x, *kinds)
+def by_function(kinds: list[str], patterns: list[str], detail: Column | str, module_only: bool = False) -> Hit:
+    """Facts of the kinds about functions whose module, or symbol, matches."""
     hit = any_pattern(module(), patterns)
-    return df.where(hit if module_only else hit | any_pattern(F.col("symbol"), patterns))
+    return Hit(F.col("kind").isin(*kinds) & (hit if module_only else hit | any_pattern(F.col("symbol"), patterns)), "symbol", detail)
 
 
-@rule("BO005", "Fatal")
-def bo005(x: Facts) -> DataFrame:
-    return found(by_function(x, ["PersistenceWrite"], x.section("BO")["domain_paths"]), "symbol", "fact_ix")
+@row_rule("BO005", "Fatal", "function_facts")
+def bo005(x: Facts) -> Hit:
+    return by_function(["PersistenceWrite"], x.section("BO")["domain_paths"], "fact_ix")
 
 
-@rule("CR001", "Fatal")
-def cr001(x: Facts) -> DataFrame:
+@row_rule("CR001", "Fatal", "air_truth_action")
+def cr001(x: Facts) -> Hit:
     p = x.section("CR")
     if not p["root_paths"]:
-        return empty(x)
-    df = x["air_truth_action"].where("action = 'Construct'").where(~any_pattern(F.coalesce("module_path", F.lit("")), p["root_paths"], trailing_segments))
-    df = df.withColumn("hit", first_pattern(short_name(F.col("target")), ["*" + s for s in p["service_suffixes"]], name_suffix))
-    return found(df.where("hit is not null"), "function", "target")
+        return OFF
+    hit = first_pattern(short_name(F.col("target")), ["*" + s for s in p["service_suffixes"]], name_suffix)
+    outside = ~any_pattern(F.coalesce("module_path", F.lit("")), p["root_paths"], trailing_segments)
+    return Hit((F.col("action") == "Construct") & outside & hit.isNotNull(), "function", "target")
 
 
 @rule("CR002", "Warning")
@@ -599,12 +676,12 @@ def cr002(x: Facts) -> DataFrame:
 # --- documentation --------------------------------------------------------
 
 
-@rule("DC001", "Warning")
-def dc001(x: Facts) -> DataFrame:
+@row_rule("DC001", "Warning", "documented")
+def dc001(x: Facts) -> Hit:
     p = x.section("DC")
     if not p["require_public_docs"]:
-        return empty(x)
-    return found(documented(x).where(F.expr("visibility = 'Public' and doc is null") & ~any_pattern(module(), p["exempt_paths"], trailing_segments)), "symbol")
+        return OFF
+    return Hit(F.expr("visibility = 'Public' and doc is null") & ~any_pattern(module(), p["exempt_paths"], trailing_segments), "symbol")
 
 
 @rule("DC002", "Warning")
@@ -640,27 +717,28 @@ def er001(x: Facts) -> DataFrame:
     return found(t.withColumns({"rn": F.row_number().over(w), "first": F.first("name").over(w)}).where("rn > 1"), "symbol", "first")
 
 
-@rule("ER002", "Fatal")
-def er002(x: Facts) -> DataFrame:
+@row_rule("ER002", "Fatal", "air_function")
+def er002(x: Facts) -> Hit:
     bare = lambda s: s[1:] if s.startswith("&") else s
-    patterns = x.section("ER")["string_error_patterns"]
-    df = x["air_function"].where(F.col("return_type").contains("Result<")).withColumn("e", F.regexp_replace(result_error(F.col("return_type")), "^&", ""))
-    return found(df.withColumn("hit", first_pattern(F.col("e"), [bare(p) for p in patterns], single_star)).where("hit is not null"), "symbol", "e")
+    e = F.regexp_replace(result_error(F.col("return_type")), "^&", "")
+    hit = first_pattern(e, [bare(p) for p in x.section("ER")["string_error_patterns"]], single_star)
+    return Hit(F.col("return_type").contains("Result<") & hit.isNotNull(), "symbol", e)
 
 
-@rule("ER003", "Fatal")
-def er003(x: Facts) -> DataFrame:
+@row_rule("ER003", "Fatal", "air_variant")
+def er003(x: Facts) -> Hit:
     p = x.section("ER")
-    df = x["air_variant"].where(any_pattern(module(), p["domain_paths"])).withColumn("hit", first_pattern(F.col("field_type"), p["boundary_error_patterns"]))
-    return found(df.where("hit is not null"), F.concat_ws("::", "symbol", "name"), "hit")
+    hit = first_pattern(F.col("field_type"), p["boundary_error_patterns"])
+    return Hit(any_pattern(module(), p["domain_paths"]) & hit.isNotNull(), F.concat_ws("::", "symbol", "name"), hit)
 
 
-@rule("ER005", "Warning")
-def er005(x: Facts) -> DataFrame:
+@row_rule("ER005", "Warning", "air_match_arm")
+def er005(x: Facts) -> Hit:
     owners = x.section("ER")["collapse_owner_paths"]
     t = F.trim("pattern")
-    df = placed(x, "air_match_arm").where(F.lit(bool(owners)) & F.col("pattern_has_wildcard") & (t.startswith("Err") | t.contains("Err(")) & F.col("body_shape").isin(*SILENT))
-    return found(df.where(~any_pattern(module(), owners) & ~any_pattern(F.col("function"), owners)), "function", "pattern")
+    err = F.col("pattern_has_wildcard") & (t.startswith("Err") | t.contains("Err(")) & F.col("body_shape").isin(*SILENT)
+    outside = F.col("module_path").isNotNull() & F.lit(bool(owners)) & ~any_pattern(module(), owners) & ~any_pattern(F.col("function"), owners)
+    return Hit(outside & err, "function", "pattern")
 
 
 @rule("ER007", "Warning")
@@ -681,40 +759,40 @@ def pa001(x: Facts) -> DataFrame:
     return found(df.where(~any_pattern(F.col("symbol"), accepted) & ~any_pattern(F.col("name"), accepted)), "symbol")
 
 
-@rule("PA002", "Fatal")
-def pa002(x: Facts) -> DataFrame:
+@row_rule("PA002", "Fatal", "air_import")
+def pa002(x: Facts) -> Hit:
     p = x.section("PA")
-    return two_sided_import(x, p["application_paths"], p["adapter_paths"])
+    return two_sided_import(p["application_paths"], p["adapter_paths"])
 
 
-@rule("PA003", "Fatal")
-def pa003(x: Facts) -> DataFrame:
-    return found(by_function(x, ["ExternalIo"], x.section("PA")["application_paths"]), "symbol", "fact_ix")
+@row_rule("PA003", "Fatal", "function_facts")
+def pa003(x: Facts) -> Hit:
+    return by_function(["ExternalIo"], x.section("PA")["application_paths"], "fact_ix")
 
 
-@rule("PA004", "Fatal")
-def pa004(x: Facts) -> DataFrame:
+@row_rule("PA004", "Fatal", "air_truth_action")
+def pa004(x: Facts) -> Hit:
     p = x.section("PA")
-    df = x["air_truth_action"].where("action = 'Construct'").where(~any_pattern(F.coalesce("module_path", F.lit("")), p["construction_paths"]))
-    return found(df.where(any_pattern(F.col("target"), p["adapter_types"])), "function", "target")
+    outside = ~any_pattern(F.coalesce("module_path", F.lit("")), p["construction_paths"])
+    return Hit((F.col("action") == "Construct") & outside & any_pattern(F.col("target"), p["adapter_types"]), "function", "target")
 
 
 # --- runtime work ---------------------------------------------------------
 
 
-def outside_runtime(x: Facts, *kinds: str) -> DataFrame:
+def outside_runtime(x: Facts, kind: str) -> Hit:
     owners = x.section("RW")["owner_paths"]
-    return fact_functions(x, *kinds).where(F.lit(bool(owners)) & ~any_pattern(module(), owners) & ~any_pattern(F.col("symbol"), owners))
+    return Hit((F.col("kind") == kind) & F.lit(bool(owners)) & ~any_pattern(module(), owners) & ~any_pattern(F.col("symbol"), owners), "symbol", "fact_ix")
 
 
-@rule("RW001", "Fatal")
-def rw001(x: Facts) -> DataFrame:
-    return found(outside_runtime(x, "SpawnedWork"), "symbol", "fact_ix")
+@row_rule("RW001", "Fatal", "function_facts")
+def rw001(x: Facts) -> Hit:
+    return outside_runtime(x, "SpawnedWork")
 
 
-@rule("RW002", "Warning")
-def rw002(x: Facts) -> DataFrame:
-    return found(outside_runtime(x, "BlockingCall"), "symbol", "fact_ix")
+@row_rule("RW002", "Warning", "function_facts")
+def rw002(x: Facts) -> Hit:
+    return outside_runtime(x, "BlockingCall")
 
 
 @rule("RW003", "Warning")
@@ -734,19 +812,18 @@ def rw004(x: Facts) -> DataFrame:
     return found(df.where(named | held), "symbol", F.when(named, "name").otherwise("field"))
 
 
-def on_hot_path(x: Facts, kind: str) -> DataFrame:
-    hot = x["air_fact"].where("kind = 'HotPath' and scope = 'Function'").select("symbol")
-    return found(fact_functions(x, kind).join(hot, "symbol", "left_semi"), "symbol", "fact_ix")
+def on_hot_path(kind: str) -> Hit:
+    return Hit((F.col("kind") == kind) & F.col("hot"), "symbol", "fact_ix")
 
 
-@rule("RW005", "Fatal")
-def rw005(x: Facts) -> DataFrame:
-    return on_hot_path(x, "BlockingCall")
+@row_rule("RW005", "Fatal", "function_facts")
+def rw005(x: Facts) -> Hit:
+    return on_hot_path("BlockingCall")
 
 
-@rule("RW006", "Fatal")
-def rw006(x: Facts) -> DataFrame:
-    return on_hot_path(x, "SpawnedWork")
+@row_rule("RW006", "Fatal", "function_facts")
+def rw006(x: Facts) -> Hit:
+    return on_hot_path("SpawnedWork")
 
 
 # --- demand ---------------------------------------------------------------
@@ -803,9 +880,9 @@ def rm001(x: Facts) -> DataFrame:
     return found(at.where(~any_pattern(module(), p["exempt_paths"])), "function", "n")
 
 
-@rule("RM002", "Warning")
-def rm002(x: Facts) -> DataFrame:
-    return found(by_function(x, ["SpawnedWork", "Logging", "ConfigRead"], x.section("RM")["converter_paths"], True), "symbol", F.concat_ws(":", "kind", "fact_ix"))
+@row_rule("RM002", "Warning", "function_facts")
+def rm002(x: Facts) -> Hit:
+    return by_function(["SpawnedWork", "Logging", "ConfigRead"], x.section("RM")["converter_paths"], F.concat_ws(":", "kind", "fact_ix"), True)
 
 
 def branch_rich(x: Facts, patterns: list[str], cap: int) -> DataFrame:
@@ -826,16 +903,17 @@ def rm004(x: Facts) -> DataFrame:
     return branch_rich(x, p["repository_paths"], p["repository_cap"])
 
 
-@rule("RM005", "Warning")
-def rm005(x: Facts) -> DataFrame:
-    return found(by_function(x, ["ExternalIo", "PersistenceWrite"], x.section("RM")["validator_paths"]), "symbol", F.concat_ws(":", "kind", "fact_ix"))
+@row_rule("RM005", "Warning", "function_facts")
+def rm005(x: Facts) -> Hit:
+    return by_function(["ExternalIo", "PersistenceWrite"], x.section("RM")["validator_paths"], F.concat_ws(":", "kind", "fact_ix"))
 
 
-@rule("RM006", "Warning")
-def rm006(x: Facts) -> DataFrame:
+@row_rule("RM006", "Warning", "function_facts")
+def rm006(x: Facts) -> Hit:
     parts = F.split("symbol", "::")
     method = F.exists(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: s.rlike(r"^\p{Lu}"))
-    return found(by_function(x, ["PersistenceWrite"], x.section("RM")["domain_paths"]).where((F.size(parts) >= 3) & method), "symbol", "fact_ix")
+    written = by_function(["PersistenceWrite"], x.section("RM")["domain_paths"], "fact_ix")
+    return Hit(written.when & (F.size(parts) >= 3) & method, "symbol", "fact_ix")
 
 
 # --- features -------------------------------------------------------------
@@ -848,40 +926,42 @@ def fo001(x: Facts) -> DataFrame:
     return found(t.join(first, "name").where("feature <> f.ff"), "symbol", F.concat_ws(" -> ", "f.ff", "feature"))
 
 
-@rule("FO004", "Warning")
-def fo004(x: Facts) -> DataFrame:
+@row_rule("FO004", "Warning", "air_field")
+def fo004(x: Facts) -> Hit:
     p = x.section("FO")
     tokens = F.filter(F.split("type_text", r"[^\p{L}\p{N}_:]+"), lambda w: w != "")
     hits = F.filter(F.transform(tokens, lambda w: feature_of(w, p["features"])), lambda h: h.isNotNull())
-    df = x["air_field"].where(any_pattern(module(), p["shared_paths"])).withColumn("hit", F.try_element_at(hits, F.lit(1)))
-    return found(df.where("hit is not null"), F.concat_ws(".", "symbol", "name"), "hit")
+    hit = F.try_element_at(hits, F.lit(1))
+    return Hit(any_pattern(module(), p["shared_paths"]) & hit.isNotNull(), F.concat_ws(".", "symbol", "name"), hit)
 
 
 # --- observability and configuration --------------------------------------
 
 
-@rule("OB001", "Warning")
-def ob001(x: Facts) -> DataFrame:
+@row_rule("OB001", "Warning", "function_facts")
+def ob001(x: Facts) -> Hit:
     p = x.section("OB")
-    df = fact_functions(x, "Logging").withColumn("hit", first_pattern(F.col("evidence"), p["log_targets"]))
-    return found(df.where(F.lit(bool(p["observer_paths"])) & F.col("hit").isNotNull() & ~any_pattern(module(), p["observer_paths"])), "symbol", F.concat_ws(":", "hit", "fact_ix"))
+    hit = first_pattern(F.col("evidence"), p["log_targets"])
+    outside = F.lit(bool(p["observer_paths"])) & ~any_pattern(module(), p["observer_paths"])
+    return Hit((F.col("kind") == "Logging") & hit.isNotNull() & outside, "symbol", F.concat_ws(":", hit, "fact_ix"))
 
 
-def emission(x: Facts, macros: list[str], owners: list[str]) -> DataFrame:
-    df = placed(x, "air_call_site").where("call_kind = 'Meta'").withColumn("hit", first_pattern(F.col("callee"), macros))
-    return found(df.where(F.lit(bool(owners)) & F.col("hit").isNotNull() & ~any_pattern(module(), owners)), "function", "hit")
+def emission(macros: list[str], owners: list[str]) -> Hit:
+    hit = first_pattern(F.col("callee"), macros)
+    outside = F.col("module_path").isNotNull() & F.lit(bool(owners)) & ~any_pattern(module(), owners)
+    return Hit((F.col("call_kind") == "Meta") & hit.isNotNull() & outside, "function", hit)
 
 
-@rule("OB002", "Warning")
-def ob002(x: Facts) -> DataFrame:
+@row_rule("OB002", "Warning", "air_call_site")
+def ob002(x: Facts) -> Hit:
     p = x.section("OB")
-    return emission(x, p["metric_macros"], p["metric_owner_paths"])
+    return emission(p["metric_macros"], p["metric_owner_paths"])
 
 
-@rule("OB003", "Warning")
-def ob003(x: Facts) -> DataFrame:
+@row_rule("OB003", "Warning", "air_call_site")
+def ob003(x: Facts) -> Hit:
     p = x.section("OB")
-    return emission(x, p["event_macros"], p["event_owner_paths"])
+    return emission(p["event_macros"], p["event_owner_paths"])
 
 
 @rule("OB004", "Warning")
@@ -893,39 +973,41 @@ def ob004(x: Facts) -> DataFrame:
     return found(df, "symbol")
 
 
-@rule("CF001", "Fatal")
-def cf001(x: Facts) -> DataFrame:
+@row_rule("CF001", "Fatal", "function_facts")
+def cf001(x: Facts) -> Hit:
     paths = x.section("CF")["config_paths"]
-    return found(fact_functions(x, "ConfigRead").where(F.lit(bool(paths)) & ~any_pattern(module(), paths, segments_or_name)), "symbol", "fact_ix")
+    return Hit((F.col("kind") == "ConfigRead") & F.lit(bool(paths)) & ~any_pattern(module(), paths, segments_or_name), "symbol", "fact_ix")
 
 
-@rule("CF002", "Warning")
-def cf002(x: Facts) -> DataFrame:
+@row_rule("CF002", "Warning", "air_literal")
+def cf002(x: Facts) -> Hit:
     p = x.section("CF")
-    return found(placed(x, "air_literal").where(F.lit(bool(p["config_paths"])) & F.lower("kind").isin(*p["literal_kinds"]) & ~any_pattern(module(), p["config_paths"], segments_or_name)), "function", "value")
+    outside = F.col("module_path").isNotNull() & F.lit(bool(p["config_paths"])) & ~any_pattern(module(), p["config_paths"], segments_or_name)
+    return Hit(outside & F.lower("kind").isin(*p["literal_kinds"]), "function", "value")
 
 
-@rule("CF003", "Warning")
-def cf003(x: Facts) -> DataFrame:
+@row_rule("CF003", "Warning", "air_literal")
+def cf003(x: Facts) -> Hit:
     p = x.section("CF")
-    df = placed(x, "air_literal").where(F.lit(bool(p["config_paths"]))).where("kind = 'Str'").withColumn("hit", first_pattern(F.regexp_replace("value", '^"(.*)"$', "$1"), p["id_patterns"], segments_or_name))
-    return found(df.where(F.col("hit").isNotNull() & ~any_pattern(module(), p["config_paths"], segments_or_name)), "function", "hit")
+    outside = F.col("module_path").isNotNull() & F.lit(bool(p["config_paths"])) & ~any_pattern(module(), p["config_paths"], segments_or_name)
+    hit = first_pattern(F.regexp_replace("value", '^"(.*)"$', "$1"), p["id_patterns"], segments_or_name)
+    return Hit((F.col("kind") == "Str") & outside & hit.isNotNull(), "function", hit)
 
 
 # --- tests and utilities --------------------------------------------------
 
 
-@rule("TA001", "Warning")
-def ta001(x: Facts) -> DataFrame:
-    df = x["air_type"].where("visibility = 'Public'").withColumn("hit", first_pattern(module(), x.section("TA")["test_paths"]))
-    return found(df.where("hit is not null"), "symbol", "hit")
+@row_rule("TA001", "Warning", "air_type")
+def ta001(x: Facts) -> Hit:
+    hit = first_pattern(module(), x.section("TA")["test_paths"])
+    return Hit((F.col("visibility") == "Public") & hit.isNotNull(), "symbol", hit)
 
 
-@rule("TA002", "Warning")
-def ta002(x: Facts) -> DataFrame:
+@row_rule("TA002", "Warning", "air_type")
+def ta002(x: Facts) -> Hit:
     p = x.section("TA")
-    df = x["air_type"].where(any_pattern(module(), p["test_paths"])).withColumn("hit", first_pattern(F.col("name"), p["canonical_names"], path_or_name))
-    return found(df.where("hit is not null"), "symbol", "hit")
+    hit = first_pattern(F.col("name"), p["canonical_names"], path_or_name)
+    return Hit(any_pattern(module(), p["test_paths"]) & hit.isNotNull(), "symbol", hit)
 
 
 @rule("TA003", "Warning")
@@ -943,46 +1025,45 @@ def ta003(x: Facts) -> DataFrame:
     return found(df.where(F.col("best.j") >= F.lit(0.5).cast("float")), "symbol", "best.of")
 
 
-@rule("TA004", "Warning")
-def ta004(x: Facts) -> DataFrame:
+@row_rule("TA004", "Warning", "air_impl")
+def ta004(x: Facts) -> Hit:
     p = x.section("TA")
-    df = x["air_impl"].where(F.col("interface").isNotNull() & any_pattern(module(), p["test_paths"]) & ~any_pattern(module(), p["adapter_paths"]))
     i, s = F.col("interface"), short_name(F.col("interface"))
     hit = any_pattern(i, p["port_traits"]) | any_pattern(s, p["port_traits"]) | any_pattern(i, p["port_traits"], path_or_name) | any_pattern(s, p["port_traits"], path_or_name)
-    return found(df.where(hit), "target_type", "interface")
+    return Hit(i.isNotNull() & any_pattern(module(), p["test_paths"]) & ~any_pattern(module(), p["adapter_paths"]) & hit, "target_type", "interface")
 
 
-@rule("UT001", "Warning")
-def ut001(x: Facts) -> DataFrame:
-    df = x["air_type"].where("visibility = 'Public'").withColumn("hit", first_pattern(module(), x.section("UT")["utility_paths"]))
-    return found(df.where("hit is not null"), "symbol", "hit")
+@row_rule("UT001", "Warning", "air_type")
+def ut001(x: Facts) -> Hit:
+    hit = first_pattern(module(), x.section("UT")["utility_paths"])
+    return Hit((F.col("visibility") == "Public") & hit.isNotNull(), "symbol", hit)
 
 
-@rule("UT002", "Fatal")
-def ut002(x: Facts) -> DataFrame:
+@row_rule("UT002", "Fatal", "air_import")
+def ut002(x: Facts) -> Hit:
     p = x.section("UT")
-    return two_sided_import(x, p["utility_paths"], p["forbidden_imports"])
+    return two_sided_import(p["utility_paths"], p["forbidden_imports"])
 
 
-@rule("UT003", "Warning")
-def ut003(x: Facts) -> DataFrame:
+@row_rule("UT003", "Warning", "files")
+def ut003(x: Facts) -> Hit:
     p = x.section("UT")
-    df = x["air_file"].withColumn("hit", first_pattern(module(), p["generic_patterns"]))
-    return found(file_rows(df.where(F.col("hit").isNotNull() & ~any_pattern(module(), p["accepted_modules"]))), "module_path", "hit")
+    hit = first_pattern(module(), p["generic_patterns"])
+    return Hit(hit.isNotNull() & ~any_pattern(module(), p["accepted_modules"]), "module_path", hit)
 
 
-def utility_actions(x: Facts, actions: list[str], canonical: bool) -> DataFrame:
+def utility_actions(x: Facts, actions: list[str], canonical: bool) -> Hit:
     p = x.section("UT")
     hit = any_pattern(F.col("target"), p["canonical_constructs"])
-    df = x["air_truth_action"].where(F.col("action").isin(*actions) & any_pattern(module(), p["utility_paths"]))
-    return found(df.where(hit if canonical else ~hit), "function", F.concat_ws(":", "action", "target"))
+    within = F.col("action").isin(*actions) & any_pattern(module(), p["utility_paths"])
+    return Hit(within & (hit if canonical else ~hit), "function", F.concat_ws(":", "action", "target"))
 
 
-@rule("UT004", "Warning")
-def ut004(x: Facts) -> DataFrame:
+@row_rule("UT004", "Warning", "air_truth_action")
+def ut004(x: Facts) -> Hit:
     return utility_actions(x, ["Construct", "Validate", "Normalize"], True)
 
 
-@rule("UT005", "Warning")
-def ut005(x: Facts) -> DataFrame:
+@row_rule("UT005", "Warning", "air_truth_action")
+def ut005(x: Facts) -> Hit:
     return utility_actions(x, ["Validate", "Normalize"], False)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock, _writers = Lock(), {}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """The clean-up setting is on while any thread writes, and as it was once none does."""
+    key = spark.sparkContext.applicationId
+    with _lock:
+        n, before = _writers.get(key) or (0, spark.conf.get(CLEANUP, "false"))
+        _writers[key] = (n + 1, before)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writers[key]
+            _writers[key] = (n - 1, before) if n > 1 else None
+            if n == 1:
+                spark.conf.set(CLEANUP, before)
+
+
+def at_once(jobs: list[Callable[[], DataFrame]], most: int = 8) -> list[DataFrame]:
+    """Results of jobs that Spark may run side by side, in their order; a few are planned at a time."""
+    with ThreadPoolExecutor(max_workers=most) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,12 +63,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/girder-{name}-{uuid.uuid4().hex}"
-    schema, before = df.schema, spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    schema = df.schema
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out.scratch_path = path
     return out
