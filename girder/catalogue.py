@@ -260,9 +260,14 @@ def exit_status(x: Facts) -> DataFrame:
     return decide.exit_status(findings(x))
 
 
+def entries(x: Facts, doc: str) -> DataFrame:
+    """One of the two policy documents that the loaded tables hold."""
+    return x["policy_entries"].where(F.col("doc") == doc).drop("doc")
+
+
 @operator
 def vacancy_rows(x: Facts) -> DataFrame:
-    return decide.vacancies(Facts(x.tables, LOOSER)).select("rule_id", "severity", "subject")
+    return decide.vacancies(entries(x, "current")).select("rule_id", "severity", "subject")
 
 
 @operator
@@ -270,16 +275,25 @@ def unregistered_codes(x: Facts) -> DataFrame:
     return decide.registry_rows(findings(x), [r for r in RULES if r not in ("UT003", "MO001")])
 
 
+def rule_names(x: Facts) -> DataFrame:
+    """The catalogue's rules (name)."""
+    return x["air_file"].sparkSession.createDataFrame([(r,) for r in RULES], "name string")
+
+
 @operator
 def registry_drift(x: Facts) -> DataFrame:
-    return decide.registry_drift(x["air_file"].sparkSession, ["CX001", "DG001", "ZZ001"], ["CX001", "DG001", "FL002"])
+    """Rules that annotations and exceptions name against the catalogue."""
+    named = x["air_hint"].select(F.col("rule").alias("name")).unionByName(x["policy_exception"].select(F.col("rule").alias("name")))
+    return decide.registry_drift(named, rule_names(x))
 
 
 @operator
 def registry_coherence(x: Facts) -> DataFrame:
-    spark = x["air_file"].sparkSession
-    rules, families = {"CX001": "CX", "DG001": "DG", "ZZ001": "ZZ"}, {"CX": ["CX001", "CX999"], "DG": ["DG001"]}
-    found = [(k, decide.coherence(spark, d, ["default", "drift"], rules, families)) for k, d in (("given", {"policies": ["default", "gone"]}), ("absent", None), ("broken", "no object"))]
+    """The present document as the declaration, the baseline as what is registered: families, and the rules that exceptions name as members of theirs."""
+    names = lambda doc: entries(x, doc).select(F.col("name")).where("name is not null")
+    rules = x["policy_exception"].select("rule", F.left("rule", F.lit(2)).alias("family")).distinct()
+    families = entries(x, "current").select("family", F.concat("family", F.lit("001")).alias("rule")).where("family <> ''").distinct()
+    found = [(k, decide.coherence(d, names("baseline"), rules, families)) for k, d in (("given", names("current")), ("absent", None), ("broken", "no object"))]
     out = [df.select(F.lit(k).alias("declaration"), "subject", "what") for k, df in found]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -297,7 +311,7 @@ def concept_source_of_truth(x: Facts) -> DataFrame:
 
 @operator
 def policy_drift(x: Facts) -> DataFrame:
-    return decide.policy_diff(x["air_file"].sparkSession, LOOSER, BASELINE)
+    return decide.entry_diff(entries(x, "current"), entries(x, "baseline"))
 
 
 def debt(x: Facts) -> DataFrame:

@@ -25,12 +25,12 @@ def reachability(edges: DataFrame) -> DataFrame:
     return pairs
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Distinct edges (src, dst) whose ends both have a way in and a way out, as far as rounds still take a tenth of them: what lies on no cycle falls away cheaply, long tails are left to ``contracted``."""
+def trimmed(edges: DataFrame, least: float = 0.0) -> DataFrame:
+    """Distinct edges (src, dst) whose ends both have a way in and a way out: rounds go on while they take more than ``least`` of the edges, each at least one; 0 trims all."""
     now, n = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges"), None
     while True:
         left = now.count()
-        if n is not None and left > 0.9 * n or not left:
+        if n is not None and (left == n or left > (1 - least) * n) or not left:
             return now
         n, before = left, now
         ins, outs = now.select(F.col("dst").alias("v")).distinct(), now.select(F.col("src").alias("v")).distinct()
@@ -72,6 +72,10 @@ def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return materialize(rest, "edges"), chains, rings
 
 
+#: Share of the edges that a round of trimming must take to be followed by another; long tails are left to contraction.
+TRIM = 0.1
+
+
 def _spread(edges: DataFrame, marks: DataFrame, steps: int = 3) -> DataFrame:
     """(v, mark) once no edge leads to a smaller mark: each node takes the largest of those that reach it. A few steps are one job."""
     total = None
@@ -101,7 +105,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     left, placed, levels = edges.select("src", "dst"), [], []
     while True:
-        left = trimmed(left)
+        left = trimmed(left, TRIM)
         # a contraction may leave new chains and new tails
         while True:
             n = left.count()
@@ -109,7 +113,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
             loops = left.where("src = dst").select(F.col("src").alias("node"))
             levels.append((chains, loops))
             placed.append(rings)
-            left = trimmed(left)
+            left = trimmed(left, TRIM)
             if not left.limit(1).count() or left.count() > 0.8 * n:
                 break
         if not left.limit(1).count():

@@ -488,22 +488,49 @@ kept AS MATERIALIZED (
 ORACLES["suppressed_diagnostics"] = f"{KEPT}\nSELECT * FROM kept"
 ORACLES["changed_diagnostics"] = f"{FOUND}\nSELECT {COLS} FROM u WHERE path IN (SELECT a.path FROM air_file a JOIN air_file b ON suffix(a.path, '/' || regexp_replace(b.path, '^p[0-9]+/', '')) WHERE b.line_count >= 200)"
 ORACLES["exit_status"] = f"{FOUND}\nSELECT count(*) AS fatal, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS status FROM u WHERE severity = 'Fatal'"
-ORACLES["vacancy_rows"] = "SELECT 'GOV002' AS rule_id, 'Advisory' AS severity, f AS subject FROM (VALUES ('BO'), ('CR'), ('DA'), ('DG'), ('ER'), ('FL'), ('FO'), ('PA'), ('RM'), ('RW'), ('UT')) AS v(f)"
+# fixed values: the members that keep a family from being vacant
+TELLING = {
+    "BO": ["domain_paths", "forbidden_in_domain", "persistence_types", "canonical_paths"], "CF": ["config_paths"], "CR": ["root_paths"], "DA": ["enabled"], "DG": ["edges", "features", "shared_paths"],
+    "ER": ["domain_paths", "string_error_patterns", "boundary_error_patterns", "collapse_owner_paths"], "FL": ["domain_paths", "boundary_error_patterns", "invariant_owner_paths", "retry_policy_owner_paths"],
+    "FO": ["features", "shared_paths"], "PA": ["application_paths", "adapter_paths", "adapter_types"], "RM": ["max_action_kinds", "converter_paths", "handler_paths", "repository_paths", "validator_paths", "domain_paths"],
+    "RW": ["owner_paths"], "TA": ["test_paths"], "UT": ["utility_paths", "generic_patterns"],
+}
+ORACLES["vacancy_rows"] = f"""{ctes('policy_entries')}, m AS (SELECT * FROM (VALUES {', '.join(f"('{f}', '{k}')" for f, ks in TELLING.items() for k in ks)}) AS v(f, k))
+SELECT DISTINCT 'GOV002' AS rule_id, 'Advisory' AS severity, f AS subject FROM m
+WHERE NOT EXISTS (SELECT 1 FROM policy_entries e JOIN m n ON e.family = n.f AND e.key = n.k WHERE e.doc = 'current' AND n.f = m.f AND (e.name IS NOT NULL OR coalesce(e.value, 0) <> 0))
+  AND NOT EXISTS (SELECT 1 FROM policy_entries e WHERE e.doc = 'current' AND e.key = 'acknowledged' AND e.name = m.f)"""
 ORACLES["unregistered_codes"] = f"{FOUND}\nSELECT rule_id AS subject, count(*) AS n FROM u WHERE rule_id IN ('UT003', 'MO001') GROUP BY rule_id"
-ORACLES["registry_drift"] = "SELECT * FROM (VALUES ('ZZ001', 'not registered'), ('FL002', 'not declared')) AS v(name, what)"
-ORACLES["registry_coherence"] = """SELECT * FROM (VALUES ('given', 'gone', 'not registered'), ('given', 'drift', 'not declared'), ('absent', 'declaration', 'missing'), ('broken', 'declaration', 'unreadable: no object')) AS v(declaration, subject, what)
-UNION ALL SELECT d, s, w FROM (VALUES ('given'), ('absent'), ('broken')) AS a(d), (VALUES ('ZZ001', 'unknown family ZZ'), ('CX', 'unknown rule CX999')) AS b(s, w)"""
+NAMES = f"(VALUES {', '.join(f'({q(r)})' for r in RULES)}) AS v(name)"
+ORACLES["registry_drift"] = f"""{ctes('air_hint', 'policy_exception')}, d AS (SELECT rule AS name FROM air_hint UNION SELECT rule FROM policy_exception), r AS (SELECT name FROM {NAMES})
+SELECT name, 'not registered' AS what FROM d WHERE name NOT IN (SELECT name FROM r) UNION ALL SELECT name, 'not declared' FROM r WHERE name NOT IN (SELECT name FROM d)"""
+ORACLES["registry_coherence"] = f"""{ctes('policy_entries', 'policy_exception')}, c AS (SELECT DISTINCT name FROM policy_entries WHERE doc = 'current' AND name IS NOT NULL), b AS (SELECT DISTINCT name FROM policy_entries WHERE doc = 'baseline' AND name IS NOT NULL),
+r AS (SELECT DISTINCT rule, left(rule, 2) AS family FROM policy_exception), f AS (SELECT DISTINCT family FROM policy_entries WHERE doc = 'current' AND family <> ''),
+odd AS (SELECT rule AS s, 'unknown family ' || family AS w FROM r WHERE family NOT IN (SELECT family FROM f) UNION ALL SELECT family, 'unknown rule ' || family || '001' FROM f WHERE family || '001' NOT IN (SELECT rule FROM r))
+SELECT 'given' AS declaration, name AS subject, 'not registered' AS what FROM c WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT 'given', name, 'not declared' FROM b WHERE name NOT IN (SELECT name FROM c)
+UNION ALL SELECT 'absent', 'declaration', 'missing' UNION ALL SELECT 'broken', 'declaration', 'unreadable: no object'
+UNION ALL SELECT d, s, w FROM (VALUES ('given'), ('absent'), ('broken')) AS a(d), odd"""
 ORACLES["concept_source_of_truth"] = f"""{KEPT}
 SELECT DISTINCT 'rule' AS concept, rule_id AS identifier, 'Warning' AS severity FROM kept WHERE rule_id IN ('UT003', 'MO001')
 UNION ALL SELECT DISTINCT 'family', left(rule_id, 2), 'Advisory' FROM kept WHERE rule_id LIKE 'TA%'
 UNION ALL SELECT DISTINCT 'policy', 'expiry', 'Warning' FROM kept WHERE rule_id = 'GOV001'
 UNION ALL SELECT DISTINCT 'governance-code', rule_id, 'Warning' FROM kept WHERE rule_id = 'GOV001'
 UNION ALL SELECT 'widget', 'widget', 'Advisory'"""
-DRIFT = """SELECT * FROM (VALUES ('PG001', 'Fatal', 'CX', 'fn_lines', '50 -> 70'), ('PG001', 'Fatal', 'MO', 'max_public_types', '5 -> 9'), ('PG001', 'Fatal', 'CX', '*::a::*', '80 -> 90'),
-  ('PG002', 'Fatal', 'CX', '*::b::*', '60'), ('PG006', 'Fatal', 'CX', '*::b::*', 'reason,expires,owner'), ('PG002', 'Fatal', 'CX', '*::c::*', '60'), ('PG003', 'Fatal', 'CX', '*::gen::*', NULL),
-  ('PG007', 'Fatal', 'CX', '*::gen::*', 'reason,expires,owner'), ('PG003', 'Fatal', 'CX', '*::d::*', NULL), ('PG003', 'Fatal', 'DC', 'p3::*', NULL), ('PG004', 'Fatal', 'CF', 'CF', NULL),
-  ('PG009', 'Fatal', 'CF', 'CF', 'reason,expires,owner'), ('PG004', 'Fatal', 'TA', 'TA', NULL), ('PG008', 'Fatal', 'OT', '*::y::*', NULL)) AS v(code, severity, family, subject, detail)"""
-ORACLES["policy_drift"] = DRIFT
+_GAPS = "concat_ws(',', CASE WHEN c.reason IS NULL THEN 'reason' END, CASE WHEN c.expires IS NULL THEN 'expires' END, CASE WHEN c.owner IS NULL THEN 'owner' END)"
+PAIR = f"""cur AS (SELECT * FROM policy_entries WHERE doc = 'current'), base AS (SELECT * FROM policy_entries WHERE doc = 'baseline'),
+pair AS (SELECT c.*, b.value AS old, b.doc IS NULL AS fresh, {_GAPS} AS gaps FROM cur c LEFT JOIN base b ON b.family = c.family AND b.key = c.key AND b.name = c.name WHERE c.name IS NOT NULL),
+preset AS (SELECT * FROM (VALUES ('CX', 'fn_lines', 50), ('CX', 'module_lines', 400), ('CX', 'max_public_items', 30), ('CX', 'max_fan_out', 25), ('MO', 'max_public_types', 5), ('MO', 'entropy_threshold', 3)) AS v(f, k, d)),
+num AS (SELECT f, k, coalesce((SELECT value FROM cur WHERE family = f AND key = k AND name IS NULL), d) AS a, coalesce((SELECT value FROM base WHERE family = f AND key = k AND name IS NULL), d) AS b FROM preset WHERE f IN (SELECT family FROM cur)),
+drift AS MATERIALIZED (
+  SELECT 'PG001' AS code, 'Fatal' AS severity, f AS family, k AS subject, b || ' -> ' || a AS detail FROM num WHERE a > b
+  UNION ALL SELECT 'PG001', 'Fatal', family, name, old || ' -> ' || value FROM pair WHERE key LIKE '%overrides' AND NOT fresh AND value > old
+  UNION ALL SELECT 'PG002', 'Fatal', family, name, CAST(value AS VARCHAR) FROM pair WHERE key LIKE '%overrides' AND fresh
+  UNION ALL SELECT 'PG006', 'Fatal', family, name, gaps FROM pair WHERE key LIKE '%overrides' AND fresh AND gaps <> ''
+  UNION ALL SELECT 'PG003', 'Fatal', family, name, NULL FROM pair WHERE key = 'exempt_paths' AND fresh
+  UNION ALL SELECT 'PG007', 'Fatal', family, name, gaps FROM pair WHERE key = 'exempt_paths' AND family = 'CX' AND fresh AND gaps <> ''
+  UNION ALL SELECT 'PG004', 'Fatal', name, name, NULL FROM pair WHERE key = 'acknowledged' AND fresh
+  UNION ALL SELECT 'PG009', 'Fatal', name, name, gaps FROM pair WHERE key = 'acknowledged' AND fresh AND gaps <> ''
+  UNION ALL SELECT 'PG008', 'Fatal', family, name, NULL FROM pair WHERE key = 'converter_paths' AND fresh)"""
+ORACLES["policy_drift"] = f"{ctes('policy_entries')}, {PAIR}\nSELECT * FROM drift"
 FIXED = "(VALUES ('exempt', 'CX007', 'paradigms.CX.exempt_paths:*::tests::*', NULL, NULL), ('exempt', 'CX007', 'paradigms.CX.exempt_paths:*::gen::*', NULL, NULL), ('acknowledged', 'GOV002', 'acknowledged_empty:CF', NULL, NULL)) AS v(origin, rule, target, reason, expires)"
 DEBT = f"""(SELECT *, CASE WHEN expires IS NULL THEN 'Unbounded' WHEN expires < '1998-06-01' THEN 'Expired' ELSE 'Active' END AS status FROM (
   SELECT 'hint' AS origin, rule, path || ':' || target_start AS target, reason, expires FROM air_hint WHERE category = 'allow' UNION ALL SELECT 'exception', rule, target, reason, expires FROM policy_exception)
@@ -516,7 +543,7 @@ ORACLES["pruned_exceptions"] = f"{ctes('policy_exception')}\nSELECT rule, target
 ORACLES["largest_files"] = f"{ctes('air_file')}\nSELECT path, line_count FROM air_file ORDER BY line_count DESC, path LIMIT 5"
 ORACLES["largest_clusters"] = f"{ctes(*CLUSTER_TABLES)}{CONF}\nSELECT stem, count(*) AS members, count(DISTINCT name) AS names, round(max(confidence), 4) AS confidence FROM member JOIN graded USING (stem) GROUP BY stem ORDER BY members DESC, stem LIMIT 5"
 ORACLES["internal_edges"] = f"{ctes('air_import', 'air_file')}{EDGES}\nSELECT src, dst FROM e WHERE src IN (SELECT package FROM air_file) AND dst IN (SELECT package FROM air_file)"
-ORACLES["rule_pressure"] = f"{KEPT}\nSELECT left(rule_id, 2) AS family, rule_id, count(*) AS n FROM (SELECT rule_id FROM kept UNION ALL SELECT code FROM ({DRIFT}) AS pd) GROUP BY rule_id"
+ORACLES["rule_pressure"] = f"{KEPT}, {PAIR}\nSELECT left(rule_id, 2) AS family, rule_id, count(*) AS n FROM (SELECT rule_id FROM kept UNION ALL SELECT code FROM drift) GROUP BY rule_id"
 OPEN = f", open AS (SELECT *, {KEBAB} AS cid FROM member WHERE {KEBAB} NOT IN (SELECT lower(regexp_replace(concept, '(.)([A-Z])', '\\1-\\2', 'g')) FROM policy_concept))"
 NEAR = f"({SUFFIX} IS NOT NULL OR regexp_matches(symbol, '(^|::)(api|dto|dtos|transport)(::|$)') OR overlap >= 0.5)"
 ORACLES["suggested_concepts"] = f"""{ctes(*CLUSTER_TABLES)}{CONF}{OPEN}{SCORED.format(members='open')}, chosen AS (

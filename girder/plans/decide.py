@@ -12,7 +12,7 @@ from girder.operators.shared import path_pairs
 
 from girder.scratch import at_once, materialize
 
-from .policy import DEFAULTS, Policy
+from .policy import ACKNOWLEDGED, DEFAULTS, VACANCY, Policy
 from .rules import FINDING, RULES, Facts, all_hits
 
 #: Order of evaluation, which numbers findings.
@@ -134,11 +134,15 @@ def changed_only(diagnostics: DataFrame, changed: DataFrame) -> DataFrame:
     return diagnostics.join(same, "path", "left_semi")
 
 
-def vacancies(facts: Facts, policy_file: str = "policy.json") -> DataFrame:
-    """One advisory a family with nothing to check."""
-    spark = facts["air_file"].sparkSession
-    rows = [("GOV002", "Advisory", policy_file, 1, 1, f, None) for f in facts.policy.vacant()]
-    return spark.createDataFrame(rows, "rule_id string, severity string, path string, line_start int, line_end int, subject string, detail string")
+def vacancies(entries: DataFrame, policy_file: str = "policy.json") -> DataFrame:
+    """GOV002, one advisory a family with nothing to check: none of its telling members has an entry that says something, and no entry acknowledges it."""
+    spark = entries.sparkSession
+    members = spark.createDataFrame([(f, k) for f, keys in VACANCY.items() for k in keys], "family string, key string")
+    filled = entries.where("name is not null or coalesce(value, 0) <> 0").join(members, ["family", "key"], "left_semi").select("family")
+    known = entries.where(F.col("key") == ACKNOWLEDGED).select(F.col("name").alias("family"))
+    vacant = members.select("family").distinct().join(filled.unionByName(known), "family", "left_anti")
+    rows = vacant.select(F.lit("GOV002").alias("rule_id"), F.lit("Advisory").alias("severity"), F.lit(policy_file).alias("path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.col("family").alias("subject"))
+    return rows.withColumn("detail", F.lit(None).cast("string"))
 
 
 POLICY_ROWS = "rule_id string, severity string, path string, line_start int, line_end int, subject string, detail string"
@@ -163,24 +167,22 @@ def legacy_wrap(rows: DataFrame, registered: list[str]) -> DataFrame:
     return rows.where(~F.col("rule_id").isin(*registered))
 
 
-def coherence(spark, declaration: dict | str | None, policies: list[str], rules: dict[str, str], families: dict[str, list[str]]) -> DataFrame:
+def coherence(declared: DataFrame | str | None, policies: DataFrame, rules: DataFrame, families: DataFrame) -> DataFrame:
     """GOV004 rows (subject, what): a declaration missing or unreadable, names on one side only, rules of no family, families' rules that are none.
 
-    ``rules`` maps a rule to its family, ``families`` a family to the rules it lists.
+    ``declared`` has the declared policies' names (name), or is None where there
+    is no declaration and its error's text where it cannot be read. ``policies``
+    (name) are registered; ``rules`` (rule, family) the rules with their family,
+    ``families`` (family, rule) the rules that families list.
     """
-    table = lambda rows, spec: spark.createDataFrame(rows, spec)
-    out = table([], "subject string, what string")
-    if declaration is None:
-        out = table([("declaration", "missing")], "subject string, what string")
-    elif isinstance(declaration, str):
-        out = table([("declaration", f"unreadable: {declaration}")], "subject string, what string")
+    if declared is None or isinstance(declared, str):
+        said = "missing" if declared is None else f"unreadable: {declared}"
+        out = rules.sparkSession.createDataFrame([("declaration", said)], "subject string, what string")
     else:
-        out = registry_drift(spark, declaration.get("policies", []), policies).select(F.col("name").alias("subject"), "what")
-    r = table(list(rules.items()), "rule string, family string")
-    f = table([(k,) for k in families], "family string")
-    listed = table([(k, x) for k, xs in families.items() for x in xs], "family string, rule string")
-    out = out.unionByName(r.join(f, "family", "left_anti").select(F.col("rule").alias("subject"), F.concat(F.lit("unknown family "), "family").alias("what")))
-    return out.unionByName(listed.join(r.select("rule"), "rule", "left_anti").select(F.col("family").alias("subject"), F.concat(F.lit("unknown rule "), "rule").alias("what")))
+        out = registry_drift(declared, policies).select(F.col("name").alias("subject"), "what")
+    lone = rules.join(families.select("family"), "family", "left_anti").select(F.col("rule").alias("subject"), F.concat(F.lit("unknown family "), "family").alias("what"))
+    strange = families.where("rule is not null").join(rules.select("rule"), "rule", "left_anti").select(F.col("family").alias("subject"), F.concat(F.lit("unknown rule "), "rule").alias("what"))
+    return out.unionByName(lone.distinct()).unionByName(strange.distinct())
 
 
 #: Concepts that a declaration may govern, with the observed column that must be registered.
@@ -216,76 +218,67 @@ def registry_rows(diagnostics: DataFrame, known: list[str]) -> DataFrame:
     return diagnostics.where(~F.col("rule_id").isin(*known)).groupBy(F.col("rule_id").alias("subject")).agg(F.count("*").alias("n"))
 
 
-def registry_drift(spark, declared: list[str], registered: list[str]) -> DataFrame:
-    """GOV004: names declared but not registered, and registered but not declared."""
-    a, b = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (declared, registered))
-    return a.exceptAll(b).withColumn("what", F.lit("not registered")).unionByName(b.exceptAll(a).withColumn("what", F.lit("not declared")))
-
-
-def _overrides(section: dict | None, key: str) -> dict[str, dict]:
-    out = {}
-    for x in (section or {}).get(key, []):
-        entry = x if isinstance(x, dict) else {"module": x[0], "budget": x[1], **(x[2] if len(x) > 2 else {})}
-        out[entry["module"]] = entry
-    return out
-
-
-def _names(section: dict | None, key: str) -> dict[str, dict]:
-    return {(x if isinstance(x, str) else x["path"]): ({} if isinstance(x, str) else x) for x in (section or {}).get(key, [])}
+def registry_drift(declared: DataFrame, registered: DataFrame) -> DataFrame:
+    """GOV004 (name, what): names declared but not registered, and registered but not declared."""
+    a, b = declared.select("name").distinct().withColumn("d", F.lit(True)), registered.select("name").distinct().withColumn("r", F.lit(True))
+    both = a.join(b, "name", "full").where("d is null or r is null")
+    return both.select("name", F.when(F.col("r").isNull(), "not registered").otherwise("not declared").alias("what"))
 
 
+#: Members of a section that are plain numbers, those that list a budget a module, and those that list paths.
 SCALARS = {"CX": ["fn_lines", "module_lines", "max_public_items", "max_fan_out"], "MO": ["max_public_types", "entropy_threshold"]}
 OVERRIDES = [("CX", "fn_overrides"), ("CX", "module_overrides"), ("MO", "overrides")]
+DRIFT = "code string, severity string, family string, subject string, detail string"
 
 
-def policy_diff(spark, current: Policy, baseline: Policy | None, calibration: bool = False, waived: bool = False) -> DataFrame:
-    """How a policy was loosened against a baseline: (code, severity, family, subject, detail).
+def entry_diff(current: DataFrame, baseline: DataFrame | None, calibration: bool = False, waived: bool = False) -> DataFrame:
+    """How a policy was loosened against a baseline: (code, severity, family, subject, detail), from tables of entries (``policy.ENTRY``).
 
-    Sections are read as written, without defaults for whole sections, so that
-    an absent section shows no phantom change.
+    The two tables meet by (family, key, name), the last entry of a name
+    counting. Sections are read as written, without defaults for whole
+    sections, so that an absent section shows no phantom change; a number that
+    a written section leaves out is its default. No baseline is PG000, unless
+    ``waived``.
     """
-    soft = "Advisory" if calibration else "Fatal"
-    rows: list[tuple] = []
+    spark, soft = current.sparkSession, "Advisory" if calibration else "Fatal"
     if baseline is None:
-        if not waived:
-            rows.append(("PG000", "Fatal", "", "baseline", None))
-        return spark.createDataFrame(rows, "code string, severity string, family string, subject string, detail string")
-    for fam, keys in SCALARS.items():
-        now, was = current.explicit(fam), baseline.explicit(fam) or {}
-        for k in keys if now is not None else []:
-            a, b = now.get(k, DEFAULTS[fam][k]), was.get(k, DEFAULTS[fam][k])
-            if a > b:
-                rows.append(("PG001", soft, fam, k, f"{b} -> {a}"))
-    for fam, key in OVERRIDES:
-        now, was = _overrides(current.explicit(fam), key), _overrides(baseline.explicit(fam), key)
-        for m, entry in now.items():
-            if m in was and entry["budget"] > was[m]["budget"]:
-                rows.append(("PG001", soft, fam, m, f"{was[m]['budget']} -> {entry['budget']}"))
-            if m not in was:
-                rows.append(("PG002", soft, fam, m, str(entry["budget"])))
-                gaps = [x for x in ("reason", "expires", "owner") if not entry.get(x)]
-                if gaps:
-                    rows.append(("PG006", "Fatal", fam, m, ",".join(gaps)))
-    for fam in ("CX", "DC"):
-        now, was = _names(current.explicit(fam), "exempt_paths"), _names(baseline.explicit(fam), "exempt_paths")
-        for path, entry in now.items():
-            if path in was:
-                continue
-            rows.append(("PG003", soft, fam, path, None))
-            gaps = [x for x in ("reason", "expires", "owner") if not entry.get(x)]
-            if fam == "CX" and gaps:
-                rows.append(("PG007", "Fatal", fam, path, ",".join(gaps)))
-    key = lambda xs: {(x if isinstance(x, str) else x.get("prefix")): ({} if isinstance(x, str) else x) for x in xs}
-    now, was = key(current.acknowledged), key(baseline.acknowledged)
-    for prefix, entry in now.items():
-        if prefix not in was:
-            rows.append(("PG004", soft, prefix, prefix, None))
-            gaps = [x for x in ("reason", "expires", "owner") if not entry.get(x)]
-            if gaps:
-                rows.append(("PG009", "Fatal", prefix, prefix, ",".join(gaps)))
-    had = set((baseline.explicit("OT") or {}).get("converter_paths", []))
-    rows += [("PG008", soft, "OT", p, None) for p in (current.explicit("OT") or {}).get("converter_paths", []) if p not in had]
-    return spark.createDataFrame(rows, "code string, severity string, family string, subject string, detail string")
+        return spark.createDataFrame([] if waived else [("PG000", "Fatal", "", "baseline", None)], DRIFT)
+    said = ["value", "reason", "expires", "owner"]
+    last = lambda df: df.groupBy("family", "key", "name").agg(F.max(F.struct("ix", *said)).alias("e")).select("family", "key", "name", *[f"e.{c}" for c in said])
+    now, was = last(current), last(baseline)
+    kinds = spark.createDataFrame(
+        [(f, k, "override") for f, k in OVERRIDES] + [("CX", "exempt_paths", "exempt"), ("DC", "exempt_paths", "exempt"), ("OT", "converter_paths", "converter")], "family string, key string, kind string"
+    )
+    named = now.join(F.broadcast(kinds), ["family", "key"]).unionByName(now.where(F.col("key") == ACKNOWLEDGED).withColumn("kind", F.lit("acknowledged")))
+    old = was.select("family", "key", "name", F.col("value").alias("old"), F.lit(True).alias("known"))
+    met = named.join(old, ["family", "key", "name"], "left").withColumn("family", F.when(F.col("kind") == "acknowledged", F.col("name")).otherwise(F.col("family")))
+    gaps = F.concat_ws(",", *[F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(c)) for c in said[1:]])
+    new, kind = F.col("known").isNull(), F.col("kind")
+    row = lambda when, code, severity, detail: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail")))
+    none = F.lit(None)
+    found = F.array_compact(F.array(
+        row((kind == "override") & ~new & (F.col("value") > F.col("old")), "PG001", soft, F.concat_ws(" -> ", "old", "value")),
+        row((kind == "override") & new, "PG002", soft, F.col("value")),
+        row((kind == "override") & new & (gaps != ""), "PG006", "Fatal", gaps),
+        row((kind == "exempt") & new, "PG003", soft, none),
+        row((kind == "exempt") & (F.col("family") == "CX") & new & (gaps != ""), "PG007", "Fatal", gaps),
+        row((kind == "acknowledged") & new, "PG004", soft, none),
+        row((kind == "acknowledged") & new & (gaps != ""), "PG009", "Fatal", gaps),
+        row((kind == "converter") & new, "PG008", soft, none),
+    ))
+    loosened = met.select("family", F.col("name").alias("subject"), F.explode(found).alias("f")).select("f.code", "f.severity", "family", "subject", "f.detail")
+    numbers = spark.createDataFrame([(f, k, DEFAULTS[f][k]) for f, keys in SCALARS.items() for k in keys], "family string, key string, preset long")
+    numbers = F.broadcast(numbers).join(now.select("family").distinct(), "family")
+    plain = lambda df, name: df.where("name is null").select("family", "key", F.col("value").alias(name))
+    numbers = numbers.join(plain(now, "a"), ["family", "key"], "left").join(plain(was, "b"), ["family", "key"], "left")
+    a, b = F.coalesce("a", "preset"), F.coalesce("b", "preset")
+    raised = numbers.where(a > b).select(F.lit("PG001").alias("code"), F.lit(soft).alias("severity"), "family", F.col("key").alias("subject"), F.concat_ws(" -> ", b, a).alias("detail"))
+    return loosened.unionByName(raised)
+
+
+def policy_diff(spark, current: Policy, baseline: Policy | None, calibration: bool = False, waived: bool = False) -> DataFrame:
+    """``entry_diff`` of two documents."""
+    return entry_diff(current.entries(spark), None if baseline is None else baseline.entries(spark), calibration, waived)
 
 
 def exit_status(diagnostics: DataFrame) -> DataFrame:

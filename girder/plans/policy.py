@@ -6,6 +6,8 @@ import json
 from copy import deepcopy
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+
 # fixed values: defaults of the sections
 DEFAULTS: dict[str, dict] = {
     "CX": {"fn_lines": 50, "fn_overrides": [], "module_lines": 400, "module_overrides": [], "max_public_items": 30, "exempt_paths": ["*::tests::*", "*::test::*"], "orchestration_paths": [], "max_fan_out": 25},
@@ -83,6 +85,12 @@ VACANCY: dict[str, list[str]] = {
 }
 
 
+#: A policy document as a table: ``name`` is null for a plain number, ``ix`` the place in the document.
+ENTRY = "family string, key string, name string, value long, reason string, expires string, owner string, ix long"
+#: The key of entries whose name is a family that is known to be empty.
+ACKNOWLEDGED = "acknowledged"
+
+
 @dataclass
 class Policy:
     """``sections`` holds what a document says; ``section`` fills in the defaults, ``explicit`` does not."""
@@ -105,6 +113,29 @@ class Policy:
         """A malformed section behaves as the default one."""
         return deepcopy(DEFAULTS[family]) | (self.explicit(family) or {})
 
+    def entries(self, spark: SparkSession) -> DataFrame:
+        """The document as a table of ``ENTRY``: a row a number, and a row a named thing that a list holds. A section without any shows by a row without a key."""
+        rows: list[tuple] = []
+        for fam in self.sections:
+            own = self.explicit(fam)
+            if own is None:
+                continue
+            rows.append((fam, None, None, None, None, None, None))
+            for key, said in own.items():
+                if isinstance(said, (bool, int)):
+                    rows.append((fam, key, None, int(said), None, None, None))
+                for x in said if isinstance(said, list) else []:
+                    if isinstance(x, list):
+                        x = {"name": str(x[0]), "budget": x[1] if len(x) > 1 else None, **(x[2] if len(x) > 2 and isinstance(x[2], dict) else {})}
+                    elif not isinstance(x, dict):
+                        x = {"name": str(x)}
+                    budget = x.get("budget")
+                    rows.append((fam, key, x.get("name") or x.get("path") or x.get("module"), budget if isinstance(budget, int) else None, x.get("reason"), x.get("expires"), x.get("owner")))
+        for x in self.acknowledged:
+            x = {"prefix": x} if isinstance(x, str) else x
+            rows.append(("", ACKNOWLEDGED, x.get("prefix"), None, x.get("reason"), x.get("expires"), x.get("owner")))
+        return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], ENTRY)
+
     def vacant(self) -> list[str]:
         """Families with nothing to check, but for the acknowledged ones."""
         known = {x if isinstance(x, str) else x.get("prefix") for x in self.acknowledged}

@@ -62,8 +62,9 @@ class Hit:
     narrowed: Column | None = None
 
 
-#: A rule that is off.
-OFF = Hit(F.lit(False), F.lit(None).cast("string"))
+def off() -> Hit:
+    """Of a rule that is off."""
+    return Hit(F.lit(False), F.lit(None).cast("string"))
 
 
 @dataclass(frozen=True)
@@ -268,7 +269,7 @@ def feature_of(col: Column, features: list) -> Column:
 def dg003(x: Facts) -> Hit:
     fs = x.section("DG")["features"]
     if len(fs) < 2:
-        return OFF
+        return off()
     of, to, open_ = feature_of(module(), fs), feature_of(F.col("import_path"), fs), F.lit(False)
     for f in fs:
         open_ = open_ | ((to == f[0]) & any_pattern(F.col("import_path"), f[2]))
@@ -603,7 +604,7 @@ REFERENCE = r"https?://[^\s<>\"']+|(?<![A-Za-z0-9_])#[0-9]+"
 def cl001(x: Facts) -> Hit:
     p = x.section("CL")
     if not p["enabled"]:
-        return OFF
+        return off()
     refs = F.regexp_extract_all("doc", F.lit(REFERENCE), 0)
     rest = F.filter(F.split(F.regexp_replace("doc", REFERENCE, " "), r"\s+"), lambda w: w.rlike("[A-Za-z0-9]"))
     said = F.col("doc").isNotNull() & ~any_pattern(module(), p["exempt_paths"]) & (F.size(refs) > 0) & (F.size(rest) < p["least_words"])
@@ -657,7 +658,7 @@ def bo005(x: Facts) -> Hit:
 def cr001(x: Facts) -> Hit:
     p = x.section("CR")
     if not p["root_paths"]:
-        return OFF
+        return off()
     hit = first_pattern(short_name(F.col("target")), ["*" + s for s in p["service_suffixes"]], name_suffix)
     outside = ~any_pattern(F.coalesce("module_path", F.lit("")), p["root_paths"], trailing_segments)
     return Hit((F.col("action") == "Construct") & outside & hit.isNotNull(), "function", "target")
@@ -680,7 +681,7 @@ def cr002(x: Facts) -> DataFrame:
 def dc001(x: Facts) -> Hit:
     p = x.section("DC")
     if not p["require_public_docs"]:
-        return OFF
+        return off()
     return Hit(F.expr("visibility = 'Public' and doc is null") & ~any_pattern(module(), p["exempt_paths"], trailing_segments), "symbol")
 
 

@@ -212,6 +212,25 @@ SELECT {_pick('o.o_orderkey', ['CX001', 'FL', 'DG003', '*', 'RW001'])} AS rule,
 FROM {{orders}} AS o JOIN {{air_function}} AS f ON f.item_ix = o.o_orderkey * 8
 """
 
+# two policy documents as entries: overrides of the parts' modules, paths of the files, numbers and acknowledged families of the nations
+_META = f"{_pick('k', ['why', None, 'r', 'because'])} AS reason, {_pick('k', ['1999-01-01', 'never', None])} AS expires, {_pick('k', ['team', None, 'crew', 'team', 'x'])} AS owner"
+_BUDGET, _NO = "CAST(40 + k % 60 AS BIGINT)", "CAST(NULL AS BIGINT)"
+PROJECTION["policy_entry"] = f"""
+SELECT d.doc, e.* FROM (
+  SELECT k, {_pick('k', ['CX', 'CX', 'MO'])} AS family, {_pick('k', ['fn_overrides', 'module_overrides', 'overrides'])} AS key, home || '::' || CAST(k AS STRING) AS name, {_BUDGET} AS value, {_META}, k AS ix FROM {{part_file}}
+  UNION ALL SELECT CAST(file_ix AS BIGINT) AS k, {_pick('file_ix', ['CX', 'DC', 'OT', 'BO', 'FL'])} AS family, {_pick('file_ix', ['exempt_paths', 'exempt_paths', 'converter_paths', 'domain_paths', 'retry_policy_owner_paths'])} AS key,
+    package || '::' || layer || '::' || CAST(file_ix AS STRING) AS name, {_NO} AS value, {_META.replace('k %', 'file_ix %')}, 10000000 + CAST(file_ix AS BIGINT) AS ix FROM {{air_file}}
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey < 4 THEN 'CX' ELSE 'MO' END AS family, {_pick('n_nationkey', ['fn_lines', 'module_lines', 'max_public_items', 'max_fan_out', 'max_public_types', 'entropy_threshold'])} AS key,
+    CAST(NULL AS STRING) AS name, CAST(3 + n_nationkey * 17 AS BIGINT) AS value, CAST(NULL AS STRING) AS reason, CAST(NULL AS STRING) AS expires, CAST(NULL AS STRING) AS owner, 20000000 + CAST(n_nationkey AS BIGINT) AS ix FROM {{nation}} WHERE n_nationkey < 6
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) AS k, '' AS family, 'acknowledged' AS key, {_pick('n_nationkey', ['CF', 'TA', 'RW', 'UT', 'DA', 'RM', 'FL'])} AS name, {_NO} AS value, {_META.replace('k %', 'n_nationkey %')}, 30000000 + CAST(n_nationkey AS BIGINT) AS ix FROM {{nation}} WHERE n_nationkey < 7
+) AS e JOIN (SELECT DISTINCT CASE WHEN n_regionkey = 0 THEN 'baseline' ELSE 'current' END AS doc FROM {{nation}}) AS d
+  ON (d.doc = 'baseline' AND e.k % 4 < 3) OR (d.doc = 'current' AND e.k % 5 < 4)
+"""
+# the present document's budgets differ from the baseline's, some up, some down
+PROJECTION["policy_entries"] = """
+SELECT doc, family, key, name, CASE WHEN doc = 'current' AND value IS NOT NULL THEN value + (k % 7) * 10 - 20 ELSE value END AS value, reason, expires, owner, ix FROM {policy_entry}
+"""
+
 
 def dependencies(name: str) -> list[str]:
     """Projected tables that ``name`` needs, in order, itself last."""
