@@ -596,3 +596,39 @@ def test_other_tokenizers_pack_whole_texts(spark):
     text = "Some words,\n two lines  and 12 numbers"
     got = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).collect()
     assert sum(x.length for x in got) == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids) + 1
+
+
+def draw(r, alphabet, n):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def found_whole(enc, make, before="see ", draws=300, seed=5):
+    """Share of drawn strings that one span covers but for a sign at either end."""
+    r, hits = random.Random(seed), 0
+    for _ in range(draws):
+        secret = make(r)
+        spans = secret_scan.random_spans(f"{before}{secret} then", enc, 1.9, [])
+        hits += any(a <= len(before) + 1 and b >= len(before) + len(secret) - 1 for a, _, b in spans)
+    return hits / draws
+
+
+def test_secret_recall_by_form():
+    import string
+
+    enc = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    low, up, base62 = string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits
+    assert found_whole(enc, lambda r: draw(r, base62, 8), "the api key is ") >= 0.9
+    for n in (12, 14, 16, 24, 32):
+        assert found_whole(enc, lambda r, n=n: draw(r, base62, n)) >= 0.95
+    joined = [lambda r: "-".join(draw(r, up, 5) for _ in range(5)), lambda r: "-".join(draw(r, low, 4) for _ in range(4)), lambda r: "-".join(draw(r, low, 8) for _ in range(4)), lambda r: draw(r, low, 12) + "_" + draw(r, low, 12)]
+    for make in [*joined, lambda r: draw(r, base62 + "!@#$%^&*", 16)]:
+        assert found_whole(enc, make) >= 0.9
+
+
+def test_names_and_known_digests_are_no_secrets():
+    enc = secret_scan.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    names = """kubectl-v1.28.3-linux-amd64.tar.gz sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU= org.apache.spark.sql.execution.datasources
+        /usr/local/lib/python3.13/site-packages/numpy/core utf8mb4_unicode_520_ci x86_64-unknown-linux-gnu com.google.common.collect.ImmutableList XMLHttpRequest2 CVE-2021-44228
+        v1.2.3-rc.1+build.5 node_modules/@types/react-dom/index.d.ts jdk-17.0.2_linux-x64_bin.tar.gz SELECT_FROM_WHERE_GROUP_BY 550e8400-e29b-41d4-a716-446655440000 iPhone14ProMax
+        nvidia-cuda-toolkit-12-4 firstName.lastName@company.co.uk #hashtag2024Trend key=value&foo=bar&baz=qux INTERNATIONALIZATION""".split()
+    assert [x for x in names if secret_scan.random_spans(f"see {x} here", enc, 1.9, [])] == []
