@@ -156,6 +156,11 @@ def marker_facts(x: Facts) -> DataFrame:
     return shared.promote_markers(x["air_hint"], x["air_function"]).select("kind", "symbol", "item_ix")
 
 
+@operator
+def scanned_hints(x: Facts) -> DataFrame:
+    return shared.scan_hints(x["air_source"]).select("path", "line_no", "target_line", "category", "rule", "concept", "boundary", "fact_kind", "reason", "expires")
+
+
 @operator
 def source_module_paths(x: Facts) -> DataFrame:
     return x["air_file"].select("path", shared.module_path(F.col("path"), F.col("package")).alias("module"))
@@ -298,6 +303,23 @@ def registry_coherence(x: Facts) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@operator
+def policy_chain(x: Facts) -> DataFrame:
+    """Four policies in order over all findings: what each decided, the findings that it added one by one, the others by rule."""
+    named = x["air_hint"].select(F.col("rule").alias("name")).unionByName(x["policy_exception"].select(F.col("rule").alias("name")))
+    known = {"rule": [r for r in RULES if r != "DC002"], "family": sorted({r[:2] for r in RULES} - {"TA"}), "governance-code": ["GOV003"]}
+    steps = [
+        decide.integrity([r for r in RULES if r not in ("UT003", "MO001")]),
+        decide.coherent(lambda: decide.registry_drift(named, rule_names(x))),
+        decide.source_of_truth({"rule": "enforced", "family": "advisory", "governance-code": "enforced"}, known),
+        decide.pass_through(),
+    ]
+    found, made = decide.chain(findings(x), steps)
+    own = lambda c: F.when(F.col("policy") != "default", F.col(c))
+    both = made.select("finding_id", "policy", "status").join(found.select("finding_id", "rule_id", "subject"), "finding_id")
+    return both.groupBy("policy", "rule_id", "status", own("subject").alias("subject")).agg(F.count("*").alias("n"), F.min(own("finding_id")).alias("first_id"))
+
+
 @operator
 def concept_source_of_truth(x: Facts) -> DataFrame:
     """Identifiers that the findings use against registries that lack two rules, a family and the codes; DC findings count as legacy."""

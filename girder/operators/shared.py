@@ -162,20 +162,55 @@ def module_path(path: Column, package: Column) -> Column:
 
 
 def scan_hints(sources: DataFrame, prefix: str = "// girder:") -> DataFrame:
-    """Annotations of source texts (path, text): their line, words, key-values and the next line of code as target.
-
-    A line of code is neither blank, a comment nor an attribute. Lines inside
-    raw strings do not count as annotations: a running count of the marks that
-    open and close one is odd there.
+    """Annotations of source texts (path, text): place, target, form and members.
+
+    (path, line_no, target_line, raw, category, rule, concept, boundary,
+    fact_kind, reason, expires, words). An annotation is a line that begins with
+    ``prefix``, leading space aside, and lies in no raw string. Its target is
+    the next line that is neither blank, a comment nor an attribute. Forms:
+    ``allow RULE``, ``fact KIND`` (category marker), ``ot`` with ``canonical``,
+    ``boundary [CONCEPT [BOUNDARY]]``, ``converter``, ``protocol-translation``
+    or ``generated-boundary``; any other is ``unknown``. ``reason="..."`` and
+    ``expires="..."`` may follow. Null texts have no annotations.
     """
-    lines = sources.select("path", F.posexplode(F.split("text", "\n")).alias("ix", "line")).withColumn("line_no", (F.col("ix") + 1).cast("int"))
+    lines = sources.select("path", F.posexplode(F.split("text", "\n")).alias("ix", "line")).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    lines = lines.withColumn("line_no", (F.col("ix") + 1).cast("int"))
     w = Window.partitionBy("path").orderBy("ix")
-    marks = F.size(F.regexp_extract_all("line", F.lit(r'r#+"|"#+'), 0))
-    lines = lines.withColumn("raw", F.coalesce(F.sum(marks).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1)
-    text = F.trim("line")
-    code = (text != "") & ~text.startswith("//") & ~text.startswith("#[")
-    lines = lines.withColumn("target_line", F.min(F.when(code, F.col("line_no"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    hits = lines.where(~F.col("raw") & text.startswith(prefix)).withColumn("body", F.trim(F.substring(text, len(prefix) + 1, 100_000)))
-    kv = lambda key: F.nullif(F.regexp_extract("body", rf'{key}="([^"]*)"', 1), F.lit(""))
+    # the raw-string state as a running composition of the lines' maps of (outside, inside)
+    opened = F.instr("line", 'r#"')
+    rest = F.substring(F.col("line"), opened + 3, F.length("line"))
+    lines = lines.withColumns({"from_out": (opened > 0) & ~rest.contains('"#'), "from_in": ~F.col("line").contains('"#')})
+    lines = lines.withColumn("swaps", F.sum((F.col("from_out") & ~F.col("from_in")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    settled = F.when(F.col("from_out") == F.col("from_in"), F.struct(F.col("from_out").cast("int").alias("at"), "swaps"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumns({"last": F.last(settled, ignorenulls=True).over(before), "turned": F.last("swaps").over(before)})
+    at = F.coalesce(F.col("last.at"), F.lit(0)) + F.coalesce("turned", F.lit(0)) - F.coalesce(F.col("last.swaps"), F.lit(0))
+    inside = at % 2 == 1
+    text = F.regexp_replace("line", r"^\s+", "")
+    code = (text != "") & ~text.startswith("//") & ~text.startswith("#[") & ~text.startswith("#![")
+    lines = lines.withColumns({"inside": inside, "target_line": F.min(F.when(code, F.col("line_no"))).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    # a line that opens a raw string is skipped as well
+    hits = lines.where(~F.col("inside") & ~F.col("from_out") & text.startswith(prefix))
+    hits = hits.withColumn("body", F.regexp_replace(F.substring(text, F.lit(len(prefix) + 1), F.length("line")), r"^\s+|\s+$", ""))
+    hits = hits.withColumn("t", F.split("body", r"\s+"))
+    token = lambda i: F.nullif(F.try_element_at("t", F.lit(i)), F.lit(""))
+    kv = lambda key: F.when(F.col("body").rlike(rf'{key}="[^"]*"'), F.regexp_extract("body", rf'{key}="([^"]*)"', 1))
+    form, of = token(1), token(2)
+    plain = {"canonical": "canonical", "boundary": "boundary", "converter": "converter", "protocol-translation": "protocol_translation", "generated-boundary": "generated_boundary"}
+    ot = F.lit("unknown")
+    for word, category in plain.items():
+        ot = F.when(of == word, category).otherwise(ot)
+    category = F.when(form == "allow", "allow").when(form == "fact", "marker").when(form == "ot", ot).otherwise("unknown")
+    hits = hits.withColumn("category", category)
+    only = lambda kinds, c: F.when(F.col("category").isin(*kinds), c)
     head = F.trim(F.regexp_replace("body", r'\s*[a-z_]+="[^"]*"', ""))
-    return hits.select("path", "line_no", "target_line", F.lower(F.regexp_replace(F.regexp_replace(head, r"(?<=[a-z])(?=[A-Z])", "_"), "-", "_")).alias("words"), kv("reason").alias("reason"), kv("expires").alias("expires"))
+    return hits.select(
+        "path", "line_no", "target_line", text.alias("raw"), "category", only(["allow"], F.coalesce(of, F.lit(""))).alias("rule"), only(["boundary"], token(3)).alias("concept"),
+        only(["boundary"], token(4)).alias("boundary"), only(["marker"], snake_case(F.coalesce(of, F.lit("")))).alias("fact_kind"),
+        kv("reason").alias("reason"), kv("expires").alias("expires"), snake_case(head).alias("words"),
+    )
+
+
+def snake_case(text: Column) -> Column:
+    """Kebab and Pascal case as snake case: hyphens become low lines, and capitals but the first letter get one before them."""
+    return F.lower(F.regexp_replace(F.translate(text, "-", "_"), "(?<=[^_])(?=[A-Z])", "_"))

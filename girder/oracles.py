@@ -455,6 +455,18 @@ def loaded(*tables: str) -> str:
 
 
 ORACLES["loaded_facts"] = f"{loaded()}\nSELECT * FROM air_fact"
+_OPENS = "instr(l, 'r#\"') > 0 AND NOT contains(substr(l, instr(l, 'r#\"') + 3), '\"#')"
+ORACLES["scanned_hints"] = rf"""{ctes('air_source')}, f AS (SELECT path, [regexp_replace(z, chr(13) || '$', '') FOR z IN string_split(text, chr(10))] AS ls FROM air_source),
+st AS (SELECT path, ls, list_reduce(list_prepend('0', ls), lambda acc, l: acc || CASE WHEN right(acc, 1) = '1' THEN CASE WHEN contains(l, '"#') THEN '0' ELSE '1' END WHEN {_OPENS} THEN '1' ELSE '0' END) AS states FROM f),
+n AS (SELECT path, i, ls[i] AS l, ltrim(ls[i], ' ' || chr(9)) AS t, substr(states, i, 1) AS state, ls FROM st, unnest(range(1, len(ls) + 1)) AS u(i)),
+h AS (SELECT *, trim(substr(t, 11), ' ' || chr(9)) AS body, string_split(trim(regexp_replace(trim(substr(t, 11), ' ' || chr(9)), '\s+', ' ', 'g')), ' ') AS w FROM n
+  WHERE state = '0' AND NOT ({_OPENS}) AND prefix(t, '// girder:')),
+c AS (SELECT *, CASE WHEN w[1] = 'allow' THEN 'allow' WHEN w[1] = 'fact' THEN 'marker' WHEN w[1] = 'ot' AND w[2] IN ('canonical', 'boundary', 'converter', 'protocol-translation', 'generated-boundary') THEN replace(w[2], '-', '_') ELSE 'unknown' END AS category FROM h)
+SELECT path, CAST(i AS INT) AS line_no, (SELECT CAST(min(j) AS INT) FROM n m WHERE m.path = c.path AND m.i > c.i AND trim(m.l, ' ' || chr(9)) <> '' AND NOT prefix(m.t, '//') AND NOT prefix(m.t, '#[') AND NOT prefix(m.t, '#![')) AS target_line,
+  category, CASE WHEN category = 'allow' THEN coalesce(w[2], '') END AS rule, CASE WHEN category = 'boundary' THEN w[3] END AS concept, CASE WHEN category = 'boundary' THEN w[4] END AS boundary,
+  CASE WHEN category = 'marker' THEN lower(regexp_replace(replace(coalesce(w[2], ''), '-', '_'), '([^_])([A-Z])', '\1_\2', 'g')) END AS fact_kind,
+  CASE WHEN contains(body, 'reason="') AND contains(substr(body, instr(body, 'reason="') + 8), '"') THEN string_split(substr(body, instr(body, 'reason="') + 8), '"')[1] END AS reason,
+  CASE WHEN contains(body, 'expires="') THEN string_split(substr(body, instr(body, 'expires="') + 9), '"')[1] END AS expires FROM c""".replace("min(j)", "min(m.i)")
 ORACLES["source_module_paths"] = f"{ctes('air_file')}\nSELECT path, package || '::' || replace(regexp_replace(regexp_extract(path, 'src/(.*)\\.rs$', 1), '/mod$', ''), '/', '::') AS module FROM air_file"
 
 FOUND = f"{loaded(*PROJECTION)}, u AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM ({BODIES[r]}) AS r_{r.lower()}" for r in RULES) + ")"
@@ -509,6 +521,17 @@ odd AS (SELECT rule AS s, 'unknown family ' || family AS w FROM r WHERE family N
 SELECT 'given' AS declaration, name AS subject, 'not registered' AS what FROM c WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT 'given', name, 'not declared' FROM b WHERE name NOT IN (SELECT name FROM c)
 UNION ALL SELECT 'absent', 'declaration', 'missing' UNION ALL SELECT 'broken', 'declaration', 'unreadable: no object'
 UNION ALL SELECT d, s, w FROM (VALUES ('given'), ('absent'), ('broken')) AS a(d), odd"""
+ORACLES["policy_chain"] = f"""{FOUND}, total AS (SELECT count(*) AS t FROM u), r AS (SELECT name FROM {NAMES}), d AS (SELECT rule AS name FROM air_hint UNION SELECT rule FROM policy_exception),
+added AS (
+  SELECT 1 AS step, 'registry-integrity' AS policy, 'GOV003' AS rule_id, 'Active' AS status, rule_id AS subject, CAST(count(*) AS VARCHAR) AS detail FROM u WHERE rule_id IN ('UT003', 'MO001') GROUP BY rule_id
+  UNION ALL SELECT 2, 'registry-coherence', 'GOV004', 'Advisory', name, 'not registered' FROM d WHERE name NOT IN (SELECT name FROM r)
+  UNION ALL SELECT 2, 'registry-coherence', 'GOV004', 'Advisory', name, 'not declared' FROM r WHERE name NOT IN (SELECT name FROM d)
+  UNION ALL SELECT DISTINCT 3, 'concept-source-of-truth', 'GOV005', 'Active', 'DC002', 'rule' FROM u WHERE rule_id = 'DC002'
+  UNION ALL SELECT DISTINCT 3, 'concept-source-of-truth', 'GOV005', 'Advisory', 'TA', 'family' FROM u WHERE rule_id LIKE 'TA%'
+  UNION ALL SELECT 3, 'concept-source-of-truth', 'GOV005', 'Active', 'GOV004', 'governance-code' WHERE EXISTS (SELECT 1 FROM r)
+)
+SELECT policy, rule_id, status, subject, CAST(1 AS BIGINT) AS n, CAST((SELECT t FROM total) + row_number() OVER (ORDER BY step, rule_id, subject, detail) AS BIGINT) AS first_id FROM added
+UNION ALL SELECT 'default', rule_id, CASE WHEN severity = 'Advisory' THEN 'Advisory' ELSE 'Active' END, NULL, count(*), NULL FROM u GROUP BY ALL"""
 ORACLES["concept_source_of_truth"] = f"""{KEPT}
 SELECT DISTINCT 'rule' AS concept, rule_id AS identifier, 'Warning' AS severity FROM kept WHERE rule_id IN ('UT003', 'MO001')
 UNION ALL SELECT DISTINCT 'family', left(rule_id, 2), 'Advisory' FROM kept WHERE rule_id LIKE 'TA%'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,12 +41,24 @@ def observe(facts: Facts, rules: list[str] | None = None) -> DataFrame:
     jobs += [lambda some=apart[lo : lo + BATCH]: reduce(DataFrame.unionByName, [RULES[i].observe(facts) for i in some]) for lo in range(0, len(apart), BATCH)]
     df = reduce(DataFrame.unionByName, at_once([lambda make=make: materialize(make(), "findings") for make in jobs]))
     rank = F.create_map(*[F.lit(x) for i in ids for x in (i, ORDER[i])])
-    # numbered within a rule by a window of that rule's findings, then offset by the rules before it: no window over all
-    w = Window.partitionBy("rule_id").orderBy("pkg_ix", "file_ix", "item_ix", "subject", "detail")
-    df = df.withColumns({"rule_ix": rank[F.col("rule_id")], "rn": F.row_number().over(w)})
-    sizes = df.groupBy("rule_ix").agg(F.count("*").alias("n"))
-    before = sizes.select("rule_ix", (F.sum("n").over(Window.orderBy("rule_ix")) - F.col("n")).alias("before"))  # a row a rule
-    return df.join(F.broadcast(before), "rule_ix").withColumn("finding_id", F.col("before") + F.col("rn")).drop("before", "rn", "rule_ix")
+    return numbered(df, "finding_id", rank[F.col("rule_id")], "pkg_ix", "file_ix", "item_ix", "subject", "detail")
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str, after: int = 0) -> DataFrame:
+    """``df`` with the rows' places in the order as ``name``, from ``after`` + 1.
+
+    Rows are dealt to ranges of the order and written once; each range is
+    numbered by itself and offset by those before it, so no task orders more
+    than a range, whatever a rule finds.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    held = df.withColumns({f"_o{i}": k for i, k in enumerate(keys)})
+    cols = [f"_o{i}" for i in range(len(keys))]
+    held = materialize(held.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()), "ordered")
+    sizes = held.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*cols))
+    return held.withColumn("_rn", place).join(F.broadcast(before), "_part").withColumn(name, F.lit(after) + F.col("_before") + F.col("_rn")).select(*df.columns, name)
 
 
 def elevate(findings: DataFrame) -> DataFrame:
@@ -57,6 +71,89 @@ def decide(findings: DataFrame) -> DataFrame:
     return findings.withColumn("status", F.when(F.col("severity") == "Advisory", "Advisory").otherwise("Active"))
 
 
+#: A decision: which finding, by which policy, with what outcome; ``code`` stands in the diagnostic in place of the rule's id.
+DECISION = "finding_id long, policy string, status string, severity string, code string, why string"
+
+
+@dataclass(frozen=True)
+class Step:
+    """A policy of the chain: from all findings and the decisions so far to new findings (or None) and what it decides of all that then stand.
+
+    New findings have the columns of ``NEW``; ``decide`` gets the findings,
+    numbered, the new ones included, those new ones alone, and the decisions so
+    far, and returns ``DECISION`` but the policy's name.
+    """
+
+    name: str
+    observe: Callable[[DataFrame, DataFrame], DataFrame | None]
+    decide: Callable[[DataFrame, DataFrame | None, DataFrame], DataFrame]
+
+
+NEW = ["rule_id", "severity", "path", "line_start", "line_end", "subject", "detail"]
+
+
+def chain(findings: DataFrame, steps: list[Step]) -> tuple[DataFrame, DataFrame]:
+    """Findings and decisions after all policies, in order: each sees what the earlier ones added and decided, in one pass.
+
+    New findings are numbered after the last. Each step's tables are written, so
+    the plan of a later one does not hold those before it.
+    """
+    spark = findings.sparkSession
+    found, decisions = findings.select("finding_id", *NEW), spark.createDataFrame([], DECISION)
+    for step in steps:
+        new = step.observe(found, decisions)
+        if new is not None:
+            last = found.agg(F.coalesce(F.max("finding_id"), F.lit(0))).first()[0]
+            new = materialize(numbered(new.select(*NEW), "finding_id", "rule_id", "subject", "detail", after=last), "added")
+            found = found.unionByName(new.select("finding_id", *NEW))
+        made = step.decide(found, new, decisions).withColumn("policy", F.lit(step.name))
+        decisions = materialize(decisions.unionByName(made.select(*decisions.columns)), "decisions")
+    return found, decisions
+
+
+def _new(df: DataFrame, code: str, severity: str | Column, subject: Column | str, detail: Column | str) -> DataFrame:
+    """Governance findings, which stand at the policy's file."""
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    severity = F.lit(severity) if isinstance(severity, str) else severity
+    return df.select(F.lit(code).alias("rule_id"), severity.alias("severity"), F.lit("policy.json").alias("path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), text(subject).alias("subject"), text(detail).alias("detail"))
+
+
+def _all_new(found: DataFrame, new: DataFrame | None, decisions: DataFrame) -> DataFrame:
+    """A policy that adds findings decides just these: advice stays advice, the rest is active."""
+    return passed(new)
+
+
+def passed(findings: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return decide(findings).select("finding_id", "status", "severity", none.alias("code"), none.alias("why"))
+
+
+def integrity(known: list[str]) -> Step:
+    """GOV003, a warning a code that no registered rule has."""
+    return Step("registry-integrity", lambda found, _: _new(registry_rows(found, known), "GOV003", "Warning", "subject", "n"), _all_new)
+
+
+def coherent(rows: Callable[[], DataFrame]) -> Step:
+    """GOV004, an advice a row (name, what) of a drift between declaration and registry."""
+    return Step("registry-coherence", lambda found, _: _new(rows(), "GOV004", "Advisory", "name", "what"), _all_new)
+
+
+def source_of_truth(declared: dict[str, str], known: dict[str, list[str]]) -> Step:
+    """GOV005 for identifiers that findings use and no registry holds; governance findings are the policies' own."""
+
+    def observe(found: DataFrame, _: DataFrame) -> DataFrame:
+        gov = F.col("rule_id").startswith("GOV")
+        o = found.select(F.when(gov, "policy").otherwise("rule").alias("origin"), F.when(~gov, F.col("rule_id")).alias("rule_id"), F.when(~gov, F.left("rule_id", F.lit(2))).alias("family"), F.lit(None).cast("string").alias("policy"), F.when(gov, F.col("rule_id")).alias("code"))
+        return _new(concept_bypasses(o, declared, known), "GOV005", F.col("severity"), "identifier", "concept")
+
+    return Step("concept-source-of-truth", observe, _all_new)
+
+
+def pass_through() -> Step:
+    """Decides whatever no earlier policy has."""
+    return Step("default", lambda found, _: None, lambda found, new, decisions: passed(found.join(decisions.select("finding_id"), "finding_id", "left_anti")))
+
+
 def undecided(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """Finding ids without exactly one decision: must be empty."""
     n = decisions.groupBy("finding_id").agg(F.count("*").alias("n"))

@@ -196,6 +196,19 @@ SELECT t.pkg_ix, t.file_ix, t.item_ix, t.path, t.module_path, {_pick('(t.k % 6 +
 FROM {{air_type}} AS t WHERE t.k % 7 < 4
 """
 
+# each part is a small source text as well: annotations of every form, raw strings that open, close and do both, odd line ends
+_LINES = {
+    "k": ['// girder: allow CX001 reason="kept"', '  // girder: allow FL expires="1999-01-01" reason=""', "// girder: ot canonical", "\t// girder: ot boundary billing Dto", "// girder: ot converter",
+          '// girder: ot protocol-translation reason="two wires"', "// girder: ot generated-boundary", "// girder: fact HotPath", "// girder: fact background-worker", "// girder: ot", "// girder: odd words", "// girder:", "//girder: allow X"],
+    "(k + size)": ["", "#[derive(Debug)]", "// note", "#![allow(dead_code)]", 'let s = r#"', 'let s = r#"one line"#;', "   ", 'end"#; let t = r#"'],
+    "(k * 3 + size)": ['// girder: allow "#', "fn f();", 'inside "# end', '"#; r#"', "// girder: ot boundary", "struct S;"],
+    "(k + 2)": ['// girder: fact request_context', '"#', "// girder: allow * reason=\"late", "fn g();"],
+}
+PROJECTION["air_source"] = f"""
+SELECT path || '#' || CAST(k AS STRING) AS path, 'use a::b;' || nl || {" || nl || ".join(_pick(key, rows) for key, rows in _LINES.items())} || CASE WHEN k % 5 = 0 THEN chr(13) ELSE '' END || nl || 'struct ' || word || ';' || nl || '// girder: allow RW001' AS text
+FROM (SELECT *, chr(10) AS nl FROM {{part_file}}) AS p
+"""
+
 # the accepted concepts of the policy: for each word the first plain struct or enum and the first Dto and Row
 PROJECTION["policy_concept"] = """
 SELECT concept, role, symbol, name, path FROM (
