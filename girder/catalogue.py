@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from girder.operators import shared
 from girder.operators.concepts import distinct_conversions, elect
 from girder.operators.graph import reachability, strong_components
-from girder.plans import decide, report, survey
+from girder.operators.pattern_join import first_patterns
+from girder.plans import accept, decide, report, survey
 from girder.plans.policy import SAMPLE, Policy
 from girder.plans.rules import RULES, Facts, fact_functions, feature_of, package_edges
 from girder.scratch import exists, materialize
@@ -341,6 +342,31 @@ def debt(x: Facts) -> DataFrame:
     return survey.debt(Facts(x.tables, LOOSER), TODAY)
 
 
+@operator
+def first_matching_pattern(x: Facts) -> DataFrame:
+    """The first pattern of a table for each file's module."""
+    return first_patterns(x["air_file"].withColumnRenamed("path", "file"), x["policy_pattern"], "module_path")
+
+
+def proposals(x: Facts) -> DataFrame:
+    return accept.outcomes(x["policy_proposal"], x["policy_accepted"], x["air_type"])
+
+
+@operator
+def proposal_outcomes(x: Facts) -> DataFrame:
+    return proposals(x)
+
+
+@operator
+def accepted_concepts(x: Facts) -> DataFrame:
+    return accept.merged(x["policy_accepted"], proposals(x))
+
+
+@operator
+def explained_rules(x: Facts) -> DataFrame:
+    return report.sections(x["rule_doc"])
+
+
 @operator
 def debt_inventory(x: Facts) -> DataFrame:
     return survey.in_order(debt(x))

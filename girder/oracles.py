@@ -559,6 +559,30 @@ DEBT = f"""(SELECT *, CASE WHEN expires IS NULL THEN 'Unbounded' WHEN expires <
   SELECT 'hint' AS origin, rule, path || ':' || target_start AS target, reason, expires FROM air_hint WHERE category = 'allow' UNION ALL SELECT 'exception', rule, target, reason, expires FROM policy_exception)
   UNION ALL SELECT *, 'LegacyNoMetadata' FROM {FIXED}
   UNION ALL SELECT 'exempt', 'CX007', 'paradigms.CX.exempt_paths:*::d::*', 'r', 'e', 'Active' UNION ALL SELECT 'acknowledged', 'GOV002', 'acknowledged_empty:TA', 'none', '2030-01-01', 'Active') AS debt"""
+_PM = """CASE WHEN pattern = '*' THEN true WHEN pattern IN ('*::', '::*', '*::*') THEN false
+  WHEN prefix(pattern, '*::') AND suffix(pattern, '::*') THEN contains('::' || m || '::', substr(pattern, 2, length(pattern) - 2)) WHEN prefix(pattern, '*::') THEN suffix('::' || m, substr(pattern, 2))
+  WHEN suffix(pattern, '::*') THEN prefix(m || '::', left(pattern, length(pattern) - 1)) ELSE m = pattern END"""
+ORACLES["first_matching_pattern"] = f"""{ctes('air_file', 'policy_pattern')}, m AS (SELECT DISTINCT module_path AS m FROM air_file WHERE module_path IS NOT NULL)
+SELECT m AS path, min(ix) AS ix, arg_min(pattern, ix) AS pattern FROM m JOIN policy_pattern ON {_PM} GROUP BY m"""
+_STEM = f"left(n, length(n) - length(coalesce({SUFFIX.replace('name', 'n')}, '')))"
+PROPOSED = f"""{ctes('policy_proposal', 'policy_accepted', 'air_type')}, n AS (SELECT symbol, min(name) AS n FROM air_type GROUP BY symbol),
+q AS (SELECT p.*, n, coalesce(concept, CASE WHEN role = 'canonical' AND n IS NOT NULL THEN (SELECT {KEBAB} FROM (SELECT {_STEM} AS stem)) END) AS meant FROM policy_proposal p LEFT JOIN n USING (symbol)),
+held AS (SELECT symbol, arg_min(concept, concept || role) AS hc, arg_min(role, concept || role) AS hr FROM policy_accepted GROUP BY symbol), can AS (SELECT concept AS cc, min(symbol) AS present FROM policy_accepted WHERE role = 'canonical' GROUP BY concept),
+j AS (SELECT q.*, hc, hr, present, hc IS NOT NULL AND hc IS DISTINCT FROM meant AS away, coalesce(q.symbol, '') = '' AS bare, min(q.ix) OVER (PARTITION BY q.role, q.symbol, meant) AS one FROM q LEFT JOIN held ON held.symbol = q.symbol LEFT JOIN can ON cc = meant),
+f AS (SELECT meant AS fm, arg_min(symbol, ix) AS fs FROM j WHERE role = 'canonical' AND NOT bare AND n IS NOT NULL AND NOT away GROUP BY meant),
+said AS MATERIALIZED (SELECT ix, role, symbol, meant AS concept, boundary, CASE WHEN bare THEN 'empty' WHEN n IS NULL THEN 'unknown symbol' WHEN ix > one THEN 'duplicate' WHEN away THEN 'in another concept'
+  WHEN role = 'canonical' THEN CASE WHEN symbol <> fs THEN 'conflict' WHEN present IS NULL THEN 'added' WHEN present = symbol THEN 'confirmed' WHEN force THEN 'replaced' ELSE 'canonical already set' END
+  WHEN coalesce(present, fs) IS NULL THEN 'unknown concept' WHEN coalesce(present, fs) = symbol OR (hr = 'canonical' AND hc IS NOT NULL) THEN 'already canonical' WHEN hc IS NOT NULL THEN 'refreshed' ELSE 'added' END AS outcome
+  FROM j LEFT JOIN f ON fm = meant)"""
+ORACLES["proposal_outcomes"] = f"{PROPOSED}\nSELECT * FROM said"
+ORACLES["accepted_concepts"] = f"""{PROPOSED}, done AS (SELECT * FROM said WHERE outcome IN ('added', 'replaced', 'confirmed', 'refreshed')),
+kept AS (SELECT DISTINCT * FROM policy_accepted a WHERE NOT (role = 'canonical' AND concept IN (SELECT concept FROM done WHERE outcome = 'replaced')))
+SELECT coalesce(k.concept, d.concept) AS concept, coalesce(k.role, d.role) AS role, coalesce(k.symbol, d.symbol) AS symbol, coalesce(d.boundary, k.boundary) AS boundary, CASE WHEN d.outcome IS NOT NULL THEN 'Accepted' ELSE k.source END AS source
+FROM kept k FULL JOIN done d ON d.concept = k.concept AND d.role = k.role AND d.symbol = k.symbol"""
+ORACLES["explained_rules"] = rf"""{ctes('rule_doc')}, l AS (SELECT path, i, regexp_replace(ls[i], chr(13) || '$', '') AS line FROM (SELECT path, string_split(text, chr(10)) AS ls FROM rule_doc), unnest(range(1, len(ls) + 1)) AS u(i)),
+s AS (SELECT *, max(CASE WHEN prefix(ltrim(line), '#### ') THEN i END) OVER (PARTITION BY path ORDER BY i) AS a0 FROM l),
+g AS (SELECT path, a0, string_agg(line, chr(10) ORDER BY i) AS text FROM s WHERE a0 IS NOT NULL GROUP BY path, a0), h AS (SELECT *, regexp_extract(text, '^\s*#### (\S+) ', 1) AS name FROM g)
+SELECT path, name, regexp_replace(arg_min(text, a0), '^\s+|\s+$', '', 'g') AS text FROM h WHERE name <> '' GROUP BY path, name"""
 ORACLES["debt_inventory"] = f"{ctes('air_hint', 'policy_exception')}\nSELECT * FROM {DEBT}"
 ORACLES["debt_by_rule"] = f"{ctes('air_hint', 'policy_exception')}\nSELECT rule, count(*) AS total, {', '.join(f'count(*) FILTER (WHERE status = {q(t)}) AS {q(t)[1:-1]}' for t in ('Expired', 'LegacyNoMetadata', 'Unbounded', 'Active'))} FROM {DEBT} GROUP BY rule"
 ORACLES["pruned_counts"] = f"{ctes('policy_exception')}\nSELECT count(*) FILTER (WHERE expires >= '1998-06-01') AS kept, count(*) FILTER (WHERE expires < '1998-06-01') AS removed FROM policy_exception"

@@ -244,6 +244,32 @@ PROJECTION["policy_entries"] = """
 SELECT doc, family, key, name, CASE WHEN doc = 'current' AND value IS NOT NULL THEN value + (k % 7) * 10 - 20 ELSE value END AS value, reason, expires, owner, ix FROM {policy_entry}
 """
 
+# patterns of every form over the files' module paths, some of them no patterns at all
+PROJECTION["policy_pattern"] = f"""
+SELECT (file_ix * 37) % 10007 AS ix, CASE file_ix % 8 WHEN 0 THEN package || '::' || layer || '::*' WHEN 1 THEN '*::f' || CAST(file_ix AS STRING) || '::' || stem WHEN 2 THEN '*::f' || CAST(file_ix AS STRING) || '::*'
+  WHEN 3 THEN module_path WHEN 4 THEN '*::' || layer || '::f' || CAST(file_ix AS STRING) || '::*' WHEN 5 THEN package WHEN 6 THEN {_pick('file_ix', ['*::', '::*', '*::*', 'p1::*::f3'])} ELSE '*::' || layer END AS pattern
+FROM {{air_file}} WHERE file_ix % 3 > 0
+"""
+
+# proposals for the concept table: sound ones, strangers, empties, repeats and rivals
+PROJECTION["policy_proposal"] = f"""
+SELECT t.k * 4 + i.pos AS ix, CASE WHEN (t.k + i.pos) % 3 = 0 THEN 'canonical' ELSE 'boundary' END AS role,
+       CASE t.k % 11 WHEN 1 THEN '' WHEN 2 THEN t.symbol || '::gone' WHEN 3 THEN NULL ELSE t.symbol END AS symbol,
+       CASE WHEN t.k % 5 = 0 THEN NULL WHEN t.k % 7 = 1 THEN 'nowhere' ELSE p.word END AS concept, {_pick('t.k', ['api.v1', None, 'wire'])} AS boundary, t.k % 4 = 1 AS force
+FROM {{air_type}} AS t JOIN {{part_file}} AS p ON p.k = t.k {{each_2}} WHERE t.k % 6 < 3 AND i.pos <= t.k % 2
+"""
+PROJECTION["policy_accepted"] = """
+SELECT concept, role, symbol, CAST(NULL AS STRING) AS boundary, 'Hinted' AS source FROM {policy_concept}
+"""
+
+# each part has a small document with headed sections, some of them twice or without a name
+_HEAD = _pick("k", ["OT004 — Name", "DG001 - Next", "CX001", "FL002 x"])
+PROJECTION["rule_doc"] = f"""
+SELECT path || '#' || CAST(k AS STRING) AS path, '# Rules' || nl || {_pick('k', ['', '#### ', 'text'])} || nl || '#### ' || {_HEAD} || nl || '' || nl || phrase || nl || nl || '  #### ' || {_pick('size', ['OT004 again', 'ER001 — Types', ' MO001 spaced'])}
+       || nl || 'line of ' || word || CASE WHEN k % 3 = 0 THEN chr(13) ELSE '' END || nl || {_pick('k', ['##### deeper', '### upper', ''])} || nl AS text
+FROM (SELECT *, chr(10) AS nl FROM {{part_file}}) AS p
+"""
+
 
 def dependencies(name: str) -> list[str]:
     """Projected tables that ``name`` needs, in order, itself last."""
