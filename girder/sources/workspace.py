@@ -20,7 +20,7 @@ def read_workspace(spark: SparkSession, folder: str, suffix: str = ".rs") -> Dat
     read whole and in parallel through Spark's own source; the path begins with
     the package's folder.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
     root = folder.rstrip("/").rsplit("/", 1)[-1]
     at = F.regexp_replace(F.url_decode("_metadata.file_path"), rf"^.*?/\Q{root}\E/", "")
     files = raw.select(at.alias("path"), F.col("value").alias("text"))
@@ -32,6 +32,6 @@ def read_workspace(spark: SparkSession, folder: str, suffix: str = ".rs") -> Dat
     package = F.substring_index("path", "/", 1)
     lines = F.size(F.split(F.regexp_replace("text", r"\n$", ""), "\n"))
     return files.select(
-        package.alias("package"), "path", module_path(F.col("path"), package).alias("module_path"), "text", F.when(F.col("text") == "", 0).otherwise(lines).alias("line_count"),
-        F.when(F.col("text").contains("�"), "not UTF-8").when(uneven, "unbalanced brackets").alias("error"),
+        package.alias("package"), "path", module_path(F.col("path"), package).alias("module_path"), "text", lines.alias("line_count"),
+        F.when(~F.is_valid_utf8("text"), "not UTF-8").when(uneven, "unbalanced brackets").alias("error"),
     )
