@@ -17,6 +17,7 @@ from girder.plans import accept, decide, report, survey
 from girder.plans.policy import SAMPLE, Policy
 from girder.plans.rules import RULES, Facts, fact_functions, feature_of, package_edges
 from girder.scratch import exists, materialize
+from girder.sources import resolved
 from girder.sources.projection import StarFacts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,18 @@ def conversion_provenance(x: Facts) -> DataFrame:
     return distinct_conversions(x["air_conversion"]).select("symbol", "mechanism", "layer", "path", "line_start")
 
 
+@operator
+def resolved_conversions(x: Facts) -> DataFrame:
+    return resolved.resolved_conversions(x["compiler_doc"]).select("package", "from_type", "to_type", "mechanism", "symbol", "path", "line_start", "line_end")
+
+
+@operator
+def overlaid_conversions(x: Facts) -> DataFrame:
+    """Conversions by provenance once the resolved ones are added: how many of each layer are left."""
+    found = resolved.overlaid(x["air_conversion"], resolved.resolved_conversions(x["compiler_doc"]))
+    return distinct_conversions(found).groupBy("layer", "mechanism").agg(F.count("*").alias("n"))
+
+
 @operator
 def endpoint_lookup(x: Facts) -> DataFrame:
     return shared.endpoint_concepts(x["air_conversion"], x["policy_concept"]).select("symbol", "layer", "from_concept", "to_concept")

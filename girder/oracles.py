@@ -403,6 +403,16 @@ elected AS (SELECT stem, symbol, CAST(score AS BIGINT) AS score FROM ranked WHER
 ORACLES["canonical_election"] = f"{ctes(*CLUSTER_TABLES)}{CLUSTERS}{SCORED.format(members='member')}\nSELECT * FROM elected"
 ORACLES["conversion_provenance"] = f"{ctes('air_conversion')}\nSELECT symbol, mechanism, layer, path, line_start FROM {CONV} c"
 PICK = "(SELECT e, arg_min(concept, concept || chr(1) || symbol) AS c FROM (SELECT symbol AS e, concept, symbol FROM policy_concept UNION ALL SELECT name, concept, symbol FROM policy_concept) GROUP BY e)"
+RESOLVED = """res AS MATERIALIZED (
+  SELECT 'q' || k AS package, CASE WHEN k % 3 = 0 THEN 'u64' ELSE k || '::old::' || word END AS from_type, CASE WHEN k % 2 = 0 THEN 'p' || pkg_ix || '::' || word ELSE word END AS to_type,
+    CASE WHEN k % 5 = 2 THEN 'TryFrom' ELSE 'From' END AS mechanism, CASE k % 5 WHEN 0 THEN 'core::convert::From' WHEN 1 THEN 'From' ELSE 'std::convert::TryFrom' END AS tr, path, line AS line_start, line + 3 AS line_end
+  FROM part_file WHERE k % 13 > 0 AND k % 17 > 0 AND k % 6 <> 5 AND k % 7 <> 6 AND k % 11 <> 3 AND k % 5 < 3)"""
+ORACLES["resolved_conversions"] = f"{ctes('part_file')}, {RESOLVED}\nSELECT package, from_type, to_type, mechanism, 'impl ' || tr || '<' || from_type || '> for ' || to_type AS symbol, path, line_start, line_end FROM res"
+ORACLES["overlaid_conversions"] = f"""{ctes('part_file', 'air_conversion')}, {RESOLVED}, every AS (
+  SELECT path, line_start, line_end, mechanism, {short('from_type')} AS f, {short('to_type')} AS t, layer FROM air_conversion
+  UNION ALL SELECT path, line_start, line_end, mechanism, {short('from_type')}, {short('to_type')}, 'SemanticResolved' FROM res),
+kept AS (SELECT mechanism, max(CASE layer WHEN 'Syntactic' THEN 1 WHEN 'SourceHint' THEN 2 WHEN 'SemanticResolved' THEN 3 ELSE 0 END) AS r FROM every GROUP BY path, line_start, line_end, mechanism, f, t)
+SELECT CASE r WHEN 3 THEN 'SemanticResolved' ELSE 'Heuristic' END AS layer, mechanism, count(*) AS n FROM kept GROUP BY 1, 2"""
 ORACLES["endpoint_lookup"] = f"{ctes('air_conversion', 'policy_concept')}\nSELECT v.symbol, layer, f.c AS from_concept, t.c AS to_concept FROM air_conversion v LEFT JOIN {PICK} f ON f.e = v.from_type LEFT JOIN {PICK} t ON t.e = v.to_type"
 ORACLES["fact_function_lookup"] = f"{ctes('air_fact', 'air_function')}\nSELECT a.symbol, kind, a.item_ix AS fact_ix, f.path, f.line_start FROM air_fact a JOIN {FN} f ON f.fs = a.symbol WHERE scope = 'Function' AND f.module_path IS NOT NULL"
 EDGES = """, e AS (SELECT src, dst, path, line_start FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY pkg_ix, file_ix, item_ix) AS rn FROM (

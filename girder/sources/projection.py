@@ -270,6 +270,18 @@ SELECT path || '#' || CAST(k AS STRING) AS path, '# Rules' || nl || {_pick('k',
 FROM (SELECT *, chr(10) AS nl FROM {{part_file}}) AS p
 """
 
+# each part's package document: a conversion that someone wrote, one of the compiler's own, and items of other kinds
+_WRITTEN = _pick("k", ["core::convert::From", "From", "std::convert::TryFrom", "mycrate::From", "core::fmt::Display"])
+PROJECTION["compiler_doc"] = f"""
+SELECT 'q' || CAST(k AS STRING) AS package, CASE WHEN k % 13 = 0 THEN 'no json' WHEN k % 17 = 0 THEN NULL ELSE
+  '{{{{"index":{{{{"1":{{{{"span":{{{{"filename":"' || path || '","begin":[' || CAST(line AS STRING) || ',1],"end":[' || CAST(line + 3 AS STRING) || ',2]}}}},"inner":{{{{"impl":{{{{"is_synthetic":' || CASE WHEN k % 6 = 5 THEN 'true' ELSE 'false' END
+  || ',"blanket_impl":' || CASE WHEN k % 7 = 6 THEN '{{{{"generic":"T"}}}}' ELSE 'null' END || ',"trait":{{{{"path":"' || {_WRITTEN} || '","id":9,"args":{{{{"angle_bracketed":{{{{"args":[' || CASE WHEN k % 11 = 3 THEN '' ELSE
+  CASE WHEN k % 4 = 0 THEN '{{{{"lifetime":"a"}}}},' ELSE '' END || '{{{{"type":' || CASE WHEN k % 3 = 0 THEN '{{{{"primitive":"u64"}}}}' ELSE '{{{{"resolved_path":{{{{"path":"Old","id":2}}}}}}}}' END || '}}}}' END
+  || ']}}}}}}}}}}}},"for":{{{{"resolved_path":{{{{"path":"' || word || '","id":3}}}}}}}}}}}}}}}}}}}},"7":{{{{"span":null,"inner":{{{{"struct":{{{{"kind":"unit"}}}}}}}}}}}}}}}},"paths":{{{{"2":{{{{"path":["' || CAST(k AS STRING) || '","old","' || word || '"]}}}}'
+  || CASE WHEN k % 2 = 0 THEN ',"3":{{{{"path":["' || package_of || '","' || word || '"]}}}}' ELSE '' END || '}}}}}}}}' END AS json
+FROM (SELECT *, 'p' || CAST(pkg_ix AS STRING) AS package_of FROM {{part_file}}) AS p
+"""
+
 
 def dependencies(name: str) -> list[str]:
     """Projected tables that ``name`` needs, in order, itself last."""
