@@ -135,7 +135,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def sampled_grams(texts: DataFrame) -> DataFrame:
-    """(t, h, c): hashes of the sampled K-grams of each text and how often each occurs, from ``texts`` (text, t: its hash)."""
+    """(t, h): hashes of the sampled K-grams of each text, once each, from ``texts`` (text, t: its hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buf, _, ends, rows, _, batch in chunks(batches):
@@ -145,22 +145,44 @@ def sampled_grams(texts: DataFrame) -> DataFrame:
             h, doc = h[order], doc[order]
             first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
             t = batch.column(1).to_numpy()[rows[doc[first]]]
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(h[first]), pa.array(np.diff(np.r_[first, len(h)]).astype(np.int32))], ["t", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(h[first])], ["t", "h"])
 
-    return texts.select("text", "t").mapInArrow(run, "t long, h long, c int")
+    return texts.select("text", "t").mapInArrow(run, "t long, h long")
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(h, n, c): the same hashes with the number of texts that hold each and of its occurrences, a row for each hash of an
+    Arrow batch: a frequent one shrinks before it is shuffled, and the rest, which are distinct, cost no hash table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for buf, _, ends, rows, _, _ in chunks([batch]):
+                at = anchors(buf, ends)
+                held.append(np.stack([gram_hashes(buf, at), rows[np.searchsorted(ends, at, side="right")]]))
+            h, row = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
+            del held
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])].astype(np.int64) if len(h) else np.zeros(0, np.int64)
+            n = np.add.reduceat(new, first) if len(h) else new
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(n), pa.array(np.diff(np.r_[first, len(h)]))], ["h", "n", "c"])
+
+    return texts.select("text").mapInArrow(run, "h long, n long, c long")
 
 
 def shared_grams(texts: DataFrame) -> DataFrame:
     """(t, grams, hots): each text's sampled K-grams that another text (or row) holds, the rarer and the hot ones apart.
 
-    Counting is a partial aggregation; the answer goes back by a join on the
+    Counting aggregates within a batch, then by the hash; the answer goes back by a join on the
     hash, whose hot keys adaptive execution splits, and comes as one row a
     distinct text, bounded by the text itself.
     """
     grams = sampled_grams(texts)
-    shared = grams.groupBy("h").agg(F.count("*").alias("n"), F.sum("c").alias("c")).where("n > 1")
+    shared = gram_counts(texts).repartition("h").groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where("n > 1")
     shared = materialize(shared.select("h", "c", (F.col("c") > HOT).alias("hot")), "grams")
-    held = grams.select("t", "h").join(shared, "h")
+    held = grams.join(shared, "h")
     pick = lambda which: F.collect_set(F.when(which, F.col("h")))
     asked = held.groupBy("t").agg(pick(~F.col("hot")).alias("grams"), pick(F.col("hot")).alias("hots"), F.sum(F.when(~F.col("hot"), 1).otherwise(0)).alias("m"))
     asked = materialize(asked, "asked")
