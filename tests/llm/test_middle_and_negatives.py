@@ -122,3 +122,11 @@ def test_pairs_are_discarded_before_their_products(monkeypatch):
 def test_negatives_of_an_empty_table(spark):
     assert mined(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")) == []
     assert mined(spark.createDataFrame([(100, [0.5], 1)], "vec_id long, embedding array<float>, label int")) == []
+
+
+def test_positives_of_hot_labels_are_spread(spark):
+    """A label with most rows is dealt to shards: the same rows come out as from one."""
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r.normal(size=6)], 1 if i % 10 else 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert mined(df, shard=20) == mined(df) == sorted(plain_negatives(rows), key=lambda x: tuple(str(v) for v in x))
