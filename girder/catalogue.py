@@ -172,7 +172,8 @@ def marker_facts(x: Facts) -> DataFrame:
 
 @operator
 def scanned_hints(x: Facts) -> DataFrame:
-    return shared.scan_hints(x["air_source"]).select("path", "line_no", "target_line", "category", "rule", "concept", "boundary", "fact_kind", "reason", "expires")
+    """Annotations of the source texts; a target line of 0 stands for none."""
+    return shared.scan_hints(x["air_source"]).select("path", "line_no", F.coalesce("target_line", F.lit(0)).alias("target_line"), "category", "rule", "concept", "boundary", "fact_kind", "reason", "expires")
 
 
 @operator
@@ -319,7 +320,7 @@ def registry_coherence(x: Facts) -> DataFrame:
 
 @operator
 def policy_chain(x: Facts) -> DataFrame:
-    """Four policies in order over all findings: what each decided, the findings that it added one by one, the others by rule."""
+    """Four policies in order over all findings: what each decided, the findings that it added one by one with their ids, the others by rule."""
     named = x["air_hint"].select(F.col("rule").alias("name")).unionByName(x["policy_exception"].select(F.col("rule").alias("name")))
     known = {"rule": [r for r in RULES if r != "DC002"], "family": sorted({r[:2] for r in RULES} - {"TA"}), "governance-code": ["GOV003"]}
     steps = [
@@ -331,7 +332,7 @@ def policy_chain(x: Facts) -> DataFrame:
     found, made = decide.chain(findings(x), steps)
     own = lambda c: F.when(F.col("policy") != "default", F.col(c))
     both = made.select("finding_id", "policy", "status").join(found.select("finding_id", "rule_id", "subject"), "finding_id")
-    return both.groupBy("policy", "rule_id", "status", own("subject").alias("subject")).agg(F.count("*").alias("n"), F.min(own("finding_id")).alias("first_id"))
+    return both.groupBy("policy", "rule_id", "status", own("subject").alias("subject")).agg(F.count("*").alias("n"), F.coalesce(F.min(own("finding_id")), F.lit(0)).alias("first_id"))
 
 
 @operator

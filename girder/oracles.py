@@ -472,7 +472,7 @@ n AS (SELECT path, i, ls[i] AS l, ltrim(ls[i], ' ' || chr(9)) AS t, substr(state
 h AS (SELECT *, trim(substr(t, 11), ' ' || chr(9)) AS body, string_split(trim(regexp_replace(trim(substr(t, 11), ' ' || chr(9)), '\s+', ' ', 'g')), ' ') AS w FROM n
   WHERE state = '0' AND NOT ({_OPENS}) AND prefix(t, '// girder:')),
 c AS (SELECT *, CASE WHEN w[1] = 'allow' THEN 'allow' WHEN w[1] = 'fact' THEN 'marker' WHEN w[1] = 'ot' AND w[2] IN ('canonical', 'boundary', 'converter', 'protocol-translation', 'generated-boundary') THEN replace(w[2], '-', '_') ELSE 'unknown' END AS category FROM h)
-SELECT path, CAST(i AS INT) AS line_no, (SELECT CAST(min(j) AS INT) FROM n m WHERE m.path = c.path AND m.i > c.i AND trim(m.l, ' ' || chr(9)) <> '' AND NOT prefix(m.t, '//') AND NOT prefix(m.t, '#[') AND NOT prefix(m.t, '#![')) AS target_line,
+SELECT path, CAST(i AS INT) AS line_no, coalesce((SELECT CAST(min(j) AS INT) FROM n m WHERE m.path = c.path AND m.i > c.i AND trim(m.l, ' ' || chr(9)) <> '' AND NOT prefix(m.t, '//') AND NOT prefix(m.t, '#[') AND NOT prefix(m.t, '#![')), 0) AS target_line,
   category, CASE WHEN category = 'allow' THEN coalesce(w[2], '') END AS rule, CASE WHEN category = 'boundary' THEN w[3] END AS concept, CASE WHEN category = 'boundary' THEN w[4] END AS boundary,
   CASE WHEN category = 'marker' THEN lower(regexp_replace(replace(coalesce(w[2], ''), '-', '_'), '([^_])([A-Z])', '\1_\2', 'g')) END AS fact_kind,
   CASE WHEN contains(body, 'reason="') AND contains(substr(body, instr(body, 'reason="') + 8), '"') THEN string_split(substr(body, instr(body, 'reason="') + 8), '"')[1] END AS reason,
@@ -541,7 +541,7 @@ added AS (
   UNION ALL SELECT 3, 'concept-source-of-truth', 'GOV005', 'Active', 'GOV004', 'governance-code' WHERE EXISTS (SELECT 1 FROM r)
 )
 SELECT policy, rule_id, status, subject, CAST(1 AS BIGINT) AS n, CAST((SELECT t FROM total) + row_number() OVER (ORDER BY step, rule_id, subject, detail) AS BIGINT) AS first_id FROM added
-UNION ALL SELECT 'default', rule_id, CASE WHEN severity = 'Advisory' THEN 'Advisory' ELSE 'Active' END, NULL, count(*), NULL FROM u GROUP BY ALL"""
+UNION ALL SELECT 'default', rule_id, CASE WHEN severity = 'Advisory' THEN 'Advisory' ELSE 'Active' END, NULL, count(*), 0 FROM u GROUP BY ALL"""
 ORACLES["concept_source_of_truth"] = f"""{KEPT}
 SELECT DISTINCT 'rule' AS concept, rule_id AS identifier, 'Warning' AS severity FROM kept WHERE rule_id IN ('UT003', 'MO001')
 UNION ALL SELECT DISTINCT 'family', left(rule_id, 2), 'Advisory' FROM kept WHERE rule_id LIKE 'TA%'
