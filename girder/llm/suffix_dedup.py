@@ -32,7 +32,7 @@ K = 25
 SPAN = LEAST - K + 1  # K-grams of a string
 KEY = LEAST + K + 2  # right context, reversed left context, their lengths
 #: Bytes of text hashed at a time; suffixes of a run; suffixes of a key range.
-CHUNK, RUN, RANGE = 1 << 18, 200_000, 150_000
+CHUNK, RUN, RANGE = 1 << 18, 120_000, 100_000
 #: Occurrences of a K-gram, more than a whole range, above which its suffixes are collapsed to distinct contexts and compared string by string.
 HOT = RANGE
 #: Coarse key ranges at least, so that small inputs spread over tasks too; sampled keys a range.
