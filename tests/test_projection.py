@@ -25,7 +25,18 @@ def test_every_order_that_meets_a_function_is_an_exception(facts):
 
 
 def test_every_line_is_a_site_and_every_event_a_fact(facts):
-    for table, made, key, of in (("lineitem", "air_call_site", "function", "l_partkey"), ("lineitem", "air_truth_action", "function", "l_partkey"), ("events", "air_fact", "symbol", "user_id")):
+    for table, made, key, of in (("lineitem", "air_call_site", "function", "l_partkey"), ("events", "air_fact", "symbol", "user_id")):
         fn = facts["air_function"].select((F.col("item_ix") / 8).alias("k"), "symbol")
         want = facts[table].join(fn, F.col(of) == F.col("k")).groupBy("symbol").count()
         assert dict(want.collect()) == dict(facts[made].groupBy(key).count().collect())
+
+
+def test_every_site_is_an_action_some_in_functions_of_no_file(facts):
+    """Actions stand at the call sites; some name a function that no file declares, or none."""
+    places = ["item_ix", "path", "line_start"]
+    by_place = lambda name: sorted(map(tuple, facts[name].groupBy(*places).count().collect()))
+    assert by_place("air_truth_action") == by_place("air_call_site")
+    own = facts["air_call_site"].select(*places, F.col("function").alias("own")).distinct()
+    odd = facts["air_truth_action"].join(own, places).where("function is null or function <> own")
+    assert odd.where("function is not null and function <> concat(own, '::inner')").count() == 0
+    assert odd.where("function is null").count() > 0 and odd.where("function is not null").count() > 0
