@@ -670,8 +670,8 @@ def cr002(x: Facts) -> DataFrame:
     if not p["root_paths"] or not p["wiring_density"]:
         return empty(x)
     df = x["air_truth_action"].where("action = 'Construct'").where(any_pattern(F.coalesce("module_path", F.lit("")), p["root_paths"], trailing_segments))
-    g = df.groupBy("pkg_ix", "file_ix", "path", F.coalesce("function", F.lit("")).alias("fn")).agg(F.count("*").alias("n"), F.min(F.struct("item_ix", "line_start", "line_end")).alias("f"))
-    return found(g.where(F.col("n") >= p["wiring_density"]).select("*", "f.*"), "fn", "n")
+    g = df.groupBy("pkg_ix", "file_ix", "path", "function").agg(F.count("*").alias("n"), F.min(F.struct("item_ix", "line_start", "line_end")).alias("f"))
+    return found(g.where(F.col("n") >= p["wiring_density"]).select("*", "f.*"), "function", "n")
 
 
 # --- documentation --------------------------------------------------------

@@ -64,3 +64,8 @@ def test_rules_of_one_table_share_a_pass(spark):
         apart = [tuple(r) for i in ids for r in RULES[i].observe(x).collect()]
         assert sorted(map(str, apart)) == sorted(str(tuple(r)) for r in all_hits(x, "air_call_site", ids).collect())
         assert bool(apart) == bool(sections)
+
+
+def test_cr002_names_no_function_where_there_is_none(spark):
+    acts = spark.createDataFrame([(0, 0, i, "a.rs", "p::root", 3 + i, 3 + i, None, "Construct", "m::User") for i in range(2)], ACT)
+    assert ask("CR002", {"air_truth_action": acts}, {"CR": {"root_paths": ["p::root"], "wiring_density": 2}}) == [("a.rs", 3, 3, None, "2")]
