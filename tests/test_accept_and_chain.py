@@ -104,3 +104,12 @@ def test_workspace(spark, tmp_path):
         "other/src/bytes.rs": ("other", "other::bytes", 1, "not UTF-8"),
     }
     assert [(x.path, x.line_no, x.target_line, x.rule) for x in scan_hints(df).collect()] == [("other/src/main.rs", 1, 2, "FL")]
+
+
+def test_numbering_shuffles_each_row_once_and_keeps_its_columns_once(spark):
+    df = spark.range(1000).selectExpr("id % 7 as a", "id as b", "concat('s', id) as c")
+    out = decide.numbered(df, "n", "a", "b")
+    held, before = out.parts
+    assert set(held.columns) == {"a", "b", "c", "_part", "_rn"} and before.count() == held.select("_part").distinct().count()
+    assert [tuple(r)[:2] for r in out.orderBy("n").select("a", "b", "n").collect()] == sorted((i % 7, i) for i in range(1000))
+    assert "Exchange" not in out._jdf.queryExecution().sparkPlan().toString().replace("BroadcastExchange", "") and "Window" not in out._jdf.queryExecution().sparkPlan().toString()

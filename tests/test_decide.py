@@ -79,3 +79,19 @@ def test_changed_files_need_a_path_boundary(spark):
     d = spark.createDataFrame([(0, "X", "Fatal", "src/a.rs", 1, 1, "s", None), (1, "X", "Fatal", "src/ba.rs", 1, 1, "s", None)], DIAG)
     c = spark.createDataFrame([("a.rs",)], "path string")
     assert [r["path"] for r in decide.changed_only(d, c).collect()] == ["src/a.rs"]
+
+
+def test_crowded_files_meet_their_marks_as_others_do(spark, monkeypatch):
+    diags = [("OT004", "Fatal", "src/a.rs", i, i + 2) for i in range(1, 40)] + [("FL002", "Fatal", "src/b.rs", None, None), D]
+    hints = [("src/a.rs", "allow", rule, expires, at, at + width) for at, (rule, expires, width) in enumerate([("OT", "2024-05-31", 3), ("*", None, 0), ("ot004", "2020-01-01", 1), ("FL", None, 9)] * 5)]
+    excs = [("OT004", "a.rs:31", "r", "2030-01-01"), ("ot", "src/a.rs", "r", "2020-01-01"), ("fl002", "b.rs", "r", "2023-01-01"), ("*", "*", "r", "2022-01-01")]
+    few = run(spark, diags, hints, excs)
+    monkeypatch.setattr(decide, "CROWD", 0)
+    assert run(spark, diags, hints, excs) == few and ("GOV001", "src/b.rs", None, "2023-01-01") in few
+
+
+def test_findings_of_one_place_are_looked_at_once(spark):
+    """200,000 findings of one place and one hint: as many allowances as places."""
+    d = spark.range(200_000).selectExpr("id as finding_id", "'OT004' as rule_id", "'Fatal' as severity", "'src/a.rs' as path", "10 as line_start", "12 as line_end", "concat('s', id) as subject", "cast(null as string) as detail")
+    h = spark.createDataFrame([(0, 0, 1, "src/a.rs", "allow", "OT", None, 11, 11)], HINT)
+    assert decide.allowances(d, h, spark.createDataFrame([], EXC), "2024-06-01").count() == 1

@@ -40,3 +40,11 @@ def test_every_site_is_an_action_some_in_functions_of_no_file(facts):
     odd = facts["air_truth_action"].join(own, places).where("function is null or function <> own")
     assert odd.where("function is not null and function <> concat(own, '::inner')").count() == 0
     assert odd.where("function is null").count() > 0 and odd.where("function is not null").count() > 0
+
+
+def test_joined_tables_are_written_once_when_stored(tables):
+    written = []
+    stored = tables.storing(lambda df, name: written.append(name) or df)
+    for name in ("air_call_site", "air_match_arm", "air_literal", "air_truth_action", "air_function"):
+        assert stored[name].columns == tables[name].columns
+    assert sorted(written) == ["air_site", "part_file"]
