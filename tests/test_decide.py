@@ -8,6 +8,7 @@ from girder.operators.graph import strong_components
 from girder.plans import decide
 from girder.plans.policy import DEFAULTS, Policy
 from girder.catalogue import BASELINE, LOOSER
+from girder.scratch import materialize
 
 DIAG = "finding_id long, rule_id string, severity string, path string, line_start int, line_end int, subject string, detail string"
 HINT = "pkg_ix int, file_ix int, item_ix long, path string, category string, rule string, expires string, target_start int, target_end int"
@@ -95,3 +96,12 @@ def test_findings_of_one_place_are_looked_at_once(spark):
     d = spark.range(200_000).selectExpr("id as finding_id", "'OT004' as rule_id", "'Fatal' as severity", "'src/a.rs' as path", "10 as line_start", "12 as line_end", "concat('s', id) as subject", "cast(null as string) as detail")
     h = spark.createDataFrame([(0, 0, 1, "src/a.rs", "allow", "OT", None, 11, 11)], HINT)
     assert decide.allowances(d, h, spark.createDataFrame([], EXC), "2024-06-01").count() == 1
+
+
+def test_decisions_meet_findings_without_a_broadcast(spark):
+    """Ids are a few bytes a row on disk and many in memory, so a table's files say little of what the driver would hold."""
+    f = materialize(spark.createDataFrame([(1, "X", "Fatal", "a.rs", 1, 1, "s", None)], DIAG), "few")
+    d = materialize(decide.passed(f), "few")
+    left = decide.pass_through().decide(f, None, d)
+    for df in (decide.materialise(f, d), left, decide.undecided(f, d)):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()

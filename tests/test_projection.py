@@ -42,9 +42,9 @@ def test_every_site_is_an_action_some_in_functions_of_no_file(facts):
     assert odd.where("function is null").count() > 0 and odd.where("function is not null").count() > 0
 
 
-def test_joined_tables_are_written_once_when_stored(tables):
+def test_joined_tables_are_written_once_when_stored(facts):
     written = []
-    stored = tables.storing(lambda df, name: written.append(name) or df)
+    stored = facts.storing(lambda df, name: written.append(name) or df)
     for name in ("air_call_site", "air_match_arm", "air_literal", "air_truth_action", "air_function"):
-        assert stored[name].columns == tables[name].columns
+        assert stored[name].columns == facts[name].columns
     assert sorted(written) == ["air_site", "part_file"]
