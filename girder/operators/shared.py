@@ -95,27 +95,44 @@ RUNS = ["output", "status", "wait", "wait_with_output"]
 NET = ["TcpStream", "TcpListener", "UdpSocket"]
 PRINTS = ["println", "eprintln", "print", "eprint", "dbg"]
 LEVELS = ["info", "warn", "error", "debug", "trace"]
+#: Kinds that calls imply: logging by macros, the others by functions.
+CALLED = ["SpawnedWork", "ConfigRead", "PersistenceWrite", "BlockingCall", "ExternalIo", "Logging"]
 
 
-def classify_calls(calls: DataFrame) -> DataFrame:
-    """Facts that calls of the standard runtime imply: zero or more a call site, from its last path segments."""
-    s = F.split("callee", "::")
-    last, prev, third = F.element_at(s, -1), F.try_element_at(s, F.lit(-2)), F.try_element_at(s, F.lit(-3))
-    fn, meta = F.col("call_kind") == "Function", F.col("call_kind") == "Meta"
-    out = [
-        (fn & (last == "spawn"), "SpawnedWork"),
-        (fn & (prev == "env") & last.isin("var", "var_os"), "ConfigRead"),
-        (fn & (prev == "fs") & last.isin(*FS_WRITES), "PersistenceWrite"),
-        (fn & (prev == "fs") & last.isin(*FS_READS), "BlockingCall"),
-        (fn & (prev == "thread") & last.isin(*PAUSES), "BlockingCall"),
-        (fn & (third == "process") & (prev == "Command"), "ExternalIo"),
-        (fn & (third == "process") & (prev == "Command") & last.isin(*RUNS), "BlockingCall"),
-        (fn & (third == "net") & prev.isin(*NET), "ExternalIo"),
-        (fn & (third == "net") & prev.isin(*NET), "BlockingCall"),
-        (meta & (last.isin(*LEVELS) | ((F.size(s) == 1) & last.isin(*PRINTS))), "Logging"),
-    ]
-    kinds = F.filter(F.array(*[F.when(cond, F.lit(kind)) for cond, kind in out]), lambda k: k.isNotNull())
-    df = calls.withColumn("kind", F.explode(kinds))
+def call_kinds(callee: Column, call_kind: Column, only: str | None = None) -> Column:
+    """Kinds of facts, of all or of ``only`` one, that a call implies, from its last path segments.
+
+    The conditions read the segments from a bound variable: as plain columns they would repeat the expression
+    that makes ``callee`` in every condition, a method too large for the virtual machine to compile.
+    """
+
+    def kinds(call: Column) -> Column:
+        s, kind = call["s"], call["kind"]
+        last, prev, third = F.element_at(s, -1), F.try_element_at(s, F.lit(-2)), F.try_element_at(s, F.lit(-3))
+        fn, meta = kind == "Function", kind == "Meta"
+        out = [
+            (fn & (last == "spawn"), "SpawnedWork"),
+            (fn & (prev == "env") & last.isin("var", "var_os"), "ConfigRead"),
+            (fn & (prev == "fs") & last.isin(*FS_WRITES), "PersistenceWrite"),
+            (fn & (prev == "fs") & last.isin(*FS_READS), "BlockingCall"),
+            (fn & (prev == "thread") & last.isin(*PAUSES), "BlockingCall"),
+            (fn & (third == "process") & (prev == "Command"), "ExternalIo"),
+            (fn & (third == "process") & (prev == "Command") & last.isin(*RUNS), "BlockingCall"),
+            (fn & (third == "net") & prev.isin(*NET), "ExternalIo"),
+            (fn & (third == "net") & prev.isin(*NET), "BlockingCall"),
+            (meta & (last.isin(*LEVELS) | ((F.size(s) == 1) & last.isin(*PRINTS))), "Logging"),
+        ]
+        found = [F.when(cond, F.lit(k)) for cond, k in out if only in (None, k)]
+        return F.filter(F.array(*found, F.lit(None).cast("string")), lambda k: k.isNotNull())
+
+    return F.flatten(F.transform(F.array(F.struct(F.split(callee, "::").alias("s"), call_kind.alias("kind"))), kinds))
+
+
+def classify_calls(calls: DataFrame, only: str | None = None) -> DataFrame:
+    """Facts that calls of the standard runtime imply: zero or more a call site. With ``only``, those of one kind."""
+    if only:  # a plain condition, which Spark moves below the join that makes the call sites
+        calls = calls.where((F.col("call_kind") == ("Meta" if only == "Logging" else "Function")) if only in CALLED else F.lit(False))
+    df = calls.withColumn("kind", F.explode(call_kinds(F.col("callee"), F.col("call_kind"), only)))
     return df.select(*ORD, "path", "line_start", "line_end", "kind", F.when(F.col("function").isNull(), "Span").otherwise("Function").alias("scope"), F.col("function").alias("symbol"), F.col("callee").alias("evidence"), F.lit(0.9).alias("confidence"))
 
 
@@ -126,20 +143,24 @@ MARKERS = [
 ]
 
 
-def promote_markers(hints: DataFrame, functions: DataFrame) -> DataFrame:
-    """Marker hints as facts about the first function whose lines hold the hint's target; unknown kinds and strays are left out."""
+def promote_markers(hints: DataFrame, functions: DataFrame, only: str | None = None) -> DataFrame:
+    """Marker hints, of all or of ``only`` one kind, as facts about the first function whose lines hold the hint's target; unknown kinds and strays are left out."""
     named = F.array_join(F.transform(F.split("fact_kind", "_"), lambda p: F.initcap(p)), "")
-    m = hint_targets(hints.where((F.col("category") == "marker") & F.col("fact_kind").isin(*MARKERS)), functions)
+    h = hints.where((F.col("category") == "marker") & F.col("fact_kind").isin(*MARKERS))
+    if only:  # few hints: only the functions of their files are tiled
+        h = h.where(named == only)
+        functions = functions.join(h.select("pkg_ix", "file_ix"), ["pkg_ix", "file_ix"], "left_semi")
+    m = hint_targets(h, functions)
     return m.where("target_symbol is not null").select(*ORD, named.alias("kind"), F.col("target_symbol").alias("symbol"), F.lit(1.0).alias("confidence"))
 
 
-def load_facts(facts: DataFrame, calls: DataFrame, hints: DataFrame, functions: DataFrame) -> DataFrame:
-    """All facts as rules read them: those given, then what calls of the runtime imply, then what markers promote."""
+def load_facts(facts: DataFrame, calls: DataFrame, hints: DataFrame, functions: DataFrame, only: str | None = None) -> DataFrame:
+    """All facts, or those of ``only`` one kind, as rules read them: those given, then what calls of the runtime imply, then what markers promote."""
     at = functions.groupBy("symbol").agg(F.min(F.struct(*ORD, "path", "line_start", "line_end")).alias("f"))
     cols = [*ORD, "scope", "kind", "symbol", "path", "line_start", "line_end", "evidence", "source", "confidence"]
-    given = facts.withColumnRenamed("fact_path", "path")
-    called = classify_calls(calls).withColumns({"source": F.lit("runtime-calls")})
-    marked = promote_markers(hints, functions).withColumns({"scope": F.lit("Function"), "evidence": F.lit(None).cast("string"), "source": F.lit("markers")})
+    given = (facts.where(F.col("kind") == only) if only else facts).withColumnRenamed("fact_path", "path")
+    called = classify_calls(calls, only).withColumns({"source": F.lit("runtime-calls")})
+    marked = promote_markers(hints, functions, only).withColumns({"scope": F.lit("Function"), "evidence": F.lit(None).cast("string"), "source": F.lit("markers")})
     marked = marked.join(at, "symbol").withColumns({c: F.col(f"f.{c}") for c in ("path", "line_start", "line_end")})
     return given.select(*cols).unionByName(called.select(*cols)).unionByName(marked.select(*cols)).withColumnRenamed("path", "fact_path")
 

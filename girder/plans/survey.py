@@ -38,8 +38,21 @@ def by_kind(facts: Facts, kind: str) -> DataFrame:
             out = out.unionByName(c)
         return out.distinct().orderBy("symbol", "path", "line")
     fn = facts["air_function"].groupBy("symbol").agg(F.min(F.struct("pkg_ix", "file_ix", "item_ix", "path", "line_start")).alias("first"))
-    f = facts["air_fact"].where(F.col("kind") == kind).join(fn, "symbol", "left")
-    return f.select("symbol", F.coalesce("first.path", F.lit("")).alias("path"), F.coalesce("first.line_start", F.lit(1)).cast("int").alias("line")).orderBy("symbol", "path")
+    # a symbol's facts are equal rows: they are counted before the join and the sort, and written out after
+    f = facts["air_fact"].where(F.col("kind") == kind).groupBy("symbol").agg(F.count("*").alias("n")).join(fn, "symbol", "left")
+    f = f.select("symbol", F.coalesce("first.path", F.lit("")).alias("path"), F.coalesce("first.line_start", F.lit(1)).cast("int").alias("line"), "n").orderBy("symbol", "path")
+    return repeated(f, "n")
+
+
+#: Copies of a row that are made of one array.
+BLOCK = 4096
+
+
+def repeated(rows: DataFrame, n: str) -> DataFrame:
+    """Each row as often as its column ``n`` says, in the order of the rows; two steps, so that no array is as long as a large ``n``."""
+    left = F.least(F.lit(BLOCK), F.col(n) - F.col("_block") * BLOCK)
+    df = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / BLOCK))))
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), left.cast("int")))).drop(n, "_block", "_copy")
 
 
 #: In the order of the inventory.

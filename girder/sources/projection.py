@@ -14,9 +14,17 @@ from threading import RLock
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's own way of the choices that ``_pick`` writes: a look-up by place. Of dozens of arms the machine code is never
+#: compiled, as their method is too large, and every row costs microseconds.
+LOOKUPS: dict[str, str] = {}
+
+
 def _pick(key: str, values: list[str | None]) -> str:
-    arms = " ".join(f"WHEN {i} THEN {'NULL' if v is None else chr(39) + v + chr(39)}" for i, v in enumerate(values))
-    return f"CASE {key} % {len(values)} {arms} END"
+    texts = ["NULL" if v is None else chr(39) + v + chr(39) for v in values]
+    arms = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(texts))
+    text = f"CASE {key} % {len(values)} {arms} END"
+    LOOKUPS[text] = f"get(array({', '.join(texts)}), CAST({key} % {len(values)} AS INT))"
+    return text
 
 
 LAYERS = ["domain", "api", "handlers", "tests", "utils", "config", "infra", "feature_one", "feature_two"]
@@ -327,6 +335,8 @@ class StarFacts:
                     self.made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
                 else:
                     text = PROJECTION[name]
+                    for choice, lookup in LOOKUPS.items():
+                        text = text.replace(choice, lookup)
                     for k, n in EACH.items():
                         text = text.replace("{" + k + "}", f"LATERAL VIEW explode(sequence(0, {n - 1})) i AS pos")
                     df = self.spark.sql(text, **{r: self[r] for r in fields(text)})
