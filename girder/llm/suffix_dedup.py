@@ -4,7 +4,7 @@ Every string of LEAST bytes holds a sampled position (the smallest of its
 K-gram hashes), the same in all its occurrences. So the suffixes at sampled
 positions whose K-gram another text has too, each with the bytes just before
 it, decide the matter. They are sorted in runs, exchanged front-coded in two
-levels of key ranges and merged by loser trees that carry the length of the
+levels of key ranges, within the first of which they become runs anew, and merged by loser trees that carry the length of the
 known common prefix. Suffixes of one K-gram stay together; the few K-grams too
 frequent for one group are first collapsed to their distinct contexts and then
 compared string by string.
@@ -31,8 +31,10 @@ LEAST = 50
 K = 25
 SPAN = LEAST - K + 1  # K-grams of a string
 KEY = LEAST + K + 2  # right context, reversed left context, their lengths
-#: Bytes of text hashed at a time; suffixes of a run; suffixes of a key range.
-CHUNK, RUN, RANGE = 1 << 18, 120_000, 100_000
+#: Bytes of text hashed at a time, so few that the arrays made of them stay in a core's cache; suffixes of a run; suffixes of a key range.
+CHUNK, RUN, RANGE = 1 << 16, 120_000, 100_000
+#: Sampled positions counted at a time, which bounds a worker's memory whatever a batch holds.
+COUNTED = 1 << 18
 #: Occurrences of a K-gram, more than a whole range, above which its suffixes are collapsed to distinct contexts and compared string by string.
 HOT = RANGE
 #: Coarse key ranges at least, so that small inputs spread over tasks too; sampled keys a range.
@@ -71,15 +73,19 @@ def anchors(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if len(buf) < LEAST:
         return np.zeros(0, np.int64)
     h = _rolling(buf)
-    v = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    v = h.astype(np.uint64)
+    v <<= np.uint64(32)
+    v |= np.arange(len(h), dtype=np.uint64)
     for step in (1, 2, 4, 8):
         v = np.minimum(v[:-step], v[step:])
     n = len(buf) - LEAST + 1
-    low = np.minimum(v[:n], v[SPAN - 16 : SPAN - 16 + n])
-    starts = np.arange(n)
-    inside = ends[np.searchsorted(ends, starts, side="right")] - starts >= LEAST
-    at = (low[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+    at = np.minimum(v[:n], v[SPAN - 16 : SPAN - 16 + n]).astype(np.uint32)
+    # a window counts if its place is not the last one's, or it is its document's first; the last LEAST - 1 of a document reach beyond it
+    new = np.empty(n, bool)
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    for places, counts in ((np.r_[0, ends[:-1]], True), ((ends[:, None] - np.arange(1, LEAST)).ravel(), False)):
+        new[places[(places >= 0) & (places < n)]] = counts
+    return at[new].astype(np.int64)
 
 
 def gram_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -93,14 +99,14 @@ def gram_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def contexts(buf: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Keys of suffixes: LEAST bytes on, K bytes back in reverse, zero-padded at the document's ends, and both lengths."""
-    out = np.zeros((len(at), KEY), np.uint8)
     right, left = np.minimum(LEAST, last - at), np.minimum(K, at - first)
-    for i in range(LEAST):
-        ok = i < right
-        out[ok, i] = buf[at[ok] + i]
-    for i in range(K):
-        ok = i < left
-        out[ok, LEAST + i] = buf[at[ok] - 1 - i]
+    wide = np.concatenate([np.zeros(K, np.uint8), buf, np.zeros(LEAST, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(wide, K + LEAST)[at]
+    out = np.empty((len(at), KEY), np.uint8)
+    out[:, :LEAST], out[:, LEAST : LEAST + K] = around[:, K:], around[:, :K][:, ::-1]
+    for lo, size, most in ((0, right, LEAST), (LEAST, left, K)):
+        short = np.flatnonzero(size < most)
+        out[short, lo : lo + most] *= np.arange(most) < size[short, None]
     out[:, KEY - 2], out[:, KEY - 1] = right, left
     return out
 
@@ -141,7 +147,7 @@ def sampled_grams(texts: DataFrame) -> DataFrame:
         for buf, _, ends, rows, _, batch in chunks(batches):
             at = anchors(buf, ends)
             h, doc = gram_hashes(buf, at), np.searchsorted(ends, at, side="right")
-            order = np.lexsort((h, doc))
+            order = np.argsort(h.view(np.uint64) + doc.astype(np.uint64) * _APART)  # equal pairs side by side
             h, doc = h[order], doc[order]
             first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
             t = batch.column(1).to_numpy()[rows[doc[first]]]
@@ -151,23 +157,30 @@ def sampled_grams(texts: DataFrame) -> DataFrame:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(h, n, c): the same hashes with the number of texts that hold each and of its occurrences, a row for each hash of an
-    Arrow batch: a frequent one shrinks before it is shuffled, and the rest, which are distinct, cost no hash table."""
+    """(h, n, c): the same hashes with the number of texts that hold each and of its occurrences, a row for each hash of
+    about COUNTED positions: a frequent one shrinks before it is shuffled, and the rest, which are distinct, cost no hash table."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, row = np.concatenate(held, axis=1)
+        order = np.argsort(h, kind="stable")  # rows ascend already
+        h, row = h[order], row[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])].astype(np.int64) if len(h) else np.zeros(0, np.int64)
+        n = np.add.reduceat(new, first) if len(h) else new
+        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(n), pa.array(np.diff(np.r_[first, len(h)]))], ["h", "n", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
+            held, size, last = [], 0, -1
             for buf, _, ends, rows, _, _ in chunks([batch]):
+                if size >= COUNTED and rows[0] != last:  # a text's pieces are counted together
+                    yield counted(held)
+                    held, size = [], 0
                 at = anchors(buf, ends)
                 held.append(np.stack([gram_hashes(buf, at), rows[np.searchsorted(ends, at, side="right")]]))
-            h, row = np.concatenate(held, axis=1) if held else np.zeros((2, 0), np.int64)
-            del held
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])].astype(np.int64) if len(h) else np.zeros(0, np.int64)
-            n = np.add.reduceat(new, first) if len(h) else new
-            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(n), pa.array(np.diff(np.r_[first, len(h)]))], ["h", "n", "c"])
+                size, last = size + len(at), rows[-1]
+            if held:
+                yield counted(held)
 
     return texts.select("text").mapInArrow(run, "h long, n long, c long")
 
@@ -175,7 +188,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 def shared_grams(texts: DataFrame) -> DataFrame:
     """(t, grams, hots): each text's sampled K-grams that another text (or row) holds, the rarer and the hot ones apart.
 
-    Counting aggregates within a batch, then by the hash; the answer goes back by a join on the
+    Counting aggregates within a part of a batch, then by the hash; the answer goes back by a join on the
     hash, whose hot keys adaptive execution splits, and comes as one row a
     distinct text, bounded by the text itself.
     """
@@ -238,11 +251,19 @@ def front_decode(data: bytes, n: int, width: int = KEY) -> tuple[np.ndarray, np.
     """Keys and prefix lengths from ``front_code``: a byte comes from the last row whose tail covers its column."""
     lcp = np.frombuffer(data, np.uint8, n).astype(np.int64)
     tails = np.frombuffer(data, np.uint8, offset=n)
-    start = np.cumsum(width - lcp) - (width - lcp)
-    out, rows = np.empty((n, width), np.uint8), np.arange(n)
-    for c in range(width):
-        source = np.maximum.accumulate(np.where(lcp <= c, rows, 0))
-        out[:, c] = tails[start[source] + c - lcp[source]]
+    # where a row's first column would lie in ``tails``; it grows with the rows, so the last row is the greatest
+    start = np.cumsum(width - lcp) - width
+    columns = np.arange(width)
+    out = np.empty((n, width), np.uint8)
+    carried = np.zeros(width, np.int64)
+    for lo in range(0, n, 1024):
+        part = slice(lo, lo + 1024)
+        at = np.where(lcp[part, None] <= columns, start[part, None], 0)
+        at[0] = np.maximum(at[0], carried)
+        np.maximum.accumulate(at, axis=0, out=at)
+        carried = at[-1].copy()
+        at += columns
+        out[part] = tails[at]
     return out, lcp
 
 
@@ -252,14 +273,15 @@ def loser_tree_merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[in
     A node of the tree holds the loser of its match and the prefix it shares
     with the winner. The next key of the winner's run shares a known prefix with
     the key just put out; on its way up, the longer known prefix wins unseen,
-    and only at equal lengths are bytes compared, from that length on.
+    and only at equal lengths are keys compared, as numbers of as many bytes, all of one length.
     """
     k = 1
     while k < max(1, len(runs)):
         k *= 2
     heads = [0] * k
     lens = [len(runs[i][0]) if i < len(runs) else 0 for i in range(k)]
-    done = 1 << 30
+    size = max((len(x) for r, _ in runs for x in r[:1]), default=0)
+    keys = [[int.from_bytes(x, "big") for x in r] for r, _ in runs]
 
     def play(a: int, la: int, b: int, lb: int) -> tuple[int, int, int, int]:
         """(winner, its prefix, loser, its prefix with the winner) of two heads whose prefixes are with the last key put out."""
@@ -271,12 +293,9 @@ def loser_tree_merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[in
             return a, la, b, lb
         if lb > la:
             return b, lb, a, la
-        x, y = runs[a][0][heads[a]], runs[b][0][heads[b]]
-        rest = int.from_bytes(x[la:], "big") ^ int.from_bytes(y[la:], "big")
-        if not rest:
-            return (a, la, b, len(x)) if a < b else (b, la, a, len(x))
-        common = len(x) - (rest.bit_length() + 7) // 8
-        return (a, la, b, common) if x[common] < y[common] else (b, la, a, common)
+        x, y = keys[a][heads[a]], keys[b][heads[b]]
+        common = size - ((x ^ y).bit_length() + 7) // 8
+        return (a, la, b, common) if x < y or (x == y and a < b) else (b, la, a, common)
 
     loser, prefix = [0] * k, [0] * k
     level = [(i, 0) for i in range(k)]
@@ -359,6 +378,15 @@ def fragments(m: np.ndarray, lcp: np.ndarray, docs: np.ndarray, cuts: np.ndarray
     return [(int(to[lo]), int(hi - lo), zlib.compress(front_code(m[lo:hi], lcp[lo:hi]), 1), _pack(docs[:, lo:hi])) for lo, hi in zip(at, [*at[1:], len(m)])]
 
 
+def sorted_again(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``merged`` of many small fragments, sorted as one array: of tens of fragments a tree's path is long."""
+    m = np.concatenate([front_decode(zlib.decompress(data), int(n))[0] for n, data, _ in parts])
+    docs = np.concatenate([np.frombuffer(zlib.decompress(packed), np.int64).reshape(3, -1) for *_, packed in parts], axis=1)
+    order = _order(m)
+    m = m[order]
+    return m, _prefixes(m), docs[:, order]
+
+
 def merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, prefix lengths, occurrences) in order, of front-coded fragments (n, data, docs), by a loser tree."""
     keys, trees, docs = [], [], []
@@ -446,7 +474,7 @@ def range_bounds(rows: DataFrame, n_rows: int, n_ranges: int) -> tuple[np.ndarra
 
 
 def refined(runs: DataFrame, fine: DataFrame) -> DataFrame:
-    """Level two: within a coarse range fragments are merged to runs of about RUN suffixes, which are cut at the fine bounds.
+    """Level two: within a coarse range fragments become sorted runs of about RUN suffixes, which are cut at the fine bounds.
 
     A partition is read as a stream, a coarse range's bounds first, so memory
     holds one run; a run of many suffixes meets about the square root of all
@@ -461,7 +489,7 @@ def refined(runs: DataFrame, fine: DataFrame) -> DataFrame:
         now, cuts, held, size = None, np.zeros(0, f"S{K}"), [], 0
 
         def flush() -> pa.RecordBatch:
-            f, n, data, packed = zip(*fragments(*merged(held), cuts))
+            f, n, data, packed = zip(*fragments(*sorted_again(held), cuts))
             arrays = [pa.array([now] * len(f), pa.int32()), pa.array(f, pa.int32()), *[pa.array(x, k) for x, k in zip((n, data, packed), _FRAGMENT.values())]]
             return pa.RecordBatch.from_arrays(arrays, ["c", "f", *_FRAGMENT])
 
