@@ -1,4 +1,4 @@
-"""Embedding near-dedup by a subspace pigeonhole join over rotated vectors."""
+"""Embedding near-dedup by a pairwise join of rotated vectors: leading components first, exact cosines for what they leave."""
 
 from __future__ import annotations
 
@@ -6,169 +6,246 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, materialize
 
-#: Slack of the candidate search, far above rounding and far below any use.
-SLACK = 1e-7
+#: Vectors of one leaf, whose bounding boxes are held against each other; leaves of the other side in one product.
+LEAF, WIDTH = 256, 2
+#: Pairs that wait for their cosines.
+PAIRS = 65_536
+#: Copies of the table on their way at once, and bytes that may be so whatever the table's size.
+COPIES, ROOM = 4, 2**28
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
-    """A seeded random orthogonal matrix: it spreads a vector's energy evenly over the blocks."""
+    """A seeded random orthogonal matrix: it spreads a vector's energy evenly over the components."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 
 
-def usable(vector: Column) -> Column:
-    """Neither null, empty nor zero, and of finite components."""
-    v = vector.cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    some = F.exists(v, lambda x: x != 0)
-    return F.coalesce(F.when(F.size(v) > 0, ~bad & some), F.lit(False))
+def packed(column: pa.Array) -> list[tuple[int, bytes] | tuple[None, None]]:
+    """Length and bytes of each vector: components in single precision where that holds them all, else in double.
+
+    Vectors that are null, empty or zero or hold null or non-finite components
+    have neither. Equal vectors have equal bytes; -0.0 is 0.0.
+    """
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out: list = [(None, None)] * len(size)
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == dim)
+        flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+        x = flat.astype(np.float64).reshape(len(at), dim) + 0.0
+        fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            single = x.astype(np.float32)
+        narrow = (single == x).all(axis=1)
+        for k in np.flatnonzero(fine).tolist():
+            out[at[k]] = (dim, (single if narrow[k] else x)[k].tobytes())
+    return out
+
+
+def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
+    """Vectors of packed bytes; those in double precision scaled by powers of two, so that no product overflows."""
+    if (rows.str.len() == 4 * dim).all():
+        return np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim)
+    x = np.array([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in rows], np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _leaves(y: np.ndarray) -> np.ndarray:
+    """An order of the rows in which each LEAF of them are near each other: halved again and again on the widest axis."""
+    order, open_ = np.arange(len(y)), [(0, len(y))]
+    while open_:
+        lo, hi = open_.pop()
+        if hi - lo <= LEAF:
+            continue
+        own = order[lo:hi]
+        mid = ((hi - lo + LEAF - 1) // LEAF + 1) // 2 * LEAF
+        order[lo:hi] = own[np.argpartition(y[own, y[own].var(axis=0).argmax()], mid - 1)]
+        open_ += [(lo, lo + mid), (lo + mid, hi)]
+    return order
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    x = np.array(rows.tolist(), np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+class Tile:
+    """Vectors of one tile, near ones together: as given, rotated, and their leading components with the norm of the rest."""
 
+    def __init__(self, pdf: pd.DataFrame, dim: int):
+        x, rot = _matrix(pdf["x"], dim), rotation(dim)
+        lead = dim if dim <= 24 else max(23, 3 * dim // 8 - 1)
+        square = np.empty(len(x))
+        y, part = np.empty((len(x), dim), np.float32), np.empty((len(x), lead + 1), np.float32)
+        for lo in range(0, len(x), 4096):
+            own = x[lo : lo + 4096].astype(np.float64)
+            square[lo : lo + 4096] = norm = np.einsum("ij,ij->i", own, own)
+            turned = own / np.sqrt(norm)[:, None] @ rot
+            y[lo : lo + 4096], part[lo : lo + 4096, :lead] = turned, turned[:, :lead]
+            part[lo : lo + 4096, lead] = np.sqrt((turned[:, lead:] ** 2).sum(axis=1))
+        order = _leaves(part)
+        self.x, self.square, self.y, self.lead = x[order], square[order], y[order], part[order]
+        self.uid, self.copies = pdf["uid"].to_numpy()[order], pdf["copies"].to_numpy()[order]
+        first = np.arange(0, len(x), LEAF)
+        self.low, self.high = np.minimum.reduceat(self.lead, first), np.maximum.reduceat(self.lead, first)
 
-def _cells(u: np.ndarray, lo: int, width: float, axes: int) -> np.ndarray:
-    return np.floor(u[:, lo : lo + axes] / width).astype(np.int64)
 
+def cosines(one: Tile, two: Tile, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of paired rows in double precision, by the SQL's formula."""
+    out = np.einsum("ij,ij->i", one.x[i].astype(np.float64), two.x[j].astype(np.float64))
+    return out / np.sqrt(one.square[i] * two.square[j])
 
-def links(vectors: DataFrame, least: float = 0.9, blocks: int = 4, axes: int = 2, tile: int = 4096) -> DataFrame:
-    """Links among distinct vectors ``(uid long, dim int, x array<double>, copies long)`` with cosine >= ``least``.
 
-    Returns partial results (kind 0: a = uid, b = copies of vectors it links to;
-    kind 1: edge a - b of a forest over a tile's links).
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Add edges a - b to a forest in which every vertex points at the smallest of its component."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
 
-    Unit vectors with cosine c are at squared distance 2 - 2c. Rotated and
-    split into ``blocks`` subspaces, linked vectors are within the proportional
-    share of it in at least one. A subspace's range join is over grid cells of
-    that radius on its first ``axes`` coordinates: a vector is sent to its own
-    cell and to the half of the cells around, so that each pair meets once.
-    Cells of more than ``tile`` vectors are dealt to tiles and each pair of
-    tiles is a group, so that no task holds a whole hot cell. A group compares
-    its pairs by matrix products in the subspace and checks the survivors'
-    cosine exactly on the whole vectors; a pair counts in the first subspace
-    that holds it within the share, so that counts need no pairs to be shuffled.
+
+def met(one: Tile, two: Tile, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of two tiles' vectors, or within one: (copies that each vector links to, a forest over the links); ``two``'s rows follow ``one``'s.
+
+    The lead of a vector is a vector of its own length, and two of them have no
+    smaller product and no larger distance than the whole vectors: leaves whose
+    boxes lie further apart are passed over, of the others one product in
+    single precision, with a slack for its rounding, leaves the pairs whose
+    cosine is computed in double precision. Where a product leaves many, as
+    among near copies, one over all components settles those that are clear.
     """
-    reach2 = 2 - 2 * least
-    share = reach2 / blocks
-
-    def bounds(dim: int) -> list[int]:
-        n = min(blocks, dim)
-        return [dim * i // n for i in range(n + 1)]
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for dim, own in pdf.groupby("dim"):
-                u = _unit(own["x"]) @ rotation(int(dim))
-                at = bounds(int(dim))
-                radius = (reach2 / (len(at) - 1)) ** 0.5 + SLACK
-                for b in range(len(at) - 1):
-                    cell = _cells(u, at[b], radius, min(axes, at[b + 1] - at[b]))
-                    names = ["/".join(map(str, c)) for c in cell.tolist()]
-                    yield pd.DataFrame({"dim": int(dim), "block": b, "cell": names, "uid": own["uid"].to_numpy()})
-
-    homes = materialize(vectors.select("uid", "dim", "x").mapInPandas(split, "dim int, block int, cell string, uid long"), "cells")
-    tiles = homes.groupBy("dim", "block", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    steps = [s for s in np.ndindex(*[3] * axes) if s > (1,) * axes]
-    apart = [[c - 1 for c in s] for s in steps]
-
-    def around(cell: str) -> list[str]:
-        c = [int(x) for x in cell.split("/")]
-        return [cell, *("/".join(str(x + d) for x, d in zip(c, s)) for s in {tuple(s[: len(c)]) for s in apart} if any(s))]
-
-    near = F.udf(around, "array<string>")
-    # pairs of neighbouring cells that both hold vectors: a small table over cells, not vectors
-    pairs = tiles.withColumn("other", F.explode(near("cell"))).alias("h").join(
-        tiles.alias("g"), (F.col("h.dim") == F.col("g.dim")) & (F.col("h.block") == F.col("g.block")) & (F.col("h.other") == F.col("g.cell"))
-    ).select("h.dim", "h.block", F.col("h.cell").alias("left"), F.col("g.cell").alias("right"), F.col("h.tiles").alias("nl"), F.col("g.tiles").alias("nr"))
-    pairs = materialize(pairs, "cellpairs")
-    body = vectors.select("uid", "dim", "x", "copies").join(homes.drop("dim"), "uid")
-    spot = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
-    one = lambda t: F.array(t)
-    mate = lambda n: F.sequence(F.lit(0), n - 1)
-    left = body.join(pairs, (pairs.dim == body.dim) & (pairs.block == body.block) & (pairs.left == body.cell)).select(
-        body.dim, body.block, "left", "right", "uid", "x", "copies", F.lit(0).alias("side"), F.explode(mate(F.col("nr"))).alias("tr"), spot(F.col("nl")).alias("tl"))
-    right = body.join(pairs, (pairs.dim == body.dim) & (pairs.block == body.block) & (pairs.right == body.cell)).select(
-        body.dim, body.block, "left", "right", "uid", "x", "copies", F.lit(1).alias("side"), spot(F.col("nr")).alias("tr"), F.explode(mate(F.col("nl"))).alias("tl"))
-    # within one cell each pair of tiles meets once
-    same = F.col("left") == F.col("right")
-    dealt = left.unionByName(right).where(~same | (F.col("tl") <= F.col("tr")))
-    dealt = dealt.where(~(same & (F.col("tl") == F.col("tr")) & (F.col("side") == 1)))
+    inner, dim = one is two, one.y.shape[1]
+    slack = (dim + 8) * 2.0**-23
+    floor, reach = np.float32(least - slack), 2 - 2 * least + 8 * slack
+    off = 0 if inner else len(one.uid)
+    counts, root = np.zeros(off + len(two.uid), np.int64), np.arange(off + len(two.uid))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
 
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dim, b = int(key[0]), int(key[1])
-        at = bounds(dim)
-        part = reach2 / (len(at) - 1)
-        inner = key[2] == key[3] and key[4] == key[5]
-        one = pdf[pdf["side"] == 0].sort_values("uid")
-        two = one if inner else pdf[pdf["side"] == 1].sort_values("uid")
-        if not len(one) or not len(two):
-            return pd.DataFrame({"kind": [], "a": [], "b": []}).astype("int64")
-        rot = rotation(dim)
-        ux, uy = _unit(one["x"]), _unit(two["x"])
-        rx, ry = ux @ rot, uy @ rot
-        ix, iy = one["uid"].to_numpy(), two["uid"].to_numpy()
-        cx, cy = one["copies"].to_numpy(), two["copies"].to_numpy()
-        nx, ny = np.zeros(len(ix), np.int64), np.zeros(len(iy), np.int64)
-        sub = slice(at[b], at[b + 1])
-        ax = np.c_[rx[:, sub], (rx[:, sub] ** 2).sum(1), np.ones(len(rx))].astype(np.float32)
-        ay = np.c_[-2 * ry[:, sub], np.ones(len(ry)), (ry[:, sub] ** 2).sum(1)].astype(np.float32)
-        size = len(ix) + (0 if inner else len(iy))
-        root = np.arange(size)
-        off = 0 if inner else len(ix)
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for lo in range(0, len(ix), 512):
-            close = ax[lo : lo + 512] @ ay.T <= np.float32(part + 1e-4)
-            p, q = np.nonzero(close)
-            p = p + lo
+    def add(p: np.ndarray, q: np.ndarray) -> None:
+        nonlocal held
+        waiting.append((p, q))
+        held += len(p)
+        if held > PAIRS:
+            settle()
+
+    def settle() -> None:
+        nonlocal held
+        i, j = (np.concatenate(v) for v in zip(*waiting, (np.zeros(0, np.int64),) * 2))
+        waiting.clear()
+        held = 0
+        links = cosines(one, two, i, j) >= least
+        i, j = i[links], j[links]
+        np.add.at(counts, i, two.copies[j])
+        np.add.at(counts, j + off, one.copies[i])
+        unite(root, i, j + off)
+
+    def dense(a: slice, b: slice) -> None:
+        cos = one.y[a] @ two.y[b].T
+        sure, open_ = cos >= np.float32(least + slack), np.abs(cos - np.float32(least)) <= np.float32(2 * slack)
+        if inner:
+            upper = np.arange(a.start, a.stop)[:, None] < np.arange(b.start, b.stop)
+            sure, open_ = sure & upper, open_ & upper
+        p, q = np.nonzero(open_ & ~sure)
+        add(p + a.start, q + b.start)
+        number = sure.astype(np.float64)
+        mine, theirs = slice(a.start, a.stop), slice(b.start + off, b.stop + off)
+        counts[mine] += (number @ two.copies[b]).astype(np.int64)
+        counts[theirs] += (one.copies[a] @ number).astype(np.int64)
+        p, q = np.nonzero(sure & (root[mine][:, None] != root[theirs]))
+        unite(root, p + a.start, q + theirs.start)
+
+    room = np.empty((LEAF, WIDTH * LEAF), np.float32)
+    for k in range(len(one.low)):
+        a = slice(k * LEAF, min(len(one.uid), (k + 1) * LEAF))
+        gap = np.maximum(np.maximum(two.low - one.high[k], one.low[k] - two.high), 0)
+        near = np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+        near = near[near >= k] if inner else near
+        n = 0
+        while n < len(near):
+            m = n + 1
+            while m < len(near) and m - n < WIDTH and near[m] == near[m - 1] + 1:
+                m += 1
+            b = slice(int(near[n]) * LEAF, min(len(two.uid), (int(near[m - 1]) + 1) * LEAF))
+            n = m
+            shape = (a.stop - a.start, b.stop - b.start)
+            part = np.matmul(one.lead[a], two.lead[b].T, out=room if shape == room.shape else None)
+            some = np.flatnonzero(part.max(axis=1) >= floor)
+            if not len(some):
+                continue
+            p, q = np.divmod(np.flatnonzero(part[some] >= floor), part.shape[1])
+            if len(p) > part.size / 64:
+                dense(a, b)
+                continue
+            p, q = some[p] + a.start, q + b.start
             if inner:
-                keep = p < q
-                p, q = p[keep], q[keep]
-            for cut in range(0, len(p), 200_000):
-                i, j = p[cut : cut + 200_000], q[cut : cut + 200_000]
-                sure = (ux[i] * uy[j]).sum(axis=1) >= least
-                i, j = i[sure], j[sure]
-                if not len(i):
-                    continue
-                d2 = (rx[i] - ry[j]) ** 2
-                parts = np.add.reduceat(d2, at[:-1], axis=1)
-                first = (parts <= part + SLACK).argmax(axis=1)
-                held = first == b
-                i, j = i[held], j[held]
-                np.add.at(nx, i, cy[j])
-                np.add.at(nx if inner else ny, j, cx[i])
-                lo_of = pd.DataFrame({"i": i, "j": j + off}).groupby("j")["i"]
-                # a forest suffices for components: chain each partner's links to its first
-                firsts = lo_of.transform("min").to_numpy()
-                for x, y in {*zip(i.tolist(), (j + off).tolist())} if len(i) < 64 else {*zip(firsts.tolist(), (j + off).tolist()), *zip(firsts.tolist(), i.tolist())}:
-                    r, s = find(x), find(y)
-                    if r != s:
-                        root[max(r, s)] = min(r, s)
-        every = ix if inner else np.r_[ix, iy]
-        moved = [(i, find(i)) for i in range(size) if root[i] != i]
-        ends = np.array(moved, np.int64).reshape(-1, 2)
-        counts = nx if inner else np.r_[nx, ny]
-        some = counts > 0
+                p, q = p[p < q], q[p < q]
+            add(p, q)
+    settle()
+    return counts, root
+
+
+def links(vectors: DataFrame, least: float = 0.9, tile: int = 65_536) -> DataFrame:
+    """Links among distinct vectors ``(uid long, dim int, x binary, copies long)``, ``x`` as ``packed`` makes it, with cosine >= ``least``.
+
+    Returns ``(a long, b long, n long)``: b = -1, the vector a links to n copies
+    of others in some tiles; b >= 0, an edge a - b of forests over the links.
+
+    The vectors of a length are dealt evenly to tiles of about ``tile`` vectors of
+    64 components (fewer of more). In round r each tile meets the r-th after it,
+    in a ring, so that a round sends every vector out twice and half as many
+    rounds as tiles bring every two tiles together once. Rounds go in turn, as
+    many at once as send no more than ``COPIES`` of the table or ``ROOM`` bytes:
+    disk is in proportion to the table, whatever the number of tiles, and a
+    group holds two tiles. Every round's links are added up with the earlier ones.
+    """
+    wide = F.ceil(F.col("n") * F.greatest("dim", F.lit(64)) / (64 * tile))
+    sizes = vectors.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.length("x") + 64).alias("bytes"))
+    tiles = materialize(sizes.select("dim", "bytes", F.greatest(wide, F.least(F.lit(6), F.ceil(F.col("n") / 1024))).cast("int").alias("tiles")), "tiles")
+    most, size = tiles.agg(F.coalesce(F.max("tiles"), F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(1))).first()
+    step = max(1, max(COPIES, ROOM // size) // 2)
+    body = vectors.select("uid", "dim", "x", "copies").join(tiles.select("dim", "tiles"), "dim")
+    body = body.withColumn("t", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one = Tile(pdf[pdf["side"] == 0], int(key[0]))
+        two = Tile(pdf[pdf["side"] == 1], int(key[0])) if key[1] else one
+        counts, root = met(one, two, least)
+        uid = np.r_[one.uid, two.uid] if key[1] else one.uid
+        some, moved = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({
-            "kind": np.r_[np.zeros(some.sum(), np.int64), np.ones(len(ends), np.int64)],
-            "a": np.r_[every[some], every[ends[:, 0]]],
-            "b": np.r_[counts[some], every[ends[:, 1]]],
+            "a": np.r_[uid[some], uid[moved]],
+            "b": np.r_[np.full(len(some), -1), uid[root[moved]]],
+            "n": np.r_[counts[some], np.zeros(len(moved), np.int64)],
         })
 
-    return dealt.groupBy("dim", "block", "left", "right", "tl", "tr").applyInPandas(meet, "kind long, a long, b long")
+    found = None
+    for lo in range(0, most // 2 + 1, step):
+        now = dealt(body, lo, lo + step).groupBy("dim", "round", "left").applyInPandas(meet, "a long, b long, n long")
+        last, now = found, now if found is None else now.unionByName(found)
+        found = materialize(now.groupBy("a", "b").agg(F.sum("n").alias("n")), "links")
+        if last is not None:
+            discard(last)
+    discard(tiles)
+    return found
+
+
+def dealt(body: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Rows of the rounds from ``lo`` on and before ``hi``: ``(dim, round, left, side, uid, x, copies)``; ``left`` is the number of the pair's first tile."""
+    tiles, t, r = F.col("tiles"), F.col("t"), F.col("round")
+    rounds = F.when(F.lit(lo) <= F.floor(tiles / 2), F.sequence(F.lit(lo), F.least(F.lit(hi - 1), F.floor(tiles / 2).cast("int"))))
+    sides = F.array(F.struct(t.alias("left"), F.lit(0).alias("side")), F.struct(F.pmod(t - r, tiles).alias("left"), F.lit(1).alias("side")))
+    out = body.withColumn("round", F.explode(rounds)).withColumn("s", F.explode(sides))
+    out = out.select("dim", "round", "s.left", "s.side", "uid", "x", "copies", "tiles").where("round > 0 or side = 0")
+    # of an even ring, the round of opposite tiles names each pair twice
+    return out.where((2 * r < tiles) | (r == 0) | (F.col("left") < r)).drop("tiles")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
@@ -182,22 +259,32 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     component's id is the smallest non-null key. An empty table gives no rows.
     Other columns are ignored.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    rows = rows.withColumn("x", F.when(usable(F.col("x")), F.transform("x", lambda v: v + F.lit(0.0))))
+    kind = vectors.schema[vector].dataType
+    given = F.col(vector) if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col(vector).cast("array<double>")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, xs = zip(*packed(batch.column(1))) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(xs, pa.binary())], ["id", "dim", "x"])
+
+    rows = vectors.select(F.col(key).cast("long").alias("id"), given).mapInArrow(pack, "id long, dim int, x binary")
     good = rows.where("x is not null")
     classes = materialize(
-        good.groupBy("x").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
-        .withColumn("dim", F.size("x")).withColumn("uid", F.monotonically_increasing_id()), "vectors"
+        good.groupBy("dim", "x").agg(F.min("id").alias("low"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "vectors"
     )
-    found = materialize(links(classes, least), "links")
-    more = found.where("kind = 0").groupBy(F.col("a").alias("uid")).agg(F.sum("b").alias("more"))
-    roots = connected_components(found.where("kind = 1").select("a", "b"))
+    found = links(classes, least)
+    more = found.where("b < 0").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("more"))
+    roots = connected_components(found.where("b >= 0").select("a", "b"))
     placed = classes.select("uid", "low", "copies").join(more, "uid", "left").join(roots, F.col("uid") == F.col("v"), "left")
-    placed = placed.select("uid", "low", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "uid").alias("root"))
+    placed = placed.select("uid", "low", "copies", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "uid").alias("root"))
     least_id = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    placed = materialize(placed.join(least_id, "root").select("uid", "n_links", "component_id"), "placed")
-    member = good.select("id", "x").join(classes.select("uid", "x"), "x").select("id", "uid").join(placed, "uid").select("id", "n_links", "component_id")
+    placed = materialize(placed.join(least_id, "root").drop("root"), "placed")
+    discard(found)
+    # the only row of a vector has its key; rows that share one are looked up by it
+    single = placed.where("copies = 1").select(F.col("low").alias("id"), "n_links", "component_id")
+    shared = classes.where("copies > 1").select("uid", "dim", "x").join(placed.select("uid", "n_links", "component_id"), "uid").drop("uid")
+    member = good.join(shared, ["dim", "x"]).select("id", "n_links", "component_id")
     alone = rows.where("x is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return member.unionByName(alone).select(
+    return single.unionByName(member).unionByName(alone).select(
         F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )

@@ -52,6 +52,89 @@ def test_hot_cells_are_tiled(spark, monkeypatch):
     check(spark, vectors)
 
 
+def tiled(monkeypatch, tile):
+    plain = embedding_dedup.links
+    monkeypatch.setattr(embedding_dedup, "links", lambda v, least: plain(v, least, tile=tile))
+    monkeypatch.setattr(embedding_dedup, "ROOM", 0, raising=False)
+
+
+def test_no_stage_writes_many_copies_of_the_table(spark, monkeypatch):
+    """Disk is in proportion to the vectors, whatever the number of tiles."""
+    tiled(monkeypatch, 50)
+    x = np.random.default_rng(3).normal(size=(1500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList()
+    written = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(stages().apply, range(stages().size()))}
+    stages = lambda: sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    before = written()
+    assert embedding_dedup.near_duplicates(df).where("n_links = 0").count() == 1500
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < max(n for k, n in written().items() if k not in before) < 6 * x.nbytes
+
+
+def test_a_cosine_of_nine_tenths_links(spark):
+    """As in SQL, where 9 / sqrt(10 * 10) is 0.9; so do vectors whose squares overflow a double."""
+    one, two = [1.0] * 10 + [0.0], [1.0] * 9 + [0.0, 1.0]
+    for scale in (1.0, 2.0**700):
+        rows = [(1, [v * scale for v in one]), (2, [v * scale for v in two])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+@pytest.mark.parametrize("tiles", [1, 2, 3, 6, 7])
+def test_every_two_tiles_meet_once(spark, tiles):
+    body = spark.range(tiles).selectExpr("id as uid", "3 as dim", "1L as copies", "cast('' as binary) as x", f"{tiles} as tiles", "cast(id as int) as t")
+    met, most = [], 0
+    for lo in range(0, tiles // 2 + 1, 2):
+        groups = {}
+        for r in embedding_dedup.dealt(body, lo, lo + 2).collect():
+            groups.setdefault((r["round"], r["left"]), []).append((r["side"], r["uid"]))
+        most = max(most, sum(map(len, groups.values())))
+        met += [tuple(sorted(u for _, u in g)) for g in groups.values()]
+    assert sorted(met) == sorted([(a,) for a in range(tiles)] + [(a, b) for a in range(tiles) for b in range(a + 1, tiles)])
+    assert most <= 4 * tiles
+
+
+@pytest.mark.parametrize("inner", [True, False])
+def test_tiles_of_near_copies_match_brute_force(inner):
+    """Crowds, whose products are settled in single precision, chains of links and lone vectors, in both precisions."""
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    crowd = r.normal(size=(3, 24))[r.integers(0, 3, 900)] + r.normal(size=(900, 24)) * r.choice([0.01, 0.3, 0.33], 900)[:, None]
+    turn = np.arange(300) * 0.4
+    chain = np.c_[np.cos(turn) * np.exp(-turn / 99), np.sin(turn), turn / 9, np.zeros((300, 21))]
+    x = r.permutation(np.r_[crowd, chain, r.normal(size=(400, 24))])
+    x[::2] = x[::2].astype(np.float32)
+    copies = r.integers(1, 4, len(x))
+    rows = pd.DataFrame({"uid": np.arange(len(x)), "copies": copies, "x": [v.astype(np.float32 if k % 2 == 0 else np.float64).tobytes() for k, v in enumerate(x)]})
+    half = len(x) if inner else 700
+    one = embedding_dedup.Tile(rows[:half], 24)
+    two = one if inner else embedding_dedup.Tile(rows[half:], 24)
+    counts, root = embedding_dedup.met(one, two, 0.9)
+    uid = one.uid if inner else np.r_[one.uid, two.uid]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    if not inner:
+        near[:half, :half] = near[half:, half:] = False
+    assert np.array_equal(counts[np.argsort(uid)], near.astype(int) @ copies) and near.sum() > 100_000 * (1 + inner)
+    comp = brute.components(len(x), lambda i, j: near[i, j])
+    names = lambda c: [min(k for k in range(len(x)) if c[k] == c[i]) for i in range(0, len(x), 7)]
+    assert names(uid[root][np.argsort(uid)]) == names(comp)
+
+
+def test_null_and_repeated_keys(spark):
+    """Rows of one key are copies or links of each other; a null key links, but names no component that has another."""
+    near = [1.0, 0.1]
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (5, near), (None, [1.0, 0.0]), (None, near), (None, [0.0, 1.0]), (None, None), (9, [-0.0, 3.0]), (None, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=str)
+    want = [(5, 4, 5, True)] * 3 + [(None, 4, 5, False)] * 2 + [(None, 1, 9, False), (9, 1, 9, True), (None, 0, None, False), (None, 0, None, False)]
+    assert got == sorted(want, key=str)
+
+
 def test_empty_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
