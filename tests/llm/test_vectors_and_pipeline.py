@@ -102,16 +102,16 @@ def test_tiles_of_near_copies_match_brute_force(inner):
     import pandas as pd
 
     r = np.random.default_rng(5)
-    crowd = r.normal(size=(3, 24))[r.integers(0, 3, 900)] + r.normal(size=(900, 24)) * r.choice([0.01, 0.3, 0.33], 900)[:, None]
+    crowd = r.normal(size=(3, 48))[r.integers(0, 3, 900)] + r.normal(size=(900, 48)) * r.choice([0.01, 0.3, 0.33], 900)[:, None]
     turn = np.arange(300) * 0.4
-    chain = np.c_[np.cos(turn) * np.exp(-turn / 99), np.sin(turn), turn / 9, np.zeros((300, 21))]
-    x = r.permutation(np.r_[crowd, chain, r.normal(size=(400, 24))])
+    chain = np.c_[np.cos(turn) * np.exp(-turn / 99), np.sin(turn), turn / 9, np.zeros((300, 45))]
+    x = r.permutation(np.r_[crowd, chain, r.normal(size=(400, 48))])
     x[::2] = x[::2].astype(np.float32)
     copies = r.integers(1, 4, len(x))
     rows = pd.DataFrame({"uid": np.arange(len(x)), "copies": copies, "x": [v.astype(np.float32 if k % 2 == 0 else np.float64).tobytes() for k, v in enumerate(x)]})
     half = len(x) if inner else 700
-    one = embedding_dedup.Tile(rows[:half], 24)
-    two = one if inner else embedding_dedup.Tile(rows[half:], 24)
+    one = embedding_dedup.Tile(rows[:half], 48)
+    two = one if inner else embedding_dedup.Tile(rows[half:], 48)
     counts, root = embedding_dedup.met(one, two, 0.9)
     uid = one.uid if inner else np.r_[one.uid, two.uid]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
