@@ -125,6 +125,13 @@ def test_tiles_of_near_copies_match_brute_force(inner):
     assert names(uid[root][np.argsort(uid)]) == names(comp)
 
 
+def test_empty_tiles(spark, monkeypatch):
+    """Fewer vectors than tiles are dealt evenly by chance only."""
+    tiled(monkeypatch, 1)
+    r = np.random.default_rng(6)
+    check(spark, [(i, list(r.normal(size=3))) for i in range(9)])
+
+
 def test_null_and_repeated_keys(spark):
     """Rows of one key are copies or links of each other; a null key links, but names no component that has another."""
     near = [1.0, 0.1]
